@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding, simhash, token_store
+from . import decontaminate, licenses, quality, sharding, simhash, token_store
 from .common import table
 
 SHARDS = 16
@@ -33,6 +33,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, labels).withColumnRenamed("id", "doc_id")
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per_doc, _ = licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return per_doc.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", F.round("score", 6).alias("score"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
@@ -43,7 +53,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_quality_rules, op9_simhash_near_dedup, op10_token_output)}
+    return {f.__name__: f for f in (op1_sharding, op3_quality_rules, op4_benchmark_decontamination, op8_license_scan, op9_simhash_near_dedup, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
