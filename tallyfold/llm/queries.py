@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, quality, sharding, simhash, token_store
+from . import decontaminate, licenses, mixing, quality, secret_scan, sharding, simhash, substrings, token_store
 from .common import table
 
 SHARDS = 16
@@ -38,6 +38,19 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(table(spark, sf_dir, "documents", "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text", "source")).withColumnRenamed("id", "doc_id")
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = mixing.schedule(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return dealt.select(F.col("id").alias("doc_id"), "source", "size", "block", "slot")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_doc, _ = licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
     return per_doc.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", F.round("score", 6).alias("score"))
@@ -53,7 +66,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_quality_rules, op4_benchmark_decontamination, op8_license_scan, op9_simhash_near_dedup, op10_token_output)}
+    return {f.__name__: f for f in (op1_sharding, op3_quality_rules, op4_benchmark_decontamination, op5_suffix_dedup, op6_secret_scan, op7_source_mixing, op8_license_scan, op9_simhash_near_dedup, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:

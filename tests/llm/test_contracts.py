@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tallyfold.llm import quality, queries, sharding, simhash, token_store
+from tallyfold.llm import quality, queries, sharding, simhash, substrings, token_store
 
 from .conftest import ODD_TEXTS, SF
 
@@ -218,3 +218,52 @@ def test_op10(spark, tmp_path):
 def test_tokens_odd(odd, empty):
     check_tokens(token_store.token_files(odd, queries.tokenizer_path()).collect(), [(i, t) for i, t, _, _ in ODD_TEXTS])
     assert token_store.token_files(empty, queries.tokenizer_path()).count() == 0
+
+
+# --- substrings ---
+
+
+def plain_removal(docs):
+    docs = [(i, (t or "").encode()) for i, t in docs]
+    first = {}
+    for i, raw in docs:
+        if i is not None:
+            for s in range(len(raw) - 49):
+                w = raw[s : s + 50]
+                first[w] = min(i, first.get(w, i))
+    out = Counter()
+    for i, raw in docs:
+        gone = np.zeros(len(raw), bool)
+        if i is not None:
+            for s in range(len(raw) - 49):
+                if first[raw[s : s + 50]] < i:
+                    gone[s : s + 50] = True
+        spans = sum(1 for k in range(len(raw)) if gone[k] and (k == 0 or not gone[k - 1]))
+        kept = bytes(np.frombuffer(raw, np.uint8)[~gone])
+        out[i, len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()] += 1
+    return out
+
+
+def test_op5(spark):
+    rows = queries.op5_suffix_dedup(spark, SF).collect()
+    assert Counter(tuple(r) for r in rows) == plain_removal(texts(spark))
+    assert any(r.n_removed for r in rows)
+
+
+def test_substrings_odd(spark, odd, empty):
+    assert Counter(tuple(r) for r in substrings.dedup_substrings(odd).collect()) == plain_removal([(i, t) for i, t, _, _ in ODD_TEXTS])
+    assert substrings.dedup_substrings(empty).count() == 0
+
+
+def test_substrings_planted(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcd"), 6))
+    passage = " ".join(word() for _ in range(30))
+    docs = []
+    for i in range(120):
+        own = [word() for _ in range(40)]
+        piece = passage[int(rng.integers(0, 80)) : int(rng.integers(100, 200))]
+        own.insert(int(rng.integers(0, 40)), piece)
+        docs.append((i % 100, " ".join(own) + "z" * int(rng.integers(0, 90))))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert Counter(tuple(r) for r in substrings.dedup_substrings(df).collect()) == plain_removal(docs)
