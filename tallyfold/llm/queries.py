@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, mixing, quality, secret_scan, sharding, simhash, substrings, token_store
+from . import decontaminate, licenses, lines, mixing, quality, secret_scan, sharding, simhash, substrings, token_store
 from .common import table
 
 SHARDS = 16
@@ -28,6 +28,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_classes(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels", "doc_id", "quality")
     return quality.judge(docs, labels).withColumnRenamed("id", "doc_id")
@@ -66,7 +70,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_quality_rules, op4_benchmark_decontamination, op5_suffix_dedup, op6_secret_scan, op7_source_mixing, op8_license_scan, op9_simhash_near_dedup, op10_token_output)}
+    return {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_quality_rules, op4_benchmark_decontamination, op5_suffix_dedup, op6_secret_scan, op7_source_mixing, op8_license_scan, op9_simhash_near_dedup, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:

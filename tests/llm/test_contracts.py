@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tallyfold.llm import quality, queries, sharding, simhash, substrings, token_store
+from tallyfold.llm import lines, quality, queries, sharding, simhash, substrings, token_store
 
 from .conftest import ODD_TEXTS, SF
 
@@ -267,3 +267,90 @@ def test_substrings_planted(spark):
         docs.append((i % 100, " ".join(own) + "z" * int(rng.integers(0, 90))))
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     assert Counter(tuple(r) for r in substrings.dedup_substrings(df).collect()) == plain_removal(docs)
+
+
+# --- lines ---
+
+
+def plain_distance(a, b):
+    above = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+        above = row
+    return above[-1]
+
+
+def test_edit_distance_against_the_table():
+    rng = np.random.default_rng(1)
+    for _ in range(4000):
+        a = "".join(rng.choice(list("abc"), rng.integers(0, 14)))
+        b = list(a)
+        for _ in range(rng.integers(0, 6)):
+            k = int(rng.integers(0, len(b) + 1))
+            b[k : k + int(rng.integers(0, 2))] = list(rng.choice(list("abc"), rng.integers(0, 2)))
+        b = "".join(b)
+        for most in (1, 2, 3):
+            d = plain_distance(a, b)
+            assert lines.edit_distance(a, b, most) == (d if d <= most else None), (a, b, most)
+
+
+def plain_lines(docs, most=2, shortest=24):
+    first, copies = {}, Counter()
+    rank = lambda i, k: (i is not None, i or 0, k)
+    for i, t in docs:
+        for k, x in enumerate((t or "").split("\n")):
+            if x.strip():
+                copies[x] += 1
+                if x not in first or rank(i, k) < rank(*first[x]):
+                    first[x] = (i, k)
+    u = sorted(first)
+    parent, links = {x: x for x in u}, Counter()
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    by_len = defaultdict(list)
+    for x in u:
+        if len(x) >= shortest:
+            by_len[len(x)].append(x)
+    for n in by_len:
+        for a in by_len[n]:
+            for g in range(most + 1):
+                for b in by_len.get(n - g, ()):
+                    if (g or a < b) and lines.edit_distance(a, b, most) is not None:
+                        links[a] += 1
+                        links[b] += 1
+                        parent[find(a)] = find(b)
+    home = {}
+    for x in u:
+        home[find(x)] = min(home.get(find(x), first[x]), first[x], key=lambda f: rank(*f))
+    return Counter((*first[x], copies[x], links[x], *home[find(x)]) for x in u)
+
+
+def test_op2(spark):
+    docs = texts(spark)[:60]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert Counter(tuple(r) for r in lines.line_classes(df).collect()) == plain_lines(docs)
+
+
+def test_lines_planted(spark, odd, empty):
+    rng = np.random.default_rng(2)
+    base = ["".join(rng.choice(list("abcdefgh "), rng.integers(20, 60))) for _ in range(12)]
+    docs = []
+    for i in range(60):
+        out = []
+        for x in base:
+            y = list(x)
+            for _ in range(rng.integers(0, 4)):
+                k = int(rng.integers(0, len(y)))
+                y[k : k + int(rng.integers(0, 2))] = list(rng.choice(list("abcdefgh"), rng.integers(0, 2)))
+            out.append("".join(y))
+        docs.append((i, "\n".join(out)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert Counter(tuple(r) for r in lines.line_classes(df).collect()) == plain_lines(docs)
+    assert Counter(tuple(r) for r in lines.line_classes(odd).collect()) == plain_lines([(i, t) for i, t, _, _ in ODD_TEXTS])
+    assert lines.line_classes(empty).count() == 0
