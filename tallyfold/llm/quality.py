@@ -179,3 +179,30 @@ def judge(
         .withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
         .select("id", *BASE_FIELDS, "base_failed", "kept", F.concat_ws(",", "failed_rules").alias("failed_rules"))
     )
+
+
+def keep_good(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang",
+    good: str = "quality = 1", risk: float = RISK, level: float = LEVEL,
+) -> DataFrame:
+    """The rows of `docs` that `judge` keeps, all columns kept; no text is shuffled.
+
+    The texts are measured twice, once to find the cut-offs and once to apply them, so that rows with null
+    or repeated ids are judged by themselves.
+    """
+    measured = staged(measures(docs, id_col, text_col, stratum_col), "measures")
+    # a row for each stratum
+    cuts = {r["stratum"]: [r[f"cut_{x}"] for x in RULES] for r in cutoffs(measured, labels, id_col, good, risk, level).collect()}
+    at_text, at_stratum = docs.columns.index(text_col), docs.columns.index(stratum_col)
+
+    def passes(text: str | None, stratum: str) -> bool:
+        n, _, _, _, repeats, *values = measure(text)
+        limits = cuts.get(stratum, [None] * len(RULES))
+        return n >= 20 and 100 * repeats <= 30 * n and all(c is None or int(min(v * STEPS, STEPS)) < c for v, c in zip(values, limits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            strata = (str(x) if x is not None else "" for x in batch.column(at_stratum).to_pylist())
+            yield batch.filter(pa.array([passes(t.as_py(), s) for t, s in zip(batch.column(at_text), strata)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

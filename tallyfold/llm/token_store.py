@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -85,10 +85,9 @@ def ids_width(path: str) -> int:
     return Encoder.here(path).dtype.itemsize
 
 
-def encoded(docs: DataFrame, path: str, id_col: str, text_col: str, carry: list[str] = ()) -> DataFrame:
-    """id, carried columns, and the ids' bytes of every whole text, the end id included."""
-    kinds = dict(docs.dtypes)
-    names = ["id", *carry]
+def encoded(docs: DataFrame, path: str) -> DataFrame:
+    """(id, at, text) -> id, at, and the ids' bytes of every whole text, the end id included."""
+    names = ["id", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.here(path)
@@ -99,16 +98,15 @@ def encoded(docs: DataFrame, path: str, id_col: str, text_col: str, carry: list[
                 ids = [encoder.encode(t.as_py() or "") + end for t in part.column(len(names))]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(ids, pa.binary())], names=[*names, "ids"])
 
-    fields = ", ".join([f"id {kinds[id_col]}", *(f"{c} {kinds[c]}" for c in carry), "ids binary"])
-    return docs.select(F.col(id_col).alias("id"), *carry, F.col(text_col).alias("text")).mapInArrow(run, fields)
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, at double, ids binary")
 
 
-def train_dictionary(docs: DataFrame, path: str, id_col: str, text_col: str) -> bytes:
+def train_dictionary(docs: DataFrame, path: str) -> bytes:
     """A dictionary from the ids of a bounded sample of documents; empty if there is too little to learn from."""
-    drawn = docs.select(F.col(id_col).alias("id")).where("id is not null").orderBy(F.xxhash64(F.lit("dictionary"), "id")).limit(SAMPLE_DOCS).collect()
+    drawn = docs.select("id").where("id is not null").orderBy(F.xxhash64(F.lit("dictionary"), "id")).limit(SAMPLE_DOCS).collect()
     if not drawn:
         return b""
-    sample = encoded(docs.where(F.col(id_col).isin([r["id"] for r in drawn])), path, id_col, text_col)
+    sample = encoded(docs.where(F.col("id").isin([r["id"] for r in drawn])), path)
     samples = [bytes(r["x"]) for r in sample.select(F.substring("ids", 1, SAMPLE_BYTES).alias("x")).limit(SAMPLE_DOCS).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
@@ -116,11 +114,12 @@ def train_dictionary(docs: DataFrame, path: str, id_col: str, text_col: str) ->
         return b""
 
 
-def write_store(docs: DataFrame, store: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode and write all rows of `docs` in ascending id order (null ids first, repeated ids together)."""
+def write_store(docs: DataFrame, store: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", order: Column | None = None) -> None:
+    """Encode and write all rows of `docs` in ascending order of a number (default: the id), nulls first."""
     spark = docs.sparkSession
     width = ids_width(tokenizer)
-    trained = train_dictionary(docs, tokenizer, id_col, text_col)
+    rows = docs.select(F.col(id_col).alias("id"), (F.col(id_col) if order is None else order).cast("double").alias("at"), F.col(text_col).alias("text"))
+    trained = train_dictionary(rows, tokenizer)
     digest = hashlib.sha256(trained).hexdigest()
     row = [(trained, digest, tokenizer.rpartition("/")[2], width)]
     spark.createDataFrame(row, "dictionary binary, sha256 string, tokenizer string, id_bytes int").coalesce(1).write.parquet(f"{store}/dictionary")
@@ -130,17 +129,16 @@ def write_store(docs: DataFrame, store: str, tokenizer: str, id_col: str = "doc_
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frames = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
         for batch in batches:
-            ids = batch.column(1).to_pylist()
+            ids = batch.column(2).to_pylist()
             packed = [frames.compress(x) for x in ids]
             counts = pa.array([len(x) // width for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(packed, pa.binary())], names=["id", "n", "frame"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts, pa.array(packed, pa.binary())], names=["id", "at", "n", "frame"])
 
-    frames = encoded(docs, tokenizer, id_col, text_col).mapInArrow(compress, f"id {kind}, n long, frame binary")
-    rows = docs.select(id_col).count()
-    buckets = max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS))
-    # quantiles of the ids: one number a bucket
+    frames = encoded(rows, tokenizer).mapInArrow(compress, f"id {kind}, at double, n long, frame binary")
+    buckets = max(LEAST_BUCKETS, -(-rows.select("id").count() // BUCKET_ROWS))
+    # quantiles of the order: one number a bucket
     at = [k / buckets for k in range(1, buckets)]
-    edges = docs.select(F.percentile_approx(F.col(id_col).cast("double"), at, 20 * buckets)).first()[0] or []
+    edges = rows.select(F.percentile_approx("at", at, 20 * buckets)).first()[0] or []
     edges = sorted(set(edges))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,10 +165,10 @@ def write_store(docs: DataFrame, store: str, tokenizer: str, id_col: str = "doc_
     inner = np.array(edges, np.float64)
 
     @F.pandas_udf("int")
-    def bucket(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(inner, ids.astype("float64").fillna(-np.inf).to_numpy(), side="left").astype(np.int32))
+    def bucket(at: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(inner, at.fillna(-np.inf).to_numpy(), side="left").astype(np.int32))
 
-    dealt = frames.withColumn("bucket", bucket("id")).repartition(shuffle_width(spark), "bucket").sortWithinPartitions("bucket", F.col("id").asc_nulls_first(), "n", "frame")
+    dealt = frames.withColumn("bucket", bucket("at")).repartition(shuffle_width(spark), "bucket").sortWithinPartitions("bucket", F.col("at").asc_nulls_first(), "id", "n", "frame")
     fields = f"part int, seq int, ids array<{kind}>, offsets array<long>, counts array<long>, dictionary string, payload binary"
     dealt.select("bucket", "id", "n", "frame").mapInPandas(pack, fields).write.option("compression", "uncompressed").parquet(f"{store}/blocks")
 
@@ -238,12 +236,14 @@ def token_index(spark: SparkSession, store: str) -> DataFrame:
     return inside.join(starts, "part").select("id", (F.col("_start") + F.col("_inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", store: str | None = None) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", store: str | None = None, order: Column | None = None) -> DataFrame:
     """Write the store (by default a new one in the shared folder) and return `token_index` of it.
 
+    Documents are stored by ascending id, or by `order`, a number below 2**53 for each row.
+
     Null texts are encoded as empty: the end id alone.  Null ids come first; rows that repeat an id are
     stored one after another; an empty table gives an empty store; other columns are not read.
     """
     store = store or f"{shared_dir(docs.sparkSession)}/tallyfold/tokens-{uuid.uuid4().hex}"
-    write_store(docs, store, tokenizer, id_col, text_col)
+    write_store(docs, store, tokenizer, id_col, text_col, order)
     return token_index(docs.sparkSession, store)
