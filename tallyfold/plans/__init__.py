@@ -1 +1,13 @@
-"""See the README for the layout."""
+"""Queries over the given tables, a function and its SQL for each."""
+
+from . import aggregates, joined, windowed
+
+MODULES = [aggregates, windowed, joined]
+
+
+def queries() -> dict:
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
