@@ -1 +1 @@
-"""See the README for the layout."""
+"""Scalar functions on columns."""

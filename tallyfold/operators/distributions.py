@@ -78,13 +78,16 @@ def dispersion_grid(sd: float) -> list[tuple[float, float]]:
     return [(x / mean, w) for x, w in raw]
 
 
-def compounded_overdispersed(dist: Column, n: Column, sd: float, most: int = MOST) -> Column:
-    """A mixture of `compounded` over multipliers of the mean."""
-    parts = [F.transform(compounded(frequency_scaled(dist, mean_of(dist) * m), n, most), lambda x, w=w: x * w) for m, w in dispersion_grid(sd)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = F.zip_with(out, p, lambda a, b: a + b)
-    return out
+def compounded_overdispersed(df: DataFrame, keys: list[str], dist: str, n: str, sd: float, name: str, most: int = MOST) -> DataFrame:
+    """keys and `name`: a mixture of `compounded` over multipliers of the mean. Keys must be unique.
+
+    The grid's five rows per key are separate rows, so each scaled distribution is worked out once.
+    """
+    grid = F.explode(F.array(*(F.struct(F.lit(m).alias("m"), F.lit(w).alias("w")) for m, w in dispersion_grid(sd))))
+    rows = df.select(*keys, F.col(dist).alias("_d"), F.col(n).alias("_n"), grid.alias("_g")).withColumn("_target", mean_of(F.col("_d")) * F.col("_g.m"))
+    scaled = rows.withColumn("_s", frequency_scaled(F.col("_d"), F.col("_target"))).withColumn("_c", compounded(F.col("_s"), F.col("_n"), most))
+    mixed = [F.sum(F.col("_g.w") * F.element_at("_c", k + 1)) for k in range(most + 1)]
+    return scaled.groupBy(*keys).agg(F.array(*mixed).alias(name))
 
 
 def histogram(df: DataFrame, keys: list[str], value: str, most: int) -> DataFrame:

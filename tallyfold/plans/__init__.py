@@ -1,8 +1,8 @@
 """Queries over the given tables, a function and its SQL for each."""
 
-from . import aggregates, joined, windowed
+from . import aggregates, compounded, evaluated, joined, scalars, windowed
 
-MODULES = [aggregates, windowed, joined]
+MODULES = [aggregates, windowed, joined, scalars, evaluated, compounded]
 
 
 def queries() -> dict:
