@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 MOST = 20
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often and deep in lambdas it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def normalised(dist: Column) -> Column:
-    total = F.aggregate(dist, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(dist, lambda x: x / total)
+    return bound(dist, lambda d: bound(F.aggregate(d, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(d, lambda x: x / total)))
 
 
 def mean_of(dist: Column) -> Column:
@@ -46,25 +50,29 @@ def at_least_one(p: Column, n: Column) -> Column:
 def tilted(dist: Column, target: Column, span: float = 5.0, rounds: int = 80) -> Column:
     """`dist` reweighted by exp(theta * v) so that its mean is `target`, theta found by bisection."""
 
-    def weighted(theta: Column) -> Column:
-        return normalised(F.transform(dist, lambda p, v: p * F.exp(theta * v)))
+    def low(mid: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("m"))
+        weights = F.transform(dist, lambda p, v: F.struct((p * F.exp(mid * v)).alias("w"), v.alias("v")))
+        return F.aggregate(weights, start, lambda a, x: F.struct((a["s"] + x["w"]).alias("s"), (a["m"] + x["w"] * x["v"]).alias("m")), lambda a: a["m"] < target * a["s"])
 
     def halve(state: Column, _: Column) -> Column:
         mid = (state["lo"] + state["hi"]) / 2
-        low = mean_of(weighted(mid)) < target
-        return F.struct(F.when(low, mid).otherwise(state["lo"]).alias("lo"), F.when(low, state["hi"]).otherwise(mid).alias("hi"))
+        return bound(low(mid), lambda below: F.struct(F.when(below, mid).otherwise(state["lo"]).alias("lo"), F.when(below, state["hi"]).otherwise(mid).alias("hi")))
 
     start = F.struct(F.lit(-span).alias("lo"), F.lit(span).alias("hi"))
     theta = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2)
-    return weighted(theta)
+    return normalised(bound(theta, lambda t: F.transform(dist, lambda p, v: p * F.exp(t * v))))
 
 
 def frequency_scaled(dist: Column, target: Column) -> Column:
     """`dist` with its non-zero counts scaled so that the mean is `target`; where that takes more than all mass, tilted."""
-    factor = target / mean_of(dist)
-    some = F.aggregate(F.slice(dist, 2, MOST + 1), F.lit(0.0), lambda a, x: a + x)
-    scaled = F.transform(dist, lambda p, v: F.when(v == 0, 1 - factor * some).otherwise(factor * p))
-    return F.when((target <= 0) | (F.abs(factor - 1) < 1e-12), dist).when(factor * some >= 1, tilted(dist, target)).otherwise(scaled)
+    facts = F.struct((target / mean_of(dist)).alias("factor"), F.aggregate(F.slice(dist, 2, MOST + 1), F.lit(0.0), lambda a, x: a + x).alias("some"))
+
+    def scaled(f: Column) -> Column:
+        plain = F.transform(dist, lambda p, v: F.when(v == 0, 1 - f["factor"] * f["some"]).otherwise(f["factor"] * p))
+        return F.when((target <= 0) | (F.abs(f["factor"] - 1) < 1e-12), dist).when(f["factor"] * f["some"] >= 1, tilted(dist, target)).otherwise(plain)
+
+    return bound(facts, scaled)
 
 
 #: A mean-one multiplier's points in standard deviations, and their weights.

@@ -1,8 +1,8 @@
 """Queries over the given tables, a function and its SQL for each."""
 
-from . import aggregates, compounded, evaluated, joined, landed, modelled, scalars, windowed
+from . import aggregates, composed, compounded, evaluated, joined, landed, modelled, scalars, windowed
 
-MODULES = [aggregates, windowed, joined, scalars, landed, evaluated, compounded, modelled]
+MODULES = [aggregates, windowed, joined, scalars, landed, evaluated, compounded, composed, modelled]
 
 
 def queries() -> dict:
