@@ -73,5 +73,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_quality_rules, op4_benchmark_decontamination, op5_suffix_dedup, op6_secret_scan, op7_source_mixing, op8_license_scan, op9_simhash_near_dedup, op10_token_output)}
 
 
+def _license_sql() -> str:
+    """The license scan in SQL: all word pairs joined to template pairs, voted by diagonal, merged and verified."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    told = [(label, text, True) for text, label in licenses.BASE.items()] + [(label, text, False) for label, text in licenses.NOTICES]
+    values = ", ".join(f"({n}, {quote(label)}, {str(base).lower()}, {quote(text)})" for n, (label, text, base) in enumerate(told))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{licenses.WORD}')"
+    return f"""WITH d AS (SELECT doc_id, {words} AS w FROM documents),
+tp(template, label, base, text) AS (VALUES {values}),
+tw AS (SELECT template, label, base, {words} AS w FROM tp),
+tg AS (SELECT template, label, base, len(w) - 1 AS grams, q, w[q + 1] AS a, w[q + 2] AS b FROM (SELECT *, unnest(range(len(w) - 1)) AS q FROM tw)),
+dg AS (SELECT doc_id, p, w[p + 1] AS a, w[p + 2] AS b FROM (SELECT *, unnest(range(len(w) - 1)) AS p FROM d)),
+v AS (SELECT DISTINCT doc_id, template, label, base, grams, p - q AS diagonal, q FROM dg JOIN tg USING (a, b)),
+s AS (SELECT doc_id, template, label, base, grams, diagonal, min(diagonal + q) AS lo, max(diagonal + q + 1) AS hi, list(q) AS seen FROM v GROUP BY ALL),
+c AS (SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER o > {licenses.NEAR}, true) THEN 1 ELSE 0 END AS apart FROM s WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+n AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM c),
+m AS (SELECT doc_id, template, label, base, grams, span, len(list_distinct(flatten(list(seen)))) AS n_seen, min(lo) AS first_word, max(hi) AS last_word FROM n GROUP BY ALL),
+f AS (SELECT *, n_seen * 1.0 / grams AS share FROM m WHERE n_seen = grams OR (NOT base AND n_seen * 1.0 / grams >= {licenses.SHARE} AND last_word - first_word + 1 <= {licenses.STRETCH} * (grams + 1))),
+g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(first_word) FILTER (base) AS first_word, max(first_word) FILTER (base) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM f GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0.0), 6) AS score FROM d LEFT JOIN g USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_license_scan": _license_sql()}

@@ -43,6 +43,13 @@ def test_op8(spark):
     assert queries.op8_license_scan(spark, SF).count() == len(docs)
 
 
+def test_op8_equals_its_sql(spark):
+    from tests.oracle import compare, connection
+
+    df = queries.op8_license_scan(spark, SF)
+    assert compare(df.collect(), df.columns, connection(SF), queries.oracle_sql()["op8_license_scan"]) is None
+
+
 def test_license_spans(spark, odd, empty):
     notice = licenses.NOTICES[0][1]
     words = notice.split()
