@@ -33,28 +33,35 @@ END_ID = 0
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1500, 4096, 64 << 10
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 4096
 LEVEL = 3
-#: Entries of a worker's cache from text chunks to id bytes; it starts anew when full.
-CACHE = 400_000
+#: Entries of a worker's cache from text chunks to id bytes, in two generations.
+CACHE = 600_000
 BUCKET_ROWS, LEAST_BUCKETS = 50_000, 256
 
 _BOUNDARY = re.compile(r"(?<=\S)(?= )")
 _SPACE_RUN = re.compile(r"\s ")
+_MARKS = frozenset(",.!?;:")
 _workers: dict[str, "Encoder"] = {}
 
 
 class Encoder:
     """Texts to ids as little-endian bytes, two per id if the vocabulary allows, else four.
 
-    Byte-level BPE never merges across a space that follows a non-space character, so a text is encoded
-    chunk by chunk and each distinct chunk goes through the tokenizers library once.
+    Byte-level BPE never merges across a space that follows a non-space character, nor between letters and
+    a mark after them.  So texts are cut there and each distinct piece goes through the tokenizers library
+    once; other kinds of tokenizers get whole texts.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        before = self.tokenizer.pre_tokenizer
+        self.cuts = isinstance(before, pre_tokenizers.ByteLevel) and before.use_regex and not before.add_prefix_space and self.tokenizer.normalizer is None
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.mark, self.mark_text = next(((i, t.content) for i, t in added.items()), (None, None))
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     @classmethod
     def here(cls, path: str) -> "Encoder":
@@ -63,22 +70,43 @@ class Encoder:
         return _workers[path]
 
     def chunks(self, text: str) -> list[str]:
-        if _SPACE_RUN.search(text):
+        if _SPACE_RUN.search(text) or "\0" in text:
             return _BOUNDARY.split(text)
-        first, *rest = text.split(" ")
-        return [first, *(" " + x for x in rest)]
-
-    def encode(self, text: str) -> bytes:
-        parts = self.chunks(text)
-        known = self.known
-        new = list({x for x in parts if x not in known})
-        if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(set(parts))
-            for x, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[x] = np.array(e.ids, self.dtype).tobytes()
-        return b"".join(map(known.__getitem__, parts))
+        return text.replace(" ", "\0 ").split("\0")
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode pieces and keep them: many at once, with an added token between them."""
+        plain = [x for x in pieces if self.mark is not None and self.mark_text not in x]
+        for x in set(pieces).difference(plain) if len(plain) < len(pieces) else ():
+            self.known[x] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, self.dtype).tobytes()
+        size = self.dtype.itemsize
+        for k in range(0, len(plain), 256):
+            some = plain[k : k + 256]
+            ids = np.array(self.tokenizer.encode(self.mark_text.join(some), add_special_tokens=False).ids, self.dtype)
+            cut, raw = (size * np.flatnonzero(ids == self.mark)).tolist(), ids.tobytes()
+            self.known.update(zip(some, (raw[i:j] for i, j in zip([0, *(c + size for c in cut)], [*cut, len(raw)]))))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.cuts:
+            return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        split = [self.chunks(t) for t in texts]
+        if len(self.known) > CACHE // 2:  # what the last generation holds and is used again moves on
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
+        new = set().union(*split).difference(known)
+        known.update([(x, before[x]) for x in new if x in before])
+        new.difference_update(known)
+        ends = {x: x[:-1] for x in new if x[-1:] in _MARKS and x[1:-1].isalpha()}
+        missing = new.difference(ends)
+        for x in {*ends.values(), *_MARKS}.difference(known):
+            if x in before:
+                known[x] = before[x]
+            else:
+                missing.add(x)
+        self._learn(list(missing))
+        for x, word in ends.items():
+            known[x] = known[word] + known[x[-1]]
+        return [b"".join(map(known.__getitem__, parts)) for parts in split]
 
 
 def ids_width(path: str) -> int:
@@ -95,7 +123,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [encoder.encode(t.as_py() or "") + end for t in part.column(len(names))]
+                ids = [x + end for x in encoder.encode([t or "" for t in part.column(len(names)).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(ids, pa.binary())], names=[*names, "ids"])
 
     return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, at double, ids binary")
