@@ -34,7 +34,7 @@ SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1500, 4096, 64 << 10
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 4096
 LEVEL = 3
 #: Entries of a worker's cache from text chunks to id bytes, in two generations.
-CACHE = 600_000
+CACHE = 400_000
 BUCKET_ROWS, LEAST_BUCKETS = 50_000, 256
 
 _BOUNDARY = re.compile(r"(?<=\S)(?= )")
@@ -80,22 +80,32 @@ class Encoder:
         for x in set(pieces).difference(plain) if len(plain) < len(pieces) else ():
             self.known[x] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, self.dtype).tobytes()
         size = self.dtype.itemsize
-        for k in range(0, len(plain), 256):
-            some = plain[k : k + 256]
-            ids = np.array(self.tokenizer.encode(self.mark_text.join(some), add_special_tokens=False).ids, self.dtype)
+        for k in range(0, len(plain), 1024):
+            some = plain[k : k + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark_text.join(some)], add_special_tokens=False)[0].ids, self.dtype)
             cut, raw = (size * np.flatnonzero(ids == self.mark)).tolist(), ids.tobytes()
             self.known.update(zip(some, (raw[i:j] for i, j in zip([0, *(c + size for c in cut)], [*cut, len(raw)]))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        split = [self.chunks(t) for t in texts]
         if len(self.known) > CACHE // 2:  # what the last generation holds and is used again moves on
             self.before, self.known = self.known, {}
+        known = self.known
+        split = [self.chunks(t) for t in texts]
+        found = [list(map(known.get, parts)) for parts in split]
+        holes = [[i for i, x in enumerate(ids) if x is None] if None in ids else () for ids in found]
+        self._fill({parts[i] for parts, at in zip(split, holes) for i in at})
+        for parts, ids, at in zip(split, found, holes):
+            for i in at:
+                ids[i] = known[parts[i]]
+        return list(map(b"".join, found))
+
+    def _fill(self, new: set[str]) -> None:
+        """Bring chunks into this generation: from the last one, from their word and mark, or from the library."""
         known, before = self.known, self.before
-        new = set().union(*split).difference(known)
         known.update([(x, before[x]) for x in new if x in before])
-        new.difference_update(known)
+        new = new.difference(known)
         ends = {x: x[:-1] for x in new if x[-1:] in _MARKS and x[1:-1].isalpha()}
         missing = new.difference(ends)
         for x in {*ends.values(), *_MARKS}.difference(known):
@@ -106,7 +116,6 @@ class Encoder:
         self._learn(list(missing))
         for x, word in ends.items():
             known[x] = known[word] + known[x[-1]]
-        return [b"".join(map(known.__getitem__, parts)) for parts in split]
 
 
 def ids_width(path: str) -> int:
@@ -125,6 +134,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                 part = batch.slice(at, 256)
                 ids = [x + end for x in encoder.encode([t or "" for t in part.column(len(names)).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(ids, pa.binary())], names=[*names, "ids"])
+        encoder.known, encoder.before = {}, {}  # the worker lives on, for other stages
 
     return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, at double, ids binary")
 
