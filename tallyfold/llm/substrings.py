@@ -24,18 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, staged
+from .common import shuffle_width
 
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM  # bytes that a window may hold before its gram
 SPAN = LENGTH + REACH  # bytes that the windows over one gram can touch
 #: Starts that are worked on at once (positions take 24 bits), sampled grams that a task holds before it
-#: writes them, contexts that are resolved together on the way.
-BLOCK, GRAMS, CONTEXTS = 1 << 22, 1_000_000, 60_000
+#: writes them, contexts that are resolved together on the way, open ones that a task holds.
+BLOCK, GRAMS, CONTEXTS, OPEN = 1 << 21, 500_000, 30_000, 200_000
 LEAST_BUCKETS = 64
 
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -90,7 +91,7 @@ def sampled(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
 def _unpack(payload: bytes, *kinds: tuple[str, int]) -> list[np.ndarray]:
@@ -173,7 +174,7 @@ def _shared_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 # --- step 2: windows that a smaller id holds --------------------------------------------------------
 
-_CONTEXT = (("<u8", 1), ("<i8", 1), ("<i8", 1), ("<i4", 1), ("<u1", 1), ("<u1", 1), ("<u4", 1), ("<u1", SPAN))
+_CONTEXT = (("<i8", 1), ("<i8", 1), ("<i4", 1), ("<u4", 1), ("<u1", SPAN))
 
 
 def _window_hashes(ctx: np.ndarray, row: np.ndarray, start: np.ndarray, base: int) -> np.ndarray:
@@ -184,11 +185,11 @@ def _window_hashes(ctx: np.ndarray, row: np.ndarray, start: np.ndarray, base: in
     return prefix[start + LENGTH, row] - prefix[start, row] * power[LENGTH]
 
 
-def resolve(name, doc, row, at, low, high, open_, ctx) -> tuple[np.ndarray, np.ndarray]:
+def resolve(doc: np.ndarray, open_: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bits of covered windows for each context, and bits that stay open (the smallest id's own).
 
-    Bit o stands for the window that starts o bytes before the gram; low..high are the windows that belong
-    to the position and open_ those not yet covered.
+    Bit o stands for the window that starts o bytes before the gram; open_ has those of the position that
+    are not yet covered.
     """
     o = np.arange(REACH + 1)
     which, off = np.nonzero((open_[:, None] >> o.astype(np.uint32)) & np.uint32(1))
@@ -206,8 +207,7 @@ def resolve(name, doc, row, at, low, high, open_, ctx) -> tuple[np.ndarray, np.n
         start = np.flatnonzero(np.concatenate([[True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])]))
         least = np.repeat(np.minimum.reduceat(d, start), np.diff(np.concatenate([start, [len(d)]])))
         covered[order] = d > least
-    bits = np.zeros(len(name), np.uint32)
-    np.bitwise_or.at(bits, which[covered], np.uint32(1) << off[covered].astype(np.uint32))
+    bits = np.bincount(which[covered], 2.0 ** off[covered], minlength=len(doc)).astype(np.uint32)
     return bits, open_ & ~bits
 
 
@@ -232,17 +232,25 @@ def _contexts(buckets: int):
     """Documents with their shared names -> covers (kind 0) and packed open contexts (kind 1, doc: the bucket)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
+        held, count, open_held, open_count = [], 0, [], 0
+
+        def write() -> Iterator[pa.RecordBatch]:
+            name, *cols = (np.concatenate(x) for x in zip(*open_held))
+            for b, rows in _by_bucket(name, buckets):
+                load = _pack(*(c[rows] for c in cols))
+                yield _batch(kind=pa.array([1], pa.int32()), doc=pa.array([b], pa.int64()), row=pa.array([0], pa.int64()), payload=pa.array([load], pa.binary()))
 
         def flush() -> Iterator[pa.RecordBatch]:
-            name, doc, row, at, low, high, open_, ctx = (np.concatenate(x) for x in zip(*held))
-            bits, rest = resolve(name, doc, row, at, low, high, open_, ctx)
+            nonlocal open_held, open_count
+            name, doc, row, at, open_, ctx = (np.concatenate(x) for x in zip(*held))
+            bits, rest = resolve(doc, open_, ctx)
             yield from _covers(doc, row, at, bits)
             left = np.flatnonzero(rest)
-            for b, rows in _by_bucket(name[left], buckets):
-                rows = left[rows]
-                load = _pack(name[rows].astype("<u8"), doc[rows], row[rows], at[rows].astype("<i4"), low[rows], high[rows], rest[rows].astype("<u4"), ctx[rows])
-                yield _batch(kind=pa.array([1], pa.int32()), doc=pa.array([b], pa.int64()), row=pa.array([0], pa.int64()), payload=pa.array([load], pa.binary()))
+            open_held.append((name[left], doc[left], row[left], at[left].astype("<i4"), rest[left].astype("<u4"), ctx[left]))
+            open_count += len(left)
+            if open_count >= OPEN:
+                yield from write()
+                open_held, open_count = [], 0
 
         for batch in batches:
             for doc, key, text, names in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
@@ -258,23 +266,52 @@ def _contexts(buckets: int):
                     j = np.arange(SPAN)
                     ctx = ctx * ((j >= REACH - high[:, None].astype(int)) & (j < REACH - low[:, None].astype(int) + LENGTH))
                     open_ = ((np.uint64(2) << high.astype(np.uint64)) - (np.uint64(1) << low.astype(np.uint64))).astype(np.uint32)
-                    held.append((g, np.full(len(g), doc, np.int64), np.full(len(g), key, np.int64), p, low, high, open_, ctx.astype(np.uint8)))
+                    held.append((g, np.full(len(g), doc, np.int64), np.full(len(g), key, np.int64), p, open_, ctx.astype(np.uint8)))
                     count += len(g)
                     if count >= CONTEXTS:
                         yield from flush()
                         held, count = [], 0
         if count:
             yield from flush()
+        if open_count:
+            yield from write()
 
     return run
 
 
+def _names_of(ctx: np.ndarray) -> np.ndarray:
+    """The grams' names once more, from their bytes."""
+    h = np.zeros(len(ctx), np.uint64)
+    for j in range(REACH, REACH + GRAM):
+        h = h * _BASES[0] + ctx[:, j] + np.uint64(1)
+    h ^= h >> np.uint64(29)
+    h *= _BASES[1]
+    return h >> np.uint64(24)
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = [_unpack(p.as_py(), *_CONTEXT) for batch in batches for p in batch.column(1)]
-    if parts:
-        name, doc, row, at, low, high, open_, ctx = (np.concatenate(x) for x in zip(*parts))
-        bits, _ = resolve(name, doc, row, at, low, high, open_, ctx)
-        yield from _covers(doc, row, at, bits)
+    """Passes covers on and resolves the open contexts of the partition, a few whole names at a time."""
+    parts = []
+    for batch in batches:
+        open_ = pa.compute.equal(batch.column(0), 1)
+        parts += [_unpack(p.as_py(), *_CONTEXT) for p in batch.filter(open_).column(3)]
+        yield batch.filter(pa.compute.invert(open_))
+    if not parts:
+        return
+    cols = [np.concatenate([p[k] for p in parts]) for k in range(len(_CONTEXT))]
+    del parts
+    names = _names_of(cols[-1])
+    order = np.argsort(names, kind="stable")
+    names = names[order]
+    starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+    at = 0
+    while at < len(order):
+        later = starts[np.searchsorted(starts, at + CONTEXTS) :]  # a name with more contexts goes whole
+        end = int(later[0]) if len(later) else len(order)
+        doc, row, pos, open_, ctx = (c[order[at:end]] for c in cols)
+        bits, _ = resolve(doc, open_, ctx)
+        yield from _covers(doc, row, pos, bits)
+        at = end
 
 
 # --- step 3: what is left of each document ----------------------------------------------------------
@@ -288,8 +325,7 @@ def removed_bytes(n: int, own: list[bytes]) -> np.ndarray:
         at, bits = np.frombuffer(load, "<i4", m), np.frombuffer(load, "<u4", m, 4 * m)
         which, off = np.nonzero((bits[:, None] >> np.arange(REACH + 1, dtype=np.uint32)) & np.uint32(1))
         start = at[which] - off
-        np.add.at(change, start, 1)
-        np.add.at(change, start + LENGTH, -1)
+        change += np.bincount(start, minlength=n + 1) - np.bincount(start + LENGTH, minlength=n + 1)
     return np.cumsum(change[:n]) > 0
 
 
@@ -315,6 +351,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     width = max(LEAST_BUCKETS, shuffle_width(spark))
+    buckets = 4 * width
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(id_col), text).alias("row"), text.alias("text"))
     # the texts once more, bucketed by id: two joins by id then move no text
@@ -323,13 +360,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = spark.table(name)
 
     long = F.octet_length("text") >= LENGTH
-    names = rows.where(long & F.col("doc").isNotNull()).select("doc", "text").mapInArrow(_write_names(width), "bucket int, payload binary")
-    shared = names.repartition(width, "bucket").mapInArrow(_shared_names, "doc long, names binary")
+    names = rows.where(long & F.col("doc").isNotNull()).select("doc", "text").mapInArrow(_write_names(buckets), "bucket int, payload binary")
+    shared = names.repartition(buckets, "bucket").mapInArrow(_shared_names, "doc long, names binary")
     hits = shared.groupBy("doc").agg(F.collect_list("names").alias("names"))
     with_names = texts.join(hits.hint("shuffle_hash"), "doc").where(long).select("doc", "row", "text", "names")
-    met = staged(with_names.mapInArrow(_contexts(width), "kind int, doc long, row long, payload binary"), "contexts")
-    early = met.where("kind = 0").select("doc", "row", "payload")
-    late = met.where("kind = 1").select("doc", "payload").repartition(width, "doc").mapInArrow(_meet, "kind int, doc long, row long, payload binary")
-    covers = early.union(late.select("doc", "row", "payload")).groupBy("doc").agg(F.collect_list(F.struct("row", "payload")).alias("covers"))
+    met = with_names.mapInArrow(_contexts(buckets), "kind int, doc long, row long, payload binary")
+    # covers travel along by id, open contexts by the bucket of their name
+    covered = met.repartition(buckets, "doc").mapInArrow(_meet, met.schema).select("doc", "row", "payload")
+    covers = covered.groupBy("doc").agg(F.collect_list(F.struct("row", "payload")).alias("covers"))
     left = texts.join(covers.hint("shuffle_hash"), "doc", "left").select("doc", "row", "text", "covers")
     return left.mapInArrow(_left, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
