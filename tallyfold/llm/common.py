@@ -43,3 +43,12 @@ def lower_ascii(text: Column) -> Column:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of a narrow table of ids that may be broadcast, 16 bytes each.
+BROADCAST_IDS = 500_000
+
+
+def ids_side(ids: DataFrame) -> DataFrame:
+    """A written table of ids for one side of a join: broadcast while it is small, so that no text moves; shuffled beyond."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import ids_side, staged
 
 #: Template tokens of a window; items with fewer are matched whole, those below LEAST tokens not at all.
 WINDOW, LEAST = 8, 5
@@ -134,4 +134,4 @@ def _union(frames) -> DataFrame:
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that hold no benchmark item, all columns kept; rows with a null id stay."""
     found = contaminated(docs, benchmark, id_col, text_col).select(F.col("id").alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
-    return docs.join(staged(found, "contaminated"), id_col, "left_anti").select(docs.columns)
+    return docs.join(ids_side(staged(found, "contaminated")), id_col, "left_anti").select(docs.columns)

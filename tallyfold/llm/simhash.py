@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import ids_side, staged
 from .components import connected_components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -264,8 +264,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with a null id cannot be named and stay; of rows that repeat an id one stays.
     """
     groups = staged(simhash_groups(docs, id_col, text_col, radius).select("id", "component_id"), "simhash-groups")
-    others = groups.where("id != component_id").select(F.col("id").alias(id_col)).distinct()
-    kept = docs.join(others, id_col, "left_anti").select(docs.columns)
+    others = staged(groups.where("id != component_id").select(F.col("id").alias(id_col)).distinct(), "other-copies")
+    kept = docs.join(ids_side(others), id_col, "left_anti").select(docs.columns)
     if groups.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count():
         named = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
         kept = named.unionByName(kept.where(F.col(id_col).isNull()))
