@@ -319,13 +319,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed_bytes(n: int, own: list[bytes]) -> np.ndarray:
     """Which of n bytes covered windows remove."""
-    change = np.zeros(n + 1, np.int64)
-    for load in own:
-        m = len(load) // 8
-        at, bits = np.frombuffer(load, "<i4", m), np.frombuffer(load, "<u4", m, 4 * m)
-        which, off = np.nonzero((bits[:, None] >> np.arange(REACH + 1, dtype=np.uint32)) & np.uint32(1))
-        start = at[which] - off
-        change += np.bincount(start, minlength=n + 1) - np.bincount(start + LENGTH, minlength=n + 1)
+    if not own:
+        return np.zeros(n, bool)
+    at = np.concatenate([np.frombuffer(x, "<i4", len(x) // 8) for x in own])
+    bits = np.concatenate([np.frombuffer(x, "<u4", len(x) // 8, len(x) // 2) for x in own])
+    which, off = np.nonzero((bits[:, None] >> np.arange(REACH + 1, dtype=np.uint32)) & np.uint32(1))
+    start = at[which] - off
+    change = np.bincount(start, minlength=n + 1) - np.bincount(start + LENGTH, minlength=n + 1)
     return np.cumsum(change[:n]) > 0
 
 
