@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import ids_side, staged
 from .components import connected_components
+from .near_copies import near_groups
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SHINGLE = 3
@@ -258,12 +259,13 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return own.hint("merge").join(of, "fp").select("id", "fp", "component_id", "n_links")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of `docs` with the smallest id of their component, all columns kept.
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` with the smallest id of their group of near copies, all columns kept.
 
-    Rows with a null id cannot be named and stay; of rows that repeat an id one stays.
+    Near copies have a similarity of 0.8 or more of their five-word shingles, which may be over 10 of 64 bits
+    apart: too far for the pigeonhole search, so near_copies finds them.  Rows with a null id cannot be named and stay; of rows that repeat an id one stays.
     """
-    groups = staged(simhash_groups(docs, id_col, text_col, radius).select("id", "component_id"), "simhash-groups")
+    groups = staged(near_groups(docs, id_col, text_col), "near-groups")
     others = staged(groups.where("id != component_id").select(F.col("id").alias(id_col)).distinct(), "other-copies")
     kept = docs.join(ids_side(others), id_col, "left_anti").select(docs.columns)
     if groups.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count():
