@@ -16,6 +16,8 @@ from .common import ids_side, staged
 WINDOW, LEAST = 8, 5
 #: A document holds an item if it has this share of its windows, or a run this long.
 SHARE, RUN = 0.5, 13
+#: Alignments so many tokens apart at most may be one place, with words put in or left out.
+NEAR = 8
 #: Benchmarks with at most this many windows are broadcast (16 bytes each), larger ones are shuffled.
 BROADCAST_WINDOWS = 200_000
 
@@ -71,9 +73,11 @@ def _templated(df: DataFrame, text: str) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """id, item_id, n_windows (distinct item windows found), share, at (first token), kind: `exact` or `reparameterised`.
 
-    One row for each document and item it holds.  Pairs whose slots contradict each other (one item value
-    standing for two, or two for one) are left out.  Null texts and items hold nothing; rows that repeat
-    id and text give one row; rows with null ids are compared like any other; empty tables give no rows;
+    One row for each document and item it holds.  Every alignment that has the share or the run is a place to
+    check, so is every group of neighbouring ones with the share together, and the fullest ones.  Pairs whose
+    slots contradict each other at all places (one item value standing for two, or two for one) are left out; of the
+    others `at` and `kind` tell an exact place before others, then the fullest, then the first.  Null texts and
+    items hold nothing; rows that repeat id and text give one row; rows with null ids are compared like any other; empty tables give no rows;
     other columns are not read.
     """
     items = _templated(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).distinct(), "text")
@@ -96,32 +100,57 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     small = wanted.count() <= BROADCAST_WINDOWS
     hits = seen.join(F.broadcast(wanted) if small else wanted, ["window", "length"])
     votes = hits.groupBy("id", "key", "item_id", "n_item", "length", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.collect_set("item_at").alias("found"))
-    ranked = F.struct(F.size("found").alias("n"), (-F.col("diagonal")).alias("d"), F.array_sort("found").alias("found"))
-    best = (
-        votes.groupBy("id", "key", "item_id", "n_item", "length")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_set("found")))).alias("n_windows"), F.max(ranked).alias("top"))
-        .where((F.col("n_windows") >= SHARE * F.col("n_item")) | (F.col("top.n") >= RUN - F.col("length") + 1))
-        .select("id", "key", "item_id", "length", "n_windows", (F.col("n_windows") / F.col("n_item")).alias("share"), (-F.col("top.d")).alias("diagonal"), "top.found")
-    )
+    run = RUN - F.col("length") + 1
+    pairs = votes.groupBy("id", "key", "item_id", "n_item", "length").agg(F.array_sort(F.collect_list(F.struct("diagonal", F.array_sort("found").alias("found")))).alias("votes"))
+    pairs = pairs.withColumns({"n_windows": _covered(F.col("votes")), "fullest": F.array_max(F.transform("votes", lambda v: F.size(v["found"])))})
+    pairs = pairs.where((F.col("n_windows") >= SHARE * F.col("n_item")) | (F.col("fullest") >= run))
+
+    def alone(vote: Column) -> Column:
+        n = F.size(vote["found"])
+        return (n >= SHARE * F.col("n_item")) | (n >= run) | (n == F.col("fullest"))
+
+    apart = lambda i: (i == 0) | (F.get("votes", i)["diagonal"] - F.get("votes", i - 1)["diagonal"] > NEAR)
+    pairs = pairs.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("votes") - 1), apart))
+    groups = F.transform("starts", lambda s, k: F.slice("votes", s + 1, F.coalesce(F.get("starts", k + 1), F.size("votes")) - s))
+    wide = F.filter(groups, lambda g: (F.size(g) > 1) & (_covered(g) >= SHARE * F.col("n_item")))
+    places = F.concat(F.transform(F.filter("votes", alone), lambda v: F.array(v)), wide)
+    best = pairs.select("id", "key", "item_id", "length", "n_windows", (F.col("n_windows") / F.col("n_item")).alias("share"), places.alias("places"))
     best = staged(best, "template-matches")
 
     # only matching documents are read again for their words
     matching = named.join(best.select("id", "key").distinct().withColumnsRenamed({"id": "m_id", "key": "m_key"}), F.col("id").eqNullSafe(F.col("m_id")) & (F.col("key") == F.col("m_key")), "left_semi")
     doc_tokens = matching.select("id", "key", tokens(F.col("text")).alias("doc_tokens")).dropDuplicates(["id", "key"]).withColumnsRenamed({"id": "d_id", "key": "d_key"})
-    pairs = best.join(doc_tokens, F.col("id").eqNullSafe(F.col("d_id")) & (F.col("key") == F.col("d_key"))).join(items.select("item_id", "tokens", "kinds"), "item_id")
+    aligned = best.join(doc_tokens, F.col("id").eqNullSafe(F.col("d_id")) & (F.col("key") == F.col("d_key"))).join(items.select("item_id", "tokens", "kinds"), "item_id")
 
     def value(token: Column) -> Column:
         return F.lower(F.translate(token, NAME, ""))
 
-    def slot(kind: Column, at: Column) -> Column:
-        inside = F.exists("found", lambda w: (w <= at) & (at < w + F.col("length")))
-        return F.when(kind.startswith("<") & inside, F.struct(value(F.get("tokens", at)).alias("item"), value(F.get("doc_tokens", at + F.col("diagonal"))).alias("doc")))
+    def slots(vote: Column) -> Column:
+        def slot(kind: Column, at: Column) -> Column:
+            inside = F.exists(vote["found"], lambda w: (w <= at) & (at < w + F.col("length")))
+            return F.when(kind.startswith("<") & inside, F.struct(value(F.get("tokens", at)).alias("item"), value(F.get("doc_tokens", at + vote["diagonal"])).alias("doc")))
+
+        return F.filter(F.transform("kinds", slot), lambda x: x.isNotNull())
+
+    def seen_at(place: Column) -> Column:
+        first = F.array_min(F.transform(place, lambda v: v["diagonal"] + F.array_min(v["found"])))
+        return F.struct(F.array_distinct(F.flatten(F.transform(place, slots))).alias("slots"), _covered(place).alias("n"), (-first).alias("before"))
+
+    def one_to_one(place: Column) -> Column:
+        n = F.size(place["slots"])
+        return (F.size(F.array_distinct(place["slots"]["item"])) == n) & (F.size(F.array_distinct(place["slots"]["doc"])) == n)
+
+    def ranked(place: Column) -> Column:
+        return F.struct(F.forall(place["slots"], lambda x: x["item"] == x["doc"]).alias("exact"), place["n"].alias("n"), place["before"].alias("before"))
+
+    checked = aligned.withColumn("seen", F.transform("places", seen_at)).withColumn("top", F.array_max(F.transform(F.filter("seen", one_to_one), ranked))).where("top is not null")
+    kind = F.when(F.col("top.exact"), "exact").otherwise("reparameterised")
+    return checked.select("id", "item_id", "n_windows", F.round("share", 6).alias("share"), (-F.col("top.before")).alias("at"), kind.alias("kind"))
+
 
-    slots = F.array_distinct(F.filter(F.transform("kinds", slot), lambda x: x.isNotNull()))
-    n = F.size("slots")
-    checked = pairs.withColumn("slots", slots).where((F.size(F.array_distinct("slots.item")) == n) & (F.size(F.array_distinct("slots.doc")) == n))
-    kind = F.when(F.forall("slots", lambda x: x["item"] == x["doc"]), "exact").otherwise("reparameterised")
-    return checked.select("id", "item_id", "n_windows", F.round("share", 6).alias("share"), (F.col("diagonal") + F.array_min("found")).alias("at"), kind.alias("kind"))
+def _covered(votes: Column) -> Column:
+    """How many distinct item windows an array of (diagonal, found) has."""
+    return F.size(F.array_distinct(F.flatten(F.transform(votes, lambda v: v["found"]))))
 
 
 def _union(frames) -> DataFrame:
