@@ -7,9 +7,18 @@ from pyspark.sql import functions as F
 
 #: Wind phrases in the order in which they are tried, with the share that blows out and toward the left.
 WIND = [
-    ("out to cf", 1.0, 0.0), ("in from cf", -1.0, 0.0), ("out to lf", 0.7, 0.7), ("in from lf", -0.7, -0.7),
-    ("out to rf", 0.7, -0.7), ("in from rf", -0.7, 0.7), ("l to r", 0.0, -1.0), ("r to l", 0.0, 1.0),
-]
+    ("out to cf", 1.0, 0.0),
+    ("out to lf", 0.7, 0.7),
+    ("out to rf", 0.7, -0.7),
+    ("in from cf", -1.0, 0.0),
+    ("in from lf", -0.7, -0.7),
+    ("in from rf", -0.7, 0.7),
+    ("l to r", 0.0, -1.0),
+    ("r to l", 0.0, 1.0),
+    ("calm", 0.0, 0.0),
+    ("none", 0.0, 0.0),
+    ("varies", 0.0, 0.0),
+]
 
 
 def wind_parts(text: Column) -> tuple[Column, Column, Column]:
@@ -49,6 +58,15 @@ def context_line(*parts: Column) -> Column:
     return F.concat_ws(" · ", *(F.when(F.trim(p) != "", F.trim(p)) for p in parts))
 
 
-def plain_name(name: Column) -> Column:
-    """Lower case, for a comparison that a collation makes blind to accents."""
-    return F.lower(F.trim(name))
+def today() -> Column:
+    return F.date_format(F.current_date(), "yyyy-MM-dd")
+
+
+def tomorrow() -> Column:
+    return F.date_format(F.date_add(F.current_date(), 1), "yyyy-MM-dd")
+
+
+def coded(code: Column, ids: dict[str, int], default: Column) -> Column:
+    """A code's id from a table of codes, else the default."""
+    known = F.create_map(*(F.lit(x) for pair in ids.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, code), default)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .evaluation import weights
+
 MOST = 20
 
 
@@ -86,14 +88,19 @@ def dispersion_grid(sd: float) -> list[tuple[float, float]]:
     return [(x / mean, w) for x, w in raw]
 
 
-def compounded_overdispersed(df: DataFrame, keys: list[str], dist: str, n: str, sd: float, name: str, most: int = MOST) -> DataFrame:
+def scaled_to(dist: Column, target: Column, method: str) -> Column:
+    """`dist` with the mean `target`, by "frequency" or by "tilt"."""
+    return frequency_scaled(dist, target) if method == "frequency" else tilted(dist, target)
+
+
+def compounded_overdispersed(df: DataFrame, keys: list[str], dist: str, n: str, sd: float, name: str, most: int = MOST, method: str = "frequency") -> DataFrame:
     """keys and `name`: a mixture of `compounded` over multipliers of the mean. Keys must be unique.
 
     The grid's five rows per key are separate rows, so each scaled distribution is worked out once.
     """
     grid = F.explode(F.array(*(F.struct(F.lit(m).alias("m"), F.lit(w).alias("w")) for m, w in dispersion_grid(sd))))
     rows = df.select(*keys, F.col(dist).alias("_d"), F.col(n).alias("_n"), grid.alias("_g")).withColumn("_target", mean_of(F.col("_d")) * F.col("_g.m"))
-    scaled = rows.withColumn("_s", frequency_scaled(F.col("_d"), F.col("_target"))).withColumn("_c", compounded(F.col("_s"), F.col("_n"), most))
+    scaled = rows.withColumn("_s", scaled_to(F.col("_d"), F.col("_target"), method)).withColumn("_c", compounded(F.col("_s"), F.col("_n"), most))
     mixed = [F.sum(F.col("_g.w") * F.element_at("_c", k + 1)) for k in range(most + 1)]
     return scaled.groupBy(*keys).agg(F.array(*mixed).alias(name))
 
@@ -143,3 +150,33 @@ def non_increasing(df: DataFrame, keys: list[str], at: str, value: str, name: st
         lambda i: F.array_min(F.transform(F.sequence(F.lit(1), i), lambda a: F.array_max(F.transform(F.sequence(i, size), lambda b: mean(a, b))))),
     )
     return group.select(*keys, F.explode(F.arrays_zip(F.col("_at").alias(at), fit.alias(name))).alias("_x")).select(*keys, f"_x.{at}", f"_x.{name}")
+
+
+METHODS = ("frequency", "tilt")
+
+
+def method_scores(games: DataFrame, key: str, base: str, mean: str, n: str, total: str, sd: float, lines: tuple[float, ...], replicates: int = 300, most: int = MOST) -> DataFrame:
+    """One row: each method's mean gap between said and did over the lines, and how often "frequency" has the smaller gap in resampled games.
+
+    games: a row for each game with the base distribution, the wanted mean, the size n and the total. Distributions are
+    worked out once for each distinct (base, mean, n); the resampling only sums their answers.
+    """
+    cases = games.select(F.col(base).alias("k_base"), F.col(mean).alias("k_mean"), F.col(n).alias("k_n")).distinct()
+    rows = games.select(key, F.col(base).alias("k_base"), F.col(mean).alias("k_mean"), F.col(n).alias("k_n"), F.col(total).alias("_t"))
+    for method in METHODS:
+        scaled = cases.withColumn("_d", scaled_to(F.col("k_base"), F.col("k_mean"), method))
+        c = compounded_overdispersed(scaled, ["k_base", "k_mean", "k_n"], "_d", "k_n", sd, "_c", most, method)
+        rows = rows.join(c.select("k_base", "k_mean", "k_n", F.array(*(over_line(F.col("_c"), F.lit(x)) for x in lines)).alias(f"_{method}")), ["k_base", "k_mean", "k_n"])
+
+    def gap(method: str, weight: Column) -> Column:
+        each = [F.abs(F.sum(weight * F.get(f"_{method}", k)) - F.sum(weight * (F.col("_t") > x).cast("double"))) / F.sum(weight) for k, x in enumerate(lines)]
+        return sum(each[1:], each[0]) / len(lines)
+
+    own = rows.agg(*(gap(m, F.lit(1.0)).alias(f"{m}_gap") for m in METHODS))
+    drawn = weights(rows, key, replicates).groupBy("replicate").agg(*(gap(m, F.col("w").cast("double")).alias(m) for m in METHODS))
+    return own.crossJoin(drawn.agg(F.avg((F.col("frequency") < F.col("tilt")).cast("double")).alias("frequency_wins")))  # one row and one row
+
+
+def chosen_method(frequency_wins: Column, least: float = 0.75) -> Column:
+    """"tilt" only if it wins clearly; "frequency" keeps the shape that was seen."""
+    return F.when(frequency_wins < 1 - least, "tilt").otherwise("frequency")

@@ -79,50 +79,65 @@ def calibration_error(df: DataFrame, y: str, p: str, rank: str, bins: int = 10)
     return g.agg((F.sum(F.col("gap") * F.col("c")) / F.sum("c")).alias("ece"))
 
 
-def _poisson(uniform: Column) -> Column:
-    """A Poisson(1) draw from a uniform one, by its distribution function up to 7."""
-    total, term, out = 0.0, 0.36787944117144233, F.lit(0)
+#: Resampling draws are whole numbers below this prime, so that any engine gives the same ones.
+PRIME = (1 << 31) - 1
+
+
+def poisson_edges() -> list[int]:
+    """A Poisson(1) draw is the number of these edges that a draw below PRIME reaches; up to 7."""
+    total, term, out = 0.0, 0.36787944117144233, []
     for k in range(1, 8):
         total += term
         term /= k
-        out = out + (uniform >= total).cast("int")
+        out.append(int(total * PRIME))
     return out
 
 
 def weights(df: DataFrame, key: str, replicates: int) -> DataFrame:
-    """`df` once for each replicate 1..n with a resampling weight from a hash of key and replicate; weight 0 dropped."""
-    b = F.explode(F.sequence(F.lit(1), F.lit(replicates)))
-    many = df.withColumn("replicate", b)
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("replicate").cast("string"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    return many.withColumn("w", _poisson(h)).where("w > 0")
+    """`df` once for each replicate 1..n with a resampling weight from a hash of key and replicate; weight 0 dropped.
+
+    One digest of the key for each row; the draws of its replicates are two rounds of products below PRIME from it.
+    """
+    seed = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 7), 16, 10).cast("long")
+    many = df.withColumn("_seed", seed).withColumn("replicate", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long"))))
+    first = (F.col("_seed") * (F.col("replicate") * 1103515 + 12345) + F.col("replicate") * 69069 + 1) % PRIME
+    drawn = many.withColumn("_x", first).withColumn("_u", (F.col("_x").bitwiseXOR(F.shiftright("_x", 15)) * 48271 + F.col("replicate")) % PRIME)
+    return drawn.withColumn("w", sum(((F.col("_u") >= e).cast("int") for e in poisson_edges()), F.lit(0))).where("w > 0").drop("_seed", "_x", "_u")
 
 
-def bootstrap_skill(df: DataFrame, key: str, replicates: int, y: str = "y", p: str = "p") -> DataFrame:
-    """One row: the 2.5 % and 97.5 % points of the Brier skill over replicates and the share above 0.
+def _interval(name: str) -> list[Column]:
+    """The 2.5 % and 97.5 % points over replicates, of which there are a few thousand."""
+    return [F.percentile(name, 0.025).alias("low"), F.percentile(name, 0.975).alias("high"), F.avg((F.col(name) > 0).cast("double")).alias("above")]
+
+
+def bootstrap_skill(df: DataFrame, key: str, replicates: int = 4000, y: str = "y", p: str = "p") -> DataFrame:
+    """One row: the Brier skill (point), the 2.5 % and 97.5 % points of it over replicates and the share above 0.
 
     Each replicate is a map-side combined sum; no replicate is sorted or collected.
     """
     t = F.col(y).cast("double")
-    g = weights(df, key, replicates).groupBy("replicate").agg(F.sum("w").alias("n"), F.sum(F.col("w") * t).alias("x"), F.sum(F.col("w") * F.pow(F.col(p) - t, 2)).alias("b"))
+    rows = df.select(key, t.alias("_t"), F.pow(F.col(p) - t, 2).alias("_e"))
+    g = weights(rows, key, replicates).groupBy("replicate").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("_t")).alias("x"), F.sum(F.col("w") * F.col("_e")).alias("b"))
     r = F.col("x") / F.col("n")
     skill = g.select((1 - (F.col("b") / F.col("n")) / F.nullif(r * (1 - r), F.lit(0.0))).alias("s"))
-    return skill.agg(F.percentile("s", 0.025).alias("low"), F.percentile("s", 0.975).alias("high"), F.avg((F.col("s") > 0).cast("double")).alias("above"))
+    point = rows.agg((1 - F.avg("_e") / F.nullif(F.avg("_t") * (1 - F.avg("_t")), F.lit(0.0))).alias("point"))
+    return point.crossJoin(skill.agg(*_interval("s")))  # one row and one row
 
 
-def paired_bootstrap(df: DataFrame, key: str, replicates: int, y: str, first: str, second: str) -> DataFrame:
-    """One row: interval of the second prediction's gain in Brier over the outcome's variance, and how often it wins."""
+def paired_bootstrap(df: DataFrame, key: str, replicates: int = 2000, y: str = "y", first: str = "p", second: str = "q") -> DataFrame:
+    """One row: the second prediction's gain in Brier over the outcome's variance (point), its interval, and how often it wins."""
     t = F.col(y).cast("double")
-    gain = F.pow(F.col(first) - t, 2) - F.pow(F.col(second) - t, 2)
-    base = df.agg((F.avg(t) * (1 - F.avg(t))).alias("_v"))
-    g = weights(df, key, replicates).groupBy("replicate").agg((F.sum(F.col("w") * gain) / F.sum("w")).alias("g"))
-    s = g.join(F.broadcast(base)).select((F.col("g") / F.col("_v")).alias("s"))
-    return s.agg(F.percentile("s", 0.025).alias("low"), F.percentile("s", 0.975).alias("high"), F.avg((F.col("s") > 0).cast("double")).alias("wins"))
+    rows = df.select(key, t.alias("_t"), (F.pow(F.col(first) - t, 2) - F.pow(F.col(second) - t, 2)).alias("_gain"))
+    base = rows.agg((F.avg("_t") * (1 - F.avg("_t"))).alias("_v"), F.avg("_gain").alias("_g"))
+    g = weights(rows, key, replicates).groupBy("replicate").agg((F.sum(F.col("w") * F.col("_gain")) / F.sum("w")).alias("g"))
+    s = g.crossJoin(F.broadcast(base)).select((F.col("g") / F.col("_v")).alias("s"))  # one row beside each replicate
+    point = base.select((F.col("_g") / F.col("_v")).alias("point"))
+    return point.crossJoin(s.agg(*_interval("s")).withColumnRenamed("above", "wins"))
 
 
-def verdict(low: Column, high: Column, least: float = 0.0005) -> Column:
+def verdict(point: Column, low: Column, high: Column, least: float = 0.0005) -> Column:
     """In words: a gain must clear both zero and a floor."""
-    middle = (low + high) / 2
-    return F.when((low <= 0) & (high >= 0), "tie").when(F.abs(middle) < least, "negligible").when(low > 0, "BETTER").otherwise("WORSE")
+    return F.when((low <= 0) & (high >= 0), "tie").when(F.abs(point) < least, "negligible").when(point > 0, "BETTER").otherwise("WORSE")
 
 
 def best_threshold(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -138,3 +153,13 @@ def best_threshold(df: DataFrame, y: str, p: str) -> DataFrame:
     totals = ranges.agg(F.sum("_p").alias("_pt"), F.sum("_n").alias("_nt"))
     j = at.join(F.broadcast(totals)).select("threshold", ((F.col("_pi") + F.col("_p0")) / F.col("_pt") - (F.col("_ni") + F.col("_n0")) / F.col("_nt")).alias("j"))
     return j.agg(F.max(F.struct(F.round("j", 12).alias("j"), "threshold")).alias("x")).select("x.threshold", "x.j")
+
+
+def compared(results: dict[str, DataFrame], y: str = "y", p: str = "p") -> DataFrame:
+    """label, n, auc, brier, brier_skill, log_loss of several frames of predictions, in their order (`place`)."""
+    out = None
+    for at, (label, df) in enumerate(results.items()):
+        rows = df.select(F.lit(at).alias("place"), F.lit(label).alias("label"), F.col(y).alias("y"), F.col(p).alias("p"))
+        out = rows if out is None else out.unionByName(rows)
+    e = evaluate(out, ["place", "label"])
+    return e.select("place", "label", "n", "auc", "brier", F.col("skill").alias("brier_skill"), "log_loss")

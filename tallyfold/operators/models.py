@@ -29,8 +29,10 @@ def logistic(df: DataFrame, features: list[str], target: str, c: float = 1.0, st
     rows = df.dropna(subset=[*features, target]).withColumn("label", F.col(target).cast("double"))
     facts = rows.agg(F.count("*").alias("n"), F.avg("label").alias("r")).first()
     n, r = facts["n"], facts["r"]
+    if not n:
+        raise ValueError("no complete rows to fit on")
     fit = LogisticRegression(regParam=1 / (c * max(n, 1)), standardization=standardised, maxIter=100, tol=1e-8)
-    if balanced:
+    if balanced and 0 < r < 1:  # one class alone has nothing to be balanced against
         rows = rows.withColumn("weight", F.when(F.col("label") == 1, 1 / (2 * r)).otherwise(1 / (2 * (1 - r))))
         fit = fit.setWeightCol("weight")
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), fit]).fit(rows)
@@ -122,21 +124,28 @@ def choose_c(train: DataFrame, check: DataFrame, features: list[str], target: st
     return train.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows], "c double, brier double, best boolean")
 
 
-def compare(train: DataFrame, test: DataFrame, features: list[str], target: str) -> DataFrame:
-    """Candidates of several kinds fitted on the same rows and evaluated on the same others."""
-    rows = assembled(train.dropna(subset=features), features).withColumn("label", F.col(target).cast("double")).cache()
-    held = assembled(test.dropna(subset=features), features)
-    n = rows.count()
-    kinds = {
+def candidates(n: int, trees: int = 300, rounds: tuple[int, int] = (200, 400)) -> dict:
+    """Seven estimators for n rows: three penalties, boosting with large and small steps, forests of deep and shallow trees."""
+    return {
         "logistic_strong": LogisticRegression(regParam=1 / (0.03 * n)),
+        "logistic": LogisticRegression(regParam=1 / (0.1 * n)),
         "logistic_weak": LogisticRegression(regParam=1 / (1.0 * n)),
-        "boosted": GBTClassifier(maxIter=10, maxDepth=3, stepSize=0.1, seed=7),
-        "forest": RandomForestClassifier(numTrees=30, maxDepth=6, seed=7),
+        "boosted": GBTClassifier(maxIter=rounds[0], maxDepth=3, stepSize=0.1, seed=7),
+        "boosted_slow": GBTClassifier(maxIter=rounds[1], maxDepth=2, stepSize=0.05, seed=7),
+        "forest": RandomForestClassifier(numTrees=trees, maxDepth=6, seed=7),
+        "forest_deep": RandomForestClassifier(numTrees=trees, maxDepth=10, minInstancesPerNode=50, seed=7),
     }
+
+
+def compare(train: DataFrame, test: DataFrame, features: list[str], target: str, trees: int = 300, rounds: tuple[int, int] = (200, 400)) -> DataFrame:
+    """Candidates of several kinds fitted on the same rows and evaluated on the same others."""
+    rows = assembled(train.dropna(subset=features), features).withColumn("label", F.col(target).cast("double")).cache()
+    held = assembled(test.dropna(subset=features), features)
     out = None
-    for name, fit in kinds.items():
+    for name, fit in candidates(rows.count(), trees, rounds).items():
         p = fit.fit(rows).transform(held).select(F.col(target).cast("int").alias("y"), vector_to_array("probability")[1].alias("p"), F.lit(name).alias("model"))
         out = p if out is None else out.unionByName(p)
+    rows.unpersist()
     return evaluation.evaluate(out, ["model"])
 
 
@@ -182,7 +191,90 @@ def permutation_test(train: DataFrame, test: DataFrame, key: str, features: list
         return evaluation.scores(p, ["g"]).first()["skill"]
 
     train, test = train.cache(), test.cache()
-    real = skill(train, test)
-    got = [skill(shuffled(train, key, suspects, k).cache(), shuffled(test, key, suspects, k)) for k in range(rounds)]
+    real, got = skill(train, test), []
+    for k in range(rounds):
+        dealt = shuffled(train, key, suspects, k).cache()
+        got.append(skill(dealt, shuffled(test, key, suspects, k)))
+        dealt.unpersist()
+    train.unpersist()
+    test.unpersist()
     as_good = sum(g >= real for g in got)
     return train.sparkSession.createDataFrame([(real, sum(got) / max(rounds, 1), rounds, (as_good + 1) / (rounds + 1))], "skill double, shuffled double, rounds int, p double")
+
+
+def rate_features(targets: tuple[str, ...], windows: tuple[int, ...] = (150, 600), shared: tuple[str, ...] = ("platoon_edge", "is_home", "context_factor")) -> dict[str, list[str]]:
+    """The columns that each target's model sees: its own rates over windows and career, what the opponent allows, their match, and the shared ones."""
+    return {t: [*(f"{t}_rate_{w}" for w in windows), f"{t}_rate_career", f"{t}_allowed", f"{t}_matchup", *shared] for t in targets}
+
+
+class Calibrated:
+    """A fitted model with its calibrator, the columns that it reads and its test figures; stored and loaded as a folder."""
+
+    def __init__(self, model: PipelineModel, kind: str, check: DataFrame, y: str, features: list[str], c: float, figures: dict | None = None):
+        self.model, self.kind, self.check, self.y, self.features, self.c, self.figures = model, kind, check, y, features, c, figures or {}
+
+    def predict(self, df: DataFrame, name: str = "p") -> DataFrame:
+        raw = predicted(self.model, df, "_raw")
+        return calibrator(self.kind, self.check, "_y", "_raw")(raw).withColumnRenamed("calibrated", name).drop("_raw")
+
+    def save(self, path: str) -> None:
+        """model, the calibration rows (two columns), and one row of facts."""
+        self.model.write().overwrite().save(f"{path}/model")
+        self.check.write.mode("overwrite").parquet(f"{path}/check")
+        row = [(self.kind, self.y, self.features, self.c, {k: float(v) for k, v in self.figures.items() if v is not None})]
+        spark = self.check.sparkSession
+        spark.createDataFrame(row, "kind string, y string, features array<string>, c double, figures map<string,double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/facts")
+
+    @classmethod
+    def load(cls, spark, path: str) -> Calibrated:
+        f = spark.read.parquet(f"{path}/facts").first()
+        return cls(PipelineModel.load(f"{path}/model"), f["kind"], spark.read.parquet(f"{path}/check"), f["y"], list(f["features"]), f["c"], dict(f["figures"]))
+
+
+def fit_calibrated(train: DataFrame, check: DataFrame, features: list[str], target: str, order: list[str], c: float | None = 0.03) -> Calibrated:
+    """A model from `train`; the penalty (c None) and the calibrator are chosen on `check` alone. "none" is a fair winner."""
+    if c is None:
+        c = choose_c(train, check, features, target).where("best").first()["c"]
+    model = logistic(train, features, target, c)
+    raw = predicted(model, check, "_raw").withColumn("_y", F.col(target))
+    if check.isEmpty():
+        return Calibrated(model, "none", raw.select("_y", "_raw"), target, features, c)
+    kind, _ = choose_calibrator(raw, order, "_y", "_raw")
+    return Calibrated(model, kind, raw.select("_y", "_raw"), target, features, c)
+
+
+def size_projection(df: DataFrame, features: list[str], count: str, split: str, least: tuple[int, int, int] = (500, 300, 100), most: int = 6) -> tuple[PipelineModel, DataFrame] | None:
+    """A count model from complete rows where `split` is 0, and its distributions for rows where it is 1; None with too few rows."""
+    rows = df.dropna(subset=[*features, count])
+    n = rows.agg(F.count("*").alias("n"), F.count_if(F.col(split) == 0).alias("a"), F.count_if(F.col(split) == 1).alias("b")).first()
+    if n["n"] < least[0] or n["a"] < least[1] or n["b"] < least[2]:
+        return None
+    model = counts_model(rows.where(F.col(split) == 0), features, count, most)
+    return model, predicted_counts(model, rows.where(F.col(split) == 1))
+
+
+def projected_sizes(history: DataFrame, rows: DataFrame, entity: str, count: str, slot: str, least: int = 500, enough: int = 8, most: int = 6) -> DataFrame:
+    """`rows` with size_dist: element k is the chance of k + 1 trials.
+
+    Where the slot is known a model of slot, its square and the entity's mean size says so (trained on history rows with
+    a slot, `least` at least); elsewhere, and without a model, the entity's own histogram does, or with fewer than
+    `enough` units that of everyone.
+    """
+    clipped = F.least(F.greatest(F.col(count), F.lit(1)), F.lit(most)).cast("int")
+
+    def shares(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.array(*(F.avg((clipped == k).cast("double")) for k in range(1, most + 1))).alias(name), F.count("*").alias(f"{name}_n"), F.avg(count).alias(f"{name}_mean"))
+
+    everyone = shares(history, [], "_all")
+    own = shares(history, [entity], "_own")
+    out = rows.join(own, entity, "left").crossJoin(F.broadcast(everyone))  # one row for everyone
+    fallback = F.when(F.col("_own_n") >= enough, F.col("_own")).otherwise(F.col("_all"))
+    out = out.withColumns({"_fallback": fallback, "_mean": F.coalesce("_own_mean", "_all_mean"), "_slot": F.col(slot).cast("double"), "_slot_sq": F.pow(F.col(slot).cast("double"), 2)})
+    known = history.join(own.select(entity, F.col("_own_mean").alias("_mean")), entity).withColumns({"_slot": F.col(slot).cast("double"), "_slot_sq": F.pow(F.col(slot).cast("double"), 2)}).dropna(subset=["_slot"])
+    extra = ["_own", "_own_n", "_own_mean", "_all", "_all_n", "_all_mean", "_fallback", "_mean", "_slot", "_slot_sq"]
+    if known.limit(least).count() < least:
+        return out.withColumn("size_dist", F.col("_fallback")).drop(*extra)
+    model = counts_model(known, ["_slot", "_slot_sq", "_mean"], count, most)
+    told = predicted_counts(model, out.where("_slot is not null")).withColumnRenamed("dist", "size_dist")
+    rest = out.where("_slot is null").withColumn("size_dist", F.col("_fallback"))
+    return told.unionByName(rest).drop(*extra)

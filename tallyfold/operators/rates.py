@@ -50,6 +50,19 @@ def strength(df: DataFrame, entity: str, value: str, least: int) -> DataFrame:
     return league.join(F.broadcast(moments.select(k.alias("k"))))
 
 
+def ratio_strength(own: DataFrame, actual: str, expected: str, trials: str, rate: str = "q", least: int = 100, groups: int = 50, few: float = 260.0) -> DataFrame:
+    """One row (strength): how many trials of the league an entity's ratio actual / expected is worth; null if the ratios show no real spread.
+
+    Method of moments over entities with `least` trials: the spread of ratios beyond what binomial noise of the
+    league's `rate` (one value in all rows) gives. Fewer than `groups` entities give `few`.
+    """
+    q, usable = F.first("_q"), own.where((F.col(trials) >= least) & (F.col(expected) > 0)).withColumn("_q", F.col(rate))
+    m = usable.agg(F.count("*").alias("groups"), F.var_samp(F.col(actual) / F.col(expected)).alias("var"), F.avg(1 / F.col(trials)).alias("inv"), q.alias("q"))
+    spread = F.col("var") - (1 - F.col("q")) / F.col("q") * F.col("inv")
+    k = F.when(F.col("groups") < groups, few).when(spread > 0, (1 - F.col("q")) / (F.col("q") * spread))
+    return m.select(k.alias("strength"))
+
+
 def rolling_rates(df: DataFrame, keys: list[str], order: list[str], values: list[str], sizes=(150, 600), least=20, min_trials=20) -> DataFrame:
     """`v_rate_n` and `v_rate_career`: sums over earlier trials, shrunk to the league with the table's own strength."""
     out = df

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from ..sources.shared import staged
+
 
 def prior(keys: list[str], order: list[str], rows: int | None = None) -> WindowSpec:
     """The last `rows` rows before the current one (None: all of them)."""
@@ -99,17 +101,15 @@ def quantile_tiers(df: DataFrame, value: str, tie: str, tiers: int, name: str =
     return out.withColumn(name, tier).drop("_rank", "_n")
 
 
-def global_rank(df: DataFrame, order: list[str], name: str, parts: int = 64) -> DataFrame:
-    """Row numbers from 1 in the order of the columns, the first of them numeric and not null.
+def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Row numbers from 1 in the order of the columns.
 
-    Rows are cut into ranges at quantiles of the first column; ranges are counted, and rows numbered inside.
+    Rows are dealt into ranges of the whole order, as many as the session has shuffle partitions, and written once, so that
+    both the counts of the ranges and the numbers inside see the same ones; a value that many rows share is cut by the
+    columns after it.
     """
-    first = order[0]
-    # at most `parts` numbers
-    edges = sorted(set(df.agg(F.percentile_approx(F.col(first).cast("double"), [k / parts for k in range(1, parts)], 10_000)).first()[0] or []))
-    part = F.size(F.filter(F.array(*(F.lit(float(e)) for e in edges)), lambda e: e < F.col(first))) if edges else F.lit(0)
-    cut = df.withColumn("_part", part)
-    counts = cut.groupBy("_part").agg(F.count("*").alias("_c"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    dealt = staged(df.repartitionByRange(*(F.col(c) for c in order)).withColumn("_part", F.spark_partition_id()), "ranked")
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_c"))
+    before = counts.select("_part", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return cut.withColumn("_in", inside).join(F.broadcast(before.drop("_c")), "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
+    return dealt.withColumn("_in", inside).join(F.broadcast(before), "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")

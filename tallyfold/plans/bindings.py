@@ -82,18 +82,19 @@ EVENTS = "e AS (SELECT *, CAST(ts AS DATE) AS day, TRY_CAST(json_extract_string(
 
 
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Circular slots 1..9: the first nine entities, by key, that have an order on a day; obp is a made-up stable metric of the entity."""
+    """Circular slots 1..9: the entities, by key, that have an order on a day, in lineups of nine; metric is a made-up stable one of the entity."""
     from pyspark.sql.window import Window
 
     days = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day"), F.col("o_custkey").alias("entity")).distinct()
-    slot = F.row_number().over(Window.partitionBy("day").orderBy("entity"))
-    return days.withColumn("slot", slot).where("slot <= 9").withColumns({"team": (F.col("entity") % 2).cast("int"), "metric": (F.col("entity") % 11) / 20.0})
+    at = F.row_number().over(Window.partitionBy("day").orderBy("entity")) - 1
+    numbered = days.withColumns({"lineup": F.floor(at / 9).cast("int"), "slot": (at % 9 + 1).cast("int")})
+    return numbered.withColumns({"team": (F.col("entity") % 2).cast("int"), "metric": (F.col("entity") % 11) / 20.0})
 
 
 SLOTS = """s AS (
-  SELECT day, entity, slot, CAST(entity % 2 AS INT) AS team, (entity % 11) / 20.0 AS metric FROM (
-    SELECT day, entity, row_number() OVER (PARTITION BY day ORDER BY entity) AS slot
-    FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, o_custkey AS entity FROM orders)) WHERE slot <= 9)"""
+  SELECT day, entity, CAST(k // 9 AS INT) AS lineup, CAST(k % 9 + 1 AS INT) AS slot, CAST(entity % 2 AS INT) AS team, (entity % 11) / 20.0 AS metric FROM (
+    SELECT day, entity, row_number() OVER (PARTITION BY day ORDER BY entity) - 1 AS k
+    FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, o_custkey AS entity FROM orders)))"""
 
 
 def rounded(df: DataFrame, digits: int = 9) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import distributions as dist
-from ..operators import evaluation, joins, windows
+from ..operators import evaluation, joins, rates, windows
 from ..sources import tables
 from ..sources.shared import new_path
+from .evaluated import PAIRED, sql_verdict, sql_weights
 from .bindings import EVENTS, ORDER, ORDER_SQL, SLOTS, TRIALS, UNITS, raw_events, rounded, slots, table, trials, units
 
 SQL: dict[str, str] = {}
@@ -28,17 +29,26 @@ SQL["a4_contact_log"] = f"WITH {TRIALS}, b AS (SELECT entity, unit, quantity * 2
 
 
 def a11_run_factors(spark, d):
-    """League share of extras, factors by slot (few: 1) and by entity, shrunk with a ratio-scale strength (A12) and clipped."""
+    """League share of extras, factors by slot (few: 1) and by entity, shrunk with the table's own strength (A12) and clipped."""
     u = units(spark, d).withColumns({"slot": F.col("entity") % 9, "extra": F.col("rbi"), "tob": F.col("reached_nonhr")})
     league = u.agg((F.sum("extra") / F.sum("tob")).alias("q"))
-    by_slot = u.groupBy("slot").agg(F.sum("extra").alias("e"), F.sum("tob").alias("t")).join(F.broadcast(league)).select("slot", F.when(F.col("t") >= 100, F.try_divide(F.col("e"), F.col("t")) / F.col("q")).otherwise(1.0).alias("slot_factor"))
-    own = u.join(F.broadcast(by_slot), "slot").join(F.broadcast(league)).groupBy("entity", "slot", "q", "slot_factor").agg(F.sum("extra").alias("actual"), F.sum(F.col("tob") * F.col("q") * F.col("slot_factor")).alias("expected"))
-    k = F.lit(260.0) * F.col("q")
-    factor = F.least(F.greatest((F.col("actual") + k) / (F.col("expected") + k), F.lit(0.7)), F.lit(1.35))
-    return rounded(own.select("entity", "slot", "slot_factor", factor.alias("factor")), 7)
+    of_slot = F.when(F.col("t") >= 100, F.try_divide(F.col("e"), F.col("t")) / F.col("q")).otherwise(1.0)
+    by_slot = u.groupBy("slot").agg(F.sum("extra").alias("e"), F.sum("tob").alias("t")).join(F.broadcast(league)).select("slot", of_slot.alias("slot_factor"))
+    placed = u.join(F.broadcast(by_slot), "slot").join(F.broadcast(league))
+    own = placed.groupBy("entity", "slot", "q", "slot_factor").agg(F.sum("extra").alias("actual"), F.sum("tob").alias("tob"), F.sum(F.col("tob") * F.col("q") * F.col("slot_factor")).alias("expected"))
+    strength = rates.ratio_strength(own, "actual", "expected", "tob", least=20, groups=30)
+    k = F.col("strength") * F.col("q")
+    shrunk = F.when(F.col("strength").isNull(), 1.0).otherwise((F.col("actual") + k) / (F.col("expected") + k))
+    factor = F.least(F.greatest(shrunk, F.lit(0.7)), F.lit(1.35))
+    return rounded(own.join(F.broadcast(strength)).select("entity", "slot", "slot_factor", factor.alias("factor"), "strength"), 6)
 
 
-SQL["a11_run_factors"] = f"WITH {UNITS}, b AS (SELECT entity, entity % 9 AS slot, rbi AS e, reached_nonhr AS t FROM u), l AS (SELECT sum(e) * 1.0 / sum(t) AS q FROM b), s AS (SELECT slot, CASE WHEN sum(t) >= 100 THEN sum(e) * 1.0 / sum(t) / (SELECT q FROM l) ELSE 1 END AS f FROM b GROUP BY slot), o AS (SELECT entity, slot, f, q, sum(e) AS a, sum(t * q * f) AS x FROM b JOIN s USING (slot), l GROUP BY ALL) SELECT entity, slot, round(f, 7) AS slot_factor, round(least(greatest((a + 260 * q) / (x + 260 * q), 0.7), 1.35), 7) AS factor FROM o"
+SQL["a11_run_factors"] = f"""WITH {UNITS}, b AS (SELECT entity, entity % 9 AS slot, rbi AS e, reached_nonhr AS t FROM u), l AS (SELECT sum(e) * 1.0 / sum(t) AS q FROM b),
+s AS (SELECT slot, CASE WHEN sum(t) >= 100 THEN sum(e) * 1.0 / sum(t) / (SELECT q FROM l) ELSE 1 END AS f FROM b GROUP BY slot),
+o AS (SELECT entity, slot, f, q, sum(e) AS a, sum(t) AS t, sum(t * q * f) AS x FROM b JOIN s USING (slot), l GROUP BY ALL),
+m AS (SELECT count(*) AS g, var_samp(a / x) - (1 - any_value(q)) / any_value(q) * avg(1.0 / t) AS v, any_value(q) AS q FROM o WHERE t >= 20 AND x > 0),
+z AS (SELECT CASE WHEN g < 30 THEN 260 WHEN v > 0 THEN (1 - q) / (q * v) END AS k FROM m)
+SELECT entity, slot, round(f, 6) AS slot_factor, round(least(greatest(CASE WHEN k IS NULL THEN 1 ELSE (a + k * q) / (x + k * q) END, 0.7), 1.35), 6) AS factor, round(k, 6) AS strength FROM o, z"""
 
 
 def a22_entity_rates(spark, d):
@@ -74,7 +84,7 @@ def j3_unit_context(spark, d):
     """A dimension of the unit on every trial; unknown ones keep null."""
     t = trials(spark, d).select("entity", "unit", "opponent", "is_hit")
     context = table(spark, d, "supplier").where("s_suppkey % 4 != 0").select(F.col("s_suppkey").alias("opponent"), F.col("s_nationkey").alias("venue"))
-    return t.join(F.broadcast(context), "opponent", "left").groupBy("venue").agg(F.count("*").alias("n"), F.sum("is_hit").alias("hits"))
+    return t.join(context, "opponent", "left").groupBy("venue").agg(F.count("*").alias("n"), F.sum("is_hit").alias("hits"))
 
 
 SQL["j3_unit_context"] = f"WITH {TRIALS} SELECT CASE WHEN s_suppkey % 4 <> 0 THEN s_nationkey END AS venue, count(*) AS n, sum(is_hit) AS hits FROM t LEFT JOIN supplier ON s_suppkey = opponent AND s_suppkey % 4 <> 0 GROUP BY 1"
@@ -132,7 +142,7 @@ def p21_interaction(spark, d):
     kinds = ("A", "N", "R")
     own = t.groupBy("entity").agg(*(F.coalesce(F.avg(F.when(F.col("returnflag") == k, F.col("is_hit"))), F.lit(0.0)).alias(f"r_{k}") for k in kinds))
     mix = t.groupBy("opponent").agg(*(F.avg((F.col("returnflag") == k).cast("double")).alias(f"s_{k}") for k in kinds))
-    pairs = t.select("entity", "opponent").distinct().join(own, "entity").join(F.broadcast(mix), "opponent")
+    pairs = t.select("entity", "opponent").distinct().join(own, "entity").join(mix, "opponent")
     return rounded(pairs.select("entity", "opponent", sum((F.col(f"r_{k}") * F.col(f"s_{k}") for k in kinds), F.lit(0.0)).alias("exposure")).dropna(subset=["exposure"]))
 
 
@@ -199,18 +209,25 @@ SELECT hand, target, n, line, round(list_sum(c[CAST(floor(line) AS INT) + 2:21])
 
 
 def c15_slot_monotone(spark, d):
-    """Size distributions retilted so that means do not rise along a unit's slots; unchanged rows keep theirs."""
-    s = slots(spark, d).where("team = 0").select("day", "slot", (3.6 + F.col("metric")).alias("mean"))
-    few = windows.numbered(s, ["day"], ["slot"], "k").withColumn("size", F.count("*").over(windows.Window.partitionBy("day"))).where("size >= 2").drop("k", "size")
-    fit = dist.non_increasing(few, ["day"], "slot", "mean", "fit")
+    """Size distributions retilted so that means do not rise along a team's slots in a lineup; unchanged rows keep theirs."""
+    unit = ["day", "lineup", "team"]
+    s = slots(spark, d).select(*unit, "slot", (3.6 + F.col("metric")).alias("mean"))
+    few = s.withColumn("size", F.count("*").over(windows.Window.partitionBy(*unit))).where("size >= 2").drop("size")
+    fit = dist.non_increasing(few, unit, "slot", "mean", "fit")
     base = F.array(*(F.lit(x) for x in (0.02, 0.05, 0.08, 0.2, 0.4, 0.2, 0.05)))
-    j = few.join(fit, ["day", "slot"])
-    keys = j.select("mean", "fit").distinct().withColumn("dist", dist.tilted(base, F.col("mean"), 10.0)).withColumn("new", F.when(F.abs(F.col("fit") - F.col("mean")) < 1e-9, F.col("dist")).otherwise(dist.tilted(F.col("dist"), F.col("fit"), 10.0)))
+    j = few.join(fit, [*unit, "slot"])
+    same = F.abs(F.col("fit") - F.col("mean")) < 1e-9
+    keys = j.select("mean", "fit").distinct().withColumn("dist", dist.tilted(base, F.col("mean"), 10.0)).withColumn("new", F.when(same, F.col("dist")).otherwise(dist.tilted(F.col("dist"), F.col("fit"), 10.0)))
     out = j.join(keys.select("mean", "fit", F.round(dist.mean_of(F.col("new")), 6).alias("new_mean")), ["mean", "fit"])
-    return rounded(out.select("day", "slot", "mean", "fit", "new_mean"), 6)
+    return rounded(out.select(*unit, "slot", "mean", "fit", "new_mean"), 6)
 
 
-SQL["c15_slot_monotone"] = f"WITH {SLOTS}, f AS (SELECT day, slot, 3.6 + metric AS mean FROM s WHERE team = 0 QUALIFY count(*) OVER (PARTITION BY day) >= 2), r AS (SELECT a.day, a.slot AS a, b.slot AS b, avg(m.mean) AS m FROM f a JOIN f b ON a.day = b.day AND a.slot <= b.slot JOIN f m ON m.day = a.day AND m.slot BETWEEN a.slot AND b.slot GROUP BY ALL), i AS (SELECT f.day, f.slot, f.mean, r.a, max(r.m) AS m FROM f JOIN r ON r.day = f.day AND r.a <= f.slot AND r.b >= f.slot GROUP BY ALL) SELECT day, slot, round(mean, 6) AS mean, round(min(m), 6) AS fit, round(min(m), 6) AS new_mean FROM i GROUP BY ALL"
+SQL["c15_slot_monotone"] = f"""WITH {SLOTS},
+f AS (SELECT day, lineup, team, slot, 3.6 + metric AS mean FROM s QUALIFY count(*) OVER (PARTITION BY day, lineup, team) >= 2),
+r AS (SELECT a.day, a.lineup, a.team, a.slot AS a, b.slot AS b, avg(m.mean) AS m FROM f a JOIN f b ON a.day = b.day AND a.lineup = b.lineup AND a.team = b.team AND a.slot <= b.slot
+  JOIN f m ON m.day = a.day AND m.lineup = a.lineup AND m.team = a.team AND m.slot BETWEEN a.slot AND b.slot GROUP BY ALL),
+i AS (SELECT f.day, f.lineup, f.team, f.slot, f.mean, r.a, max(r.m) AS m FROM f JOIN r ON r.day = f.day AND r.lineup = f.lineup AND r.team = f.team AND r.a <= f.slot AND r.b >= f.slot GROUP BY ALL)
+SELECT day, lineup, team, slot, round(mean, 6) AS mean, round(min(m), 6) AS fit, round(min(m), 6) AS new_mean FROM i GROUP BY ALL"""
 
 
 def e16_many_comparisons(spark, d):
@@ -218,10 +235,17 @@ def e16_many_comparisons(spark, d):
     u = units(spark, d).select("unit", (F.col("is_hit") > 0).cast("int").alias("y"), (0.3 + F.col("n") / 12.0).alias("p"), F.lit(0.6).alias("q"))
     out = None
     for k in range(3):
-        one = evaluation.paired_bootstrap(u.where(F.pmod("unit", F.lit(3)) == k), "unit", 50, "y", "q", "p")
-        one = one.select(evaluation.verdict(F.col("low"), F.col("high")).alias("verdict"))
+        one = evaluation.paired_bootstrap(u.where(F.pmod("unit", F.lit(3)) == k), "unit", PAIRED, "y", "q", "p")
+        one = one.select(evaluation.verdict(F.col("point"), F.col("low"), F.col("high")).alias("verdict"))
         out = one if out is None else out.unionByName(one)
     return out.groupBy("verdict").agg(F.count("*").alias("n")).withColumn("by_chance", F.lit(0.05 * 3))
 
 
+SQL["e16_many_comparisons"] = f"""WITH {UNITS}, x AS (SELECT unit, unit % 3 AS k, CAST(is_hit > 0 AS INT) AS y, 0.3 + n / 12.0 AS p, 0.6 AS q FROM u), {sql_weights(PAIRED, "x")},
+v AS (SELECT k, avg(y) * (1 - avg(y)) AS v, avg((q - y) ** 2 - (p - y) ** 2) AS g FROM x GROUP BY k),
+g AS (SELECT k, b, sum(w * ((q - y) ** 2 - (p - y) ** 2)) / sum(w) / any_value(v.v) AS s FROM w JOIN v USING (k) WHERE w > 0 GROUP BY k, b),
+i AS (SELECT k, any_value(v.g / v.v) AS m, quantile_cont(s, 0.025) AS l, quantile_cont(s, 0.975) AS h FROM g JOIN v USING (k) GROUP BY k)
+SELECT {sql_verdict("m", "l", "h")} AS verdict, count(*) AS n, {0.05 * 3} AS by_chance FROM i GROUP BY 1"""
+
+
 QUERIES = {f.__name__: f for f in (a4_contact_log, a11_run_factors, a22_entity_rates, a30_tier_summary, a31_first_opponent, j3_unit_context, j10_latest_state, j16_value_map, j19_side_by_side, l4_two_way, p21_interaction, s4_entity_range, s16_code_fallback, s20_legacy_union, s28_load_day, c9_batch_lines, c15_slot_monotone, e16_many_comparisons)}

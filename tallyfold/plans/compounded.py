@@ -108,12 +108,16 @@ def c3_overdispersed(spark, d):
 
 
 def c14_non_increasing(spark, d):
-    """Means by slot made non-increasing within a day."""
-    s = slots(spark, d).select("day", "slot", (F.col("metric") + 0.0).alias("m"))
-    return rounded(dist.non_increasing(s, ["day"], "slot", "m", "fit"), 8)
+    """Means by slot made non-increasing within a lineup."""
+    s = slots(spark, d).select("day", "lineup", "slot", (F.col("metric") + 0.0).alias("m"))
+    return rounded(dist.non_increasing(s, ["day", "lineup"], "slot", "m", "fit"), 8)
 
 
-SQL["c14_non_increasing"] = f"WITH {SLOTS}, r AS (SELECT a.day, a.slot AS a, b.slot AS b, avg(m.metric) AS m FROM s a JOIN s b ON a.day = b.day AND a.slot <= b.slot JOIN s m ON m.day = a.day AND m.slot BETWEEN a.slot AND b.slot GROUP BY ALL), i AS (SELECT s.day, s.slot, r.a, max(r.m) AS m FROM s JOIN r ON r.day = s.day AND r.a <= s.slot AND r.b >= s.slot GROUP BY ALL) SELECT day, slot, round(min(m), 8) AS fit FROM i GROUP BY ALL"
+SQL["c14_non_increasing"] = f"""WITH {SLOTS},
+r AS (SELECT a.day, a.lineup, a.slot AS a, b.slot AS b, avg(m.metric) AS m FROM s a JOIN s b ON a.day = b.day AND a.lineup = b.lineup AND a.slot <= b.slot
+  JOIN s m ON m.day = a.day AND m.lineup = a.lineup AND m.slot BETWEEN a.slot AND b.slot GROUP BY ALL),
+i AS (SELECT s.day, s.lineup, s.slot, r.a, max(r.m) AS m FROM s JOIN r ON r.day = s.day AND r.lineup = s.lineup AND r.a <= s.slot AND r.b >= s.slot GROUP BY ALL)
+SELECT day, lineup, slot, round(min(m), 8) AS fit FROM i GROUP BY ALL"""
 
 
 def c16_scoring_share(spark, d):
@@ -125,10 +129,10 @@ def c16_scoring_share(spark, d):
     slot_factor = F.when(F.col("n") >= 100, F.try_divide("base", "league")).otherwise(1.0)
     q = 0.31 * slot_factor * (1 + 0.367 * F.try_divide(F.col("metric") - F.col("base"), F.col("league")))
     share = F.least(F.greatest(F.coalesce(q, F.lit(0.31)), F.lit(0.1)), F.lit(0.6))
-    return rounded(j.select("day", "entity", "slot", share.alias("share"), (0.03 + F.greatest(F.col("metric") - 0.03, F.lit(0.0)) * share).alias("runs")), 8)
+    return rounded(j.select("day", "lineup", "entity", "slot", share.alias("share"), (0.03 + F.greatest(F.col("metric") - 0.03, F.lit(0.0)) * share).alias("runs")), 8)
 
 
-SQL["c16_scoring_share"] = f"WITH {SLOTS}, l AS (SELECT avg(metric) AS league FROM s), b AS (SELECT slot, avg(metric) AS base, count(*) AS n FROM s GROUP BY slot), q AS (SELECT day, entity, slot, metric, least(greatest(0.31 * (CASE WHEN n >= 100 THEN base / league ELSE 1 END) * (1 + 0.367 * (metric - base) / league), 0.1), 0.6) AS share FROM s JOIN b USING (slot), l) SELECT day, entity, slot, round(share, 8) AS share, round(0.03 + greatest(metric - 0.03, 0) * share, 8) AS runs FROM q"
+SQL["c16_scoring_share"] = f"WITH {SLOTS}, l AS (SELECT avg(metric) AS league FROM s), b AS (SELECT slot, avg(metric) AS base, count(*) AS n FROM s GROUP BY slot), q AS (SELECT day, lineup, entity, slot, metric, least(greatest(0.31 * (CASE WHEN n >= 100 THEN base / league ELSE 1 END) * (1 + 0.367 * (metric - base) / league), 0.1), 0.6) AS share FROM s JOIN b USING (slot), l) SELECT day, lineup, entity, slot, round(share, 8) AS share, round(0.03 + greatest(metric - 0.03, 0) * share, 8) AS runs FROM q"
 
 
 def c10_cross_check(spark, d):

@@ -62,7 +62,9 @@ def e5_calibration_error(spark, d):
     return rounded(evaluation.calibration_error(ranked, "y", "p", "rank"), 8)
 
 
-SQL["e5_calibration_error"] = f"WITH {_P}, t AS (SELECT y, p, ntile(10) OVER (ORDER BY p, unit, entity) AS t FROM p), b AS (SELECT abs(avg(p) - avg(y)) AS gap, count(*) AS c FROM t GROUP BY t) SELECT round(sum(gap * c) / sum(c), 8) AS ece FROM b".replace("FROM t GROUP BY t)", "FROM tt GROUP BY tt.t)").replace(", t AS (SELECT y, p, ntile", ", tt AS (SELECT y, p, ntile")
+SQL["e5_calibration_error"] = f"""WITH {_P}, tt AS (SELECT y, p, ntile(10) OVER (ORDER BY p, unit, entity) AS t FROM p),
+b AS (SELECT abs(avg(p) - avg(y)) AS gap, count(*) AS c FROM tt GROUP BY tt.t)
+SELECT round(sum(gap * c) / sum(c), 8) AS ece FROM b"""
 
 
 def e6_univariate(spark, d):
@@ -75,28 +77,43 @@ def e6_univariate(spark, d):
 SQL["e6_univariate"] = f"WITH {_P}, l AS (SELECT y, 'p' AS \"column\", p AS v FROM p UNION ALL SELECT y, 'q', q FROM p), r AS (SELECT *, rank() OVER (PARTITION BY \"column\" ORDER BY v) + (count(*) OVER (PARTITION BY \"column\", v) - 1) / 2.0 AS rk FROM l), a AS (SELECT \"column\", (sum(rk) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))) AS auc FROM r GROUP BY 1) SELECT \"column\", round(auc, 8) AS auc, round(abs(auc - 0.5), 8) AS distance FROM a"
 
 
-def _sql_weights(replicates: int) -> str:
-    total, term, parts = 0.0, 0.36787944117144233, []
-    for k in range(1, 8):
-        total += term
-        term /= k
-        parts.append(f"CAST(h >= {total!r} AS INT)")
-    return f"h AS (SELECT p.*, b, CAST('0x' || substr(md5(concat_ws('|', CAST(unit AS VARCHAR), CAST(b AS VARCHAR))), 1, 13) AS BIGINT) / 4503599627370496.0 AS h FROM p, (SELECT unnest(range(1, {replicates + 1})) AS b)), w AS (SELECT *, {' + '.join(parts)} AS w FROM h)"
+def sql_weights(replicates: int, rows: str = "p") -> str:
+    """SQL: the rows with their weight in each replicate, as a common table expression named w."""
+    prime, draw = evaluation.PRIME, " + ".join(f"CAST(u >= {e} AS INT)" for e in evaluation.poisson_edges())
+    return f"""h0 AS (SELECT {rows}.*, CAST('0x' || substr(md5(CAST(unit AS VARCHAR)), 1, 7) AS BIGINT) AS seed FROM {rows}),
+h1 AS (SELECT h0.*, b, (seed * (b * 1103515 + 12345) + b * 69069 + 1) % {prime} AS x FROM h0, (SELECT unnest(range(1, {replicates + 1})) AS b)),
+h2 AS (SELECT *, (xor(x, x >> 15) * 48271 + b) % {prime} AS u FROM h1),
+w AS (SELECT *, {draw} AS w FROM h2)"""
+
+
+REPLICATES, PAIRED = 4000, 2000
 
 
 def e7_bootstrap(spark, d):
-    return rounded(evaluation.bootstrap_skill(_predictions(spark, d), "unit", 100), 7)
+    return rounded(evaluation.bootstrap_skill(_predictions(spark, d), "unit", REPLICATES), 7)
 
 
-SQL["e7_bootstrap"] = f"WITH {_P}, {_sql_weights(100)}, g AS (SELECT b, sum(w) AS n, sum(w * y) * 1.0 / sum(w) AS r, sum(w * (p - y) ** 2) / sum(w) AS br FROM w WHERE w > 0 GROUP BY b), s AS (SELECT 1 - br / nullif(r * (1 - r), 0) AS s FROM g) SELECT round(quantile_cont(s, 0.025), 7) AS low, round(quantile_cont(s, 0.975), 7) AS high, round(avg(CAST(s > 0 AS INT)), 7) AS above FROM s"
+SQL["e7_bootstrap"] = f"""WITH {_P}, {sql_weights(REPLICATES)},
+g AS (SELECT b, sum(w) AS n, sum(w * y) * 1.0 / sum(w) AS r, sum(w * (p - y) ** 2) / sum(w) AS br FROM w WHERE w > 0 GROUP BY b),
+s AS (SELECT 1 - br / nullif(r * (1 - r), 0) AS s FROM g)
+SELECT (SELECT round(1 - avg((p - y) ** 2) / nullif(avg(y) * (1 - avg(y)), 0), 7) FROM p) AS point,
+  round(quantile_cont(s, 0.025), 7) AS low, round(quantile_cont(s, 0.975), 7) AS high, round(avg(CAST(s > 0 AS INT)), 7) AS above FROM s"""
 
 
 def e8_paired(spark, d):
-    out = evaluation.paired_bootstrap(_predictions(spark, d), "unit", 100, "y", "q", "p")
-    return rounded(out.withColumn("verdict", evaluation.verdict(F.col("low"), F.col("high"))), 7)
+    out = evaluation.paired_bootstrap(_predictions(spark, d), "unit", PAIRED, "y", "q", "p")
+    return rounded(out.withColumn("verdict", evaluation.verdict(F.col("point"), F.col("low"), F.col("high"))), 7)
+
+
+def sql_verdict(point: str, low: str, high: str) -> str:
+    return f"CASE WHEN {low} <= 0 AND {high} >= 0 THEN 'tie' WHEN abs({point}) < 0.0005 THEN 'negligible' WHEN {point} > 0 THEN 'BETTER' ELSE 'WORSE' END"
 
 
-SQL["e8_paired"] = f"WITH {_P}, {_sql_weights(100)}, v AS (SELECT avg(y) * (1 - avg(y)) AS v FROM p), g AS (SELECT b, sum(w * ((q - y) ** 2 - (p - y) ** 2)) / sum(w) / (SELECT v FROM v) AS s FROM w WHERE w > 0 GROUP BY b), i AS (SELECT quantile_cont(s, 0.025) AS l, quantile_cont(s, 0.975) AS h, avg(CAST(s > 0 AS INT)) AS wins FROM g) SELECT round(l, 7) AS low, round(h, 7) AS high, round(wins, 7) AS wins, CASE WHEN l <= 0 AND h >= 0 THEN 'tie' WHEN abs((l + h) / 2) < 0.0005 THEN 'negligible' WHEN l > 0 THEN 'BETTER' ELSE 'WORSE' END AS verdict FROM i"
+SQL["e8_paired"] = f"""WITH {_P}, {sql_weights(PAIRED)},
+v AS (SELECT avg(y) * (1 - avg(y)) AS v, avg((q - y) ** 2 - (p - y) ** 2) AS g FROM p),
+g AS (SELECT b, sum(w * ((q - y) ** 2 - (p - y) ** 2)) / sum(w) / (SELECT v FROM v) AS s FROM w WHERE w > 0 GROUP BY b),
+i AS (SELECT (SELECT g / v FROM v) AS m, quantile_cont(s, 0.025) AS l, quantile_cont(s, 0.975) AS h, avg(CAST(s > 0 AS INT)) AS wins FROM g)
+SELECT round(m, 7) AS point, round(l, 7) AS low, round(h, 7) AS high, round(wins, 7) AS wins, {sql_verdict("m", "l", "h")} AS verdict FROM i"""
 
 
 def e12_line_scores(spark, d):

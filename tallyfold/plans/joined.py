@@ -12,7 +12,7 @@ SQL: dict[str, str] = {}
 
 def _daily(spark, d):
     """Orders and revenue of a nation's day."""
-    o = table(spark, d, "orders").join(F.broadcast(table(spark, d, "customer").select("c_custkey", "c_nationkey")), F.col("o_custkey") == F.col("c_custkey"))
+    o = table(spark, d, "orders").join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     return o.groupBy(F.col("c_nationkey").alias("team"), F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("form"))
 
 
@@ -53,7 +53,7 @@ def j6_prior_season(spark, d):
     table_ = t.groupBy("opponent", F.year("day").alias("season")).agg(F.avg("is_walk").alias("control"))
     prior = table_.select("opponent", (F.col("season") + 1).alias("season"), F.col("control").alias("last_control"))
     rows = t.groupBy("opponent", "entity", F.year("day").alias("season")).agg(F.avg("is_walk").alias("own"))
-    out = rows.join(F.broadcast(prior), ["opponent", "season"], "left")
+    out = rows.join(prior, ["opponent", "season"], "left")
     return rounded(out.withColumns({"product": F.col("own") * F.col("last_control"), "season": F.col("season").cast("int")}), 8)
 
 
@@ -89,15 +89,15 @@ SQL["j12_scored"] = f"WITH {UNITS}, a AS (SELECT entity, unit, (entity % 7) / 10
 
 
 def j13_circular_ahead(spark, d):
-    return rounded(joins.circular_neighbours(slots(spark, d), ["day"], "slot", "metric", F.lit(0.31), ahead=True))
+    return rounded(joins.circular_neighbours(slots(spark, d), ["day", "lineup"], "slot", "metric", F.lit(0.31), ahead=True))
 
 
 def j14_circular_behind(spark, d):
-    return rounded(joins.circular_neighbours(slots(spark, d), ["day"], "slot", "metric", F.lit(0.31), ahead=False))
+    return rounded(joins.circular_neighbours(slots(spark, d), ["day", "lineup"], "slot", "metric", F.lit(0.31), ahead=False))
 
 
 for _name, _at in (("j13_circular_ahead", "((s.slot - k - 1 + 9) % 9) + 1"), ("j14_circular_behind", "((s.slot + k - 1) % 9) + 1")):
-    SQL[_name] = f"WITH {SLOTS}, k AS (SELECT unnest([1, 2, 3]) AS k) SELECT s.day, s.entity, s.slot, s.team, round(s.metric, 9) AS metric, round(avg(coalesce(o.metric, 0.31)), 9) AS neighbours FROM s CROSS JOIN k LEFT JOIN s o ON o.day = s.day AND o.slot = {_at} GROUP BY ALL"
+    SQL[_name] = f"WITH {SLOTS}, k AS (SELECT unnest([1, 2, 3]) AS k) SELECT s.day, s.lineup, s.entity, s.slot, s.team, round(s.metric, 9) AS metric, round(avg(coalesce(o.metric, 0.31)), 9) AS neighbours FROM s CROSS JOIN k LEFT JOIN s o ON o.day = s.day AND o.lineup = s.lineup AND o.slot = {_at} GROUP BY ALL"
 
 
 def j21_slot_histogram(spark, d):
@@ -111,16 +111,18 @@ SQL["j21_slot_histogram"] = f"WITH {UNITS}, {SLOTS} SELECT slot, count(*) AS n F
 def j22_candidates(spark, d):
     """Both sides of a unit as rows: a confirmed list by position, else the projected one, with the opponent attached."""
     s = slots(spark, d)
-    sides = s.groupBy("day", "team").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "entity"))), lambda x: x["entity"]).alias("list"))
+    sides = s.groupBy("day", "lineup", "team").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "entity"))), lambda x: x["entity"]).alias("list"))
     confirmed = F.when(F.dayofmonth("day") % 2 == 0, F.slice("list", 1, 3))
     projected = F.array_sort("list")
-    rows = sides.select("day", "team", F.when(confirmed.isNotNull(), "confirmed").otherwise("projected").alias("status"), F.posexplode(F.coalesce(confirmed, projected)).alias("at", "entity"))
-    starters = sides.select("day", (1 - F.col("team")).alias("team"), F.element_at("list", 1).alias("opponent"))
-    return rows.join(starters, ["day", "team"], "left").select("day", "team", "status", (F.col("at") + 1).alias("slot"), "entity", "opponent")
+    rows = sides.select("day", "lineup", "team", F.when(confirmed.isNotNull(), "confirmed").otherwise("projected").alias("status"), F.posexplode(F.coalesce(confirmed, projected)).alias("at", "entity"))
+    starters = sides.select("day", "lineup", (1 - F.col("team")).alias("team"), F.element_at("list", 1).alias("opponent"))
+    return rows.join(starters, ["day", "lineup", "team"], "left").select("day", "lineup", "team", "status", (F.col("at") + 1).alias("slot"), "entity", "opponent")
 
 
-SQL["j22_candidates"] = f"""WITH {SLOTS}, g AS (SELECT day, team, list(entity ORDER BY slot) AS l FROM s GROUP BY ALL), r AS (SELECT day, team, CASE WHEN day(day) % 2 = 0 THEN 'confirmed' ELSE 'projected' END AS status, CASE WHEN day(day) % 2 = 0 THEN l[1:3] ELSE list_sort(l) END AS c FROM g),
-x AS (SELECT day, team, status, unnest(range(1, len(c) + 1)) AS slot, unnest(c) AS entity FROM r) SELECT x.day, x.team, status, CAST(slot AS INT) AS slot, entity, g.l[1] AS opponent FROM x LEFT JOIN g ON g.day = x.day AND g.team = 1 - x.team"""
+SQL["j22_candidates"] = f"""WITH {SLOTS}, g AS (SELECT day, lineup, team, list(entity ORDER BY slot) AS l FROM s GROUP BY ALL),
+r AS (SELECT day, lineup, team, CASE WHEN day(day) % 2 = 0 THEN 'confirmed' ELSE 'projected' END AS status, CASE WHEN day(day) % 2 = 0 THEN l[1:3] ELSE list_sort(l) END AS c FROM g),
+x AS (SELECT day, lineup, team, status, unnest(range(1, len(c) + 1)) AS slot, unnest(c) AS entity FROM r)
+SELECT x.day, x.lineup, x.team, status, CAST(slot AS INT) AS slot, entity, g.l[1] AS opponent FROM x LEFT JOIN g ON g.day = x.day AND g.lineup = x.lineup AND g.team = 1 - x.team"""
 
 
 def s17_upsert(spark, d):

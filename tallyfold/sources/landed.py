@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.names import resolve_names
+
 LINES = "struct<teams:struct<home:struct<players:map<string,struct<person:struct<id:bigint>,battingOrder:string,stats:map<string,string>>>>,away:struct<players:map<string,struct<person:struct<id:bigint>,battingOrder:string,stats:map<string,string>>>>>>"
 CONTEXT = "struct<venue:struct<id:bigint,name:string>,dayNight:string,weather:struct<temp:string,wind:string,condition:string>>"
 SCHEDULE = "struct<games:array<struct<gamePk:bigint,gameDate:string,home:struct<team:string,probable:string,lineup:array<struct<id:bigint>>>,away:struct<team:string,probable:string,lineup:array<struct<id:bigint>>>>>>"
@@ -65,3 +67,32 @@ def posted(games: DataFrame, now: Column) -> DataFrame:
     tbd = (F.col("home_probable") == "TBD").cast("int") + (F.col("away_probable") == "TBD").cast("int")
     hours = (F.unix_timestamp("first") - F.unix_timestamp(now)) / 3600
     return games.join(F.broadcast(first)).select("game", both.alias("posted"), tbd.alias("tbd"), hours.alias("hours_to_first"))
+
+
+ROSTER = "struct<roster:array<struct<person:struct<id:bigint,fullName:string>,position:struct<abbreviation:string>>>>"
+
+
+def roster(df: DataFrame, team: str, json: str, excluded: tuple[str, ...] = ("P",)) -> DataFrame:
+    """team, player_id, name, position: people with an id whose position is not excluded (an unknown one stays)."""
+    p = df.select(team, F.explode(F.from_json(json, ROSTER)["roster"]).alias("p"))
+    rows = p.select(team, F.col("p.person.id").alias("player_id"), F.col("p.person.fullName").alias("name"), F.col("p.position.abbreviation").alias("position"))
+    return rows.where("player_id is not null").where(F.coalesce(~F.col("position").isin(*excluded), F.lit(True)))
+
+
+def probable_starters(games: DataFrame, people: DataFrame) -> DataFrame:
+    """game, home_team, away_team and each side's probable starter by name and id; names split at their first space, unknown ones keep a null id."""
+
+    def split(name: str) -> tuple[Column, Column]:
+        cut = F.regexp_extract(name, "^([^ ]+) (.+)$", 1), F.regexp_extract(name, "^([^ ]+) (.+)$", 2)
+        return tuple(F.when(F.col(name).contains(" "), c) for c in cut)
+
+    out = games
+    for side in ("home", "away"):
+        first, last = split(f"{side}_probable")
+        out = out.withColumns({f"_{side}_first": first, f"_{side}_last": last})
+    wanted = out.select(F.col("_home_first").alias("first"), F.col("_home_last").alias("last")).union(out.select("_away_first", "_away_last"))
+    ids = resolve_names(wanted.dropna(), people)
+    for side in ("home", "away"):
+        named = ids.select(F.col("first").alias(f"_{side}_first"), F.col("last").alias(f"_{side}_last"), F.col("id").alias(f"{side}_probable_id"))
+        out = out.join(named, [f"_{side}_first", f"_{side}_last"], "left").drop(f"_{side}_first", f"_{side}_last")
+    return out.select("game", "home_team", "away_team", "home_probable", "home_probable_id", "away_probable", "away_probable_id")

@@ -61,3 +61,19 @@ def round_trip_csv(df: DataFrame) -> DataFrame:
     path = new_path(df.sparkSession, "csv")
     df.write.option("header", True).csv(path)
     return df.sparkSession.read.schema(df.schema).option("header", True).csv(path)
+
+
+def load_pool(spark: SparkSession, path: str, partition: str, schema: str, most: int | None = None) -> DataFrame:
+    """A table landed as one CSV folder `partition=key` for each entity: the first `most` folders by name, or all (the wide pool)."""
+    rows = spark.read.schema(f"{schema}, {partition} string").option("header", True).csv(path)
+    if most is None:
+        return rows
+    # names of folders only; the filter prunes the others before anything of them is read
+    keys = sorted(r[0] for r in rows.select(partition).distinct().collect())[:most]
+    return rows.where(F.col(partition).isin(keys))
+
+
+def store_comparison(df: DataFrame, path: str) -> DataFrame:
+    """A comparison table as one CSV file with a header, replaced whole; returns it as read back."""
+    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)  # a row for each candidate
+    return df.sparkSession.read.schema(df.schema).option("header", True).csv(path)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.shared import new_path
 
@@ -14,64 +16,77 @@ def stream_of(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def _finish(spark: SparkSession, writer) -> None:
-    query = writer.option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start()
+def _finish(writer, folder: str) -> None:
+    """Run until all there is has been read.  The checkpoint lies in the job's folder: a second run goes on where the first ended."""
+    query = writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def ingest(events: DataFrame, key: list[str], time: str, late: str = "1 day") -> DataFrame:
-    """ST1, ST2: new rows once each; repeats within the watermark are dropped, later rows too."""
-    spark, path = events.sparkSession, new_path(events.sparkSession, "ingested")
+def ingest(events: DataFrame, key: list[str], time: str, late: str = "1 day", folder: str | None = None) -> DataFrame:
+    """ST1, ST2: new rows once each; repeats within the watermark are dropped, later rows too.
+
+    `folder` (default: a new one) keeps the rows and the checkpoint; a later run with the same folder reads only new files.
+    """
+    folder = folder or new_path(events.sparkSession, "ingested")
     once = events.withWatermark(time, late).dropDuplicatesWithinWatermark(key)
-    _finish(spark, once.writeStream.format("parquet").option("path", path).outputMode("append"))
-    return spark.read.schema(events.schema).parquet(path)
+    _finish(once.writeStream.format("parquet").option("path", f"{folder}/rows").outputMode("append"), folder)
+    return events.sparkSession.read.schema(events.schema).parquet(f"{folder}/rows")
+
+
+def newest_rows(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The row with the largest order of each key."""
+    rest = [c for c in rows.columns if c not in keys]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_r"))
+    return newest.select(*keys, *(F.col(f"_r.{c}").alias(c) for c in rest))
+
 
+def upserted(events: DataFrame, keys: list[str], order: str, folder: str | None = None) -> DataFrame:
+    """ST1 with revisions: the newest row of a key wins.
 
-def upserted(events: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """ST1 with revisions: each batch is laid over a table version by version; the newest row of a key wins."""
-    spark = events.sparkSession
-    versions: list[str] = []
+    Each batch writes only the newest rows of the keys that it touches, into a folder of its number, so a batch that is
+    tried again replaces itself and no batch rewrites the table; reading merges the batches by key.
+    """
+    spark, folder = events.sparkSession, folder or new_path(events.sparkSession, "upserted")
 
     def lay(batch: DataFrame, number: int) -> None:
-        before = spark.read.schema(events.schema).parquet(versions[-1]) if versions else None
-        both = batch if before is None else before.unionByName(batch)
-        rest = [c for c in both.columns if c not in keys]
-        newest = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_r"))
-        path = new_path(spark, f"version-{number}")  # never the version that this job reads
-        newest.select(*keys, *(F.col(f"_r.{c}").alias(c) for c in rest)).write.parquet(path)
-        versions.append(path)
+        newest_rows(batch, keys, order).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
-    _finish(spark, events.writeStream.foreachBatch(lay))
-    return spark.read.parquet(versions[-1]) if versions else spark.createDataFrame([], events.schema)
+    _finish(events.writeStream.foreachBatch(lay), folder)
+    schema = T.StructType([*events.schema.fields, T.StructField("batch", T.LongType())])
+    try:
+        rows = spark.read.schema(schema).parquet(f"{folder}/rows")
+    except AnalysisException:  # no batch yet
+        return spark.createDataFrame([], events.schema)
+    return newest_rows(rows.drop("batch"), keys, order)
 
 
-def gate(events: DataFrame, unit: list[str], amount: str, least: float) -> DataFrame:
+def gate(events: DataFrame, unit: list[str], amount: str, least: float, folder: str | None = None) -> DataFrame:
     """ST3: units whose running amount has reached `least`; each batch updates the sums, the last of which count."""
-    spark, path = events.sparkSession, new_path(events.sparkSession, "gate")
+    spark, folder = events.sparkSession, folder or new_path(events.sparkSession, "gate")
+    path = f"{folder}/sums"
     sums = events.groupBy(*unit).agg(F.sum(amount).alias("amount"))
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    _finish(spark, sums.writeStream.outputMode("update").foreachBatch(keep))
+    _finish(sums.writeStream.outputMode("update").foreachBatch(keep), folder)
     last = spark.read.parquet(path).groupBy(*unit).agg(F.max_by("amount", "batch").alias("amount"))
     return last.where(F.col("amount") >= least)
 
 
-def upgraded(events: DataFrame, key: str, status: str, order: str) -> DataFrame:
+def upgraded(events: DataFrame, key: str, status: str, order: str, folder: str | None = None) -> DataFrame:
     """ST4: a key's best row: a confirmed one wins over a projected one, then the newest."""
     ranked = events.withColumn("_rank", F.struct((F.col(status) == "confirmed").cast("int").alias("c"), F.col(order).alias("o")))
-    return upserted(ranked, [key], "_rank").drop("_rank")
+    return upserted(ranked, [key], "_rank", folder).drop("_rank")
 
 
-def totals(events: DataFrame, label: str, value: str) -> DataFrame:
-    """ST5: running count and sum for each label, rewritten whole with every batch."""
-    spark, versions = events.sparkSession, []
+def totals(events: DataFrame, label: str, value: str, folder: str | None = None) -> DataFrame:
+    """ST5: running count and sum for each label; each batch writes the labels that it changes, the last of which count."""
+    spark, folder = events.sparkSession, folder or new_path(events.sparkSession, "totals")
     sums = events.groupBy(label).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
 
     def write(batch: DataFrame, number: int) -> None:
-        versions.append(new_path(spark, f"totals-{number}"))
-        batch.write.parquet(versions[-1])
+        batch.write.mode("overwrite").parquet(f"{folder}/totals/batch={number}")
 
-    _finish(spark, sums.writeStream.outputMode("complete").foreachBatch(write))
-    return spark.read.parquet(versions[-1])
+    _finish(sums.writeStream.outputMode("update").foreachBatch(write), folder)
+    return newest_rows(spark.read.parquet(f"{folder}/totals"), [label], "batch").drop("batch")
