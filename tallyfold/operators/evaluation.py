@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .windows import exact_percentiles
+
 
 def auc(df: DataFrame, keys: list[str], y: str = "y", p: str = "p") -> DataFrame:
     """The exact area under the curve of each key: counts per score, then a running count over the scores.
@@ -61,7 +63,7 @@ def calibration_table(df: DataFrame, y: str, p: str, bins: int) -> DataFrame:
 
 def reliability(df: DataFrame, y: str, p: str, bins: int) -> DataFrame:
     """Bins of equal counts at p's quantiles; equal edges count once."""
-    cut = df.agg(F.array_distinct(F.percentile(p, F.array(*(F.lit(k / bins) for k in range(1, bins))))).alias("_cut"))
+    cut = exact_percentiles(df, p, [k / bins for k in range(1, bins)], "_cut").select(F.array_distinct("_cut").alias("_cut"))
     bin_ = F.size(F.filter("_cut", lambda e: e < F.col(p)))
     return df.join(F.broadcast(cut)).withColumn("bin", bin_).groupBy("bin").agg(F.avg(p).alias("said"), F.avg(y).alias("did"), F.count("*").alias("n"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .windows import global_rank, numbered
+from .windows import exact_percentiles, global_rank, numbered
 
 
 def guarded_join(left: DataFrame, right: DataFrame, keys: list[str], suffix: str) -> DataFrame:
@@ -87,5 +87,5 @@ def time_split(df: DataFrame, order: list[str], shares: list[float], name: str =
 def quantile_split(df: DataFrame, day: str, share: float, name: str = "test") -> DataFrame:
     """Whether the day lies beyond the quantile of all rows' days."""
     number = F.datediff(F.col(day), F.lit("1970-01-01"))
-    cut = df.agg(F.percentile(number, share).alias("_cut"))
+    cut = exact_percentiles(df.select(number.alias("_number")), "_number", [share], "_c").select(F.get("_c", 0).alias("_cut"))
     return df.join(F.broadcast(cut)).withColumn(name, (number > F.col("_cut")).cast("int")).drop("_cut")

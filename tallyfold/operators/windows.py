@@ -113,3 +113,16 @@ def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
     before = counts.select("_part", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return dealt.withColumn("_in", inside).join(F.broadcast(before), "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
+
+
+def exact_percentiles(df: DataFrame, value: str, shares: list[float], name: str = "cuts") -> DataFrame:
+    """One row: the interpolated percentiles of a column's values, from ranks, so that no task holds all values."""
+    values = df.select(F.col(value).cast("double").alias("_v")).where("_v is not null")
+    ranked = global_rank(values, ["_v"], "_rank")
+    n = values.agg(F.count("*").alias("_n"))
+    wanted = n.select(F.posexplode(F.array(*(F.lit(float(s)) for s in shares))).alias("_k", "_s"), "_n").withColumn("_at", F.col("_s") * (F.col("_n") - 1))
+    near = wanted.select("_k", "_at", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("_i"))
+    found = ranked.join(F.broadcast(near), F.col("_rank") == F.col("_i") + 1)  # two rows for each share
+    part = 1 - F.abs(F.col("_at") - F.col("_i"))
+    each = found.groupBy("_k").agg(F.sum(F.when(part == 0, 0.0).otherwise(part * F.col("_v"))).alias("_p"))
+    return each.agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_p"))), lambda x: x["_p"]).alias(name))

@@ -112,7 +112,7 @@ SELECT entity, opponent, round(o / (1 + o), 9) AS p, round(0.528 * ra + 0.472 *
 def p16_bands(spark, d):
     """Quartile band 1..4 over the whole table, 0 for null."""
     docs = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 10 != 0, F.col("p_retailprice")).alias("v"))
-    cuts = docs.agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("cuts"))
+    cuts = windows.exact_percentiles(docs, "v", [0.25, 0.5, 0.75])
     band = F.when(F.col("v").isNull(), 0).otherwise(1 + F.size(F.filter("cuts", lambda c: c < F.col("v"))))
     return docs.join(F.broadcast(cuts)).select("p_partkey", band.alias("band"))
 
@@ -134,7 +134,7 @@ SQL["p17_text_filter"] = "SELECT c_custkey, c_name, c_mktsegment FROM customer W
 
 def p18_median_fill(spark, d):
     e = raw_events(spark, d).select("user_id", "ts", F.when(F.col("value") > 10, F.col("value")).alias("v"))
-    middle = e.agg(F.median("v").alias("m"))
+    middle = windows.exact_percentiles(e, "v", [0.5], "c").select(F.get("c", 0).alias("m"))
     return rounded(e.join(F.broadcast(middle)).select("user_id", "ts", F.coalesce("v", "m").alias("v")), 6)
 
 
