@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import staged
+from .common import fresh_name, staged
 
 #: Slots of a period: weights are multiples of 1 / PERIOD. Bytes of a block.
 PERIOD, BLOCK_BYTES = 1000, 1 << 16
@@ -44,27 +44,39 @@ def quanta(weights: dict[str | None, float], period: int = PERIOD) -> dict[str |
 def period_schedule(spark: SparkSession, shares: list[int]) -> DataFrame:
     """slot, source (index), turn (the source's how manieth block of the period) by earliest deadline first.
 
-    One fold over the slots of a period whose state is the number of blocks that each source has had.
+    Sources of one share have the same releases and deadlines and take turns by index, so the fold over the slots
+    of a period keeps the number of blocks for each distinct share only: shares that sum to the period have at most
+    sqrt(2 * period) distinct values, whatever the number of sources.
     """
-    period = sum(shares)
-    share = F.lit(shares)
-
-    def released(t: Column, had: Column, i: Column) -> Column:
-        a, c = F.get(share, i), F.get(had, i)
-        deadline = F.ceil(((c + 1) * period) / a)
-        return F.when(F.floor((c * period) / a) <= t, F.struct(deadline.alias("deadline"), i.alias("source")))
+    period, kinds = sum(shares), sorted(set(shares))
+    members: dict[int, list[int]] = {a: [] for a in kinds}
+    for i, a in enumerate(shares):
+        members[a].append(i)
+    row = spark.createDataFrame([(kinds, [members[a] for a in kinds])], "share array<int>, members array<array<int>>")
+
+    def next_block(t: Column, had: Column, k: Column) -> Column:
+        many, a = F.size(F.get("members", k)), F.get("share", k)
+        turn = F.floor(F.get(had, k) / many)
+        source = F.get(F.get("members", k), (F.get(had, k) % many).cast("int"))
+        block = F.struct(F.ceil((turn + 1) * period / a).alias("deadline"), source.alias("source"), k.alias("kind"))
+        return F.when(F.floor(turn * period / a) <= t, block)
 
     def step(state: Column, t: Column) -> Column:
-        had = state["had"]
-        indexes = F.sequence(F.lit(0), F.lit(len(shares) - 1))
-        next_up = F.array_min(F.filter(F.transform(indexes, lambda i: released(t, had, i)), lambda x: x.isNotNull()))["source"]
-        return F.struct(
-            F.transform(had, lambda c, i: F.when(i == next_up, c + 1).otherwise(c)).alias("had"),
-            F.array_append(state["dealt"], next_up).alias("dealt"),
-        )
-
-    start = F.struct(F.array_repeat(F.lit(0), len(shares)).alias("had"), F.array().cast("array<int>").alias("dealt"))
-    dealt = spark.range(1).select(F.reduce(F.sequence(F.lit(0), F.lit(period - 1)), start, step, lambda s: s["dealt"]).alias("dealt"))
+        each = F.transform(F.sequence(F.lit(0), F.lit(len(kinds) - 1)), lambda k: next_block(t, state["had"], k))
+        return F.struct(state["had"].alias("had"), state["dealt"].alias("dealt"), F.array_min(F.filter(each, lambda x: x.isNotNull())).alias("next"))
+
+    def dealt_next(state: Column, t: Column) -> Column:
+        picked = step(state, t)
+        return F.transform(
+            F.array(picked),  # binds what is dealt, so that it is worked out once
+            lambda x: F.struct(
+                F.transform(x["had"], lambda c, k: F.when(k == x["next"]["kind"], c + 1).otherwise(c)).alias("had"),
+                F.array_append(x["dealt"], x["next"]["source"]).alias("dealt"),
+            ),
+        )[0]
+
+    start = F.struct(F.array_repeat(F.lit(0), len(kinds)).alias("had"), F.array().cast("array<int>").alias("dealt"))
+    dealt = row.select(F.reduce(F.sequence(F.lit(0), F.lit(period - 1)), start, dealt_next, lambda s: s["dealt"]).alias("dealt"))
     slots = dealt.select(F.posexplode("dealt").alias("slot", "source_index"))
     turn = F.row_number().over(W.Window.partitionBy("source_index").orderBy("slot")) - 1
     return slots.withColumn("turn", turn)
@@ -131,6 +143,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     Ids should be unique; of a repeated id every row takes the id's first slot, and rows with a null id come last.
     """
     slots = schedule(docs, id_col, text_col, source_col, weights)
-    first = slots.where("id is not null").groupBy(F.col("id").alias(id_col)).agg(F.min(F.struct("slot", "key")).alias("_mix"))
+    own = fresh_name(docs, "mix")
+    first = slots.where("id is not null").groupBy(F.col("id").alias(id_col)).agg(F.min(F.struct("slot", "key")).alias(own))
     ordered = staged(docs.join(staged(first, "mix-slots"), id_col, "left"), "mix-rows")
-    return ordered.orderBy(F.col("_mix").asc_nulls_last(), id_col).select(docs.columns)
+    return ordered.orderBy(F.col(own).asc_nulls_last(), id_col).select(docs.columns)
