@@ -7,13 +7,15 @@ running sums over the ranges then place every record, so shard sizes differ by o
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import staged
+from .common import fresh_name, staged
 
 #: Rows that one range should hold, and the fewest ranges.
 RANGE_ROWS, LEAST_RANGES = 100_000, 1024
@@ -21,7 +23,6 @@ RANGE_ROWS, LEAST_RANGES = 100_000, 1024
 SAMPLES = 16
 #: A range with more than this many times its share of bytes is subdivided.
 OVERFULL = 4
-ROUNDS = 3
 
 
 def _uniform(seed: str, *cols: Column) -> Column:
@@ -65,7 +66,7 @@ def place(sized: DataFrame, shards: int) -> DataFrame:
     ranges = max(LEAST_RANGES, -(-rows // RANGE_ROWS))
     sample = _draw(sized, SAMPLES * ranges, total, "first")
     splitters = sorted(set(sample[SAMPLES::SAMPLES]))
-    for k in range(ROUNDS):
+    for k in itertools.count():  # until no range is overfull, or holds one (key, tie) alone
         # at most one row per range comes back
         full = [
             r["range"]
@@ -75,7 +76,10 @@ def place(sized: DataFrame, shards: int) -> DataFrame:
         if not full:
             break
         inside = sized.where(_range_of(splitters).isin(full))
-        splitters = sorted({*splitters, *_draw(inside, SAMPLES * ranges, total, f"round {k}")})
+        more = sorted({*splitters, *_draw(inside, SAMPLES * ranges, total, f"round {k}")})
+        if len(more) == len(splitters):
+            break
+        splitters = more
     ranged = sized.withColumn("range", _range_of(splitters))
     others = [c for c in sized.columns if c not in ("key", "tie", "size")]
     inside = W.Window.partitionBy("range").orderBy("key", "tie", "size", *others).rowsBetween(W.Window.unboundedPreceding, -1)
@@ -111,8 +115,23 @@ def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the rows of `docs` to `path`, a folder per shard; ids must be unique. Returns the assignment."""
+    """Write all rows of `docs` to `path`, a folder per shard in slot order. Returns the assignment.
+
+    Rows with null ids and rows that repeat are written like any other: rows that are equal in id and text are counted
+    off on both sides.  The folders are named by `shard`, or with underscores in front where `docs` has such a column.
+    """
     assigned = staged(assign_shards(docs, shards, id_col, text_col), "shards")
-    mine = assigned.select(F.col("id").alias(id_col), "shard", "slot")
-    docs.join(mine, id_col).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    shard, slot, copy, crc, size = (fresh_name(docs, x) for x in ("shard", "slot", "copy", "crc", "size"))
+
+    def counted(df: DataFrame, *keys: Column) -> DataFrame:
+        return df.withColumn(copy, F.row_number().over(W.Window.partitionBy(*keys).orderBy(F.lit(0))))
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.withColumns({crc: F.crc32(F.encode(text, "UTF-8")), size: (F.octet_length(text) + 1).cast("long")})
+    own = counted(own, F.col(id_col), F.col(crc), F.col(size))
+    mine = counted(assigned, F.col("id"), F.col("text_crc32"), F.col("size"))
+    mine = mine.select(F.col("id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("size").alias("_size"), F.col(copy).alias("_copy"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    same = own[id_col].eqNullSafe(mine["_id"]) & (own[crc] == mine["_crc"]) & (own[size] == mine["_size"]) & (own[copy] == mine["_copy"])
+    placed = own.join(mine, same).select(*(own[c] for c in docs.columns), F.col("_shard").alias(shard), F.col("_slot").alias(slot))
+    placed.repartition(shard).sortWithinPartitions(shard, slot).drop(slot).write.partitionBy(shard).parquet(path)
     return assigned
