@@ -1,9 +1,9 @@
 """Near-duplicate lines by a segment-partition edit join.
 
-Distinct lines of at least SHORTEST characters are cut into `most` + 1 segments.  If two lines are within
-`most` edits, one segment of the shorter occurs unchanged in the longer, near its own place; so every line
-probes the segment index, for its own length and those up to `most` less, with the substrings that can
-hold such a segment.  Character and bigram parities thin out the pairs inside the join, and the rest is
+How many edits two lines may differ by follows from the length of the shorter (ALLOWED).  Distinct lines are cut into
+one segment more than the edits that they may have.  If two lines are within these edits, one segment of the
+shorter occurs unchanged in the longer, near its own place; so every line probes the segment index, for its own
+length and those that many edits less, with the substrings that can hold such a segment.  Character and bigram parities thin out the pairs inside the join, and the rest is
 verified with a banded bit-parallel edit distance.
 """
 
@@ -18,16 +18,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import arrow_sized, staged
 from .components import connected_components
 
-#: Edits that near-duplicate lines may differ by, and characters that they must have.
-MOST, SHORTEST = 2, 24
+#: Lines of so many characters and more may differ by so many edits, by the length of the shorter; under the first equal lines only.
+ALLOWED = ((12, 1), (24, 2))
 #: So many candidate lines at most are broadcast (8 bytes each) to pick their texts; more are shuffled.
 BROADCAST_LINES = 500_000
 
 
-def cuts(length: int, most: int = MOST) -> list[tuple[int, int]]:
+def edits(length: int, allowed: tuple[tuple[int, int], ...] = ALLOWED) -> int:
+    return max((n for shortest, n in allowed if length >= shortest), default=0)
+
+
+def cuts(length: int, most: int) -> list[tuple[int, int]]:
     """(start, length) of the segments: even, the longer ones last."""
     parts = most + 1
     small, longer = divmod(length, parts)
@@ -35,7 +39,7 @@ def cuts(length: int, most: int = MOST) -> list[tuple[int, int]]:
     return [(sum(sizes[:k]), n) for k, n in enumerate(sizes)]
 
 
-def probes(length: int, indexed: int, most: int = MOST) -> list[tuple[int, int, int]]:
+def probes(length: int, indexed: int, most: int) -> list[tuple[int, int, int]]:
     """(segment, start, length) of the substrings of a line of `length` that can hold a segment of an indexed length.
 
     The position filter from both ends: the k-th segment (from 0) may be shifted by k edits at most from
@@ -148,8 +152,9 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         })
 
 
-def _keys(most: int, shortest: int):
-    """line, sign (its parities) and keys of the distinct lines of each batch: `most` + 1 index keys, then the probes."""
+def _keys(allowed: tuple[tuple[int, int], ...]):
+    """line, sign (its parities), own and keys of the distinct lines of each batch: `own` index keys, then the probes."""
+    shortest, most = min(n for n, _ in allowed), max(m for _, m in allowed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
@@ -164,15 +169,17 @@ def _keys(most: int, shortest: int):
                 keys, ends, base = [], [0], 0
                 for n in sizes.tolist():
                     if n not in plans:
-                        own = [(j, n, at, size) for j, (at, size) in enumerate(cuts(n, most))]
-                        own += [(j, n - g, at, size) for g in range(most + 1) if n - g >= shortest for j, at, size in probes(n, n - g, most)]
+                        own = [(j, n, at, size) for j, (at, size) in enumerate(cuts(n, edits(n, allowed)))]
+                        near = [n - g for g in range(most + 1) if n - g >= shortest and g <= edits(n - g, allowed)]
+                        own += [(j, m, at, size) for m in near for j, at, size in probes(n, m, edits(m, allowed))]
                         plans[n] = [(4 * at, 4 * (at + size), indexed * (most + 1) + j) for j, indexed, at, size in own]
                     keys += [digest(wide[base + i : base + j], seed) for i, j, seed in plans[n]]
                     ends.append(len(keys))
                     base += 4 * n
                 flat = pa.array(np.array(keys, np.uint64).view(np.int64))
                 lines = pa.array([_identity(t.encode()) for t in some], pa.int64())
-                yield pa.RecordBatch.from_arrays([lines, pa.array(signs), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["line", "sign", "keys"])
+                owns = pa.array([edits(n, allowed) + 1 for n in sizes.tolist()], pa.int32())
+                yield pa.RecordBatch.from_arrays([lines, pa.array(signs), owns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["line", "sign", "own", "keys"])
 
     return run
 
@@ -183,13 +190,14 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"line": pa.array([_identity(x.encode()) for x in texts], pa.int64()), "text": pa.array(texts, pa.string())})
 
 
-def line_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, shortest: int = SHORTEST) -> DataFrame:
-    """(a, b, distance): all pairs of different lines within `most` edits, by their 64-bit identities, each pair once."""
-    named = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    seen = named.mapInArrow(_keys(most, shortest), "line long, sign long, keys array<long>")
-    lines = seen.groupBy("line").agg(F.first("sign").alias("sign"), F.first("keys").alias("keys"))
-    index = lines.select(F.explode(F.slice("keys", 1, most + 1)).alias("key"), F.col("line").alias("a"), F.col("sign").alias("sign_a"))
-    probe = lines.select(F.explode(F.slice("keys", most + 2, F.size("keys"))).alias("key"), F.col("line").alias("b"), "sign")
+def line_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowed: tuple[tuple[int, int], ...] = ALLOWED) -> DataFrame:
+    """(a, b, distance): all pairs of different lines within the allowed edits, by their 64-bit identities, each pair once."""
+    most = max(m for _, m in allowed)
+    named = arrow_sized(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    seen = named.mapInArrow(_keys(allowed), "line long, sign long, own int, keys array<long>")
+    lines = seen.groupBy("line").agg(F.first("sign").alias("sign"), F.first("own").alias("own"), F.first("keys").alias("keys"))
+    index = lines.select(F.explode(F.slice("keys", F.lit(1), F.col("own"))).alias("key"), F.col("line").alias("a"), F.col("sign").alias("sign_a"))
+    probe = lines.select(F.explode(F.slice("keys", F.col("own") + 1, F.size("keys"))).alias("key"), F.col("line").alias("b"), "sign")
     apart = F.col("sign").bitwiseXOR(F.col("sign_a"))
     low = F.lit((1 << 32) - 1)
     near = (F.col("a") != F.col("b")) & (F.bit_count(apart.bitwiseAND(low)) <= 2 * most) & (F.bit_count(F.shiftrightunsigned(apart, 32)) <= 4 * most)
@@ -203,26 +211,26 @@ def line_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [edit_distance(x, y, most) for x, y in zip(pdf["text_a"], pdf["text_b"])]
+            found = [edit_distance(x, y, edits(min(len(x), len(y)), allowed)) for x, y in zip(pdf["text_a"], pdf["text_b"])]
             pdf = pdf[["a", "b"]].assign(distance=pd.array(found, "Int32"))
             yield pdf[pdf["distance"].notna()]
 
     return both.mapInPandas(verify, "a long, b long, distance int")
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, shortest: int = SHORTEST) -> DataFrame:
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowed: tuple[tuple[int, int], ...] = ALLOWED) -> DataFrame:
     """A row for each distinct line: where it first stands, its copies, links and class.
 
     doc_id and line_no (from 0) are the first occurrence by id, then number; class_doc_id and class_line_no
     are the first occurrence in the class of lines that links reach.  Lines are split at \\n and compared
-    as they are; blank ones are left out, and lines under `shortest` characters only equal themselves.
-    Null texts have no lines; rows with a null id come first; rows that repeat count as copies; an empty
+    as they are; blank ones are left out, and lines under the first length of `allowed` only equal themselves.
+    Ids are integers, or strings of digits.  Null texts have no lines; rows with a null id come first; rows that repeat count as copies; an empty
     table gives no rows; other columns are not read. Lines are told apart by 64-bit hashes.
     """
     named = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     seen = named.mapInArrow(_occurrences, "line long, doc long, number long, copies long")
     lines = staged(seen.groupBy("line").agg(F.min(F.struct("doc", "number")).alias("first"), F.sum("copies").alias("n_copies")), "lines")
-    links = staged(line_links(docs, id_col, text_col, most, shortest), "line-links")
+    links = staged(line_links(docs, id_col, text_col, allowed), "line-links")
     degree = links.select(F.explode(F.array("a", "b")).alias("line")).groupBy("line").agg(F.count("*").alias("n_links"))
     node = connected_components(links).withColumnRenamed("node", "line")
     linked = lines.join(node, "line").select("line", "component", "first")

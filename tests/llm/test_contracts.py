@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tallyfold.llm import lines, quality, queries, sharding, simhash, substrings, token_store
 
@@ -64,10 +65,15 @@ def test_sharding_odd(odd, empty):
     assert sharding.assign_shards(empty, 4).count() == 0
 
 
-def test_write_shards(spark, tmp_path):
+def test_write_shards(spark, odd, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     sharding.write_shards(docs, str(tmp_path / "s"), 4)
     assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()
+    more = odd.withColumns({"shard": F.lit(3), "slot": F.lit("x")})
+    sharding.write_shards(more, str(tmp_path / "odd"), 2)
+    back = spark.read.parquet(str(tmp_path / "odd"))
+    assert sorted(back.columns) == sorted([*more.columns, "_shard"])
+    assert Counter(map(tuple, back.select(more.columns).collect())) == Counter(map(tuple, more.collect()))
 
 
 # --- quality ---
@@ -296,7 +302,7 @@ def test_edit_distance_against_the_table():
             assert lines.edit_distance(a, b, most) == (d if d <= most else None), (a, b, most)
 
 
-def plain_lines(docs, most=2, shortest=24):
+def plain_lines(docs):
     first, copies = {}, Counter()
     rank = lambda i, k: (i is not None, i or 0, k)
     for i, t in docs:
@@ -315,12 +321,12 @@ def plain_lines(docs, most=2, shortest=24):
 
     by_len = defaultdict(list)
     for x in u:
-        if len(x) >= shortest:
-            by_len[len(x)].append(x)
+        by_len[len(x)].append(x)
     for n in by_len:
         for a in by_len[n]:
-            for g in range(most + 1):
-                for b in by_len.get(n - g, ()):
+            for g in range(3):
+                most = 2 if n - g >= 24 else 1 if n - g >= 12 else 0  # by the shorter line
+                for b in by_len.get(n - g, ()) if most and g <= most else ():
                     if (g or a < b) and lines.edit_distance(a, b, most) is not None:
                         links[a] += 1
                         links[b] += 1
@@ -332,9 +338,7 @@ def plain_lines(docs, most=2, shortest=24):
 
 
 def test_op2(spark):
-    docs = texts(spark)[:60]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert Counter(tuple(r) for r in lines.line_classes(df).collect()) == plain_lines(docs)
+    assert Counter(tuple(r) for r in queries.op2_line_dedup(spark, SF).collect()) == plain_lines(texts(spark))
 
 
 def test_lines_planted(spark, odd, empty):
