@@ -9,15 +9,17 @@ to strict until the first failure (fixed-sequence testing).
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterator
+import operator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import staged
+from .common import arrow_sized, forget_tables, fresh_name, staged
 
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\v\f\r"
@@ -73,29 +75,52 @@ def measure(text: str | None) -> tuple:
     return (n, chars, symbols, dup_lines, repeats, *(min(x, 1.0) for x in rules))
 
 
-def measures(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
-    """id, stratum, base counts, and each rule's step."""
-    kind = docs.schema[id_col].dataType.simpleString()
+@F.arrow_udf(T.StructType([*(T.StructField(c, T.LongType()) for c in BASE_FIELDS), *(T.StructField(c, T.IntegerType()) for c in RULES)]))
+def measured_text(texts: pa.Array) -> pa.Array:
+    """The base counts and each rule's step."""
+    forget_tables()
+    cols = list(zip(*(measure(t.as_py()) for t in texts))) or [()] * (len(BASE_FIELDS) + len(RULES))
+    base = [pa.array(c, pa.int64()) for c in cols[: len(BASE_FIELDS)]]
+    steps = [pa.array(np.minimum(np.array(c, float) * STEPS, STEPS).astype(np.int32)) for c in cols[len(BASE_FIELDS) :]]
+    return pa.StructArray.from_arrays([*base, *steps], names=[*BASE_FIELDS, *RULES])
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [measure(t.as_py()) for t in batch.column(2)]
-            cols = list(zip(*rows)) if rows else [()] * (len(BASE_FIELDS) + len(RULES))
-            base = [pa.array(c, pa.int64()) for c in cols[: len(BASE_FIELDS)]]
-            steps = [pa.array(np.minimum(np.array(c, float) * STEPS, STEPS).astype(np.int32)) for c in cols[len(BASE_FIELDS) :]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *base, *steps], names=["id", "stratum", *BASE_FIELDS, *RULES])
+def stratum_of(col: str) -> Column:
+    return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
-    fields = [f"id {kind}", "stratum string", *(f"{c} long" for c in BASE_FIELDS), *(f"{c} int" for c in RULES)]
-    picked = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, ", ".join(fields))
+
+def measures(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
+    """id, stratum, base counts, and each rule's step, written to the shared folder."""
+    read = arrow_sized(docs).select(F.col(id_col).alias("id"), stratum_of(stratum_col).alias("stratum"), measured_text(text_col).alias("m"))
+    return staged(read, "measures").select("id", "stratum", "m.*")
 
 
 def binomial_tail(rejected: int, n: int, risk: float) -> float:
-    """P(Binomial(n, risk) <= rejected): the exact p-value of "more than `risk` are turned away"."""
-    k = np.arange(rejected + 1)
-    log_fact = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
-    logs = log_fact[n] - log_fact[k] - log_fact[n - k] + k * math.log(risk) + (n - k) * math.log1p(-risk)
-    return float(min(1.0, np.exp(logs - logs.max()).sum() * math.exp(logs.max())))
+    """P(Binomial(n, risk) <= rejected): the exact p-value of "more than `risk` are turned away".
+
+    The terms are summed downwards from the largest, each from the one before by their ratio, until what is left
+    cannot change the sum, so the cost does not grow with n.
+    """
+    if rejected >= n:
+        return 1.0
+    top = min(rejected, int((n + 1) * risk))
+
+    def log_term(k: int) -> float:
+        return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(risk) + (n - k) * math.log1p(-risk)
+
+    total = term = 1.0
+    for k in range(top, 0, -1):
+        term *= k * (1 - risk) / ((n - k + 1) * risk)
+        total += term
+        if term < 1e-17 * total:
+            break
+    term = 1.0
+    for k in range(top, rejected):
+        term *= (n - k) * risk / ((k + 1) * (1 - risk))
+        total += term
+        if term < 1e-17 * total:
+            break
+    return min(1.0, total * math.exp(log_term(top)))
 
 
 def proposed_step(good: np.ndarray, bad: np.ndarray, risk: float) -> int | None:
@@ -168,7 +193,7 @@ def judge(
     empty; repeated rows are judged alike; labels with null ids or values are not used; an empty table
     gives no rows; other columns are not read.
     """
-    measured = staged(measures(docs, id_col, text_col, stratum_col), "measures")
+    measured = measures(docs, id_col, text_col, stratum_col)
     cuts = cutoffs(measured, labels, id_col, good, risk, level)
     failed = F.filter(F.array(*(F.when(F.col(r) >= F.col(f"cut_{r}"), F.lit(r)) for r in RULES)), lambda x: x.isNotNull())
     # strata come from one aggregate over the corpus and are few; Spark broadcasts the table only while it is small
@@ -187,22 +212,19 @@ def keep_good(
 ) -> DataFrame:
     """The rows of `docs` that `judge` keeps, all columns kept; no text is shuffled.
 
-    The texts are measured twice, once to find the cut-offs and once to apply them, so that rows with null
-    or repeated ids are judged by themselves.
+    The rows are written once with their measures beside them, so every row is judged by itself, rows with null or
+    repeated ids too.  Null texts, strata and labels, an empty table and columns that go by the same names as the
+    measures are treated as by `judge`.
     """
-    measured = staged(measures(docs, id_col, text_col, stratum_col), "measures")
-    # a row for each stratum
-    cuts = {r["stratum"]: [r[f"cut_{x}"] for x in RULES] for r in cutoffs(measured, labels, id_col, good, risk, level).collect()}
-    at_text, at_stratum = docs.columns.index(text_col), docs.columns.index(stratum_col)
-
-    def passes(text: str | None, stratum: str) -> bool:
-        n, _, _, _, repeats, *values = measure(text)
-        limits = cuts.get(stratum, [None] * len(RULES))
-        return n >= 20 and 100 * repeats <= 30 * n and all(c is None or int(min(v * STEPS, STEPS)) < c for v, c in zip(values, limits))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            strata = (str(x) if x is not None else "" for x in batch.column(at_stratum).to_pylist())
-            yield batch.filter(pa.array([passes(t.as_py(), s) for t, s in zip(batch.column(at_text), strata)], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    own = fresh_name(docs, "measured")
+    rows = staged(arrow_sized(docs).withColumn(own, measured_text(text_col)), "measured-rows")
+    measured = rows.select(F.col(id_col).alias("id"), stratum_of(stratum_col).alias("stratum"), f"{own}.*")
+    # a row for each stratum that has a cut-off, on the driver already
+    cuts = {r["stratum"]: r for r in cutoffs(measured, labels, id_col, good, risk, level).collect()}
+    m, away = F.col(own), F.lit(False)
+    for stratum, r in cuts.items():
+        over = [m[x] >= r[f"cut_{x}"] for x in RULES if r[f"cut_{x}"] is not None]
+        if over:
+            away = away | ((stratum_of(stratum_col) == stratum) & functools.reduce(operator.or_, over))
+    base = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
+    return rows.where(~base & ~away).select(docs.columns)

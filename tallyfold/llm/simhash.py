@@ -20,9 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_side, staged
+from .common import arrow_sized, forget_tables, staged
 from .components import connected_components
-from .near_copies import near_groups
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SHINGLE = 3
@@ -54,12 +53,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp) of every row; fp is the fingerprint's 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tables()
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    return arrow_sized(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, f"id {kind}, fp long")
 
 
 # --- groups of bits, and thresholds by dynamic programming ------------------------------------------
@@ -257,18 +257,3 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     smallest = linked.groupBy("component").agg(F.min("first").alias("component_id"))
     of = linked.join(smallest, "component").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return own.hint("merge").join(of, "fp").select("id", "fp", "component_id", "n_links")
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` with the smallest id of their group of near copies, all columns kept.
-
-    Near copies have a similarity of 0.8 or more of their five-word shingles, which may be over 10 of 64 bits
-    apart: too far for the pigeonhole search, so near_copies finds them.  Rows with a null id cannot be named and stay; of rows that repeat an id one stays.
-    """
-    groups = staged(near_groups(docs, id_col, text_col), "near-groups")
-    others = staged(groups.where("id != component_id").select(F.col("id").alias(id_col)).distinct(), "other-copies")
-    kept = docs.join(ids_side(others), id_col, "left_anti").select(docs.columns)
-    if groups.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count():
-        named = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-        kept = named.unionByName(kept.where(F.col(id_col).isNull()))
-    return kept

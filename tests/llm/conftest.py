@@ -22,8 +22,9 @@ ODD_TEXTS = [
 @pytest.fixture(scope="session")
 def odd(spark):
     """Nulls, empty and very long texts, ties, repeated rows, and extra columns with clashing names."""
-    rows = [(i, t, la, s, "k", 1, 2.0) for i, t, la, s in ODD_TEXTS]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, key string, size int, id double").repartition(3)
+    rows = [(i, t, la, s, "k", 1, 2.0, 3, None, 4, "x", "y", 5, 6, "z", None) for i, t, la, s in ODD_TEXTS]
+    more = "doc int, row string, bucket int, shard string, slot string, mix int, _mix int, stratum string, measured string"
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, key string, size int, id double, {more}").repartition(3)
 
 
 @pytest.fixture(scope="session")

@@ -8,7 +8,8 @@ import corpus_pipeline
 from tallyfold.llm import mixing, quality
 
 from .conftest import SF
-from .test_contracts import plain_components, plain_fingerprint, plain_ids
+from .test_contracts import plain_ids
+from .test_near_copies import plain_first
 
 
 def test_stages(spark, tmp_path):
@@ -24,12 +25,9 @@ def test_stages(spark, tmp_path):
     good = [r for r in before if r.doc_id in kept]
     assert sorted(r.doc_id for r in rows["quality_rules"]) == sorted(r.doc_id for r in good) and len(good) < len(before)
 
-    prints = {r.doc_id: plain_fingerprint(r.text) for r in good}
-    find, _ = plain_components(set(prints.values()))
-    first = {}
-    for i in sorted(prints):
-        first.setdefault(find(prints[i]), i)
-    assert sorted(r.doc_id for r in rows["simhash_near_dedup"]) == sorted(first.values())
+    # near copies have a similarity of 0.8 or more of their five-word shingles
+    first = plain_first([(r.doc_id, r.text) for r in good])
+    assert sorted(r.doc_id for r in rows["simhash_near_dedup"]) == sorted(set(first.values()))
 
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     clean = {r.doc_id for r in rows["benchmark_decontamination"]}
@@ -53,3 +51,28 @@ def test_stages(spark, tmp_path):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 0
+
+
+def test_stages_on_odd_rows(spark, odd, empty, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows and ids, clashing columns, and an empty table."""
+    want = {
+        "quality_rules": [None] * 0, "simhash_near_dedup": sorted([1, 4, 6, 7, 8, 9, 10, 11]), "benchmark_decontamination": None, "source_mixing": None,
+    }
+    ids = lambda df: sorted(i for i in (r.doc_id for r in df.collect()) if i is not None)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        for table, label in ((odd, "odd"), (empty, "empty")):
+            path = str(tmp_path / f"{k}-{label}")
+            stage(spark, table, SF).write.parquet(path)
+            out = spark.read.parquet(path)
+            if name == "token_output":
+                assert out.count() == table.count()
+                continue
+            assert out.columns == table.columns
+            if label == "empty":
+                assert out.count() == 0
+            elif want[name] is not None:
+                assert ids(out) == want[name]
+            else:
+                assert ids(out) == ids(odd)
+            if label == "odd" and name != "quality_rules":
+                assert out.where("doc_id is null").count() == 1
