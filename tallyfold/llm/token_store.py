@@ -16,17 +16,19 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import shared_dir, shuffle_width, staged
+from .common import ARROW_BYTES, arrow_sized, keeps_tables, shared_dir, shuffle_width, staged, text_slices
 
 END_ID = 0
 #: The dictionary is trained on so many documents at most, each with so many bytes of ids at most.
@@ -34,32 +36,48 @@ SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1500, 4096, 64 << 10
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 4096
 LEVEL = 3
 #: Entries of a worker's cache from text chunks to id bytes, in two generations.
-CACHE = 400_000
+CACHE = 800_000
 BUCKET_ROWS, LEAST_BUCKETS = 50_000, 256
 
 _BOUNDARY = re.compile(r"(?<=\S)(?= )")
-_SPACE_RUN = re.compile(r"\s ")
-_MARKS = frozenset(",.!?;:")
+#: A space after white space of any kind (the pattern library of Arrow has ASCII in \\s alone).
+_SPACE_RUN = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}] "
+#: Runs that are pre-tokens of byte-level BPE by themselves: Latin letters, digits, marks but apostrophes, a line end between others.
+_RUN = "(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]++|[0-9]++|[!-&(-/:-@[-`{-~]++)"
+_PART = re.compile(f" ?{_RUN}|\n")
+_PLAIN = re.compile(f" ?{_RUN}(?:{_RUN}|\n(?=\\S))*+")
 _workers: dict[str, "Encoder"] = {}
 
 
+def byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte: printable ones of Latin-1 stand for themselves, the others for U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    odd = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(odd)}
+
+
 class Encoder:
-    """Texts to ids as little-endian bytes, two per id if the vocabulary allows, else four.
+    """Texts to ids, two bytes per id if the vocabulary allows, else four.
 
     Byte-level BPE never merges across a space that follows a non-space character, nor between letters and
-    a mark after them.  So texts are cut there and each distinct piece goes through the tokenizers library
-    once; other kinds of tokenizers get whole texts.
+    a mark after them.  So texts are cut there, the distinct pieces of a batch are found in Arrow, and each
+    that is not known yet goes through the tokenizers library once; other kinds of tokenizers get whole texts.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         before = self.tokenizer.pre_tokenizer
         self.cuts = isinstance(before, pre_tokenizers.ByteLevel) and before.use_regex and not before.add_prefix_space and self.tokenizer.normalizer is None
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.mark, self.mark_text = next(((i, t.content) for i, t in added.items()), (None, None))
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.mark_text = added[0] if added else None
+        self.mark = self.tokenizer.token_to_id(self.mark_text) if added else None
+        self.added = re.compile("|".join(map(re.escape, added))) if added else re.compile("(?!)")
+        self.model = self.tokenizer.model if isinstance(self.tokenizer.model, models.BPE) else None
+        self.words = not any(x.strip().isalpha() for x in added)
+        self.letters = byte_letters()
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
@@ -67,76 +85,115 @@ class Encoder:
     def here(cls, path: str) -> "Encoder":
         if path not in _workers:
             _workers[path] = cls(path)
+            keeps_tables(_workers[path].forget)
         return _workers[path]
 
-    def chunks(self, text: str) -> list[str]:
-        if _SPACE_RUN.search(text) or "\0" in text:
-            return _BOUNDARY.split(text)
-        return text.replace(" ", "\0 ").split("\0")
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces and keep them: many at once, with an added token between them."""
-        plain = [x for x in pieces if self.mark is not None and self.mark_text not in x]
-        for x in set(pieces).difference(plain) if len(plain) < len(pieces) else ():
-            self.known[x] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, self.dtype).tobytes()
-        size = self.dtype.itemsize
-        for k in range(0, len(plain), 1024):
-            some = plain[k : k + 1024]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark_text.join(some)], add_special_tokens=False)[0].ids, self.dtype)
-            cut, raw = (size * np.flatnonzero(ids == self.mark)).tolist(), ids.tobytes()
-            self.known.update(zip(some, (raw[i:j] for i, j in zip([0, *(c + size for c in cut)], [*cut, len(raw)]))))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def forget(self) -> None:
+        self.known, self.before = {}, {}
+
+    def _learn(self, pieces: Iterable[str]) -> None:
+        """Encode pieces and keep them: pre-tokens by the model alone, others many at once with an added token between them."""
+        known, before, dtype, rest = self.known, self.before, self.dtype, pieces
+        if self.model is not None:
+            plain, parts, added, letters, tokenize, kind = _PLAIN.fullmatch, _PART.findall, self.added.search, self.letters, self.model.tokenize, dtype.char
+            space, rest = letters[32], []
+            for x in pieces:
+                if self.words and x.isascii() and (x.isalpha() or x[:1] == " " and x[1:].isalpha()):
+                    known[x] = array(kind, [t.id for t in tokenize(x.replace(" ", space))]).tobytes()
+                    continue
+                if not plain(x) or added(x):
+                    rest.append(x)
+                    continue
+                own = []
+                for part in parts(x):
+                    ids = known.get(part) or before.get(part)
+                    if ids is None:
+                        ids = array(kind, [t.id for t in tokenize(part.encode().decode("latin-1").translate(letters))]).tobytes()
+                    known[part] = ids
+                    own.append(ids)
+                known[x] = b"".join(own)
+        joined = [x for x in rest if self.mark is not None and not self.added.search(x)]
+        for x in set(rest).difference(joined):
+            known[x] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, dtype).tobytes()
+        for k in range(0, len(joined), 1024):
+            some = joined[k : k + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark_text.join(some)], add_special_tokens=False)[0].ids, dtype)
+            cut, raw = (dtype.itemsize * np.flatnonzero(ids == self.mark)).tolist(), ids.tobytes()
+            known.update(zip(some, (raw[i:j] for i, j in zip([0, *(c + dtype.itemsize for c in cut)], [*cut, len(raw)]))))
+
+    def _again(self, piece: str) -> bool:
+        """Bring a piece of the last generation into this one."""
+        ids = self.before.get(piece)
+        if ids is not None:
+            self.known[piece] = ids
+        return ids is not None
+
+    def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Pieces per text, each piece's place in the list of distinct ones, and that list."""
+        odd = pa.compute.match_substring_regex(texts, _SPACE_RUN).to_numpy(zero_copy_only=False).astype(bool)
+        # single spaces: cut at each, what follows has its space back below
+        parts = pa.compute.split_pattern(texts.filter(pa.array(~odd)), " ")
+        counts = np.zeros(len(texts), np.int64)
+        counts[~odd] = np.diff(parts.offsets.to_numpy())
+        # a text's first piece has no space before it: it and the pieces of odd texts are told apart here
+        coded = parts.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        distinct = [f" {x}" for x in coded.dictionary.to_pylist()]
+        place: dict[str, int] = {}
+
+        def own(piece: str) -> int:
+            return place.setdefault(piece, len(distinct) + len(place))
+
+        first = parts.offsets.to_numpy()[:-1] - parts.offsets.to_numpy()[0]
+        codes[first] = [own(distinct[k][1:]) for k in codes[first].tolist()]
+        if odd.any():
+            cut = [[own(x) for x in _BOUNDARY.split(t)] for t in texts.filter(pa.array(odd)).to_pylist()]
+            counts[odd] = [len(x) for x in cut]
+            at = np.concatenate([[0], np.cumsum(counts)])
+            every = np.zeros(int(at[-1]), np.int64)
+            every[np.repeat(~odd, counts)] = codes
+            every[np.repeat(odd, counts)] = [k for x in cut for k in x]
+            codes = every
+        return counts, codes, [*distinct, *place]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each has."""
         if not self.cuts:
-            return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            ids = [e.ids for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.array(x, self.dtype) for x in ids] or [np.zeros(0, self.dtype)]), np.array([len(x) for x in ids], np.int64)
         if len(self.known) > CACHE // 2:  # what the last generation holds and is used again moves on
             self.before, self.known = self.known, {}
-        known = self.known
-        split = [self.chunks(t) for t in texts]
-        found = [list(map(known.get, parts)) for parts in split]
-        holes = [[i for i, x in enumerate(ids) if x is None] if None in ids else () for ids in found]
-        self._fill({parts[i] for parts, at in zip(split, holes) for i in at})
-        for parts, ids, at in zip(split, found, holes):
-            for i in at:
-                ids[i] = known[parts[i]]
-        return list(map(b"".join, found))
-
-    def _fill(self, new: set[str]) -> None:
-        """Bring chunks into this generation: from the last one, from their word and mark, or from the library."""
-        known, before = self.known, self.before
-        known.update([(x, before[x]) for x in new if x in before])
-        new = new.difference(known)
-        ends = {x: x[:-1] for x in new if x[-1:] in _MARKS and x[1:-1].isalpha()}
-        missing = new.difference(ends)
-        for x in {*ends.values(), *_MARKS}.difference(known):
-            if x in before:
-                known[x] = before[x]
-            else:
-                missing.add(x)
-        self._learn(list(missing))
-        for x, word in ends.items():
-            known[x] = known[word] + known[x[-1]]
+        counts, codes, distinct = self._pieces(texts)
+        found = list(map(self.known.get, distinct))
+        holes = [k for k, x in enumerate(found) if x is None]
+        self._learn([x for x in (distinct[k] for k in holes) if not self._again(x)])
+        for k in holes:
+            found[k] = self.known[distinct[k]]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        start = np.cumsum(size) - size
+        n = size[codes]
+        ends = np.cumsum(n)
+        at = np.repeat(start[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        ids = np.frombuffer(b"".join(found), self.dtype)[at]
+        return ids, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])])
 
 
 def ids_width(path: str) -> int:
     return Encoder.here(path).dtype.itemsize
 
 
-def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """(id, at, text) -> id, at, and the ids' bytes of every whole text, the end id included."""
-    names = ["id", "at"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.here(path)
-        end = np.array([END_ID], encoder.dtype).tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [x + end for x in encoder.encode([t or "" for t in part.column(len(names)).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(ids, pa.binary())], names=[*names, "ids"])
-        encoder.known, encoder.before = {}, {}  # the worker lives on, for other stages
-
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, at double, ids binary")
+def document_ids(batches: Iterator[pa.RecordBatch], path: str, text_at: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of batches with the ids' bytes of every whole text, the end id included."""
+    encoder = Encoder.here(path)
+    for batch in batches:
+        for at, n in text_slices(batch.column(text_at), ARROW_BYTES):
+            part = batch.slice(at, n)
+            ids, counts = encoder.encode(part.column(text_at).fill_null(""))
+            ends = np.cumsum(counts)
+            raw = np.insert(ids, ends, END_ID).tobytes()
+            offsets = (np.concatenate([[0], ends + np.arange(1, n + 1)]) * encoder.dtype.itemsize).tolist()
+            yield part, [raw[i:j] for i, j in zip(offsets, offsets[1:])]
+    pa.default_memory_pool().release_unused()  # the worker lives on, for other stages
 
 
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
@@ -144,8 +201,13 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
     drawn = docs.select("id").where("id is not null").orderBy(F.xxhash64(F.lit("dictionary"), "id")).limit(SAMPLE_DOCS).collect()
     if not drawn:
         return b""
-    sample = encoded(docs.where(F.col("id").isin([r["id"] for r in drawn])), path)
-    samples = [bytes(r["x"]) for r in sample.select(F.substring("ids", 1, SAMPLE_BYTES).alias("x")).limit(SAMPLE_DOCS).collect()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, ids in document_ids(batches, path, 0):
+            yield pa.RecordBatch.from_arrays([pa.array([x[:SAMPLE_BYTES] for x in ids], pa.binary())], names=["x"])
+
+    sample = arrow_sized(docs).where(F.col("id").isin([r["id"] for r in drawn])).select("text").mapInArrow(run, "x binary")
+    samples = [bytes(r["x"]) for r in sample.limit(SAMPLE_DOCS).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # fewer or shorter samples than the trainer accepts
@@ -164,20 +226,20 @@ def write_store(docs: DataFrame, store: str, tokenizer: str, id_col: str = "doc_
 
     kind = docs.schema[id_col].dataType.simpleString()
 
+    buckets = max(LEAST_BUCKETS, -(-rows.select("id").count() // BUCKET_ROWS))
+    # quantiles of the order: one number a bucket
+    at = [k / buckets for k in range(1, buckets)]
+    edges = np.array(sorted(set(rows.select(F.percentile_approx("at", at, 20 * buckets)).first()[0] or [])), np.float64)
+
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frames = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
-        for batch in batches:
-            ids = batch.column(2).to_pylist()
-            packed = [frames.compress(x) for x in ids]
+        for part, ids in document_ids(batches, tokenizer, 2):
+            place = part.column(1).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+            bucket = pa.array(np.searchsorted(edges, place, side="left").astype(np.int32))
             counts = pa.array([len(x) // width for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts, pa.array(packed, pa.binary())], names=["id", "at", "n", "frame"])
+            yield pa.RecordBatch.from_arrays([bucket, *part.columns[:2], counts, pa.array(map(frames.compress, ids), pa.binary())], names=["bucket", "id", "at", "n", "frame"])
 
-    frames = encoded(rows, tokenizer).mapInArrow(compress, f"id {kind}, at double, n long, frame binary")
-    buckets = max(LEAST_BUCKETS, -(-rows.select("id").count() // BUCKET_ROWS))
-    # quantiles of the order: one number a bucket
-    at = [k / buckets for k in range(1, buckets)]
-    edges = rows.select(F.percentile_approx("at", at, 20 * buckets)).first()[0] or []
-    edges = sorted(set(edges))
+    frames = arrow_sized(rows).mapInArrow(compress, f"bucket int, id {kind}, at double, n long, frame binary")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seq, held, size, bucket = 0, [], 0, None
@@ -200,42 +262,42 @@ def write_store(docs: DataFrame, store: str, tokenizer: str, id_col: str = "doc_
         if held:
             yield block()
 
-    inner = np.array(edges, np.float64)
-
-    @F.pandas_udf("int")
-    def bucket(at: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(inner, at.fillna(-np.inf).to_numpy(), side="left").astype(np.int32))
-
-    dealt = frames.withColumn("bucket", bucket("at")).repartition(shuffle_width(spark), "bucket").sortWithinPartitions("bucket", F.col("at").asc_nulls_first(), "id", "n", "frame")
+    dealt = frames.repartition(shuffle_width(spark), "bucket").sortWithinPartitions("bucket", F.col("at").asc_nulls_first(), "id", "n", "frame")
     fields = f"part int, seq int, ids array<{kind}>, offsets array<long>, counts array<long>, dictionary string, payload binary"
     dealt.select("bucket", "id", "n", "frame").mapInPandas(pack, fields).write.option("compression", "uncompressed").parquet(f"{store}/blocks")
 
 
-def read_store(spark: SparkSession, store: str) -> DataFrame:
-    """id, part, seq, rank (in the block), n and the ids' bytes of every document, decompressed from the files."""
+def _documents(spark: SparkSession, store: str, fields: str, values) -> DataFrame:
+    """id, part, seq, rank (in the block) and n of every document, and what `values` makes of its ids' bytes, read from the files."""
     head = spark.read.parquet(f"{store}/dictionary").first()
     trained, digest = bytes(head["dictionary"]), head["sha256"]
     if hashlib.sha256(trained).hexdigest() != digest:
         raise ValueError("the dictionary does not have its hash")
-    blocks = spark.read.parquet(f"{store}/blocks")
+    blocks = arrow_sized(spark.read.parquet(f"{store}/blocks"))
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frames = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["dictionary"] != digest:
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k] for c in batch.schema.names}
+                if row["dictionary"].as_py() != digest:
                     raise ValueError("a block was written with another dictionary")
-                o, n = row["offsets"], len(row["ids"])
+                o, n, payload, ids, counts = row["offsets"].as_py(), len(row["ids"]), memoryview(row["payload"].as_buffer()), row["ids"].values, row["counts"].values
                 for at in range(0, n, 256):
-                    some = range(at, min(n, at + 256))
-                    ids = [frames.decompress(row["payload"][o[k] : o[k + 1]]) for k in some]
+                    m = min(n, at + 256) - at
+                    place = [pa.array([row["part"].as_py()] * m, pa.int32()), pa.array([row["seq"].as_py()] * m, pa.int32()), pa.array(range(at, at + m), pa.int32())]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([row["ids"][k] for k in some], batch.schema.field("ids").type.value_type), pa.array([row["part"]] * len(ids), pa.int32()), pa.array([row["seq"]] * len(ids), pa.int32()), pa.array(some, pa.int32()), pa.array([row["counts"][k] for k in some], pa.int64()), pa.array(ids, pa.binary())],
-                        names=["id", "part", "seq", "rank", "n", "ids"],
+                        [ids.slice(at, m), *place, counts.slice(at, m), values([frames.decompress(payload[o[j] : o[j + 1]]) for j in range(at, at + m)])],
+                        names=["id", "part", "seq", "rank", "n", "value"],
                     )
 
-    return blocks.mapInArrow(run, f"id {kind}, part int, seq int, rank int, n long, ids binary")
+    return blocks.mapInArrow(run, f"id {kind}, part int, seq int, rank int, n long, value {fields}")
+
+
+def read_store(spark: SparkSession, store: str) -> DataFrame:
+    """id, part, seq, rank (in the block), n and the ids' bytes of every document, decompressed from the files."""
+    return _documents(spark, store, "binary", lambda ids: pa.array(ids, pa.binary())).withColumnRenamed("value", "ids")
 
 
 def read_document(spark: SparkSession, store: str, doc_id: int) -> np.ndarray | None:
@@ -255,16 +317,10 @@ def token_index(spark: SparkSession, store: str) -> DataFrame:
     """id, start (ids of all documents before it), n_tokens and the CRC of the ids as 32-bit numbers, read from the files."""
     width = spark.read.parquet(f"{store}/dictionary").select("id_bytes").first()[0]
 
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [np.frombuffer(x.as_buffer(), f"<u{width}") for x in batch.column("ids")]
-            sums = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
-            cols = [batch.column(c) for c in ("id", "part", "seq", "rank")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([len(x) for x in ids], pa.int64()), pa.array(sums, pa.int64())], names=["id", "part", "seq", "rank", "n_tokens", "ids_crc32"])
-
-    docs = read_store(spark, store)
-    kind = docs.schema["id"].dataType.simpleString()
-    read = docs.mapInArrow(crc, f"id {kind}, part int, seq int, rank int, n_tokens long, ids_crc32 long")
+    def crc(ids: list[bytes]) -> pa.Array:
+        return pa.array([zlib.crc32(np.frombuffer(x, f"<u{width}").astype("<u4").tobytes()) for x in ids], pa.int64())
+
+    read = _documents(spark, store, "long", crc).withColumnsRenamed({"n": "n_tokens", "value": "ids_crc32"})
     read = staged(read, "token-index")
     before = W.Window.partitionBy("part").orderBy("seq", "rank").rowsBetween(W.Window.unboundedPreceding, -1)
     inside = read.withColumn("_inside", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
