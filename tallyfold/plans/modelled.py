@@ -74,7 +74,7 @@ def m11_choose_c(spark, d):
 
 def m13_compare(spark, d):
     train, _, test = split_frame(form_frame(spark, d))
-    return rounded(models.compare(train, test, FORM, "got", 100, (40, 80)), 6)
+    return rounded(models.compare(train, test, FORM, "got", 60, (15, 30)), 6)
 
 
 def m15_coefficients(spark, d):
