@@ -1,18 +1,24 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, names and units become typed placeholders, so a question and its re-parameterised copies share
-one template.  Windows of template tokens are hash-joined between documents and benchmark items; for the
-pairs that match widely enough, the words behind the placeholders are aligned and must map one to one.
+Numbers (as digits or words), names and units become typed placeholders, so a question and its re-parameterised
+copies share one template; a run of name words is one placeholder, and the words of the items' names are names in lower
+case too, so that copies may have lost their capitals.  Windows of template tokens are hash-joined between documents
+and benchmark items; for the pairs that match widely enough, the values behind the placeholders are aligned and
+must map one to one.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ids_side, staged
 
-#: Template tokens of a window; items with fewer are matched whole, those below LEAST tokens not at all.
+#: Template tokens of a window; items with fewer are matched whole, those below LEAST tokens, which common phrases
+#: would match, not at all.
 WINDOW, LEAST = 8, 5
 #: A document holds an item if it has this share of its windows, or a run this long.
 SHARE, RUN = 0.5, 13
@@ -31,32 +37,85 @@ UNITS = [
     "meter", "meters", "metre", "metres", "kilometer", "kilometers", "kilometre", "kilometres", "mph", "kmh", "watt", "watts", "volt", "volts",
 ]
 
-NAME = "\u0001"
-TOKEN = f"{NAME}?[\\p{{L}}\\p{{M}}]+|\\p{{N}}+(?:[.,:/]\\p{{N}}+)*"
-_NAME_START = "(?<=[\\p{Ll}\\p{N},;:] )(?=\\p{Lu}\\p{L})"
+#: Number words, words between those of a name, and words that start sentences and are no names.
+ONES = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
+TEENS = ["ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen"]
+TENS = ["twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"]
+PARTICLES = ["al", "bin", "da", "de", "del", "della", "den", "der", "di", "el", "la", "le", "van", "von"]
+STARTERS = [
+    "A", "After", "All", "An", "And", "Are", "As", "At", "Before", "But", "By", "Calculate", "Can", "Compute", "Did", "Do", "Does", "Each", "Every", "Find", "For", "From",
+    "Given", "Had", "Has", "Have", "He", "Her", "His", "How", "I", "If", "In", "Is", "It", "Its", "Let", "Of", "On", "Or", "She", "Since", "So", "Some", "Suppose",
+    "That", "The", "Their", "Then", "There", "These", "They", "This", "Those", "To", "Was", "We", "Were", "What", "When", "Where", "Which", "While", "Who", "Why", "Will", "With", "You", "Your",
+]
+#: Values of number words; those side by side are added up.
+NUMBERS = {"zero": 0, "hundred": 100, "thousand": 1000, "million": 1_000_000} | {w: k for k, w in enumerate([*ONES, *TEENS], 1)} | {t: 10 * k for k, t in enumerate(TENS, 2)}
+
+#: Han and kana are words by the character.
+_SIGN = "\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}"
+TOKEN = f"\\p{{N}}+(?:[.,:/]\\p{{N}}+)*|[\\p{{L}}\\p{{M}}&&[^{_SIGN}]]+|[{_SIGN}]"
 
 
 def tokens(text: Column) -> Column:
-    """Words and numbers of the whole text; capitalised words inside a sentence are marked as names."""
-    return F.regexp_extract_all(F.regexp_replace(F.coalesce(text, F.lit("")), _NAME_START, NAME), F.lit(TOKEN), F.lit(0))
+    """Words and numbers of the whole text."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
-def _is_number(token: Column) -> Column:
+def _is_digits(token: Column) -> Column:
     return (token >= "0") & (token < ":")
 
 
-def kinds(words: str) -> Column:
-    """The template of an array column of tokens: lower-cased words and placeholders."""
+def _capital(token: Column, low: Column) -> Column:
+    return (token != low) & ~low.isin([x.lower() for x in STARTERS])
+
+
+def templated(df: DataFrame, text: str, names: list[str]) -> DataFrame:
+    """`df` with tokens, flat (the kind of each token), kept (the first token of each placeholder, and every other token) and codes.
+
+    A name is a word with a capital that does not merely start sentences, or one that is among `names` in lower case; names side by
+    side, with words between them that names have, are one placeholder, and so are number words side by side.
+    """
+
+    def kind(token: Column) -> Column:
+        low = F.lower(token)
+        name = _capital(token, low) | low.isin(names) if names else _capital(token, low)
+        return F.when(_is_digits(token) | low.isin(list(NUMBERS)), "<number>").when(name, "<name>").otherwise(low)
+
+    def joined(token: Column, at: Column) -> Column:
+        near = lambda *steps: functools.reduce(operator.or_, (F.coalesce(F.get("raw", at + k) == "<name>", F.lit(False)) for k in steps))
+        unit = token.isin(UNITS) & F.coalesce(F.get("raw", at - 1) == "<number>", F.lit(False))
+        return F.when(unit, "<unit>").when(token.isin(PARTICLES) & near(-1, -2) & near(1, 2), "<name>").otherwise(token)
+
+    def starts(at: Column) -> Column:
+        same = (F.get("flat", at) == F.get("flat", at - 1)) & F.get("flat", at).isin("<name>", "<number>")
+        words = (F.get("flat", at) == "<name>") | ~(_is_digits(F.get("tokens", at)) | _is_digits(F.get("tokens", at - 1)))
+        return (at == 0) | ~(same & words)
 
-    def kind(token: Column, at: Column) -> Column:
-        return (
-            F.when(_is_number(token), "<number>")
-            .when(token.startswith(NAME), "<name>")
-            .when(token.isin(UNITS) & F.coalesce(_is_number(F.get(words, at - 1)), F.lit(False)), "<unit>")
-            .otherwise(F.lower(token))
-        )
+    out = df.withColumn("tokens", tokens(F.col(text))).withColumn("raw", F.transform("tokens", kind)).withColumn("flat", F.transform("raw", joined))
+    every = F.when(F.size("flat") > 0, F.sequence(F.lit(0), F.size("flat") - 1)).otherwise(F.array().cast("array<int>"))
+    out = out.withColumn("kept", F.filter(every, starts))
+    return out.withColumn("codes", F.transform("kept", lambda i: F.xxhash64(F.get("flat", i))))
 
-    return F.transform(words, kind)
+
+def values() -> Column:
+    """What each kept token stands for with those that go with it: numbers in digits, the rest in lower case."""
+    number = F.create_map(*(F.lit(x) for pair in NUMBERS.items() for x in (pair[0], str(pair[1]))))
+
+    def value(i: Column, k: Column) -> Column:
+        n = F.coalesce(F.get("kept", k + 1), F.size("tokens")) - i
+        words = F.transform(F.slice("tokens", i + 1, n), lambda x: F.coalesce(F.try_element_at(number, F.lower(x)), F.lower(x)))
+        added = F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x.try_cast("long"), F.lit(0)))
+        return F.when((n > 1) & (F.get("flat", i) == "<number>"), added.cast("string")).otherwise(F.array_join(words, " "))
+
+    return F.transform("kept", value)
+
+
+def name_words(benchmark: DataFrame, text: str) -> list[str]:
+    """The words of the items' names in lower case: few, as the items are, and part of the plan like their windows."""
+    words = benchmark.select(F.explode(tokens(F.col(text))).alias("w")).distinct()
+    low = F.lower("w")
+    names = words.where(_capital(F.col("w"), low) & ~_is_digits(F.col("w"))).select(low.alias("w")).distinct()
+    # what the items also write small is an ordinary word
+    return sorted(r["w"] for r in names.join(words.select("w"), "w", "left_anti").collect())
 
 
 def windows(template: str, length: int) -> Column:
@@ -66,42 +125,41 @@ def windows(template: str, length: int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(*(F.get(template, i + k) for k in range(length))))
 
 
-def _templated(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumn("tokens", tokens(F.col(text))).withColumn("kinds", kinds("tokens"))
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """id, item_id, n_windows (distinct item windows found), share, at (first token), kind: `exact` or `reparameterised`.
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST
+) -> DataFrame:
+    """id, item_id, n_windows (distinct item windows found), share, at (first template token), kind: `exact`, `partial` or `reparameterised`.
 
     One row for each document and item it holds.  Every alignment that has the share or the run is a place to
     check, so is every group of neighbouring ones with the share together, and the fullest ones.  Pairs whose
     slots contradict each other at all places (one item value standing for two, or two for one) are left out; of the
-    others `at` and `kind` tell an exact place before others, then the fullest, then the first.  Null texts and
-    items hold nothing; rows that repeat id and text give one row; rows with null ids are compared like any other; empty tables give no rows;
-    other columns are not read.
+    others `at` and `kind` tell an exact place before others, then the fullest, then the first.  A place is exact if all
+    tokens of the item stand there, number words and digits being the same; partial if only its slots agree.  Null texts and
+    items hold nothing; items of fewer than `least` tokens are not searched; rows that repeat id and text give one
+    row; rows with null ids are compared like any other; empty tables give no rows; other columns are not read.
     """
-    items = _templated(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).distinct(), "text")
-    items = staged(items.where(F.size("kinds") >= LEAST).select("item_id", "tokens", "kinds", F.transform("kinds", lambda k: F.xxhash64(k)).alias("codes")), "items")
-    # lengths below WINDOW that occur: four numbers at most
+    told = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).distinct()
+    names = name_words(told, "text")
+    items = templated(told, "text", names).where(F.size("codes") >= least)
+    items = staged(items.select("item_id", values().alias("values"), F.transform("kept", lambda i: F.get("flat", i)).alias("kinds"), "codes"), "items")
+    # lengths below WINDOW that occur: a few numbers
     lengths = sorted({WINDOW, *(r[0] for r in items.where(F.size("codes") < WINDOW).select(F.size("codes")).distinct().collect())})
 
     text = F.col(text_col)
     named = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    coded = _templated(named, "text").select("id", "key", F.transform("kinds", lambda k: F.xxhash64(k)).alias("codes"))
+    coded = templated(named, "text", names).select("id", "key", "codes")
     own = F.least(F.size("codes"), F.lit(WINDOW))
     wanted = staged(
-        _union(
-            items.where(own == n).select("item_id", F.lit(n).alias("length"), (F.size("codes") - n + 1).alias("n_item"), F.posexplode(windows("codes", n)).alias("item_at", "window"))
-            for n in lengths
-        ),
+        _union(items.where(own == n).select("item_id", F.lit(n).alias("length"), (F.size("codes") - n + 1).alias("n_item"), F.posexplode(windows("codes", n)).alias("item_at", "window")) for n in lengths),
         "item-windows",
     )
     seen = _union(coded.select("id", "key", F.lit(n).alias("length"), F.posexplode(windows("codes", n)).alias("at", "window")) for n in lengths)
     small = wanted.count() <= BROADCAST_WINDOWS
     hits = seen.join(F.broadcast(wanted) if small else wanted, ["window", "length"])
-    votes = hits.groupBy("id", "key", "item_id", "n_item", "length", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.collect_set("item_at").alias("found"))
+    pair = ["id", "key", "item_id", "n_item", "length"]
+    votes = hits.groupBy(*pair, (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.collect_set("item_at").alias("found"))
     run = RUN - F.col("length") + 1
-    pairs = votes.groupBy("id", "key", "item_id", "n_item", "length").agg(F.array_sort(F.collect_list(F.struct("diagonal", F.array_sort("found").alias("found")))).alias("votes"))
+    pairs = votes.groupBy(*pair).agg(F.array_sort(F.collect_list(F.struct("diagonal", F.array_sort("found").alias("found")))).alias("votes"))
     pairs = pairs.withColumns({"n_windows": _covered(F.col("votes")), "fullest": F.array_max(F.transform("votes", lambda v: F.size(v["found"])))})
     pairs = pairs.where((F.col("n_windows") >= SHARE * F.col("n_item")) | (F.col("fullest") >= run))
 
@@ -119,32 +177,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     # only matching documents are read again for their words
     matching = named.join(best.select("id", "key").distinct().withColumnsRenamed({"id": "m_id", "key": "m_key"}), F.col("id").eqNullSafe(F.col("m_id")) & (F.col("key") == F.col("m_key")), "left_semi")
-    doc_tokens = matching.select("id", "key", tokens(F.col("text")).alias("doc_tokens")).dropDuplicates(["id", "key"]).withColumnsRenamed({"id": "d_id", "key": "d_key"})
-    aligned = best.join(doc_tokens, F.col("id").eqNullSafe(F.col("d_id")) & (F.col("key") == F.col("d_key"))).join(items.select("item_id", "tokens", "kinds"), "item_id")
-
-    def value(token: Column) -> Column:
-        return F.lower(F.translate(token, NAME, ""))
+    matching = staged(matching.dropDuplicates(["id", "key"]), "matching-texts")
+    doc_values = templated(matching, "text", names).select(F.col("id").alias("d_id"), F.col("key").alias("d_key"), values().alias("doc_values"))
+    aligned = best.join(doc_values, F.col("id").eqNullSafe(F.col("d_id")) & (F.col("key") == F.col("d_key"))).join(items.select("item_id", "values", "kinds"), "item_id")
 
     def slots(vote: Column) -> Column:
         def slot(kind: Column, at: Column) -> Column:
             inside = F.exists(vote["found"], lambda w: (w <= at) & (at < w + F.col("length")))
-            return F.when(kind.startswith("<") & inside, F.struct(value(F.get("tokens", at)).alias("item"), value(F.get("doc_tokens", at + vote["diagonal"])).alias("doc")))
+            item, doc = F.get("values", at), F.get("doc_values", at + vote["diagonal"])
+            # a name that runs on into a capitalised neighbour
+            doc = F.when((kind == "<name>") & (doc.endswith(F.concat(F.lit(" "), item)) | doc.startswith(F.concat(item, F.lit(" ")))), item).otherwise(doc)
+            return F.when(kind.startswith("<") & inside, F.struct(item.alias("item"), doc.alias("doc")))
 
         return F.filter(F.transform("kinds", slot), lambda x: x.isNotNull())
 
+    def whole(vote: Column) -> Column:
+        return (vote["diagonal"] >= 0) & (F.slice("doc_values", F.greatest(vote["diagonal"], F.lit(0)) + 1, F.size("values")) == F.col("values"))
+
     def seen_at(place: Column) -> Column:
         first = F.array_min(F.transform(place, lambda v: v["diagonal"] + F.array_min(v["found"])))
-        return F.struct(F.array_distinct(F.flatten(F.transform(place, slots))).alias("slots"), _covered(place).alias("n"), (-first).alias("before"))
+        return F.struct(F.array_distinct(F.flatten(F.transform(place, slots))).alias("slots"), F.exists(place, whole).alias("whole"), _covered(place).alias("n"), (-first).alias("before"))
 
     def one_to_one(place: Column) -> Column:
         n = F.size(place["slots"])
         return (F.size(F.array_distinct(place["slots"]["item"])) == n) & (F.size(F.array_distinct(place["slots"]["doc"])) == n)
 
     def ranked(place: Column) -> Column:
-        return F.struct(F.forall(place["slots"], lambda x: x["item"] == x["doc"]).alias("exact"), place["n"].alias("n"), place["before"].alias("before"))
+        same = F.forall(place["slots"], lambda x: x["item"] == x["doc"])
+        return F.struct(place["whole"].alias("whole"), place["n"].alias("n"), place["before"].alias("before"), same.alias("same"))
 
     checked = aligned.withColumn("seen", F.transform("places", seen_at)).withColumn("top", F.array_max(F.transform(F.filter("seen", one_to_one), ranked))).where("top is not null")
-    kind = F.when(F.col("top.exact"), "exact").otherwise("reparameterised")
+    kind = F.when(F.col("top.whole"), "exact").when(F.col("top.same"), "partial").otherwise("reparameterised")
     return checked.select("id", "item_id", "n_windows", F.round("share", 6).alias("share"), (-F.col("top.before")).alias("at"), kind.alias("kind"))
 
 
