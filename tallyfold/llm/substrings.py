@@ -1,4 +1,4 @@
-"""Removal of byte strings that repeat across documents, exactly.
+"""Removal of byte strings that repeat across documents.
 
 A byte is removed if a string of LENGTH bytes over it also starts in a document with a smaller id.  The
 work goes through a sample of positions that covers every such string, as in difference-cover suffix
@@ -8,7 +8,7 @@ positions ever meet in a shuffle.
 
 1. Sampled grams are named (hashed), sorted by name, and names found in two documents or more go back.
 2. For those names the positions' contexts are sorted by the windows they stand for; equal neighbours are
-   one string, and all but the smallest id's windows are covered.  Every task first does this among its
+   one string (found by hash, compared by bytes), and all but the smallest id's windows are covered.  Every task first does this among its
    own contexts and passes on only windows that it could not cover, so that crowded names shrink before
    the shuffle; then the rest meets by name.
 3. Covered windows go back to their documents.
@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width
+from .common import arrow_sized, shuffle_width, staged
 
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM  # bytes that a window may hold before its gram
@@ -185,6 +185,17 @@ def _window_hashes(ctx: np.ndarray, row: np.ndarray, start: np.ndarray, base: in
     return prefix[start + LENGTH, row] - prefix[start, row] * power[LENGTH]
 
 
+def _differ(ctx: np.ndarray, which: np.ndarray, off: np.ndarray, order: np.ndarray, equal: np.ndarray) -> np.ndarray:
+    """Whether neighbours in `order` that are said to be equal differ in a byte."""
+    pairs, out = np.flatnonzero(equal), []
+    windows = np.lib.stride_tricks.sliding_window_view(ctx, LENGTH, axis=1)
+    for k in range(0, len(pairs), 65536):
+        i, j = order[pairs[k : k + 65536]], order[pairs[k : k + 65536] + 1]
+        one, two = windows[which[i], REACH - off[i]], windows[which[j], REACH - off[j]]
+        out.append((one.view(f"V{LENGTH}") != two.view(f"V{LENGTH}")).ravel())
+    return np.concatenate(out) if out else np.zeros(0, bool)
+
+
 def resolve(doc: np.ndarray, open_: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bits of covered windows for each context, and bits that stay open (the smallest id's own).
 
@@ -201,10 +212,15 @@ def resolve(doc: np.ndarray, open_: np.ndarray, ctx: np.ndarray) -> tuple[np.nda
     order = np.argsort(h1)
     if ((h1[order][1:] == h1[order][:-1]) & (h2[order][1:] != h2[order][:-1])).any():
         order = np.lexsort((h2, h1))
-    s1, s2, d = h1[order], h2[order], doc[which[order]]
+    new = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+    if _differ(ctx, which, off, order, ~new).any():  # hashes that agree by chance: sorted by their bytes instead
+        whole = ctx[which[:, None], REACH - off[:, None] + np.arange(LENGTH)].view(f"V{LENGTH}").ravel()
+        order = np.argsort(whole, kind="stable")
+        new = whole[order][1:] != whole[order][:-1]
+    d = doc[which[order]]
     covered = np.zeros(len(which), bool)
     if len(which):
-        start = np.flatnonzero(np.concatenate([[True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])]))
+        start = np.flatnonzero(np.concatenate([[True], new]))
         least = np.repeat(np.minimum.reduceat(d, start), np.diff(np.concatenate([start, [len(d)]])))
         covered[order] = d > least
     bits = np.bincount(which[covered], 2.0 ** off[covered], minlength=len(doc)).astype(np.uint32)
@@ -346,17 +362,17 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """id (long), n_bytes, n_removed, n_spans and kept_sha256 of every row of `docs`.
 
     Null texts are empty; documents shorter than LENGTH lose nothing.  Rows with null ids neither lose
-    bytes nor take any; rows that repeat an id do not take from each other; an empty table gives no rows;
-    other columns are not read.
+    bytes nor take any; rows that repeat an id do not take from each other; ids must be integers, or strings of
+    digits; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     width = max(LEAST_BUCKETS, shuffle_width(spark))
     buckets = 4 * width
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(id_col), text).alias("row"), text.alias("text"))
+    rows = arrow_sized(docs).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(id_col), text).alias("row"), text.alias("text"))
     # the texts once more, bucketed by id: two joins by id then move no text
     name = f"texts_{uuid.uuid4().hex}"
-    rows.write.bucketBy(width, "doc").format("parquet").saveAsTable(name)
+    rows.write.option("compression", "zstd").bucketBy(width, "doc").format("parquet").saveAsTable(name)
     texts = spark.table(name)
 
     long = F.octet_length("text") >= LENGTH
@@ -369,4 +385,6 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     covered = met.repartition(buckets, "doc").mapInArrow(_meet, met.schema).select("doc", "row", "payload")
     covers = covered.groupBy("doc").agg(F.collect_list(F.struct("row", "payload")).alias("covers"))
     left = texts.join(covers.hint("shuffle_hash"), "doc", "left").select("doc", "row", "text", "covers")
-    return left.mapInArrow(_left, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = staged(left.mapInArrow(_left, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "substrings-left")
+    spark.sql(f"DROP TABLE {name}")
+    return out
