@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .evaluation import weights
+from .evaluation import resampled_sums
 
 MOST = 20
 
@@ -26,10 +26,8 @@ def mean_of(dist: Column) -> Column:
 def convolved(a: Column, b: Column, most: int = MOST) -> Column:
     """The distribution of the sum, cut off above `most`."""
     at = F.sequence(F.lit(0), F.lit(most))
-    return F.transform(
-        at,
-        lambda k: F.aggregate(F.sequence(F.lit(0), k), F.lit(0.0), lambda s, i: s + F.coalesce(F.get(a, i), F.lit(0.0)) * F.coalesce(F.get(b, k - i), F.lit(0.0))),
-    )
+    last = F.size(b) - 1  # b is the shorter one
+    return F.transform(at, lambda k: F.aggregate(F.sequence(F.lit(0), F.least(k, last)), F.lit(0.0), lambda s, i: s + F.coalesce(F.get(a, k - i), F.lit(0.0)) * F.get(b, i)))
 
 
 def compounded(dist: Column, n: Column, most: int = MOST) -> Column:
@@ -105,6 +103,57 @@ def compounded_overdispersed(df: DataFrame, keys: list[str], dist: str, n: str,
     return scaled.groupBy(*keys).agg(F.array(*mixed).alias(name))
 
 
+def point_at_zero(most: int = MOST) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(most)), lambda v: F.when(v == 0, 1.0).otherwise(0.0))
+
+
+def answers_by_size(dist: Column, lines: Column, largest: int, most: int = MOST) -> Column:
+    """Element n - 1: P(sum of n draws > line) for each line. One fold over the sizes 1..largest emits them all."""
+
+    def answers(c: Column) -> Column:
+        return bound(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(lines, lambda line: over_line(c, line) / total))
+
+    def step(state: Column, _: Column) -> Column:
+        said = lambda c: F.struct(c.alias("c"), F.array_append(state["said"], answers(c)).alias("said"))
+        return bound(convolved(state["c"], dist, most), said)
+
+    start = F.struct(point_at_zero(most).alias("c"), F.array().cast("array<array<double>>").alias("said"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(largest)), start, step, lambda s: s["said"])
+
+
+def grid_of(sd: Column) -> Column:
+    """`dispersion_grid` of a column: an array of (m, w)."""
+    raw = [F.greatest(1 + z * sd, F.lit(0.05)) for z, _ in GRID]
+    mean = sum((x * w for x, (_, w) in zip(raw, GRID)), F.lit(0.0))
+    return F.array(*(F.struct((x / mean).alias("m"), F.lit(w).alias("w")) for x, (_, w) in zip(raw, GRID)))
+
+
+def batch_over_lines(rows: DataFrame, keys: list[str], mean: str, sizes: str, shapes: DataFrame, largest: int, digits: int = 4, method: str = "frequency", most: int = MOST) -> DataFrame:
+    """keys, target, line, over: the chance of every row to be above every line of its target.
+
+    rows: keys, target, the mean per trial, and `sizes`, whose element k is the weight of k + 1 trials, up to `largest`.  shapes: a row for each
+    target with shape (the distribution of one trial), sd (of the mean-one multiplier) and lines.  Means are rounded to `digits`, so that
+    a distribution is worked out once for each target, mean and multiplier that occurs, however many rows share it; their number is bounded by
+    the grid of means.  Rows whose target has no shape, and rows with a null mean or no sizes, are left out.
+    """
+    step = 10.0**digits
+    # halves that differ in their last bits round alike
+    told = rows.select(*keys, "target", (F.floor(F.col(mean) * step + 0.5000001) / step).alias("_q"), F.col(sizes).alias("_sizes")).where("_q is not null and size(_sizes) > 0")
+    cases = told.select("target", "_q").distinct().join(F.broadcast(shapes), "target")
+    shaped = cases.withColumn("_d", scaled_to(F.col("shape"), F.col("_q"), method))
+    # a row for each multiplier, so that work on one case can be dealt to several tasks
+    each = shaped.select("target", "_q", "_d", "lines", F.explode(grid_of(F.col("sd"))).alias("_g")).repartition("target", "_q", "_g")
+    scaled = each.withColumn("_s", scaled_to(F.col("_d"), mean_of(F.col("_d")) * F.col("_g.m"), method))
+    answered = scaled.select("target", "_q", "lines", F.col("_g.w").alias("_w"), F.posexplode(answers_by_size(F.col("_s"), F.col("lines"), largest, most)).alias("_n", "_a"))
+    by_line = answered.select("target", "_q", "_n", "_w", F.inline(F.arrays_zip(F.col("lines").alias("line"), F.col("_a").alias("p"))))
+    mixed = by_line.groupBy("target", "_q", "line", "_n").agg(F.sum(F.col("_w") * F.col("p")).alias("p"))
+    table = mixed.groupBy("target", "_q", "line").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "p"))), lambda x: x["p"]).alias("p"))
+    table = table.groupBy("target", "_q").agg(F.collect_list(F.struct("line", "p")).alias("_lines"))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    over = lambda x: F.struct(x["line"].alias("line"), (total(F.zip_with(F.slice("_sizes", 1, largest), x["p"], lambda w, p: w * p)) / total(F.slice("_sizes", 1, largest))).alias("over"))
+    return told.join(table, ["target", "_q"]).select(*keys, "target", F.inline(F.transform("_lines", over)))
+
+
 def histogram(df: DataFrame, keys: list[str], value: str, most: int) -> DataFrame:
     """`dist` for each key: the share of rows at each value, clipped to 0..most."""
     v = F.least(F.greatest(F.col(value), F.lit(0)), F.lit(most)).cast("int")
@@ -168,12 +217,14 @@ def method_scores(games: DataFrame, key: str, base: str, mean: str, n: str, tota
         c = compounded_overdispersed(scaled, ["k_base", "k_mean", "k_n"], "_d", "k_n", sd, "_c", most, method)
         rows = rows.join(c.select("k_base", "k_mean", "k_n", F.array(*(over_line(F.col("_c"), F.lit(x)) for x in lines)).alias(f"_{method}")), ["k_base", "k_mean", "k_n"])
 
-    def gap(method: str, weight: Column) -> Column:
-        each = [F.abs(F.sum(weight * F.get(f"_{method}", k)) - F.sum(weight * (F.col("_t") > x).cast("double"))) / F.sum(weight) for k, x in enumerate(lines)]
+    facts = {f"{m}_{k}": F.get(f"_{m}", k) for m in METHODS for k in range(len(lines))} | {f"did_{k}": (F.col("_t") > x).cast("double") for k, x in enumerate(lines)}
+
+    def gap(method: str) -> Column:
+        each = [F.abs(F.col(f"{method}_{k}") - F.col(f"did_{k}")) / F.col("w") for k in range(len(lines))]
         return sum(each[1:], each[0]) / len(lines)
 
-    own = rows.agg(*(gap(m, F.lit(1.0)).alias(f"{m}_gap") for m in METHODS))
-    drawn = weights(rows, key, replicates).groupBy("replicate").agg(*(gap(m, F.col("w").cast("double")).alias(m) for m in METHODS))
+    own = rows.agg(F.count("*").alias("w"), *(F.sum(v).alias(c) for c, v in facts.items())).select(*(gap(m).alias(f"{m}_gap") for m in METHODS))
+    drawn = resampled_sums(rows, key, replicates, facts).select(*(gap(m).alias(m) for m in METHODS))
     return own.crossJoin(drawn.agg(F.avg((F.col("frequency") < F.col("tilt")).cast("double")).alias("frequency_wins")))  # one row and one row
 
 

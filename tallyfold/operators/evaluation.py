@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -95,16 +99,40 @@ def poisson_edges() -> list[int]:
     return out
 
 
-def weights(df: DataFrame, key: str, replicates: int) -> DataFrame:
-    """`df` once for each replicate 1..n with a resampling weight from a hash of key and replicate; weight 0 dropped.
+#: Replicates' weights that a task holds at once: 8 bytes each.
+_DRAWS = 1 << 20
+
+
+def resampled_sums(df: DataFrame, key: str, replicates: int, values: dict[str, Column]) -> DataFrame:
+    """(replicate, w, and the weighted sum of each value) for replicates 1..n: Poisson resampling with weights from a hash of key and replicate.
 
-    One digest of the key for each row; the draws of its replicates are two rounds of products below PRIME from it.
+    A row's seed is a digest of its key; the draws of its replicates are two rounds of products below PRIME from it.  Every task
+    keeps its own sums, so what is shuffled is a row for each task and replicate, however many rows there are.
     """
     seed = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 7), 16, 10).cast("long")
-    many = df.withColumn("_seed", seed).withColumn("replicate", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long"))))
-    first = (F.col("_seed") * (F.col("replicate") * 1103515 + 12345) + F.col("replicate") * 69069 + 1) % PRIME
-    drawn = many.withColumn("_x", first).withColumn("_u", (F.col("_x").bitwiseXOR(F.shiftright("_x", 15)) * 48271 + F.col("replicate")) % PRIME)
-    return drawn.withColumn("w", sum(((F.col("_u") >= e).cast("int") for e in poisson_edges()), F.lit(0))).where("w > 0").drop("_seed", "_x", "_u")
+    rows = df.select(seed.alias("_seed"), *(F.coalesce(v.cast("double"), F.lit(0.0)).alias(c) for c, v in values.items()))
+    edges, names = poisson_edges(), ["replicate", "w", *values]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = np.arange(1, replicates + 1, dtype=np.int64)
+        factor, more = b * 1103515 + 12345, b * 69069 + 1
+        sums, step = None, max(1, _DRAWS // replicates)
+        for batch in batches:
+            cols = [np.ones(batch.num_rows), *(c.to_numpy() for c in batch.columns[1:])]
+            seeds = batch.column(0).to_numpy()
+            for at in range(0, len(seeds), step):
+                x = (seeds[at : at + step, None] * factor + more) % PRIME
+                u = ((x ^ (x >> 15)) * 48271 + b) % PRIME
+                w = np.zeros(u.shape)
+                for e in edges:
+                    w += u >= e
+                part = np.stack([c[at : at + step] for c in cols]) @ w
+                sums = part if sums is None else sums + part
+        if sums is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(b), *map(pa.array, sums)], names=names)
+
+    parts = rows.mapInArrow(run, "replicate long, w double, " + ", ".join(f"{c} double" for c in values))
+    return parts.groupBy("replicate").agg(F.sum("w").alias("w"), *(F.sum(c).alias(c) for c in values)).where("w > 0")
 
 
 def _interval(name: str) -> list[Column]:
@@ -113,15 +141,12 @@ def _interval(name: str) -> list[Column]:
 
 
 def bootstrap_skill(df: DataFrame, key: str, replicates: int = 4000, y: str = "y", p: str = "p") -> DataFrame:
-    """One row: the Brier skill (point), the 2.5 % and 97.5 % points of it over replicates and the share above 0.
-
-    Each replicate is a map-side combined sum; no replicate is sorted or collected.
-    """
+    """One row: the Brier skill (point), the 2.5 % and 97.5 % points of it over replicates and the share above 0."""
     t = F.col(y).cast("double")
     rows = df.select(key, t.alias("_t"), F.pow(F.col(p) - t, 2).alias("_e"))
-    g = weights(rows, key, replicates).groupBy("replicate").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("_t")).alias("x"), F.sum(F.col("w") * F.col("_e")).alias("b"))
-    r = F.col("x") / F.col("n")
-    skill = g.select((1 - (F.col("b") / F.col("n")) / F.nullif(r * (1 - r), F.lit(0.0))).alias("s"))
+    g = resampled_sums(rows, key, replicates, {"x": F.col("_t"), "b": F.col("_e")})
+    r = F.col("x") / F.col("w")
+    skill = g.select((1 - (F.col("b") / F.col("w")) / F.nullif(r * (1 - r), F.lit(0.0))).alias("s"))
     point = rows.agg((1 - F.avg("_e") / F.nullif(F.avg("_t") * (1 - F.avg("_t")), F.lit(0.0))).alias("point"))
     return point.crossJoin(skill.agg(*_interval("s")))  # one row and one row
 
@@ -131,8 +156,8 @@ def paired_bootstrap(df: DataFrame, key: str, replicates: int = 2000, y: str = "
     t = F.col(y).cast("double")
     rows = df.select(key, t.alias("_t"), (F.pow(F.col(first) - t, 2) - F.pow(F.col(second) - t, 2)).alias("_gain"))
     base = rows.agg((F.avg("_t") * (1 - F.avg("_t"))).alias("_v"), F.avg("_gain").alias("_g"))
-    g = weights(rows, key, replicates).groupBy("replicate").agg((F.sum(F.col("w") * F.col("_gain")) / F.sum("w")).alias("g"))
-    s = g.crossJoin(F.broadcast(base)).select((F.col("g") / F.col("_v")).alias("s"))  # one row beside each replicate
+    g = resampled_sums(rows, key, replicates, {"g": F.col("_gain")})
+    s = g.crossJoin(F.broadcast(base)).select((F.col("g") / F.col("w") / F.col("_v")).alias("s"))  # one row beside each replicate
     point = base.select((F.col("_g") / F.col("_v")).alias("point"))
     return point.crossJoin(s.agg(*_interval("s")).withColumnRenamed("above", "wins"))
 

@@ -57,6 +57,74 @@ def split_edge(df: DataFrame, entity: str, split: str, value: str, order: list[s
     return df.withColumns({"edge": F.coalesce(shrunk(inside, n, base, F.lit(strength)) - base, F.lit(0.0)), "edge_n": n})
 
 
+def last_rows_before(df: DataFrame, keys: list[str], peers: list[str], order: list[str], value: str, rows: int, least: int, name: str) -> DataFrame:
+    """`name`: the mean of the last `rows` rows of the key that stand before the first of the row's peers; null below `least` of them.
+
+    Rows of one `peers` value (of a key) see the same frame and not each other.  The sum over a frame that ends at the first peer is that row's own, so
+    every other peer takes it from there: running sums once, no frame for each row.
+    """
+    w = Window.partitionBy(*keys).orderBy(*peers, *order)
+    frame = w.rowsBetween(-rows, -1)
+    own = F.when(F.count(value).over(frame) >= least, F.avg(value).over(frame))
+    at = df.withColumns({"_own": own, "_at": F.row_number().over(w)})
+    first = Window.partitionBy(*keys, *peers).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    return at.withColumn(name, F.first("_own").over(first)).drop("_own", "_at")
+
+
+def split_edges(df: DataFrame, entity: str, value: str, order: list[str], splits: dict[str, str], listed: dict[str, list] | None = None, strength: float = 30.0) -> DataFrame:
+    """`split_edge` for several columns, {name: column}: `name`_edge and `name`_edge_n; 0 where the entity has no earlier row.
+
+    One exchange by entity serves them all.  A column whose few values are `listed` needs no sort of its own: its values' running sums stand side
+    by side in the entity's one window; a value that is not listed raises.  Other columns are sorted within the entity's partition.
+    """
+    own, listed = prior([entity], order), listed or {}
+    sums = {"_base": F.avg(value).over(own)}
+    for name, col in splits.items():
+        for k, v in enumerate(listed.get(col, ())):
+            mine = F.when(F.col(col).eqNullSafe(F.lit(v)), F.col(value))
+            sums |= {f"_{name}_x{k}": F.sum(mine).over(own), f"_{name}_n{k}": F.count(mine).over(own)}
+    for name, col in splits.items():
+        if col not in listed:
+            same = prior([entity, col], order)
+            sums |= {f"_{name}_x": F.sum(value).over(same), f"_{name}_n": F.count(value).over(same)}
+    out, edges = df.withColumns(sums), {}
+    for name, col in splits.items():
+        x, n = F.col(f"_{name}_x") if col not in listed else None, F.col(f"_{name}_n") if col not in listed else None
+        if col in listed:
+            x = n = F.raise_error(F.concat(F.lit(f"{col} is not listed: "), F.col(col).cast("string")))
+            for k, v in enumerate(listed[col]):
+                is_v = F.col(col).eqNullSafe(F.lit(v))
+                x, n = F.when(is_v, F.col(f"_{name}_x{k}")).otherwise(x.cast("double")), F.when(is_v, F.col(f"_{name}_n{k}")).otherwise(n.cast("long"))
+        edge = shrunk(F.coalesce(x.cast("double"), F.lit(0.0)), n, F.col("_base"), F.lit(strength)) - F.col("_base")
+        edges |= {f"{name}_edge": F.coalesce(edge, F.lit(0.0)), f"{name}_edge_n": n}
+    return out.withColumns(edges).drop(*sums)
+
+
+def context_features(
+    frame: DataFrame, meta: DataFrame, entity: str, unit: str, day: str, value: str, order: list[str], first: list[str], nights: list[str], strength: float = 30.0, coldest: float = 32.0
+) -> DataFrame:
+    """A frame of (entity, unit) rows with stand, is_home, weekday and day_night, four split edges of `value`, temperature and wind.
+
+    `meta` (entity, unit, stand, home, and the columns of `first`) has a row for each trial: a unit's first one says where the entity stood.
+    Optional columns of the frame: venue, day_night (of `nights`, else "unknown"), temp, wind_out, wind_side.  A missing venue is a place of its own.  Temperatures of `coldest`
+    or below are no readings; missing ones get the median; missing winds are 0, and wind to the side is signed by the stand.
+    """
+    has = lambda c, kind: F.col(c).try_cast(kind) if c in frame.columns else F.lit(None).cast(kind)
+    where = meta.groupBy(entity, unit).agg(F.min_by(F.struct("stand", "home"), F.struct(*first)).alias("_m"))
+    j = frame.join(where, [entity, unit], "left").withColumns({
+        "stand": F.coalesce("_m.stand", F.lit("R")), "is_home": F.coalesce("_m.home", F.lit(0)).cast("int"), "_venue": F.coalesce(has("venue", "string"), F.lit("-1")),
+        "weekday": F.weekday(day), "day_night": F.coalesce(has("day_night", "string"), F.lit("unknown")), "_temp": F.when(has("temp", "double") > coldest, has("temp", "double")),
+        "wind_out": F.coalesce(has("wind_out", "double"), F.lit(0.0)), "_side": F.coalesce(has("wind_side", "double"), F.lit(0.0)),
+    })
+    edges = split_edges(
+        j.drop("_m"), entity, value, order, {"venue": "_venue", "weekday": "weekday", "home": "is_home", "daynight": "day_night"},
+        {"weekday": list(range(7)), "is_home": [0, 1], "day_night": [*nights, "unknown"]}, strength,
+    )
+    middle = exact_percentiles(frame.select(F.when(has("temp", "double") > coldest, has("temp", "double")).alias("_t")), "_t", [0.5], "_c").select(F.get("_c", 0).alias("_middle"))
+    out = edges.join(F.broadcast(middle))  # one row
+    return out.withColumns({"temp": F.coalesce("_temp", "_middle"), "wind_pull": F.col("_side") * F.when(F.col("stand") == "L", -1.0).otherwise(1.0)}).drop("_venue", "_temp", "_side", "_middle")
+
+
 def fatigue(df: DataFrame, entity: str, day: str, order: list[str], days: int = 7) -> DataFrame:
     """rest_days since the previous row, and recent: earlier rows of the last `days` days, rows of the same day in order."""
     by_order = Window.partitionBy(entity).orderBy(day, *order)

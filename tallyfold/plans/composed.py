@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import distributions as dist
 from ..operators import evaluation, joins, rates, windows
 from ..sources import tables
-from ..sources.shared import new_path
+from ..sources.shared import new_path, staged
 from .evaluated import PAIRED, sql_verdict, sql_weights
 from .bindings import EVENTS, ORDER, ORDER_SQL, SLOTS, TRIALS, UNITS, raw_events, rounded, slots, table, trials, units
 
@@ -192,20 +192,61 @@ def s28_load_day(spark, d):
 SQL["s28_load_day"] = "SELECT strftime(o_orderdate, '%Y') AS season, count(*) AS n, count(DISTINCT o_custkey) AS who FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1"
 
 
-def c9_batch_lines(spark, d):
-    """Several targets and lines of every entity in one job: distributions once for each distinct size, answers unpivoted by line."""
-    t = trials(spark, d)
-    own = dist.histogram(t, ["hand"], "total_bases", 6).withColumn("target", F.lit("bases")).unionByName(dist.histogram(t, ["hand"], "is_hit", 6).withColumn("target", F.lit("hits")))
-    sizes = F.explode(F.array(F.lit(3), F.lit(4), F.lit(5)))
-    c = own.select("hand", "target", "dist", sizes.alias("n")).withColumn("c", dist.compounded(F.col("dist"), F.col("n")))
-    rows = c.withColumn("line", F.explode(F.array(F.lit(0.5), F.lit(1.5), F.lit(2.5))))
-    return rounded(rows.select("hand", "target", "n", "line", dist.over_line(F.col("c"), F.col("line")).alias("over")), 8)
+#: Lines of each target, and trials that stand behind a mean.
+LINES = {"hrr": (0.5, 1.5, 2.5, 3.5), "bases": (0.5, 1.5, 2.5, 3.5), "hits": (0.5, 1.5, 2.5)}
+VALUES = {"hrr": "certain", "bases": "total_bases", "hits": "is_hit"}
+FLAGGED, BEHIND, LARGEST = ("is_hr", "is_hit", "is_walk", "is_k"), 100.0, 7
 
 
-SQL["c9_batch_lines"] = f"""WITH RECURSIVE {TRIALS}, v AS (SELECT hand, 'bases' AS target, total_bases AS x FROM t UNION ALL SELECT hand, 'hits', is_hit FROM t), dd AS (SELECT hand, target, CAST(i AS INT) AS v, avg(CAST(least(x, 6) = i AS INT)) AS p FROM v, (SELECT unnest(range(7)) AS i) GROUP BY ALL),
-dl AS (SELECT hand, target, list(p ORDER BY v) AS l FROM dd GROUP BY ALL),
-r AS (SELECT hand, target, 0 AS n, l, [CASE WHEN k = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FOR k IN range(21)] AS c FROM dl UNION ALL SELECT hand, target, n + 1, l, [list_sum([coalesce(c[i + 1], 0) * coalesce(l[k - i + 1], 0) FOR i IN range(k + 1)]) FOR k IN range(21)] FROM r WHERE n < 5)
-SELECT hand, target, n, line, round(list_sum(c[CAST(floor(line) AS INT) + 2:21]) / list_sum(c), 8) AS over FROM r, (SELECT CAST(unnest([0.5, 1.5, 2.5]) AS DOUBLE) AS line) WHERE n >= 3"""
+def c9_batch_lines(spark, d):
+    """The scoring batch: every entity, its mixture of unit sizes, three compounded targets at their lines with overdispersion, and four flags at least once."""
+    t, u = trials(spark, d), staged(units(spark, d), "batch-units")
+    league = t.agg(*(F.avg(c).alias(f"m_{c}") for c in (*VALUES.values(), *FLAGGED) if c != "is_hit"), F.avg("is_hit").alias("m_is_hit"), *(F.var_pop(c).alias(f"v_{c}") for c in VALUES.values()))
+    league = staged(league, "league")
+    # an entity's sizes, everyone's with fewer than eight units
+    sized = lambda df: df.select(*(c for c in df.columns if c != "dist"), F.slice("dist", 2, LARGEST).alias("dist"))
+    everyone = sized(dist.histogram(u, [], "n", LARGEST)).select(F.col("dist").alias("_all"))
+    own = sized(dist.histogram(u, ["entity"], "n", LARGEST)).join(F.broadcast(everyone)).select("entity", F.when(F.col("n_rows") >= 8, F.col("dist")).otherwise(F.col("_all")).alias("sizes"))
+    sums = u.groupBy("entity").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in {*VALUES.values(), *FLAGGED})).join(F.broadcast(league))
+    rate = lambda c: (F.col(c) + BEHIND * F.col(f"m_{c}")) / (F.col("n") + BEHIND)
+    rows = sums.select("entity", *(rate(c).alias(f"r_{c}") for c in {*VALUES.values(), *FLAGGED})).join(own, "entity")
+    long = rows.select("entity", "sizes", F.inline(F.array(*(F.struct(F.lit(k).alias("target"), F.col(f"r_{c}").alias("mean")) for k, c in VALUES.items()))))
+    shapes = None
+    for k, c in VALUES.items():
+        shape = dist.contributions(t, c, "reached_nonhr", F.lit(0.31)) if k == "hrr" else dist.histogram(t, [], c, 6)
+        sd = dist.dispersion(u.join(F.broadcast(league)), "n", c, F.first(f"m_{c}"), F.first(f"v_{c}"))
+        one = shape.join(sd).select(F.lit(k).alias("target"), F.col("dist").alias("shape"), "sd", F.array(*map(F.lit, LINES[k])).alias("lines"))  # one row and one row
+        shapes = one if shapes is None else shapes.unionByName(one)
+    over = dist.batch_over_lines(staged(long, "batch-rows"), ["entity"], "mean", "sizes", staged(shapes, "shapes"), LARGEST)
+    weighed = lambda p: F.aggregate(F.transform("sizes", lambda w, k: w * dist.at_least_one(p, k + 1)), F.lit(0.0), lambda a, x: a + x) / F.aggregate("sizes", F.lit(0.0), lambda a, x: a + x)
+    any_ = rows.select("entity", F.inline(F.array(*(F.struct(F.lit(f"any_{c}").alias("target"), F.lit(0.5).alias("line"), weighed(F.col(f"r_{c}")).alias("over")) for c in FLAGGED))))
+    return rounded(over.unionByName(any_), 7)
+
+
+_VALUE_ROWS = " UNION ALL ".join(f"SELECT entity, '{k}' AS target, {c} AS x FROM t" for k, c in VALUES.items())
+_UNIT_ROWS = " UNION ALL ".join(f"SELECT '{k}' AS target, n, {c} AS x FROM u" for k, c in VALUES.items())
+_LINE_ROWS = ", ".join(f"('{k}', {x})" for k, lines in LINES.items() for x in lines)
+_CERTAIN = "SELECT 'hrr' AS target, least(greatest(certain, 0), 6) AS v, CASE WHEN reached_nonhr = 1 THEN 0.69 ELSE 1.0 END AS w FROM t UNION ALL SELECT 'hrr', least(greatest(certain, 0) + 1, 6), 0.31 FROM t WHERE reached_nonhr = 1"
+SQL["c9_batch_lines"] = f"""WITH RECURSIVE {UNITS}, v AS ({_VALUE_ROWS}), lg AS (SELECT target, avg(x) AS m, var_pop(x) AS s FROM v GROUP BY target),
+w AS ({_CERTAIN} UNION ALL SELECT target, least(x, 6), 1.0 FROM v WHERE target <> 'hrr'), i7 AS (SELECT unnest(range(7)) AS i),
+sh AS (SELECT target, list(p ORDER BY i) AS shape, sum(i * p) AS mean, 1 - list_first(list(p ORDER BY i)) AS above FROM (SELECT target, i, sum(CASE WHEN v = i THEN w ELSE 0 END)::DOUBLE / sum(w) AS p FROM w, i7 GROUP BY ALL) GROUP BY target),
+ds AS (SELECT target, CASE WHEN count(*) >= 100 AND var_pop(x) > avg(n) * any_value(s) THEN sqrt((var_pop(x) - avg(n) * any_value(s)) / (avg(n * n) * any_value(m) ** 2)) ELSE 0 END AS sd FROM ({_UNIT_ROWS}) JOIN lg USING (target) GROUP BY target),
+en AS (SELECT entity, target, (sum(x) + {BEHIND} * any_value(m)) / (count(*) + {BEHIND}) AS mean FROM v JOIN lg USING (target) GROUP BY ALL),
+g0 AS (SELECT target, z, wt, greatest(1 + z * sd, 0.05) AS raw FROM ds, (VALUES {", ".join(f"({z}, {w})" for z, w in dist.GRID)}) AS q(z, wt)),
+g AS (SELECT target, wt, raw / sum(raw * wt) OVER (PARTITION BY target) AS m FROM g0),
+cs AS (SELECT DISTINCT target, floor(mean * 10000 + 0.5000001) / 10000 AS q FROM en),
+sc AS (SELECT target, q, m, wt, [CASE WHEN k = 0 THEN 1 - q / mean * m * above ELSE q / mean * m * shape[k + 1] END FOR k IN range(7)] AS l FROM cs JOIN sh USING (target) JOIN g USING (target)),
+r AS (SELECT target, q, m, wt, l, 0 AS n, [CASE WHEN k = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FOR k IN range(21)] AS c FROM sc
+  UNION ALL SELECT target, q, m, wt, l, n + 1, [list_sum([coalesce(c[k - i + 1], 0) * l[i + 1] FOR i IN range(least(k, 6) + 1)]) FOR k IN range(21)] FROM r WHERE n < {LARGEST}),
+a AS (SELECT target, q, n, line, sum(wt * list_sum(c[CAST(floor(line) AS INT) + 2:21]) / list_sum(c)) AS p FROM r JOIN (VALUES {_LINE_ROWS}) AS ln(target, line) USING (target) WHERE n >= 1 GROUP BY target, q, n, line),
+h0 AS (SELECT entity, least(greatest(n, 0), {LARGEST}) AS n, count(*) AS c FROM u GROUP BY 1, 2), hz AS (SELECT *, sum(c) OVER (PARTITION BY entity) AS units FROM h0),
+al AS (SELECT n, sum(c) AS c FROM hz GROUP BY n), ee AS (SELECT DISTINCT entity, units FROM hz),
+sz AS (SELECT entity, n, c FROM hz WHERE units >= 8 UNION ALL SELECT entity, al.n, al.c FROM ee, al WHERE units < 8),
+fl AS (SELECT entity, target, (sum(x) + {BEHIND} * any_value(m)) / (count(*) + {BEHIND}) AS p FROM (UNPIVOT (SELECT entity, {", ".join(FLAGGED)} FROM t) ON {", ".join(FLAGGED)} INTO NAME target VALUE x)
+  JOIN (SELECT target, avg(x) AS m FROM (UNPIVOT (SELECT {", ".join(FLAGGED)} FROM t) ON {", ".join(FLAGGED)} INTO NAME target VALUE x) GROUP BY target) USING (target) GROUP BY ALL)
+SELECT entity, target, line::DOUBLE AS line, round(sum(c * p) / sum(c), 7) AS over FROM en JOIN sz USING (entity) JOIN a ON a.target = en.target AND a.q = floor(en.mean * 10000 + 0.5000001) / 10000 AND a.n = sz.n GROUP BY entity, en.target, line
+UNION ALL SELECT entity, 'any_' || target, 0.5, round(sum(c * (1 - (1 - p) ** n)) / sum(c), 7) FROM fl JOIN sz USING (entity) WHERE n >= 1 GROUP BY entity, target"""
+SQL["c9_batch_lines"] = SQL["c9_batch_lines"].replace("SELECT entity, target, line::DOUBLE", "SELECT entity, en.target, line::DOUBLE")
 
 
 def c15_slot_monotone(spark, d):

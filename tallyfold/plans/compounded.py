@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import distributions as dist
+from ..operators import joins, scoring
+from ..sources.shared import new_path, staged
 from .bindings import SLOTS, TRIALS, UNITS, rounded, slots, trials, units
 
 SQL: dict[str, str] = {}
@@ -120,19 +122,44 @@ i AS (SELECT s.day, s.lineup, s.slot, r.a, max(r.m) AS m FROM s JOIN r ON r.day
 SELECT day, lineup, slot, round(min(m), 8) AS fit FROM i GROUP BY ALL"""
 
 
+def lineup_lines(spark, d):
+    """An entity's line in a unit with its slot and the mean rate of the three behind it in that day's lineup."""
+    placed = joins.circular_neighbours(slots(spark, d), ["day", "lineup"], "slot", "metric", F.lit(scoring.LEAGUE_OBP), ahead=False, name="behind")
+    lines = units(spark, d).select("entity", "unit", "day", "is_hr", (F.col("rbi") + F.col("is_hr")).alias("runs"), "reached", "reached_nonhr", "n")
+    return lines.join(placed.select("day", "entity", "lineup", "slot", "behind"), ["day", "entity"], "left")
+
+
+#: Lines before this day fit the score tables, later ones are scored.
+SCORED_FROM = "1996-01-01"
+
+
 def c16_scoring_share(spark, d):
-    """A chance to score from league, slot and entity factors, clipped, each term with its fallback; runs per trial (C17)."""
-    s = slots(spark, d)
-    league = s.agg(F.avg("metric").alias("league"))
-    by_slot = s.groupBy("slot").agg(F.avg("metric").alias("base"), F.count("*").alias("n"))
-    j = s.join(F.broadcast(by_slot), "slot").join(F.broadcast(league))
-    slot_factor = F.when(F.col("n") >= 100, F.try_divide("base", "league")).otherwise(1.0)
-    q = 0.31 * slot_factor * (1 + 0.367 * F.try_divide(F.col("metric") - F.col("base"), F.col("league")))
-    share = F.least(F.greatest(F.coalesce(q, F.lit(0.31)), F.lit(0.1)), F.lit(0.6))
-    return rounded(j.select("day", "lineup", "entity", "slot", share.alias("share"), (0.03 + F.greatest(F.col("metric") - 0.03, F.lit(0.0)) * share).alias("runs")), 8)
-
-
-SQL["c16_scoring_share"] = f"WITH {SLOTS}, l AS (SELECT avg(metric) AS league FROM s), b AS (SELECT slot, avg(metric) AS base, count(*) AS n FROM s GROUP BY slot), q AS (SELECT day, lineup, entity, slot, metric, least(greatest(0.31 * (CASE WHEN n >= 100 THEN base / league ELSE 1 END) * (1 + 0.367 * (metric - base) / league), 0.1), 0.6) AS share FROM s JOIN b USING (slot), l) SELECT day, lineup, entity, slot, round(share, 8) AS share, round(0.03 + greatest(metric - 0.03, 0) * share, 8) AS runs FROM q"
+    """Score tables (A11, A12) fitted on the earlier lines and stored; the later lines' chance to score, and runs per trial (C17)."""
+    lines = staged(lineup_lines(spark, d), "lineup-lines")
+    fitted = scoring.fit_scores(lines.where(F.col("day") < SCORED_FROM), "entity", "slot", "runs", "is_hr", "reached_nonhr", "behind", 30, 20).save(new_path(spark, "score-tables"))
+    # some lines have lost their slot, as before a lineup is known
+    later = lines.where(F.col("day") >= SCORED_FROM).withColumn("slot", F.when(F.col("unit") % 10 != 0, F.col("slot")))
+    out = scoring.score_chance(later, fitted, "entity", "slot", "behind")
+    return rounded(out.select("entity", "unit", "slot", "share", scoring.runs_per_trial(F.col("is_hr") / F.col("n"), F.col("reached") / F.col("n"), F.col("share")).alias("runs")), 8)
+
+
+_FALLBACK = " ".join(f"WHEN {k} THEN {v}" for k, v in scoring.SLOT_FACTORS.items())
+SQL["c16_scoring_share"] = f"""WITH {UNITS}, {SLOTS}, k AS (SELECT unnest([1, 2, 3]) AS k),
+nb AS (SELECT s.day, s.lineup, s.entity, s.slot, avg(coalesce(o.metric, {scoring.LEAGUE_OBP})) AS behind FROM s CROSS JOIN k LEFT JOIN s o ON o.day = s.day AND o.lineup = s.lineup AND o.slot = ((s.slot + k - 1) % 9) + 1 GROUP BY ALL),
+ln AS (SELECT entity, unit, day, is_hr, rbi AS extra, reached, reached_nonhr AS tob, n, slot, behind FROM u LEFT JOIN nb USING (day, entity)),
+f AS (SELECT * FROM ln WHERE day < DATE '{SCORED_FROM}' AND slot IS NOT NULL),
+lg AS (SELECT CASE WHEN count(*) >= {scoring.LEAST_ROWS} AND sum(tob) > 0 THEN sum(extra) * 1.0 / sum(tob) END AS q FROM f), lq AS (SELECT q FROM lg WHERE q IS NOT NULL),
+sl AS (SELECT slot, CASE WHEN sum(tob) >= {scoring.LEAST_ON_BASE} THEN sum(extra) * 1.0 / sum(tob) / any_value(q) ELSE CASE slot {_FALLBACK} END END AS sf, avg(behind) AS usual FROM f, lq GROUP BY slot),
+ow AS (SELECT entity, sum(extra) AS a, sum(tob * sf * q) AS x, sum(tob) AS t, any_value(q) AS q FROM f JOIN sl USING (slot), lq GROUP BY entity),
+m AS (SELECT count(*) AS g, var_samp(a / x) - (1 - any_value(q)) / any_value(q) * avg(1.0 / t) AS v, any_value(q) AS q FROM ow WHERE t >= 20 AND x > 0),
+z AS (SELECT CASE WHEN g < 30 THEN {scoring.FEW} WHEN v > 0 THEN (1 - q) / (q * v) END AS k FROM m),
+en AS (SELECT entity, least(greatest(CASE WHEN k IS NULL THEN 1 ELSE (a + k * q) / (x + k * q) END, {scoring.FACTOR[0]}), {scoring.FACTOR[1]}) AS own FROM ow, z),
+r AS (SELECT ln.* EXCLUDE (slot), CASE WHEN unit % 10 <> 0 THEN slot END AS slot FROM ln WHERE day >= DATE '{SCORED_FROM}'),
+c AS (SELECT r.entity, r.unit, r.slot, least(greatest(is_hr / n, 0), 1) AS top, least(greatest(reached / n, 0), 1) AS reach,
+  least(greatest(coalesce(q, {scoring.LEAGUE}) * coalesce(sf, CASE WHEN q IS NULL THEN coalesce(CASE r.slot {_FALLBACK} END, 1) ELSE 1 END)
+    * (1 + CASE WHEN q IS NULL THEN 0 ELSE {scoring.SLOPE} * (coalesce(behind, usual, {scoring.LEAGUE_OBP}) - coalesce(usual, {scoring.LEAGUE_OBP})) / q END) * coalesce(own, 1), {scoring.CHANCE[0]}), {scoring.CHANCE[1]}) AS share
+  FROM r CROSS JOIN lg LEFT JOIN sl ON sl.slot = r.slot LEFT JOIN en ON en.entity = r.entity)
+SELECT entity, unit, slot, round(share, 8) AS share, round(top + least(greatest(reach - top, 0), 1) * share, 8) AS runs FROM c"""
 
 
 def c10_cross_check(spark, d):

@@ -184,12 +184,22 @@ def m12_calibrated(spark, d):
     figures = evaluation.evaluate(fitted.predict(test).withColumn("y", F.col("got")), []).first()
     fitted.figures = {"auc": figures["auc"], "skill": figures["skill"]}
     path = new_path(spark, "bundle")
-    fitted.save(path)
+    fitted.save(spark, path)
     loaded = models.Calibrated.load(spark, path)
     told = evaluation.evaluate(loaded.predict(test).withColumn("y", F.col("got")), [])
     return rounded(told.withColumns({"calibrator": F.lit(loaded.kind), "c": F.lit(loaded.c), "stored_auc": F.lit(loaded.figures.get("auc"))}), 6)
 
 
+def j11_snapshot(spark, d):
+    """Every entity's latest known form, scored by a stored model that saw no rows of the last slice."""
+    f = form_frame(spark, d)
+    train, check, _ = split_frame(f)
+    path = new_path(spark, "snapshot")
+    models.fit_calibrated(train, check, FORM, "got", ["number", "unit", "entity"]).save(spark, path)
+    latest = windows.latest(f.select("entity", "day", "unit", *FORM), ["entity"], ["day", "unit"])
+    return rounded(models.Calibrated.load(spark, path).predict(latest).select("entity", "day", "unit", "p"), 6)
+
+
 def m16_projection(spark, d):
     """A size model by the day of the split, its mean error beside the own mean's, on later units; no row with too few."""
     f = form_frame(spark, d)
@@ -255,4 +265,4 @@ def c11_choose_scaling(spark, d):
     return rounded(s.withColumn("method", dist.chosen_method(F.col("frequency_wins"))), 6)
 
 
-QUERIES = {f.__name__: f for f in (s2_pool, s13_roster, s14_probables, s31_comparison, w17_game_number, a26_graded, a27_opponent_cards, f8_team_ids, p5_pull_air, p25_composite, j7_control, e18_team_calibration, m12_calibrated, m16_projection, m17_catalogues, m18_compound_or_direct, c11_choose_scaling, c18_project_sizes)}
+QUERIES = {f.__name__: f for f in (s2_pool, s13_roster, s14_probables, s31_comparison, w17_game_number, a26_graded, a27_opponent_cards, f8_team_ids, p5_pull_air, p25_composite, j7_control, e18_team_calibration, j11_snapshot, m12_calibrated, m16_projection, m17_catalogues, m18_compound_or_direct, c11_choose_scaling, c18_project_sizes)}

@@ -135,6 +135,27 @@ def st1_upsert(spark, d):
 SQL["st1_upsert"] = "SELECT user_id, arg_max(event_id, ts) AS event_id, arg_max(event_type, ts) AS event_type FROM events GROUP BY user_id"
 
 
+def st2_late_rows(spark, d):
+    """Events that land out of order in three loads, a day's lateness allowed: the accepted, repeated and rejected rows of each load."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    folder, out = new_path(spark, "landing"), new_path(spark, "counted")
+    for part in (F.col("event_id") % 3 == 0, F.col("event_id") % 3 == 1, F.col("event_id") % 2 == 0):
+        e.where(part).write.mode("append").parquet(folder)
+        counts = jobs.ingest_counted(spark.readStream.schema(e.schema).parquet(folder), ["event_id"], "ts", 1, out)[2]
+    return counts
+
+
+_LOADS = ["event_id % 3 = 0", "event_id % 3 = 1", "event_id % 2 = 0"]
+_LATE = "ts::TIMESTAMP < {0} - INTERVAL 1 DAY"
+SQL["st2_late_rows"] = f"""WITH e AS (SELECT event_id, ts::TIMESTAMP AS ts FROM events), m0 AS (SELECT max(ts) AS m FROM e WHERE {_LOADS[0]}), m1 AS (SELECT max(ts) AS m FROM e WHERE {_LOADS[0]} OR {_LOADS[1]}),
+a0 AS (SELECT DISTINCT event_id FROM e WHERE {_LOADS[0]}),
+l1 AS (SELECT *, {_LATE.format("m")} AS late FROM e, m0 WHERE {_LOADS[1]}), a1 AS (SELECT DISTINCT event_id FROM l1 WHERE NOT late),
+l2 AS (SELECT *, {_LATE.format("m")} AS late FROM e, m1 WHERE {_LOADS[2]}), a2 AS (SELECT DISTINCT event_id FROM l2 WHERE NOT late AND event_id NOT IN (SELECT event_id FROM a0) AND event_id NOT IN (SELECT event_id FROM a1))
+SELECT 0::BIGINT AS batch, (SELECT count(*) FROM a0) AS accepted, (SELECT count(*) FROM e WHERE {_LOADS[0]}) - (SELECT count(*) FROM a0) AS repeated, 0::BIGINT AS rejected
+UNION ALL SELECT 1, (SELECT count(*) FROM a1), count(*) - count_if(late) - (SELECT count(*) FROM a1), count_if(late) FROM l1
+UNION ALL SELECT 2, (SELECT count(*) FROM a2), count(*) - count_if(late) - (SELECT count(*) FROM a2), count_if(late) FROM l2"""
+
+
 def st3_gate(spark, d):
     e = jobs.stream_of(spark, d, "events.parquet")
     return rounded(jobs.gate(e, ["user_id"], "value", 54.0), 5)
@@ -157,4 +178,4 @@ def st5_totals(spark, d):
 
 SQL["st5_totals"] = "SELECT event_type, count(*) AS n, round(sum(value), 5) AS total FROM events GROUP BY 1"
 
-QUERIES = {f.__name__: f for f in (s1_csv_table, s3_distinct_ids, s7_unit_lines, s9_slots, s10_context, s11_schedule, s12_season_table, s26_batch_output, s27_replace_dates, st1_ingest, st1_upsert, st3_gate, st4_upgrade, st5_totals)}
+QUERIES = {f.__name__: f for f in (s1_csv_table, s3_distinct_ids, s7_unit_lines, s9_slots, s10_context, s11_schedule, s12_season_table, s26_batch_output, s27_replace_dates, st1_ingest, st1_upsert, st2_late_rows, st3_gate, st4_upgrade, st5_totals)}

@@ -74,7 +74,7 @@ def m11_choose_c(spark, d):
 
 def m13_compare(spark, d):
     train, _, test = split_frame(form_frame(spark, d))
-    return rounded(models.compare(train, test, FORM, "got", 60, (15, 30)), 6)
+    return rounded(models.compare(train, test, FORM, "got", "unit", 60, (15, 30)), 6)
 
 
 def m15_coefficients(spark, d):
@@ -88,7 +88,7 @@ def e9_rolling_origin(spark, d):
 
 def e10_permutation(spark, d):
     train, _, test = split_frame(form_frame(spark, d))
-    return rounded(models.permutation_test(train.drop("part"), test.drop("part"), "unit", FORM, ["own_hit"], "got", rounds=20), 6)
+    return rounded(models.permutation_test(train, test, FORM, ["own_hit"], "got"), 6)
 
 
 def e15_ladder(spark, d):

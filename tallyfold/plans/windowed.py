@@ -90,13 +90,37 @@ _OWN = f"OVER (PARTITION BY entity ORDER BY {ORDER_SQL} ROWS BETWEEN UNBOUNDED P
 SQL["w9_split_edge"] = f"WITH {TRIALS}, r AS (SELECT entity, unit, seq, part, price, avg(is_hit) {_OWN} AS b, count(is_hit) {_SAME} AS n, coalesce(sum(is_hit) {_SAME}, 0) AS x FROM t) SELECT entity, unit, seq, part, price, round(coalesce((x + 30 * b) / (n + 30) - b, 0), 8) + 0.0 AS edge, n AS edge_n FROM r"
 
 
+def _sky(u):
+    """Made-up conditions of a unit, some of them missing."""
+    return u.withColumns({
+        "venue": F.when(F.col("unit") % 11 != 0, F.col("unit") % 30), "day_night": F.when(F.col("unit") % 7 != 0, F.when(F.col("unit") % 3 == 0, "day").otherwise("night")),
+        "temp": F.when(F.col("unit") % 13 != 0, F.col("unit") % 97), "wind_out": F.when(F.col("unit") % 5 != 0, F.col("unit") % 21 - 10), "wind_side": F.when(F.col("unit") % 4 != 0, F.col("unit") % 13 - 6),
+    })
+
+
 def w10_context(spark, d):
-    """Weekday (Monday 0), home flag and calendar keys of a trial."""
-    t = trials(spark, d)
-    return t.select("entity", "unit", "seq", "part", "price", F.weekday("day").alias("weekday"), F.year("day").cast("int").alias("season"), (F.year("day") - 1).cast("int").alias("last_season"), (F.col("side") == 0).cast("int").alias("home"), F.datediff(F.lit("1999-01-01"), "day").alias("age"))
+    """Where, when and in what weather: four split edges of a unit's top outcome by venue, weekday, home and day or night, weather and calendar keys."""
+    frame = _sky(units(spark, d).select("entity", "unit", "day", (F.col("is_hr") > 0).cast("int").alias("got")))
+    meta = trials(spark, d).select("entity", "unit", "stand", (F.col("opponent") % 2).cast("int").alias("home"), *[c for c in ORDER if c != "unit"])
+    out = windows.context_features(frame, meta, "entity", "unit", "day", "got", ["day", "unit"], ORDER, ["day", "night"])
+    names = [f"{x}_{y}" for x in ("venue", "weekday", "home", "daynight") for y in ("edge", "edge_n")]
+    calendar = [F.year("day").cast("int").alias("season"), (F.year("day") - 1).cast("int").alias("last_season"), F.datediff(F.lit("1999-01-01"), "day").alias("age")]
+    return rounded(out.select("entity", "unit", "stand", "is_home", "weekday", *calendar, *names, "temp", "wind_out", "wind_pull"), 8)
+
+
+def _edge(name: str, col: str) -> str:
+    w = f"OVER (PARTITION BY entity, {col} ORDER BY day, unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"coalesce(round((coalesce(sum(got) {w}, 0) + 30 * base) / (count(got) {w} + 30) - base, 8), 0) + 0.0 AS {name}_edge, count(got) {w} AS {name}_edge_n"
 
 
-SQL["w10_context"] = f"WITH {TRIALS} SELECT entity, unit, seq, part, price, CAST(isodow(day) - 1 AS INT) AS weekday, CAST(year(day) AS INT) AS season, CAST(year(day) - 1 AS INT) AS last_season, CAST(side = 0 AS INT) AS home, CAST(date_diff('day', day, DATE '1999-01-01') AS INT) AS age FROM t"
+SQL["w10_context"] = f"""WITH {UNITS}, m AS (SELECT entity, unit, stand, opponent % 2 AS home FROM t QUALIFY row_number() OVER (PARTITION BY entity, unit ORDER BY {ORDER_SQL}) = 1),
+f AS (SELECT u.entity, u.unit, u.day, CAST(is_hr > 0 AS INT) AS got, stand, CAST(home AS INT) AS is_home, CAST(isodow(u.day) - 1 AS INT) AS weekday, CASE WHEN u.unit % 11 <> 0 THEN u.unit % 30 ELSE -1 END AS venue,
+  CASE WHEN u.unit % 7 = 0 THEN 'unknown' WHEN u.unit % 3 = 0 THEN 'day' ELSE 'night' END AS dn, CASE WHEN u.unit % 13 <> 0 AND u.unit % 97 > 32 THEN u.unit % 97 END AS temp,
+  CASE WHEN u.unit % 5 <> 0 THEN u.unit % 21 - 10 ELSE 0 END AS wind_out, CASE WHEN u.unit % 4 <> 0 THEN u.unit % 13 - 6 ELSE 0 END AS side FROM u JOIN m ON u.entity = m.entity AND u.unit = m.unit),
+b AS (SELECT *, avg(got) OVER (PARTITION BY entity ORDER BY day, unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM f)
+SELECT entity, unit, stand, is_home, weekday, CAST(year(day) AS INT) AS season, CAST(year(day) - 1 AS INT) AS last_season, CAST(date_diff('day', day, DATE '1999-01-01') AS INT) AS age,
+  {_edge("venue", "venue")}, {_edge("weekday", "weekday")}, {_edge("home", "is_home")}, {_edge("daynight", "dn")},
+  CAST(coalesce(temp, (SELECT median(temp) FROM b)) AS DOUBLE) AS temp, CAST(wind_out AS DOUBLE) AS wind_out, CAST(side * CASE WHEN stand = 'L' THEN -1 ELSE 1 END AS DOUBLE) + 0.0 AS wind_pull FROM b"""
 
 
 def w11_fatigue(spark, d):
@@ -110,14 +134,17 @@ SELECT user_id, ts, day, rest_days, c - (same - r + 1) AS recent FROM n"""
 
 
 def w12_history(spark, d):
-    u = units(spark, d).select("entity", "unit", "day", "n")
-    by_team = u.groupBy((F.col("entity") % 5).alias("team"), "day").agg(F.avg("n").alias("mean_n"))
-    team = by_team.withColumn("team_mean", windows.guarded(F.col("mean_n"), F.avg, windows.prior(["team"], ["day"], 50), 5)).drop("mean_n")
-    own = u.withColumn("own_mean", windows.guarded(F.col("n"), F.avg, windows.prior(["entity"], ["day", "unit"], 20), 3)).withColumn("team", F.col("entity") % 5)
-    return rounded(own.join(team, ["team", "day"], "left"), 8)
+    """Before a unit: the entity's mean size of its last 20 units, and its team's of the team's last 50 rows in earlier units."""
+    u = units(spark, d).select("entity", "unit", "day", "n").withColumn("team", F.col("entity") % 5)
+    own = u.withColumn("own_mean", windows.guarded(F.col("n"), F.avg, windows.prior(["entity"], ["day", "unit"], 20), 3))
+    return rounded(windows.last_rows_before(own, ["team"], ["day"], ["unit", "entity"], "n", 50, 5, "team_mean"), 8)
 
 
-SQL["w12_history"] = f"WITH {UNITS}, b AS (SELECT entity % 5 AS team, day, avg(n) AS mean_n FROM u GROUP BY ALL), tm AS (SELECT team, day, {_guard('mean_n', 'avg', 50, 5, 'team', 'day')} AS team_mean FROM b), o AS (SELECT entity, unit, day, n, entity % 5 AS team, {_guard('n', 'avg', 20, 3, 'entity', 'day, unit')} AS own_mean FROM u) SELECT team, day, entity, unit, n, round(own_mean, 8) AS own_mean, round(team_mean, 8) AS team_mean FROM o LEFT JOIN tm USING (team, day)"
+SQL["w12_history"] = f"""WITH {UNITS}, o AS (SELECT entity, unit, day, n, entity % 5 AS team, {_guard('n', 'avg', 20, 3, 'entity', 'day, unit')} AS own_mean FROM u),
+r AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY day, unit, entity) AS r FROM o),
+f AS (SELECT *, min(r) OVER (PARTITION BY team, day) AS f FROM r),
+m AS (SELECT a.team, a.f, avg(b.n) AS mean, count(*) AS c FROM (SELECT DISTINCT team, f FROM f) a JOIN f b ON a.team = b.team AND b.r BETWEEN a.f - 50 AND a.f - 1 GROUP BY ALL)
+SELECT team, day, entity, unit, n, round(own_mean, 8) AS own_mean, round(CASE WHEN c >= 5 THEN mean END, 8) AS team_mean FROM f LEFT JOIN m USING (team, f)"""
 
 
 def w13_forward_label(spark, d):

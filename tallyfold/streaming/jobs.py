@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.shared import new_path
 
@@ -33,6 +37,44 @@ def ingest(events: DataFrame, key: list[str], time: str, late: str = "1 day", fo
     return events.sparkSession.read.schema(events.schema).parquet(f"{folder}/rows")
 
 
+def ingest_counted(events: DataFrame, key: list[str], time: str, late_days: float, folder: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """ST2: (accepted, rejected, counts): new rows once each, those too late apart, and how many of each every batch had.
+
+    A row is too late if it lies more than `late_days` before the newest time of the batches before its own; a row whose key was accepted no longer ago than
+    that is a repeat.  Every batch writes into folders of its number, so one that is tried again replaces itself; only earlier rows within the
+    allowed lateness are read for repeats.  rejected has the column batch; counts: batch, accepted, repeated, rejected.
+    """
+    spark, folder = events.sparkSession, folder or new_path(events.sparkSession, "counted")
+    schema = T.StructType([*events.schema.fields, T.StructField("batch", T.LongType())])
+    marks = T.StructType([T.StructField("newest", T.TimestampType()), *(T.StructField(c, T.LongType()) for c in ("accepted", "repeated", "rejected", "batch"))])
+
+    def stored(name: str, kind: T.StructType) -> DataFrame:
+        try:
+            return spark.read.schema(kind).parquet(f"{folder}/{name}")
+        except AnalysisException:  # no batch yet
+            return spark.createDataFrame([], kind)
+
+    def lay(batch: DataFrame, number: int) -> None:
+        newest = stored("marks", marks).where(F.col("batch") < number).agg(F.max("newest")).first()[0]
+        at = F.col(time).cast("timestamp")
+        edge = F.lit(newest).cast("timestamp") - F.expr(f"make_dt_interval(0, 0, 0, {86400 * late_days})")
+        late = F.coalesce(at < edge, F.lit(False))
+        batch = batch.withColumn("_late", late).persist()
+        batch.where("_late").drop("_late").write.mode("overwrite").parquet(f"{folder}/rejected/batch={number}")
+        before = stored("accepted", schema).where((F.col("batch") < number) & ((F.col(time).cast("timestamp") >= edge) | edge.isNull()))
+        fresh = batch.where("not _late").drop("_late").dropDuplicates(key).join(before.select(*key), key, "left_anti").select(events.columns)
+        fresh.write.mode("overwrite").parquet(f"{folder}/accepted/batch={number}")
+        kept = spark.read.schema(events.schema).parquet(f"{folder}/accepted/batch={number}").agg(F.count("*").alias("accepted"))
+        facts = batch.agg(F.max(at).alias("newest"), F.count_if("_late").alias("rejected"), F.count("*").alias("_n")).join(kept)  # one row and one row
+        done = facts.select("newest", "accepted", (F.col("_n") - F.col("accepted") - F.col("rejected")).alias("repeated"), "rejected")
+        done.coalesce(1).write.mode("overwrite").parquet(f"{folder}/marks/batch={number}")
+        batch.unpersist()
+
+    _finish(events.writeStream.foreachBatch(lay), folder)
+    counts = stored("marks", marks).select("batch", "accepted", "repeated", "rejected")
+    return stored("accepted", schema).drop("batch"), stored("rejected", schema), counts
+
+
 def newest_rows(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row with the largest order of each key."""
     rest = [c for c in rows.columns if c not in keys]
@@ -61,17 +103,26 @@ def upserted(events: DataFrame, keys: list[str], order: str, folder: str | None
 
 
 def gate(events: DataFrame, unit: list[str], amount: str, least: float, folder: str | None = None) -> DataFrame:
-    """ST3: units whose running amount has reached `least`; each batch updates the sums, the last of which count."""
-    spark, folder = events.sparkSession, folder or new_path(events.sparkSession, "gate")
-    path = f"{folder}/sums"
-    sums = events.groupBy(*unit).agg(F.sum(amount).alias("amount"))
+    """ST3: every unit once, with its amount when that first reached `least`.
 
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    _finish(sums.writeStream.outputMode("update").foreachBatch(keep), folder)
-    last = spark.read.parquet(path).groupBy(*unit).agg(F.max_by("amount", "batch").alias("amount"))
-    return last.where(F.col("amount") >= least)
+    A unit's state is its running sum and whether it has been sent, so each batch handles its own units only and appends those that
+    pass; a later run goes on from the stored state.
+    """
+    spark, folder = events.sparkSession, folder or new_path(events.sparkSession, "gate")
+    kinds = ", ".join(f"{c} {dict(events.dtypes)[c]}" for c in unit)
+
+    def passed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        total, sent = state.get if state.exists else (0.0, False)
+        total += sum(float(b["amount"].sum()) for b in batches)
+        if not sent and total >= least:
+            sent = True
+            yield pd.DataFrame({**{c: [k] for c, k in zip(unit, key)}, "amount": [total]})
+        state.update((total, sent))
+
+    rows = events.select(*unit, F.col(amount).cast("double").alias("amount"))
+    out = rows.groupBy(*unit).applyInPandasWithState(passed, f"{kinds}, amount double", "total double, sent boolean", "append", GroupStateTimeout.NoTimeout)
+    _finish(out.writeStream.format("parquet").option("path", f"{folder}/rows").outputMode("append"), folder)
+    return spark.read.schema(f"{kinds}, amount double").parquet(f"{folder}/rows")
 
 
 def upgraded(events: DataFrame, key: str, status: str, order: str, folder: str | None = None) -> DataFrame:

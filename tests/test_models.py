@@ -38,7 +38,7 @@ def test_split_is_by_time(split):
 def test_a_stored_bundle_predicts_the_same(spark, split, tmp_path):
     train, check, test = split
     fitted = models.fit_calibrated(train, check, modelled.FORM, "got", ["number", "unit", "entity"], None)
-    fitted.save(str(tmp_path / "bundle"))
+    fitted.save(spark, str(tmp_path / "bundle"))
     loaded = models.Calibrated.load(spark, str(tmp_path / "bundle"))
     one, two = ({(r.unit, r.entity): r.p for r in m.predict(test).collect()} for m in (fitted, loaded))
     assert one == pytest.approx(two) and loaded.kind == fitted.kind and loaded.features == modelled.FORM
