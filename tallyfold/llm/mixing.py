@@ -2,8 +2,11 @@
 
 A source of weight w gets its j-th block (from 0) released at slot floor(j / w) with deadline
 ceil((j + 1) / w).  In every slot the released block with the earliest deadline is dealt, so after t slots
-each source has had less than one block more or less than t * w.  Weights are whole quanta of a period;
-the schedule of one period repeats.
+each source has had less than one block more or less than t * w.
+
+The schedule of one period repeats.  Sources that have at least LARGE slots in it are dealt there by whole quanta, a share at most half a slot of the
+period away from its target.  All smaller ones, however many, share the slots of one more task: its slots take their blocks by earliest deadline,
+ranked by a distributed sort with each source's exact weight, so that no block is later than its deadline.
 """
 
 from __future__ import annotations
@@ -13,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from .common import fresh_name, staged
+from .merkle import numbered
 
-#: Slots of a period: weights are multiples of 1 / PERIOD. Bytes of a block.
-PERIOD, BLOCK_BYTES = 1000, 1 << 16
+#: Slots of a period, those that a large source has at least, bytes of a block.
+PERIOD, LARGE, BLOCK_BYTES = 1000, 20, 1 << 16
 #: Parts that a source's running sum is split into, for each so many rows of the corpus; the fewest.
 PART_ROWS, LEAST_PARTS = 100_000, 256
 #: Target weights go as a source's bytes to this power, if none are given.
@@ -28,16 +32,18 @@ def tempered(totals: dict[str | None, int], power: float = TEMPER) -> dict[str |
     return {s: x / sum(raw.values()) for s, x in raw.items()}
 
 
-def quanta(weights: dict[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
-    """Whole quanta of at least 1 that sum to the period (or to the sources, if there are more), largest remainders first."""
-    period = max(period, len(weights))
+def quanta(weights: dict, period: int = PERIOD) -> dict:
+    """Whole quanta of at least 1 that sum to the period, largest remainders first; raises for more weights than quanta."""
+    if len(weights) > period:
+        raise ValueError(f"{len(weights)} weights for {period} slots")
     total = sum(weights.values())
-    spare = period - len(weights)
-    exact = {s: spare * w / total for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    late = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s is None, str(s)))
-    for s in late[: period - sum(out.values())]:
+    exact = {s: period * w / total for s, w in weights.items()}
+    out = {s: max(1, int(x)) for s, x in exact.items()}
+    late = sorted(exact, key=lambda s: (out[s] - exact[s], s is None, str(s)))
+    for s in late[: max(0, period - sum(out.values()))]:
         out[s] += 1
+    while sum(out.values()) > period:  # those lifted to 1 take from the largest
+        out[max(out, key=lambda s: (out[s] - exact[s] if out[s] > 1 else -1.0))] -= 1
     return out
 
 
@@ -91,7 +97,7 @@ def schedule(
     Rows of a source follow in hash order and fill its blocks by bytes (UTF-8 plus 1); a row belongs to the
     block where it begins.  Sorting by slot, then key, gives the mixture; no row is dropped or repeated, so
     once a source has run out the others go on in their slots.  `weights` must cover every source (default:
-    tempered by bytes).  A null source is a source of its own; null texts have size 1; null ids and rows that
+    each source by its bytes to the power TEMPER).  A null source is a source of its own; null texts have size 1; null ids and rows that
     repeat are scheduled like any other; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
@@ -105,18 +111,28 @@ def schedule(
         ),
         "mix-sizes",
     )
-    # one row for each source
-    totals = {r["source"]: (r["b"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
-    if not totals:
+    totals = staged(sized.groupBy("source").agg(F.sum("size").alias("b"), F.count("*").alias("n")), "mix-sources")
+    rows = totals.agg(F.sum("n")).first()[0]
+    if not rows:
         return sized.select("*", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("slot"))
-    missing = [] if weights is None else [s for s in totals if s not in weights]
-    if missing:
-        raise ValueError(f"no weight for {missing}")
-    shares = quanta(tempered({s: b for s, (b, _) in totals.items()}) if weights is None else {s: weights[s] for s in totals}, period)
-    period = sum(shares.values())
-    names = sorted(shares, key=lambda s: (s is None, str(s)))
-    plan = spark.createDataFrame([(k, s, shares[s]) for k, s in enumerate(names)], "source_index int, source string, share int")
-    parts = max(LEAST_PARTS, -(-sum(n for _, n in totals.values()) // PART_ROWS))
+    if weights is None:
+        weighed = totals.withColumn("w", F.pow(F.greatest("b", F.lit(1)).cast("double"), F.lit(TEMPER)))
+    else:
+        kind = sized.schema["source"].dataType.simpleString()
+        told = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], f"t_source {kind}, w double")
+        weighed = totals.join(told, F.col("source").eqNullSafe(F.col("t_source")), "left").drop("t_source")
+        missing = [r["source"] for r in weighed.where("w is null or not w > 0").limit(10).collect()]
+        if missing:
+            raise ValueError(f"no weight for {missing}")
+    weighed = staged(weighed, "mix-weights")
+    total = weighed.agg(F.sum("w")).first()[0]
+    large = {r["source"]: r["w"] / total for r in weighed.where(F.col("w") >= total * LARGE / period).collect()}  # period / LARGE rows at most
+    names = sorted(large, key=lambda s: (s is None, str(s)))
+    small = weighed.join(_sources(spark, names, sized, "l_source"), F.col("source").eqNullSafe(F.col("l_source")), "left_anti")
+    rest = small.agg(F.sum("w")).first()[0]
+    shares = quanta({k: large[s] for k, s in enumerate(names)} | ({len(names): rest / total} if rest else {}), period)
+    shares = [shares[k] for k in range(len(shares))]
+    parts = max(LEAST_PARTS, -(-rows // PART_ROWS))
 
     # hash order in two levels, so that a source with a third of all rows is summed in many tasks
     part = F.floor((F.shiftright("key", 33) + (1 << 30)) * parts / (1 << 31)).cast("int")
@@ -127,14 +143,40 @@ def schedule(
     run = parted.withColumn("at", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     offsets = offsets.withColumnsRenamed({"source": "o_source", "part": "o_part"})
     placed = run.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("part") == F.col("o_part")))
-    blocks = placed.withColumn("block", F.floor((F.col("at") + F.col("start")) / block_bytes).cast("long"))
-    # PERIOD rows, and a row for each source
-    dealt = period_schedule(spark, [shares[s] for s in names]).join(F.broadcast(plan), "source_index").select(F.col("source").alias("p_source"), "share", "turn", F.col("slot").alias("p_slot"))
-    counted = plan.withColumnsRenamed({"source": "n_source", "share": "n_share"}).drop("source_index")
+    blocks = placed.select("id", "source", "size", "key", F.floor((F.col("at") + F.col("start")) / block_bytes).cast("long").alias("block"))
+    if rest:
+        blocks = staged(blocks, "mix-blocks")
+    # a row for each slot of the period, and one for each large source
+    dealt = staged(period_schedule(spark, shares), "period")
+    counted = _sources(spark, names, sized, "n_source").withColumn("n_share", F.get(F.array(*map(F.lit, shares)), F.col("source_index")))
+    own = dealt.select(F.col("source_index").alias("p_index"), "turn", F.col("slot").alias("p_slot"))
     turned = blocks.join(F.broadcast(counted), F.col("source").eqNullSafe(F.col("n_source"))).withColumn("b_turn", (F.col("block") % F.col("n_share")).cast("int"))
-    slotted = turned.join(F.broadcast(staged(dealt, "period")), F.col("source").eqNullSafe(F.col("p_source")) & (F.col("b_turn") == F.col("turn")))
+    slotted = turned.join(F.broadcast(own), (F.col("source_index") == F.col("p_index")) & (F.col("b_turn") == F.col("turn")))
     slot = F.floor(F.col("block") / F.col("n_share")) * period + F.col("p_slot")
-    return slotted.select("id", "source", "size", "key", "block", slot.cast("long").alias("slot"))
+    out = slotted.select("id", "source", "size", "key", "block", slot.cast("long").alias("slot"))
+    if not rest:
+        return out
+    places = dealt.where(F.col("source_index") == len(names)).select("turn", F.col("slot").alias("p_slot"))
+    ranked = _by_deadline(small, rest, block_bytes).withColumn("turn", (F.col("pos") % shares[-1]).cast("int"))
+    slots = ranked.join(F.broadcast(places), "turn").select(F.col("source").alias("s_source"), F.col("block").alias("s_block"), (F.floor(F.col("pos") / shares[-1]) * period + F.col("p_slot")).cast("long").alias("slot"))
+    few = blocks.join(slots, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("block") == F.col("s_block")))
+    return out.unionByName(few.select("id", "source", "size", "key", "block", "slot"))
+
+
+def _sources(spark: SparkSession, names: list, like: DataFrame, name: str) -> DataFrame:
+    """(source_index, `name`) of the large sources."""
+    return spark.createDataFrame(list(enumerate(names)), f"source_index int, {name} {like.schema['source'].dataType.simpleString()}")
+
+
+def _by_deadline(small: DataFrame, rest: float, block_bytes: int) -> DataFrame:
+    """(source, block, pos): all blocks of the small sources, numbered by deadline (ties by source).
+
+    A range sort gives the numbers, so no task holds them all.
+    """
+    last = F.floor((F.col("b") - 1) / block_bytes).cast("long")
+    blocks = small.select("source", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"), (F.col("w") / rest).alias("v"))
+    keyed = blocks.select("source", "block", F.ceil((F.col("block") + 1) / F.col("v")).alias("deadline"), F.lit("").alias("tree"))
+    return numbered(keyed, "tree", ["deadline", "source", "block"]).select("source", "block", "pos")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, float] | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyfold.llm import decontaminate, licenses, mixing, queries, secret_scan
@@ -237,3 +238,20 @@ def test_mixing_odd(spark, odd, empty):
     assert mixing.schedule(empty).count() == 0
     assert mixing.mixed(odd).count() == len(ODD_TEXTS) and mixing.mixed(odd).columns == odd.columns
     assert mixing.quanta({"a": 0.5, None: 0.5}, 10) == {"a": 5, None: 5}
+
+
+@pytest.mark.parametrize("many", [10, 500, 5000])
+def test_shares_follow_the_weights_for_any_number_of_sources(spark, many):
+    # one source at 0.9 of the weight beside many small ones, which differ threefold; blocks of one row each
+    small = {f"s{k}": 0.1 * (1 + k % 3) / sum(1 + j % 3 for j in range(many - 1)) for k in range(many - 1)}
+    weights = {"hot": 0.9} | small
+    least = min(small.values())
+    rows = spark.createDataFrame([(s, max(3, round(4 * w / least))) for s, w in weights.items()], "source string, n int")
+    docs = rows.select("source", F.explode(F.sequence(F.lit(1), "n")).alias("k")).withColumns({"doc_id": F.xxhash64("source", "k"), "text": F.lit("x" * 9)})
+    slots = mixing.schedule(docs, weights=weights, block_bytes=10).where("slot is not null")
+    assert slots.count() == docs.count() and slots.select("slot").distinct().count() == docs.count()
+    end = int(2 / least)
+    had = {r["source"]: r["count"] for r in slots.where(F.col("slot") < end).groupBy("source").count().collect()}
+    assert had["hot"] == pytest.approx(0.9 * end, abs=2 + 0.0005 * end)
+    rest = end - had["hot"]
+    assert all(abs(had.get(s, 0) - rest * w / 0.1) <= 2 + 0.02 * rest * w / 0.1 for s, w in small.items())
