@@ -1,10 +1,11 @@
 """Quality rules with risk-controlled cut-offs.
 
 Each rule is a number per document that is large for bad texts.  Labelled good documents of a stratum
-are split in two by id: one half proposes a cut-off, the other, the holdout, certifies it.  A cut-off
-is certified if an exact binomial test on the holdout rejects "it turns away more than `risk` of the good documents",
-with the level shared over all rules and strata (Bonferroni) and, within one, cut-offs tested from lax
-to strict until the first failure (fixed-sequence testing).
+are split in two by id: one half proposes, the other, the holdout, certifies.  The proposing half gives each rule a cut-off, and with it one nested
+sequence of joint cut-offs: at stage k of STAGES every rule has gone k / STAGES of the way from turning nothing away to its own
+proposal, and a document is turned away if any rule turns it away.  A stage is certified if an exact binomial test on the holdout
+rejects "together they turn away more than `risk` of the good documents"; stages are tested from lax to strict until the first failure
+(fixed-sequence testing), and the level is shared over the strata (Bonferroni), so with probability 1 - `level` no stratum loses more.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ from .common import arrow_sized, forget_tables, fresh_name, staged
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\v\f\r"
 WINDOW = 8
-#: Most good documents of a stratum that all rules together may turn away, and the chance of being wrong.
+#: Most good documents of a stratum that the rules together may turn away, and the chance of being wrong.
 RISK, LEVEL = 0.03, 0.05
 #: Rule values are counted in steps of 1/STEPS; the last step holds everything from 1 on.
 STEPS = 512
+#: Joint cut-offs of a stratum, from lax to strict.
+STAGES = 512
 RULES = ("symbols_per_word", "marks_per_word", "capital_share", "dup_line_share", "repeat_share", "digit_share")
 
 BASE_FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -133,15 +136,30 @@ def proposed_step(good: np.ndarray, bad: np.ndarray, risk: float) -> int | None:
     return step if gain[step] > 0 else None
 
 
-def certified_step(target: int | None, holdout: np.ndarray, risk: float, level: float) -> int | None:
-    """The last step that the holdout certifies on the way from turning nothing away to `target`."""
-    n = int(holdout.sum())
-    away = holdout[::-1].cumsum()[::-1]
-    best = None
-    for step in range(STEPS, (target or STEPS + 1) - 1, -1):
-        if binomial_tail(int(away[step]), n, risk) > level:
+def stage_of(step: int, target: int) -> int:
+    """The first stage at which a rule on its way to `target` turns this step away."""
+    return -(-STAGES * (STEPS + 1 - step) // (STEPS + 1 - target))
+
+
+def step_at(stage: int, target: int) -> int:
+    """The step from which a rule on its way to `target` turns documents away at this stage."""
+    return STEPS + 1 - stage * (STEPS + 1 - target) // STAGES
+
+
+def certified_stage(good: np.ndarray, holdout: np.ndarray, bad: np.ndarray, risk: float, level: float) -> int | None:
+    """The last stage that the holdout certifies on the way to the one that gains most on the proposing half; counts by each document's first stage.
+
+    The last entry counts documents that no stage turns away.
+    """
+    good_away, bad_away = good.cumsum()[:-1] / max(1, good.sum()), bad.cumsum()[:-1] / max(1, bad.sum())
+    gain = np.where(good_away <= risk, bad_away - good_away, -1.0)
+    target, n, away, best = int(np.argmax(gain)), int(holdout.sum()), holdout.cumsum(), None
+    if gain[target] <= 0:
+        return None
+    for stage in range(target + 1):
+        if binomial_tail(int(away[stage]), n, risk) > level:
             break
-        best = step
+        best = stage
     return best
 
 
@@ -149,32 +167,34 @@ def cutoffs(measured: DataFrame, labels: DataFrame, id_col: str, good: str, risk
     """stratum and, for each rule, the step from which documents are turned away (null: never).
 
     The counts cover every labelled document that passes the base; the driver sees STEPS numbers for
-    each rule, half and stratum. Bad documents only help to propose, the guarantee is on good ones.
+    each rule, half and stratum, and STAGES for each half and stratum. Bad documents only help to propose, the guarantee is on good ones.
     """
     spark = measured.sparkSession
     label = labels.select(F.col(id_col).alias("id"), F.expr(good).alias("good")).where("id is not null and good is not null")
     kind = F.when(~F.col("good"), 2).otherwise(F.pmod(F.xxhash64(F.lit("holdout"), "id"), F.lit(2))).cast("int")
-    counts = (
-        measured.where(~base_failed())
-        .join(label.groupBy("id").agg(F.max("good").alias("good")), "id")
-        .select("stratum", kind.alias("kind"), F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("step")) for r in RULES))).alias("x"))
-        .groupBy("stratum", "kind", "x.rule", "x.step")
-        .count()
-        .collect()
-    )
+    told = staged(measured.where(~base_failed()).join(label.groupBy("id").agg(F.max("good").alias("good")), "id").select("stratum", kind.alias("kind"), *RULES), "labelled")
+    steps = told.select("stratum", "kind", F.inline(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("step")) for r in RULES))))
     seen: dict[tuple[str, str], np.ndarray] = {}
-    for r in counts:
+    for r in steps.groupBy("stratum", "kind", "rule", "step").count().collect():
         seen.setdefault((r["stratum"], r["rule"]), np.zeros((3, STEPS + 1), np.int64))[r["kind"], r["step"]] += r["count"]
     strata = sorted({s for s, _ in seen})
-    each, shared = risk / len(RULES), level / max(1, len(strata) * len(RULES))
+    targets = {s: [proposed_step(seen[s, r][0], seen[s, r][2], risk / len(RULES)) for r in RULES] for s in strata}
+    schema = "stratum string, " + ", ".join(f"cut_{r} int" for r in RULES)
+    aims = spark.createDataFrame([(s, *t) for s, t in targets.items()], schema)
+
+    def first_stage(rule: str) -> Column:
+        way = STEPS + 1 - F.col(f"cut_{rule}")
+        return F.floor((STAGES * (STEPS + 1 - F.col(rule)) + way - 1) / way)
+
+    own = F.least(F.lit(STAGES + 1), *(F.coalesce(first_stage(r), F.lit(STAGES + 1)) for r in RULES)).cast("int")
+    stages: dict[str, np.ndarray] = {}
+    for r in told.join(aims, "stratum").groupBy("stratum", "kind", own.alias("stage")).count().collect():
+        stages.setdefault(r["stratum"], np.zeros((3, STAGES + 1), np.int64))[r["kind"], r["stage"] - 1] += r["count"]
     rows = []
     for s in strata:
-        cuts = []
-        for rule in RULES:
-            proposing, holdout, bad = seen[s, rule]
-            cuts.append(certified_step(proposed_step(proposing, bad, each), holdout, each, shared))
-        rows.append((s, *cuts))
-    return spark.createDataFrame(rows, "stratum string, " + ", ".join(f"cut_{r} int" for r in RULES))
+        stage = certified_stage(*stages[s], risk, level / len(strata))
+        rows.append((s, *(None if t is None or stage is None else step_at(stage + 1, t) for t in targets[s])))
+    return spark.createDataFrame([(s, *(c if c is not None and c <= STEPS else None for c in cuts)) for s, *cuts in rows], schema)
 
 
 def base_failed() -> Column:
