@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import operator
+import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +48,7 @@ STARTERS = [
     "Given", "Had", "Has", "Have", "He", "Her", "His", "How", "I", "If", "In", "Is", "It", "Its", "Let", "Of", "On", "Or", "She", "Since", "So", "Some", "Suppose",
     "That", "The", "Their", "Then", "There", "These", "They", "This", "Those", "To", "Was", "We", "Were", "What", "When", "Where", "Which", "While", "Who", "Why", "Will", "With", "You", "Your",
 ]
-#: Values of number words; those side by side are added up.
+#: Values of number words; side by side they make one number, hundred and the larger ones multiplying what stands before them.
 NUMBERS = {"zero": 0, "hundred": 100, "thousand": 1000, "million": 1_000_000} | {w: k for k, w in enumerate([*ONES, *TEENS], 1)} | {t: 10 * k for k, t in enumerate(TENS, 2)}
 
 #: Han and kana are words by the character.
@@ -55,9 +56,16 @@ _SIGN = "\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}"
 TOKEN = f"\\p{{N}}+(?:[.,:/]\\p{{N}}+)*|[\\p{{L}}\\p{{M}}&&[^{_SIGN}]]+|[{_SIGN}]"
 
 
+#: Decimal digits of other scripts, and what they stand for.
+_DIGITS = [chr(c) for c in range(0x80, 0x10000) if unicodedata.decimal(chr(c), None) is not None]
+_PLAIN = "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
+
+
 def tokens(text: Column) -> Column:
-    """Words and numbers of the whole text."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+    """Words and numbers of the whole text; digits of other scripts become 0-9."""
+    whole = F.coalesce(text, F.lit(""))
+    plain = F.when(whole.rlike("[\\p{Nd}&&[^0-9]]"), F.translate(whole, "".join(_DIGITS), _PLAIN)).otherwise(whole)
+    return F.regexp_extract_all(plain, F.lit(TOKEN), F.lit(0))
 
 
 def _is_digits(token: Column) -> Column:
@@ -100,11 +108,21 @@ def values() -> Column:
     """What each kept token stands for with those that go with it: numbers in digits, the rest in lower case."""
     number = F.create_map(*(F.lit(x) for pair in NUMBERS.items() for x in (pair[0], str(pair[1]))))
 
+    def told(x: Column) -> Column:
+        plain = F.when(x.rlike("^[0-9]{1,3}(,[0-9]{3})+$"), F.replace(x, F.lit(","), F.lit(""))).otherwise(F.lower(x))
+        return F.coalesce(F.try_element_at(number, F.lower(x)), plain)
+
+    def joined(a: Column, x: Column) -> Column:
+        w, now = F.coalesce(x.try_cast("long"), F.lit(0)), F.greatest(a["now"], F.lit(1))
+        total = F.when(w >= 1000, a["total"] + now * w).otherwise(a["total"])
+        return F.struct(total.alias("total"), F.when(w >= 1000, F.lit(0).cast("long")).when(w == 100, now * 100).otherwise(a["now"] + w).alias("now"))
+
     def value(i: Column, k: Column) -> Column:
         n = F.coalesce(F.get("kept", k + 1), F.size("tokens")) - i
-        words = F.transform(F.slice("tokens", i + 1, n), lambda x: F.coalesce(F.try_element_at(number, F.lower(x)), F.lower(x)))
-        added = F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x.try_cast("long"), F.lit(0)))
-        return F.when((n > 1) & (F.get("flat", i) == "<number>"), added.cast("string")).otherwise(F.array_join(words, " "))
+        words = F.transform(F.slice("tokens", i + 1, n), told)
+        zero = F.lit(0).cast("long")
+        whole = F.aggregate(words, F.struct(zero.alias("total"), zero.alias("now")), joined, lambda a: a["total"] + a["now"])
+        return F.when((n > 1) & (F.get("flat", i) == "<number>"), whole.cast("string")).otherwise(F.array_join(words, " "))
 
     return F.transform("kept", value)
 

@@ -1,5 +1,6 @@
 """Decontamination looks at every place of a document that may hold an item."""
 
+import re
 from collections import defaultdict
 
 import regex
@@ -65,12 +66,21 @@ def plain_template(text, names):
         flat.append(x)
     out = []
     for k, (w, x) in enumerate(zip(words, flat)):
-        told = str(d.NUMBERS[w.lower()]) if w.lower() in d.NUMBERS else w.lower()
+        told = str(d.NUMBERS[w.lower()]) if w.lower() in d.NUMBERS else w.replace(",", "") if re.fullmatch("[0-9]{1,3}(,[0-9]{3})+", w) else w.lower()
         if k and x == flat[k - 1] and (x == "<name>" or x == "<number>" and not w[0].isdigit() and not words[k - 1][0].isdigit()):
             out[-1][1].append(told)
         else:
             out.append((x, [told]))
-    return [x for x, _ in out], [str(sum(map(int, v))) if x == "<number>" and len(v) > 1 else " ".join(v) for x, v in out]
+    return [x for x, _ in out], [str(said(v)) if x == "<number>" and len(v) > 1 else " ".join(v) for x, v in out]
+
+
+def said(words):
+    """The number that number words make."""
+    for scale in (1_000_000, 1000, 100):
+        if str(scale) in words:
+            at = len(words) - 1 - words[::-1].index(str(scale))
+            return max(1, said(words[:at])) * scale + said(words[at + 1 :])
+    return sum(map(int, words))
 
 
 def test_windows_that_match_against_plain_loops(spark):
@@ -99,3 +109,27 @@ def test_windows_that_match_against_plain_loops(spark):
                 must.add((i, k))
     assert must and must <= set(got) <= may
     assert {x for x in got if got[x].kind == "exact"} == must
+
+
+NUMBERS = [
+    # item, document, kind (None: not found)
+    ("two hundred pens and one hundred one books", "750 pens and 320 books", "reparameterised"),
+    ("two hundred pens and one hundred one books", "200 pens and 101 books", "exact"),
+    ("two hundred pens and one hundred one books", "two hundred pens and one hundred one books", "exact"),
+    ("two hundred pens and one hundred one books", "320 pens and 320 books", None),
+    ("3,000 pens and 45 books", "3000 pens and forty five books", "exact"),
+    ("3,000 pens and 45 books", "３０００ pens and ٤٥ books", "exact"),
+    ("3,000 pens and 45 books", "two thousand five hundred pens and one million two hundred thousand books", "reparameterised"),
+    ("2500 pens and 1200000 books", "two thousand five hundred pens and one million two hundred thousand books", "exact"),
+    ("60 pens and 45 books", "72 pens and 72 books", None),
+]
+
+
+def test_numbers_in_words_separators_and_other_scripts(spark):
+    frame = lambda x: f"a seller stacks {x} on his wooden table before noon and then counts them all again"
+    for item in dict.fromkeys(x for x, _, _ in NUMBERS):
+        cases = [(k, d, kind) for k, (x, d, kind) in enumerate(NUMBERS) if x == item]
+        docs = spark.createDataFrame([(k, "other words come first . " + frame(d)) for k, d, _ in cases], "doc_id long, text string")
+        bench = spark.createDataFrame([(1, frame(item))], "item_id long, text string")
+        got = {r.id: r.kind for r in decontaminate.contaminated(docs, bench).collect()}
+        assert got == {k: kind for k, _, kind in cases if kind}
