@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,25 +39,25 @@ def staged(df: DataFrame, name: str, *, partition_by: list[str] | None = None) -
     """Cut the lineage: write `df` as Parquet below the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyfold/{name}-{uuid.uuid4().hex}"
-    for paths in _recording:
+    for paths in _recording.get():
         paths.append(path)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_recording: list[list[str]] = []
+_recording: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("recording", default=())
 
 
 @contextlib.contextmanager
 def recorded() -> Iterator[list[str]]:
-    """The folders that `staged` writes meanwhile."""
+    """The folders that `staged` writes meanwhile, in this thread or task of the driver."""
     paths: list[str] = []
-    _recording.append(paths)
+    before = _recording.set((*_recording.get(), paths))
     try:
         yield paths
     finally:
-        _recording.remove(paths)
+        _recording.reset(before)
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyfold.llm import lines, quality, queries, sharding, simhash, substrings, token_store
+from tallyfold.llm import lines, near_copies, quality, queries, sharding, simhash, substrings, token_store
 
 from .conftest import ODD_TEXTS, SF
 
@@ -178,7 +178,7 @@ def test_op9(spark):
 def test_simhash_odd(odd, empty):
     check_groups(simhash.simhash_groups(odd).collect(), [(i, t) for i, t, _, _ in ODD_TEXTS])
     assert simhash.simhash_groups(empty).count() == 0
-    kept = [r.doc_id for r in simhash.keep_first(odd).collect()]
+    kept = [r.doc_id for r in near_copies.keep_first(odd).collect()]
     assert len(kept) == len(set(kept)) and None in kept and 1 in kept and 2 not in kept and 5 not in kept
 
 

@@ -53,6 +53,15 @@ def test_run(spark):
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 0
 
 
+def test_two_pipelines_in_one_session(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one, two = (corpus_pipeline.quality_rules(spark, docs.where(f"doc_id % 2 = {k}"), SF) for k in range(2))
+    first = corpus_pipeline.run(spark, SF)
+    mixed = corpus_pipeline.source_mixing(spark, one, SF)
+    again = corpus_pipeline.run(spark, SF)
+    assert one.count() + two.count() > first.count() == again.count() and mixed.count() == one.count()
+
+
 def test_stages_on_odd_rows(spark, odd, empty, tmp_path):
     """Nulls in any column, empty and very long texts, repeated rows and ids, clashing columns, and an empty table."""
     want = {
