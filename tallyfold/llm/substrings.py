@@ -10,7 +10,8 @@ positions ever meet in a shuffle.
 2. For those names the positions' contexts are sorted by the windows they stand for; equal neighbours are
    one string (found by hash, compared by bytes), and all but the smallest id's windows are covered.  Every task first does this among its
    own contexts and passes on only windows that it could not cover, so that crowded names shrink before
-   the shuffle; then the rest meets by name.
+   the shuffle; then the rest meets by name.  Names that CROWDED documents share meet by more bytes than the gram's: for every
+   STEP offsets a context goes to the place of the bytes that all windows with these offsets hold.
 3. Covered windows go back to their documents.
 
 Rows between the steps are packed arrays: a task writes one for each name bucket and chunk.
@@ -29,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_sized, shuffle_width, staged
+from .common import arrow_sized, remove, shared_dir, shuffle_width, staged
 
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM  # bytes that a window may hold before its gram
@@ -38,6 +39,10 @@ SPAN = LENGTH + REACH  # bytes that the windows over one gram can touch
 #: writes them, contexts that are resolved together on the way, open ones that a task holds.
 BLOCK, GRAMS, CONTEXTS, OPEN = 1 << 21, 500_000, 30_000, 200_000
 LEAST_BUCKETS = 64
+#: Documents from which on a name is crowded, and offsets that a crowded name's contexts meet for together: windows with STEP
+#: neighbouring offsets have all but STEP - 1 of their bytes in common.
+CROWDED, STEP = 20_000, 8
+_FLAG = np.uint64(1 << 63)
 
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -150,26 +155,32 @@ def _write_names(buckets: int):
     return run
 
 
-def _shared_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document of the partition with the names that it shares with another one."""
-    parts = [_unpack(p.as_py(), *_NAMES) for batch in batches for p in batch.column(1)]
-    if not parts:
-        return
-    low, high, step = (list(x) for x in zip(*parts))
-    g = np.concatenate(high).astype(np.uint64) << np.uint64(32) | np.concatenate(low)
-    d = np.concatenate([np.cumsum(s) for s in step])
-    order = np.argsort(g)
-    g, d = g[order], d[order]
-    start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-    shared = np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start)
-    rows = np.repeat(shared, np.diff(np.concatenate([start, [len(g)]])))
-    g, d = g[rows], d[rows]
-    order = np.argsort(d, kind="stable")
-    g, d = g[order], d[order]
-    ids, at = np.unique(d, return_index=True)
-    for k in range(0, len(ids), 4096):
-        ends = [*at[k + 1 : k + 4096], at[k + 4096] if k + 4096 < len(at) else len(g)][: len(ids[k : k + 4096])]
-        yield _batch(doc=pa.array(ids[k : k + 4096], pa.int64()), names=pa.array([g[i:j].astype("<u8").tobytes() for i, j in zip(at[k : k + 4096], ends)], pa.binary()))
+def _shared_names(crowded: int):
+    """A row for each document of the partition with the names that it shares with another one; crowded ones are flagged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [_unpack(p.as_py(), *_NAMES) for batch in batches for p in batch.column(1)]
+        if not parts:
+            return
+        low, high, step = (list(x) for x in zip(*parts))
+        g = np.concatenate(high).astype(np.uint64) << np.uint64(32) | np.concatenate(low)
+        d = np.concatenate([np.cumsum(s) for s in step])
+        order = np.argsort(g)
+        g, d = g[order], d[order]
+        start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        shared = np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start)
+        count = np.diff(np.concatenate([start, [len(g)]]))
+        g = g | np.repeat(np.where(count >= crowded, _FLAG, np.uint64(0)), count)
+        rows = np.repeat(shared, count)
+        g, d = g[rows], d[rows]
+        order = np.argsort(d, kind="stable")
+        g, d = g[order], d[order]
+        ids, at = np.unique(d, return_index=True)
+        for k in range(0, len(ids), 4096):
+            ends = [*at[k + 1 : k + 4096], at[k + 4096] if k + 4096 < len(at) else len(g)][: len(ids[k : k + 4096])]
+            yield _batch(doc=pa.array(ids[k : k + 4096], pa.int64()), names=pa.array([g[i:j].astype("<u8").tobytes() for i, j in zip(at[k : k + 4096], ends)], pa.binary()))
+
+    return run
 
 
 # --- step 2: windows that a smaller id holds --------------------------------------------------------
@@ -244,6 +255,18 @@ def _covers(doc, row, at, bits) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _segments(ctx: np.ndarray, open_: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, bits, key) for every STEP offsets: the contexts with open windows there, those windows, and a hash of what all of them hold."""
+    for low in range(0, REACH + 1, STEP):
+        high = min(low + STEP - 1, REACH)
+        bits = open_ & np.uint32((2 << high) - (1 << low))
+        rows = np.flatnonzero(bits)
+        h = np.full(len(rows), low, np.uint64)
+        for j in range(REACH - low, REACH + LENGTH - high):
+            h = h * _BASES[0] + ctx[rows, j] + np.uint64(1)
+        yield rows, bits[rows], (h ^ h >> np.uint64(29)) * _BASES[1] >> np.uint64(24)
+
+
 def _contexts(buckets: int):
     """Documents with their shared names -> covers (kind 0) and packed open contexts (kind 1, doc: the bucket)."""
 
@@ -251,18 +274,25 @@ def _contexts(buckets: int):
         held, count, open_held, open_count = [], 0, [], 0
 
         def write() -> Iterator[pa.RecordBatch]:
-            name, *cols = (np.concatenate(x) for x in zip(*open_held))
-            for b, rows in _by_bucket(name, buckets):
+            name, full, *cols = (np.concatenate(x) for x in zip(*open_held))
+            plain, crowd = np.flatnonzero(~full), np.flatnonzero(full)
+            yield from send(name[plain], *(c[plain] for c in cols))
+            doc, row, at, open_, ctx = (c[crowd] for c in cols)
+            for rows, bits, key in _segments(ctx, open_):
+                yield from send(key, doc[rows], row[rows], at[rows], bits.astype("<u4"), ctx[rows])
+
+        def send(key: np.ndarray, *cols: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for b, rows in _by_bucket(key, buckets):
                 load = _pack(*(c[rows] for c in cols))
                 yield _batch(kind=pa.array([1], pa.int32()), doc=pa.array([b], pa.int64()), row=pa.array([0], pa.int64()), payload=pa.array([load], pa.binary()))
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal open_held, open_count
-            name, doc, row, at, open_, ctx = (np.concatenate(x) for x in zip(*held))
+            name, full, doc, row, at, open_, ctx = (np.concatenate(x) for x in zip(*held))
             bits, rest = resolve(doc, open_, ctx)
             yield from _covers(doc, row, at, bits)
             left = np.flatnonzero(rest)
-            open_held.append((name[left], doc[left], row[left], at[left].astype("<i4"), rest[left].astype("<u4"), ctx[left]))
+            open_held.append((name[left], full[left], doc[left], row[left], at[left].astype("<i4"), rest[left].astype("<u4"), ctx[left]))
             open_count += len(left)
             if open_count >= OPEN:
                 yield from write()
@@ -272,17 +302,19 @@ def _contexts(buckets: int):
             for doc, key, text, names in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 raw = np.frombuffer(text.as_buffer(), np.uint8)
                 name, at, first, last = sampled(raw)
-                rows = np.isin(name, np.frombuffer(b"".join(names), "<u8"))
+                known = np.frombuffer(b"".join(names), "<u8")
+                rows = np.isin(name, known & ~_FLAG)
                 name, at, first, last = name[rows], at[rows], first[rows], last[rows]
+                full = np.isin(name, known[known >= _FLAG] & ~_FLAG)
                 padded = np.concatenate([np.zeros(REACH, np.uint8), raw, np.zeros(SPAN, np.uint8)])
                 for k in range(0, len(name), CONTEXTS):
-                    g, p, a, e = (x[k : k + CONTEXTS] for x in (name, at, first, last))
+                    g, f, p, a, e = (x[k : k + CONTEXTS] for x in (name, full, at, first, last))
                     ctx = padded[p[:, None] + np.arange(SPAN)]
                     low, high = (p - e).astype(np.uint8), (p - a).astype(np.uint8)
                     j = np.arange(SPAN)
                     ctx = ctx * ((j >= REACH - high[:, None].astype(int)) & (j < REACH - low[:, None].astype(int) + LENGTH))
                     open_ = ((np.uint64(2) << high.astype(np.uint64)) - (np.uint64(1) << low.astype(np.uint64))).astype(np.uint32)
-                    held.append((g, np.full(len(g), doc, np.int64), np.full(len(g), key, np.int64), p, open_, ctx.astype(np.uint8)))
+                    held.append((g, f, np.full(len(g), doc, np.int64), np.full(len(g), key, np.int64), p, open_, ctx.astype(np.uint8)))
                     count += len(g)
                     if count >= CONTEXTS:
                         yield from flush()
@@ -306,7 +338,7 @@ def _names_of(ctx: np.ndarray) -> np.ndarray:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passes covers on and resolves the open contexts of the partition, a few whole names at a time."""
+    """Passes covers on and resolves the open contexts of the partition, a few whole names, or parts of a crowded one, at a time."""
     parts = []
     for batch in batches:
         open_ = pa.compute.equal(batch.column(0), 1)
@@ -316,18 +348,27 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     cols = [np.concatenate([p[k] for p in parts]) for k in range(len(_CONTEXT))]
     del parts
-    names = _names_of(cols[-1])
-    order = np.argsort(names, kind="stable")
-    names = names[order]
-    starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
-    at = 0
-    while at < len(order):
-        later = starts[np.searchsorted(starts, at + CONTEXTS) :]  # a name with more contexts goes whole
-        end = int(later[0]) if len(later) else len(order)
-        doc, row, pos, open_, ctx = (c[order[at:end]] for c in cols)
-        bits, _ = resolve(doc, open_, ctx)
-        yield from _covers(doc, row, pos, bits)
-        at = end
+    doc, row, pos, open_, ctx = cols
+    for rows in _runs(_names_of(ctx)):
+        if len(rows) <= CONTEXTS:
+            yield from _covers(doc[rows], row[rows], pos[rows], resolve(doc[rows], open_[rows], ctx[rows])[0])
+            continue
+        for some, bits, key in _segments(ctx[rows], open_[rows]):
+            for part in _runs(key):
+                own = rows[some[part]]
+                yield from _covers(doc[own], row[own], pos[own], resolve(doc[own], bits[part], ctx[own])[0])
+
+
+def _runs(keys: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows in runs of whole keys, CONTEXTS or fewer unless one key alone has more."""
+    order = np.argsort(keys, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]])) if len(order) else order
+    ends = np.append(starts[1:], len(order)) if len(order) else order
+    k = 0
+    while k < len(starts):
+        last = max(k, int(np.searchsorted(ends, starts[k] + CONTEXTS, "right")) - 1)
+        yield order[starts[k] : ends[last]]
+        k = last + 1
 
 
 # --- step 3: what is left of each document ----------------------------------------------------------
@@ -367,17 +408,24 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     width = max(LEAST_BUCKETS, shuffle_width(spark))
-    buckets = 4 * width
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = arrow_sized(docs).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(id_col), text).alias("row"), text.alias("text"))
     # the texts once more, bucketed by id: two joins by id then move no text
     name = f"texts_{uuid.uuid4().hex}"
-    rows.write.option("compression", "zstd").bucketBy(width, "doc").format("parquet").saveAsTable(name)
-    texts = spark.table(name)
+    path = f"{shared_dir(spark)}/tallyfold/{name}"
+    try:
+        rows.write.option("compression", "zstd").option("path", path).bucketBy(width, "doc").format("parquet").saveAsTable(name)
+        return _dedup(rows, spark.table(name), width)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, [path])
 
+
+def _dedup(rows: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    buckets = 4 * width
     long = F.octet_length("text") >= LENGTH
     names = rows.where(long & F.col("doc").isNotNull()).select("doc", "text").mapInArrow(_write_names(buckets), "bucket int, payload binary")
-    shared = names.repartition(buckets, "bucket").mapInArrow(_shared_names, "doc long, names binary")
+    shared = names.repartition(buckets, "bucket").mapInArrow(_shared_names(CROWDED), "doc long, names binary")
     hits = shared.groupBy("doc").agg(F.collect_list("names").alias("names"))
     with_names = texts.join(hits.hint("shuffle_hash"), "doc").where(long).select("doc", "row", "text", "names")
     met = with_names.mapInArrow(_contexts(buckets), "kind int, doc long, row long, payload binary")
@@ -385,6 +433,4 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     covered = met.repartition(buckets, "doc").mapInArrow(_meet, met.schema).select("doc", "row", "payload")
     covers = covered.groupBy("doc").agg(F.collect_list(F.struct("row", "payload")).alias("covers"))
     left = texts.join(covers.hint("shuffle_hash"), "doc", "left").select("doc", "row", "text", "covers")
-    out = staged(left.mapInArrow(_left, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "substrings-left")
-    spark.sql(f"DROP TABLE {name}")
-    return out
+    return staged(left.mapInArrow(_left, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "substrings-left")

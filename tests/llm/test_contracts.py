@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -275,6 +276,43 @@ def test_substrings_planted(spark):
     assert Counter(tuple(r) for r in substrings.dedup_substrings(df).collect()) == plain_removal(docs)
 
 
+def test_substrings_crowded(spark, monkeypatch):
+    """Names in many documents, with the same, partly the same and other surroundings, meet by parts of their contexts."""
+    monkeypatch.setattr(substrings, "CROWDED", 2)
+    rng = np.random.default_rng(7)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    crowd, sides = "!" * 5 + word(15), [word(40) for _ in range(3)]
+    docs = []
+    for i in range(150):
+        left, right = (sides[int(rng.integers(0, 3))][-int(rng.integers(1, 40)) :], sides[int(rng.integers(0, 3))][: int(rng.integers(1, 40))])
+        docs.append((i % 140, word(60) + left + crowd + right + word(60)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    want = plain_removal(docs)
+    assert Counter(tuple(r) for r in substrings.dedup_substrings(df).collect()) == want and sum(r[2] > 0 for r in want) > 20
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("texts_")]
+
+
+def test_contexts_of_one_name_are_resolved_in_parts(monkeypatch):
+    rng = np.random.default_rng(11)
+    ctx = rng.integers(97, 99, (4000, substrings.SPAN)).astype(np.uint8)
+    ctx[:, substrings.REACH : substrings.REACH + substrings.GRAM] = 120
+    ctx[:, : substrings.REACH] = ctx[rng.integers(0, 40, 4000), : substrings.REACH]
+    ctx[:, substrings.REACH + substrings.GRAM :] = ctx[rng.integers(0, 40, 4000), substrings.REACH + substrings.GRAM :]
+    doc, open_ = rng.integers(0, 3000, 4000), rng.integers(1, 1 << 31, 4000).astype(np.uint32)
+    want, calls, resolve = substrings.resolve(doc, open_, ctx)[0], [], substrings.resolve
+    cols = (doc, np.arange(4000), np.zeros(4000, "<i4"), open_, ctx)
+    batch = substrings._batch(kind=pa.array([1], pa.int32()), doc=pa.array([0]), row=pa.array([0]), payload=pa.array([substrings._pack(*cols)], pa.binary()))
+    monkeypatch.setattr(substrings, "CONTEXTS", 500)
+    monkeypatch.setattr(substrings, "resolve", lambda *a: calls.append(len(a[0])) or resolve(*a))
+    got = np.zeros(4000, np.uint32)
+    for out in substrings._meet(iter([batch])):
+        for row, load in zip(out.column("row").to_pylist(), out.column("payload").to_pylist()):
+            n = len(load) // 8
+            for bits in np.frombuffer(load, "<u4", n, 4 * n):
+                got[row] |= bits
+    assert (got == want).all() and want.any() and max(calls) < 1000
+
+
 # --- lines ---
 
 
