@@ -65,6 +65,24 @@ def stale(wanted: DataFrame, log: DataFrame, key: str, checked: str, as_of: Colu
     return wanted.join(log, key, "left").where(F.col(checked).isNull() | (F.datediff(as_of, F.col(checked)) > most_days)).select(wanted.columns)
 
 
+def candidates(sides: DataFrame, projected: DataFrame, roster: DataFrame, team: str, posted: str, entity: str, slot: str, name: str, most: int = 9) -> DataFrame:
+    """Each side's expected entities with slot, status and name; `sides` keeps its other columns.
+
+    The first `most` of the posted list are "confirmed" and its positions are the slots; without one the projected order of the team counts ("projected"),
+    else the first `most` of its roster by id, without slots ("unknown").  Entities that the roster does not name are named by their id; a side with none of the
+    three gives no row.  No list is longer than `most`.
+    """
+    entry = lambda at, who, status: F.struct(F.expr(at).cast("int").alias(slot), F.expr(who).alias(entity), F.lit(status).alias("status"))
+    ordered = projected.groupBy(team).agg(F.slice(F.array_sort(F.collect_list(entry(slot, entity, "projected"))), 1, most).alias("_projected"))
+    first = numbered(roster.select(team, entity), [team], [entity], "_at").where(F.col("_at") <= most)
+    listed = first.groupBy(team).agg(F.array_sort(F.collect_list(entry("null", entity, "unknown"))).alias("_listed"))
+    confirmed = F.when(F.size(posted) > 0, F.transform(F.slice(posted, 1, most), lambda x, i: F.struct((i + 1).cast("int").alias(slot), x.alias(entity), F.lit("confirmed").alias("status"))))
+    lists = sides.join(ordered, team, "left").join(listed, team, "left").withColumn("_e", F.explode(F.coalesce(confirmed, "_projected", "_listed")))
+    rows = lists.select(*(c for c in sides.columns if c != posted), "_e.*")
+    names = roster.select(team, entity, name).dropDuplicates([team, entity])
+    return rows.join(names, [team, entity], "left").withColumn(name, F.coalesce(name, F.col(entity).cast("string")))
+
+
 def hashed_sample(df: DataFrame, stratum: str, key: str, each: int, seed: int) -> DataFrame:
     """`each` rows of every stratum, drawn by a hash of key and seed: the same on any partitioning."""
     order = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))

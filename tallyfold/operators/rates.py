@@ -97,22 +97,57 @@ def group_rates(df: DataFrame, key: str, values: list[str], split: str, split_va
     return out.select(key, "n", *(f"n_{s}" for s in split_values), *(c for v in values for c in (f"{v}_rate", *(f"{v}_rate_{s}" for s in split_values))))
 
 
-def bases_per_hit(df: DataFrame, entity: str, bases: str, hit: str, top: str, least: int = 10, low: float = 1.0, high: float = 2.2) -> DataFrame:
-    """Mean bases of hits other than the top outcome, per entity, shrunk to the league by the spread between entities."""
+#: Mean bases of a hit with too few hits to measure; share of trials against the first opponent, and rates against all others.
+BASES_PER_HIT = 1.2728
+PRIMARY_SHARE = 0.528
+RESIDUAL_RATES = {"is_hr": 0.0571, "is_hit": 0.2279, "is_walk": 0.1267, "is_k": 0.2336}
+
+
+def bases_per_hit(df: DataFrame, entity: str, bases: str, hit: str, top: str, least: int = 50, few: int = 2000, low: float = 1.0, high: float = 2.2) -> DataFrame:
+    """Mean bases of hits other than the top outcome, per entity, shrunk to the league by the spread between entities.
+
+    With fewer than `few` hits in all everyone has BASES_PER_HIT; entities with `least` hits show the spread, and fewer than 30 of them none.
+    """
     hits = df.where((F.col(hit) == 1) & (F.col(top) == 0))
     own = hits.groupBy(entity).agg(F.sum(bases).alias("x"), F.count("*").alias("n"))
-    league = hits.agg(F.avg(bases).alias("league"), F.var_samp(bases).alias("within"))
+    league = hits.agg(F.avg(bases).alias("league"), F.var_samp(bases).alias("within"), F.count("*").alias("hits"))
     many = own.where(F.col("n") >= least).agg(F.count("*").alias("groups"), F.var_samp(F.col("x") / F.col("n")).alias("between"), F.avg(1 / F.col("n")).alias("inv"))
     spread = F.col("between") - F.col("within") * F.col("inv")
     k = F.when(F.col("groups") < 30, 189.0).when(spread > 0, F.col("within") / spread)  # null: no spread, so the league's mean
-    facts = league.join(F.broadcast(many)).select("league", k.alias("k"))
+    facts = league.join(F.broadcast(many)).select("league", "hits", k.alias("k"))
     mean = F.when(F.col("k").isNull(), F.col("league")).otherwise(shrunk(F.col("x"), F.col("n"), F.col("league"), F.col("k")))
-    return own.join(F.broadcast(facts)).select(entity, "n", clip(mean, low, high).alias("bases_per_hit"))
+    mean = F.when(F.col("hits") < few, BASES_PER_HIT).otherwise(clip(mean, low, high))
+    return own.join(F.broadcast(facts)).select(entity, "n", mean.alias("bases_per_hit"))
+
 
+def residual_opponent(df: DataFrame, unit: str, side: str, opponent: str, opening: Column, first: list[str], values: list[str], least: int = 5000, low: float = 0.35, high: float = 0.75) -> DataFrame:
+    """One row: the share of trials against each side's first opponent, rates against all the others, and whether both were measured.
 
-def residual_opponent(df: DataFrame, unit: str, side: str, opponent: str, first: list[str], values: list[str]) -> DataFrame:
-    """One row: the share of trials against each side's first opponent, and rates against all the others."""
-    primary = df.groupBy(unit, side).agg(F.min_by(opponent, F.struct(*first)).alias("_primary"))
-    tagged = df.join(primary, [unit, side]).withColumn("_is", F.col(opponent) == F.col("_primary"))
-    rest = [F.avg(F.when(~F.col("_is"), F.col(v))).alias(f"{v}_residual") for v in values]
-    return tagged.agg(F.avg(F.col("_is").cast("double")).alias("primary_share"), *rest)
+    The first opponent is the one of the side's first trial in its opening period; trials of sides without one do not count.  With fewer than
+    `least` trials that count, a share outside low..high, or no other opponent, the fixed share and rates stand instead.
+    """
+    primary = df.where(opening).groupBy(unit, side).agg(F.min_by(opponent, F.struct(*first)).alias("_primary")).where("_primary is not null")
+    tagged = df.join(primary, [unit, side]).withColumn("_is", F.coalesce(F.col(opponent) == F.col("_primary"), F.lit(False)))
+    rest = [F.avg(F.when(~F.col("_is"), F.col(v))).alias(v) for v in values]
+    found = tagged.agg(F.count("*").alias("n"), F.avg(F.col("_is").cast("double")).alias("share"), *rest)
+    measured = (F.col("n") >= least) & F.coalesce(F.col("share").between(low, high), F.lit(False)) & F.coalesce(*values).isNotNull()
+    rates = [F.when(F.col("measured"), F.col(v)).otherwise(F.lit(RESIDUAL_RATES.get(v))).alias(f"{v}_residual") for v in values]
+    return found.withColumn("measured", measured).select("n", "measured", F.when(F.col("measured"), F.col("share")).otherwise(PRIMARY_SHARE).alias("primary_share"), *rates)
+
+
+def opponent_rates(rows: DataFrame, own: DataFrame, pooled: DataFrame, facts: DataFrame, opponent: str, split: str, split_values: list[str], values: list[str]) -> DataFrame:
+    """`rows` with the rate that each value's opponent allows, and where it comes from: "split", "own", "pool" or "league".
+
+    own: opponent, {v}_rate and {v}_rate_{s} for the split values; pooled: opponent and {v}_pool; facts, one row: {v}_league, primary_share and
+    {v}_residual (null: the league's).  The opponent's rate by split comes first, then its own, then the pool's, each blended with the rate of the others by the
+    primary share; without any of them the league's stands unblended.
+    """
+    have = own.withColumn("_own", F.lit(True)).join(pooled.withColumn("_pool", F.lit(True)), opponent, "full")
+    j = rows.join(have, opponent, "left").join(F.broadcast(facts))  # one row
+    for v in values:
+        by_split = F.coalesce(*(F.when(F.col(split) == s, F.col(f"{v}_rate_{s}")) for s in split_values))
+        theirs = F.when(F.col("_own"), F.coalesce(by_split, f"{v}_rate")).when(F.col("_pool"), F.col(f"{v}_pool"))
+        origin = F.when(F.col("_own") & by_split.isNotNull(), "split").when(F.col("_own") & F.col(f"{v}_rate").isNotNull(), "own").when(F.col("_own").isNull() & F.col(f"{v}_pool").isNotNull(), "pool").otherwise("league")
+        others = F.coalesce(f"{v}_residual", f"{v}_league")
+        j = j.withColumns({f"{v}_allowed": F.coalesce(blend(theirs, others, F.col("primary_share")), f"{v}_league"), f"{v}_origin": origin})
+    return j.select(*rows.columns, *(c for v in values for c in (f"{v}_allowed", f"{v}_origin")))

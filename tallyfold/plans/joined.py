@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import joins, windows
+from ..operators import joins, rates, windows
+from ..sources import tables
+from ..sources.shared import new_path
+from .aggregates import SQL as AGGREGATES
+from .aggregates import a13_group_rates
 from .bindings import EVENTS, ORDER, ORDER_SQL, SLOTS, TRIALS, UNITS, raw_events, rounded, slots, table, trials, units
 
 SQL: dict[str, str] = {}
@@ -61,19 +65,23 @@ SQL["j6_prior_season"] = f"WITH {TRIALS}, p AS (SELECT opponent, year(day) + 1 A
 
 
 def j9_precedence(spark, d):
-    """The best rate there is: the opponent's by hand if it has twenty trials, else its own, else the league's."""
+    """What an opponent allows, by four levels: by split or its own (two thirds of them have figures), from the pool, or the league's; all but the last blended."""
     t = trials(spark, d)
-    by_hand = t.groupBy("opponent", "stand").agg(F.avg("is_hit").alias("split"), F.count("*").alias("split_n"))
-    own = t.groupBy("opponent").agg(F.avg("is_hit").alias("whole"), F.count("*").alias("n"))
-    league = t.agg(F.avg("is_hit").alias("league"))
-    rows = t.select("entity", "opponent", "stand").distinct()
-    j = rows.join(by_hand, ["opponent", "stand"], "left").join(own, "opponent", "left").join(F.broadcast(league))
-    rate = F.coalesce(F.when(F.col("split_n") >= 300, F.col("split")), F.when(F.col("n") >= 500, F.col("whole")), F.col("league"))
-    which = F.when(F.col("split_n") >= 300, "split").when(F.col("n") >= 500, "own").otherwise("league")
-    return rounded(j.select("entity", "opponent", rate.alias("rate"), which.alias("origin")))
+    own = a13_group_rates(spark, d).where("opponent % 3 != 0").withColumn("is_hit_rate_R", F.when(F.col("opponent") % 5 != 0, F.col("is_hit_rate_R")))
+    pooled = t.where("opponent % 2 = 0").groupBy("opponent").agg(F.avg("is_hit").alias("is_hit_pool"))
+    residual = rates.residual_opponent(t.withColumn("crew", F.col("opponent") % 3), "unit", "side", "crew", F.col("seq") == 1, ORDER, ["is_hit"])
+    facts = t.agg(F.avg("is_hit").alias("is_hit_league")).join(residual.select("primary_share", "is_hit_residual"))  # one row and one row
+    rows = t.select("entity", "stand", F.when(F.col("unit") % 10 != 0, F.col("opponent")).alias("opponent")).distinct()
+    return rounded(rates.opponent_rates(rows, own, pooled, facts, "opponent", "stand", ["L", "R"], ["is_hit"]))
 
 
-SQL["j9_precedence"] = f"WITH {TRIALS}, h AS (SELECT opponent, stand, avg(is_hit) AS split, count(*) AS split_n FROM t GROUP BY ALL), o AS (SELECT opponent, avg(is_hit) AS whole, count(*) AS n FROM t GROUP BY ALL), l AS (SELECT avg(is_hit) AS league FROM t) SELECT entity, opponent, round(CASE WHEN split_n >= 300 THEN split WHEN n >= 500 THEN whole ELSE league END, 9) AS rate, CASE WHEN split_n >= 300 THEN 'split' WHEN n >= 500 THEN 'own' ELSE 'league' END AS origin FROM (SELECT DISTINCT entity, opponent, stand FROM t) LEFT JOIN h USING (opponent, stand) LEFT JOIN o USING (opponent), l"
+SQL["j9_precedence"] = f"""WITH {TRIALS}, o AS ({AGGREGATES["a13_group_rates"]}), p AS (SELECT opponent, avg(is_hit) AS pool FROM t WHERE opponent % 2 = 0 GROUP BY opponent),
+b AS ({AGGREGATES["a14_residual_opponent"]}), f AS (SELECT primary_share AS s, is_hit_residual AS r, (SELECT avg(is_hit) FROM t) AS league FROM b WHERE b."by" = 'crew'),
+x AS (SELECT DISTINCT entity, stand, CASE WHEN unit % 10 <> 0 THEN opponent END AS opponent FROM t),
+y AS (SELECT x.*, f.*, o.opponent IS NOT NULL AS own, CASE WHEN stand = 'L' THEN is_hit_rate_L WHEN o.opponent % 5 <> 0 THEN is_hit_rate_R END AS split, is_hit_rate AS whole, pool
+  FROM x LEFT JOIN (SELECT * FROM o WHERE opponent % 3 <> 0) o ON o.opponent = x.opponent LEFT JOIN p ON p.opponent = x.opponent, f)
+SELECT entity, stand, opponent, round(CASE WHEN own THEN s * coalesce(split, whole) + (1 - s) * r WHEN pool IS NOT NULL THEN s * pool + (1 - s) * r ELSE league END, 9) AS is_hit_allowed,
+  CASE WHEN own AND split IS NOT NULL THEN 'split' WHEN own THEN 'own' WHEN pool IS NOT NULL THEN 'pool' ELSE 'league' END AS is_hit_origin FROM y"""
 
 
 def j12_scored(spark, d):
@@ -109,20 +117,28 @@ SQL["j21_slot_histogram"] = f"WITH {UNITS}, {SLOTS} SELECT slot, count(*) AS n F
 
 
 def j22_candidates(spark, d):
-    """Both sides of a unit as rows: a confirmed list by position, else the projected one, with the opponent attached."""
+    """Both sides of a unit as rows: the posted list on even days, else the projected one where the club has one, else the first nine of its roster."""
     s = slots(spark, d)
-    sides = s.groupBy("day", "lineup", "team").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "entity"))), lambda x: x["entity"]).alias("list"))
-    confirmed = F.when(F.dayofmonth("day") % 2 == 0, F.slice("list", 1, 3))
-    projected = F.array_sort("list")
-    rows = sides.select("day", "lineup", "team", F.when(confirmed.isNotNull(), "confirmed").otherwise("projected").alias("status"), F.posexplode(F.coalesce(confirmed, projected)).alias("at", "entity"))
-    starters = sides.select("day", "lineup", (1 - F.col("team")).alias("team"), F.element_at("list", 1).alias("opponent"))
-    return rows.join(starters, ["day", "lineup", "team"], "left").select("day", "lineup", "team", "status", (F.col("at") + 1).alias("slot"), "entity", "opponent")
-
-
-SQL["j22_candidates"] = f"""WITH {SLOTS}, g AS (SELECT day, lineup, team, list(entity ORDER BY slot) AS l FROM s GROUP BY ALL),
-r AS (SELECT day, lineup, team, CASE WHEN day(day) % 2 = 0 THEN 'confirmed' ELSE 'projected' END AS status, CASE WHEN day(day) % 2 = 0 THEN l[1:3] ELSE list_sort(l) END AS c FROM g),
-x AS (SELECT day, lineup, team, status, unnest(range(1, len(c) + 1)) AS slot, unnest(c) AS entity FROM r)
-SELECT x.day, x.lineup, x.team, status, CAST(slot AS INT) AS slot, entity, g.l[1] AS opponent FROM x LEFT JOIN g ON g.day = x.day AND g.lineup = x.lineup AND g.team = 1 - x.team"""
+    sides = s.groupBy("day", "lineup", "team").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "entity"))), lambda x: x["entity"]).alias("all"))
+    club = lambda team: (F.dayofyear("day") + 7 * F.col("lineup") + 11 * team) % 25
+    posted = F.when(F.dayofmonth("day") % 2 == 0, F.col("all"))
+    sides = sides.select("day", "lineup", "team", club(F.col("team")).alias("club"), club(1 - F.col("team")).alias("opponent"), club(F.lit(0)).alias("home"), posted.alias("list"))
+    c = table(spark, d, "customer").select(F.col("c_nationkey").cast("int").alias("club"), F.col("c_custkey").alias("entity"), F.col("c_name").alias("name"), "c_acctbal")
+    order = windows.numbered(c.where("club % 3 != 0"), ["club"], [F.desc("c_acctbal"), "entity"], "slot").where("slot <= 9")
+    venues = table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("home"), F.col("n_name").alias("venue"))
+    out = joins.candidates(sides.join(F.broadcast(venues), "home", "left"), order, c.where("club % 6 != 5"), "club", "list", "entity", "slot", "name")  # nations
+    return out.select("day", "lineup", "team", "club", "opponent", "venue", "status", "slot", "entity", "name")
+
+
+SQL["j22_candidates"] = f"""WITH {SLOTS}, g AS (SELECT day, lineup, team, list(entity ORDER BY slot) AS l, (dayofyear(day) + 7 * lineup + 11 * team) % 25 AS club,
+  (dayofyear(day) + 7 * lineup + 11 * (1 - team)) % 25 AS opponent, (dayofyear(day) + 7 * lineup) % 25 AS home FROM s GROUP BY ALL),
+c AS (SELECT c_nationkey AS club, c_custkey AS entity, c_name AS name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS p,
+  row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer),
+x AS (SELECT g.*, 'confirmed' AS status, unnest(range(1, len(l) + 1)) AS slot, unnest(l) AS entity FROM g WHERE day(day) % 2 = 0
+  UNION ALL SELECT g.*, 'projected', p, entity FROM g JOIN c USING (club) WHERE day(day) % 2 = 1 AND club % 3 <> 0 AND p <= 9
+  UNION ALL SELECT g.*, 'unknown', NULL, entity FROM g JOIN c USING (club) WHERE day(day) % 2 = 1 AND club % 3 = 0 AND club % 6 <> 5 AND r <= 9)
+SELECT day, lineup, team, CAST(x.club AS INT) AS club, CAST(opponent AS INT) AS opponent, n_name AS venue, status, CAST(slot AS INT) AS slot, x.entity, coalesce(c.name, CAST(x.entity AS VARCHAR)) AS name
+FROM x JOIN nation ON n_nationkey = home LEFT JOIN c ON c.club = x.club AND c.entity = x.entity AND c.club % 6 <> 5"""
 
 
 def s17_upsert(spark, d):
@@ -146,6 +162,30 @@ def s21_top_up(spark, d):
 SQL["s21_top_up"] = f"WITH {EVENTS}, h AS (SELECT event_id, user_id, day, value AS v FROM e WHERE day < DATE '2024-01-20' OR user_id % 3 = 0), m AS (SELECT user_id, max(day) - 1 AS mark FROM h GROUP BY user_id), n AS (SELECT event_id, e.user_id, day, value + 1 AS v FROM e LEFT JOIN m USING (user_id) WHERE mark IS NULL OR day >= mark), b AS (SELECT *, 0 AS l FROM h UNION ALL SELECT *, 1 FROM n) SELECT event_id, user_id, day, round(v, 6) AS v FROM b QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY l DESC) = 1"
 
 
+def s22_refresh(spark, d):
+    """Orders land as a folder of JSON lines a month, some with torn lines: whole months load or stay as they were, and only loaded ones are stamped."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), "o_totalprice", F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    line = F.to_json(F.struct("o_orderkey", "day", "o_totalprice"))
+    torn = (F.month("day") % 5 == 0) & (F.col("o_orderkey") % 4 == 0)
+    path = new_path(spark, "landing")
+    o.where("month(day) != 7").select("month", F.when(torn, F.substring(line, 1, 20)).otherwise(line).alias("value")).write.partitionBy("month").text(path)
+    rows, status = tables.load_isolated(spark, path, "o_orderkey bigint, day date, o_totalprice double", "month", "day")
+    have = o.where("o_orderkey % 3 = 0").withColumn("o_totalprice", F.lit(0.0))
+    log = o.select("month", F.to_date(F.lit("1990-01-01")).alias("checked")).where("month < '1995-01'").distinct()
+    table_now, log_now = tables.refreshed(have, rows, status, log, "month", "day", ["month", "o_orderkey"], F.to_date(F.lit("2000-01-01")))
+    sums = table_now.groupBy("month").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
+    return rounded(sums.join(status.select("month", "loaded", "broken"), "month", "left").join(log_now, "month", "left"), 2)
+
+
+SQL["s22_refresh"] = """WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, o_totalprice AS v, strftime(o_orderdate, '%Y-%m') AS month FROM orders),
+l AS (SELECT month, count_if(month(day) % 5 = 0 AND o_orderkey % 4 = 0) AS broken FROM o WHERE month(day) <> 7 GROUP BY month),
+m AS (SELECT month, max(day) - 1 AS mark FROM o WHERE o_orderkey % 3 = 0 GROUP BY month),
+f AS (SELECT o.* FROM o JOIN l USING (month) LEFT JOIN m USING (month) WHERE broken = 0 AND (mark IS NULL OR day >= mark)),
+a AS (SELECT month, v FROM f UNION ALL SELECT month, 0.0 FROM o WHERE o_orderkey % 3 = 0 AND o_orderkey NOT IN (SELECT o_orderkey FROM f))
+SELECT month, count(*) AS n, round(sum(v), 2) AS total, broken = 0 AS loaded, broken,
+  CASE WHEN broken = 0 THEN DATE '2000-01-01' WHEN month < '1995-01' THEN DATE '1990-01-01' END AS checked FROM a LEFT JOIN l USING (month) GROUP BY month, broken"""
+
+
 def s8_complete_units(spark, d):
     line = table(spark, d, "lineitem").select("l_orderkey", "l_quantity")
     return joins.complete_units(line, ["l_orderkey"], "l_quantity", 54).groupBy("l_orderkey", "complete").agg(F.count("*").alias("n"))
@@ -210,4 +250,4 @@ def l7_key_sets(spark, d):
 
 SQL["l7_key_sets"] = "SELECT c_custkey AS k, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'have' ELSE 'missing' END AS origin FROM customer"
 
-QUERIES = {f.__name__: f for f in (j1_opponent_features, j2_attach_slots, j4_training_frame, j6_prior_season, j9_precedence, j12_scored, j13_circular_ahead, j14_circular_behind, j21_slot_histogram, j22_candidates, s8_complete_units, s17_upsert, s21_top_up, s24_stale, s25_committed, l1_top_k, l2_stratified_sample, l3_time_split, l5_quantile_split, l7_key_sets)}
+QUERIES = {f.__name__: f for f in (j1_opponent_features, j2_attach_slots, j4_training_frame, j6_prior_season, j9_precedence, j12_scored, j13_circular_ahead, j14_circular_behind, j21_slot_histogram, j22_candidates, s8_complete_units, s17_upsert, s21_top_up, s22_refresh, s24_stale, s25_committed, l1_top_k, l2_stratified_sample, l3_time_split, l5_quantile_split, l7_key_sets)}

@@ -70,7 +70,7 @@ def s12_season_table(spark, d):
     c = table(spark, d, "customer")
     k = F.col("c_custkey")
     stat = F.struct(k.alias("id"), F.col("c_name").alias("name"), F.when(k % 6 == 0, "P").when(k % 6 != 1, "OF").alias("position"), F.when(k % 13 == 0, "-").otherwise((k % 600).cast("string")).alias("pa"), F.lit("0.25").alias("avg"), F.lit("0.31").alias("obp"), ((k % 10) / 20.0).cast("string").alias("slg"), F.when(k % 4 != 0, ((k % 10) / 10.0).cast("string")).alias("ops"))
-    text = c.groupBy((k % 20).alias("page")).agg(F.to_json(F.struct(F.collect_list(stat).alias("stats"))).alias("json"))
+    text = c.groupBy(F.floor(k / 50).alias("page")).agg(F.to_json(F.struct(F.collect_list(stat).alias("stats"))).alias("json"))
     return rounded(landed.season_table(text, "json").select("id", "name", "pa", "ops", "iso"), 6)
 
 

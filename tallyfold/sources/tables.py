@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path
+from ..operators.joins import top_up, upsert
+from .shared import new_path, staged
 
 
 def with_default_columns(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
@@ -77,3 +78,21 @@ def store_comparison(df: DataFrame, path: str) -> DataFrame:
     """A comparison table as one CSV file with a header, replaced whole; returns it as read back."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)  # a row for each candidate
     return df.sparkSession.read.schema(df.schema).option("header", True).csv(path)
+
+
+def load_isolated(spark: SparkSession, path: str, schema: str, entity: str, day: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, status) of JSON lines landed in a folder `entity=key` for each entity, in one job: what is broken keeps no other entity from loading.
+
+    An entity with a line that is no JSON of this schema gives no rows.  status has one row for each: lines, broken, newest day, loaded.
+    """
+    lines = spark.read.schema(f"{schema}, _broken string, {entity} string").option("columnNameOfCorruptRecord", "_broken").json(path)
+    counts = lines.groupBy(entity).agg(F.count("*").alias("lines"), F.count_if(F.col("_broken").isNotNull()).alias("broken"), F.max(day).alias("newest"))
+    status = staged(counts.withColumn("loaded", F.col("broken") == 0), "status")
+    rows = lines.join(status.where("not loaded").select(entity), entity, "left_anti")
+    return rows.drop("_broken"), status
+
+
+def refreshed(have: DataFrame, rows: DataFrame, status: DataFrame, log: DataFrame, entity: str, day: str, keys: list[str], today: Column) -> tuple[DataFrame, DataFrame]:
+    """(table, log): the loaded rows laid over the old ones, and the log with `today` for entities that were loaded; broken and absent ones keep their stamp."""
+    done = status.where("loaded").select(entity, today.alias("checked"))
+    return top_up(have, rows, entity, day, keys), upsert(log, done, [entity])
