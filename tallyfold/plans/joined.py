@@ -70,7 +70,7 @@ def j9_precedence(spark, d):
     own = a13_group_rates(spark, d).where("opponent % 3 != 0").withColumn("is_hit_rate_R", F.when(F.col("opponent") % 5 != 0, F.col("is_hit_rate_R")))
     pooled = t.where("opponent % 2 = 0").groupBy("opponent").agg(F.avg("is_hit").alias("is_hit_pool"))
     residual = rates.residual_opponent(t.withColumn("crew", F.col("opponent") % 3), "unit", "side", "crew", F.col("seq") == 1, ORDER, ["is_hit"])
-    facts = t.agg(F.avg("is_hit").alias("is_hit_league")).join(residual.select("primary_share", "is_hit_residual"))  # one row and one row
+    facts = t.agg(F.avg("is_hit").alias("is_hit_league")).join(rounded(residual.select("primary_share", "is_hit_residual")))  # one row and one row
     rows = t.select("entity", "stand", F.when(F.col("unit") % 10 != 0, F.col("opponent")).alias("opponent")).distinct()
     return rounded(rates.opponent_rates(rows, own, pooled, facts, "opponent", "stand", ["L", "R"], ["is_hit"]))
 
