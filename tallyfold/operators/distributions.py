@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .evaluation import resampled_sums
 
@@ -201,6 +202,29 @@ def non_increasing(df: DataFrame, keys: list[str], at: str, value: str, name: st
     return group.select(*keys, F.explode(F.arrays_zip(F.col("_at").alias(at), fit.alias(name))).alias("_x")).select(*keys, f"_x.{at}", f"_x.{name}")
 
 
+#: Fewest rows with a slot for which a unit's sizes are held to its order.
+SLOTTED = 4
+SPAN = 10.0
+
+
+def monotone_sizes(df: DataFrame, unit: list[str], slot: str, sizes: str, least: int = SLOTTED) -> DataFrame:
+    """`df` with columns fit and new_sizes: the distributions in column `sizes` tilted so that means do not rise along the slots of a unit.
+
+    Slots are unique within a unit.  Rows without a slot, rows of units with fewer than `least` slots taken, and rows whose mean already fits keep their
+    distribution, and fit is their own mean.  Each (distribution, fit) is tilted once for all rows that share it, by SPAN at
+    most: a fit beyond the sizes that a distribution holds is not reached.
+    """
+    own = df.withColumn("_mean", mean_of(F.col(sizes)))
+    held = own.where(F.col(slot).isNotNull()).withColumn("_many", F.count("*").over(Window.partitionBy(*unit))).where(F.col("_many") >= least)
+    fit = non_increasing(held, unit, slot, "_mean", "_fit")
+    j = own.join(fit, [*unit, slot], "left").withColumn("fit", F.when(F.abs(F.col("_fit") - F.col("_mean")) >= 1e-9, F.col("_fit")))
+    wide = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be put together into one task
+    moved = j.where("fit is not null").select(sizes, "fit").repartition(wide, sizes, "fit").distinct()
+    moved = moved.withColumn("_new", tilted(F.col(sizes), F.col("fit"), SPAN, rounds=45))
+    j = j.join(moved, [sizes, "fit"], "left")
+    return j.select(*df.columns, F.coalesce("fit", "_mean").alias("fit"), F.coalesce("_new", sizes).alias("new_sizes"))
+
+
 METHODS = ("frequency", "tilt")
 
 

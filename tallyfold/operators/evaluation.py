@@ -46,6 +46,12 @@ def evaluate(df: DataFrame, keys: list[str], y: str = "y", p: str = "p") -> Data
     return scores(keyed, own, y, p).join(auc(keyed, own, y, p), own).drop("_all")
 
 
+def enough_scores(df: DataFrame, keys: list[str], y: str = "y", p: str = "p", least: int = 30) -> DataFrame:
+    """`evaluate` over rows with both values, for keys with `least` of them and outcomes of both kinds; other keys have no row."""
+    whole = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
+    return evaluate(whole, keys, y, p).where((F.col("n") >= least) & (F.col("base_rate") > 0) & (F.col("base_rate") < 1))
+
+
 def report(df: DataFrame, y: str, p: str, threshold: float) -> DataFrame:
     """Precision, recall, F1, support of both classes, and accuracy, at a threshold."""
     said = (F.col(p) >= threshold).cast("int")

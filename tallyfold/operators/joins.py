@@ -38,6 +38,30 @@ def upsert(have: DataFrame, fresh: DataFrame, keys: list[str], wanted: DataFrame
     return top if sentinel is None else top.where(~sentinel)
 
 
+def refetched(store: DataFrame, fetched: DataFrame, wanted: DataFrame, unit: str) -> DataFrame:
+    """The store after the `wanted` units were fetched anew: their stored rows go, even where the fetch brought none, and only what was fetched for them comes in."""
+    again = wanted.select(unit).distinct()
+    return store.join(again, unit, "left_anti").unionByName(fetched.select(*store.columns).join(again, unit, "left_semi"))
+
+
+def actuals(totals: DataFrame, store: DataFrame, fetched: DataFrame, keys: list[str], unit: str) -> tuple[DataFrame, DataFrame]:
+    """(`totals` with the official line of every row, the store after it): lines of the units in `totals` are fetched anew, so that none that was stored while a unit was under way is graded.
+
+    Rows without an official line keep null in its columns and stay, so that they can be counted.
+    """
+    after = refetched(store, fetched, totals, unit)
+    return totals.join(after, keys, "left"), after
+
+
+def with_prior_season(rows: DataFrame, meta: DataFrame, season_table: DataFrame, unit: str, day: str, opponent: str, season: str, factor: Column, needed: list[str]) -> DataFrame:
+    """`rows` with their unit's `meta` (opponent and venue), the column venue_factor, and the opponent's row of the season before the row's own, which holds nothing that came later.
+
+    Only rows with all `needed` columns stay.  season_table has a row for each opponent and season at most.
+    """
+    seen = rows.join(meta, unit, "left").withColumns({"venue_factor": factor, "_before": F.year(day) - 1})
+    return seen.join(season_table.withColumnRenamed(season, "_before"), [opponent, "_before"], "left").drop("_before").dropna(subset=[*needed, "venue_factor"])
+
+
 def missing(wanted: DataFrame, have: DataFrame, keys: list[str]) -> DataFrame:
     return wanted.join(have, keys, "left_anti")
 

@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from ..sources.shared import staged
 from . import evaluation
-from .windows import global_rank
+from .windows import global_rank, guarded, last_rows_before, prior
 
 SMALL = 1e-6
 
@@ -377,6 +377,25 @@ def size_projection(df: DataFrame, features: list[str], count: str, split: str,
     return model, predicted_counts(model, rows.where(F.col(split) == 1))
 
 
+#: What a unit's size is told from, and its smallest and largest value.
+SIZE_FEATURES = ["slot", "slot_sq", "is_home", "own_mean", "team_mean"]
+SMALLEST_SIZE, LARGEST_SIZE = 1, 6
+
+
+def size_frame(df: DataFrame, entity: str, team: str, day: str, unit: str, count: str, slot: str, starter: str, home: str) -> DataFrame:
+    """`df` with SIZE_FEATURES and size, ready for `counts_model`: complete rows of starters in slots 1 to 9.
+
+    History comes from all rows, before the others leave: own_mean over the entity's last 20 units (three at least), team_mean over
+    the team's last 50 rows of earlier days (five at least; the own mean where there are fewer).
+    """
+    own = df.withColumn("own_mean", guarded(F.col(count), F.avg, prior([entity], [day, unit], 20), 3))
+    seen = last_rows_before(own, [team], [day], [unit, entity], count, 50, 5, "team_mean")
+    kept = seen.where((F.col(starter) == 1) & F.col(slot).between(1, 9))
+    size = F.least(F.greatest(F.col(count), F.lit(SMALLEST_SIZE)), F.lit(LARGEST_SIZE)).cast("int")
+    facts = {"slot": F.col(slot).cast("double"), "slot_sq": F.pow(F.col(slot).cast("double"), 2), "is_home": F.col(home).cast("double"), "team_mean": F.coalesce("team_mean", "own_mean"), "size": size}
+    return kept.withColumns(facts).dropna(subset=[*SIZE_FEATURES, "size"])
+
+
 def projected_sizes(history: DataFrame, rows: DataFrame, entity: str, count: str, slot: str, least: int = 500, enough: int = 8, most: int = 6) -> DataFrame:
     """`rows` with size_dist: element k is the chance of k + 1 trials.
 

@@ -35,19 +35,31 @@ def expected_bases(p_top: Column, p_hit: Column, per_hit: Column) -> Column:
     return 4 * p_top + F.greatest(p_hit - p_top, F.lit(0.0)) * per_hit
 
 
-def strength(df: DataFrame, entity: str, value: str, least: int) -> DataFrame:
-    """One row (league, k): how many trials of the league mean an entity's rate is worth.
+def strengths(df: DataFrame, entity: str, values: list[str], least: int) -> DataFrame:
+    """One row with {v}_league and {v}_k for each value: how many trials of the league mean an entity's rate is worth.
 
-    Beta-binomial method of moments over entities with `least` trials.
+    Beta-binomial method of moments over entities with `least` trials.  One aggregate by entity serves the league's mean, the moments and all values.
     """
-    own = df.groupBy(entity).agg(F.sum(value).alias("x"), F.count(value).alias("n")).where(F.col("n") >= least).withColumn("r", F.col("x") / F.col("n"))
-    league = df.agg(F.avg(value).alias("league"))
-    moments = own.agg(
-        F.count("*").alias("groups"), (F.sum("x") / F.sum("n")).alias("p"), F.var_samp("r").alias("var"), F.avg(1 / F.col("n")).alias("inv")
-    )
-    p, spread = F.col("p"), F.col("var") - F.col("p") * (1 - F.col("p")) * F.col("inv")
-    k = F.when(F.col("groups") < 3, FEW).when(spread <= 1e-9, NO_SPREAD).otherwise(clip(p * (1 - p) / spread - 1, WEAKEST, STRONGEST))
-    return league.join(F.broadcast(moments.select(k.alias("k"))))
+    sums = [a for v in values for a in (F.sum(v).alias(f"_x_{v}"), F.count(v).alias(f"_n_{v}"))]
+    own = df.groupBy(entity).agg(*sums)
+    aggs = []
+    for v in values:
+        x, n = F.col(f"_x_{v}"), F.col(f"_n_{v}")
+        many = lambda c, n=n: F.when(n >= least, c)
+        moments = {"groups": F.count_if(n >= least), "p": F.sum(many(x)) / F.sum(many(n)), "var": F.var_samp(many(x / n)), "inv": F.avg(many(1 / n))}
+        aggs += [(F.sum(x) / F.sum(n)).alias(f"{v}_league"), *(c.alias(f"_{name}_{v}") for name, c in moments.items())]
+
+    def worth(v: str) -> Column:
+        p = F.col(f"_p_{v}")
+        spread = F.col(f"_var_{v}") - p * (1 - p) * F.col(f"_inv_{v}")
+        return F.when(F.col(f"_groups_{v}") < 3, FEW).when(spread <= 1e-9, NO_SPREAD).otherwise(clip(p * (1 - p) / spread - 1, WEAKEST, STRONGEST))
+
+    return own.agg(*aggs).select(*(c for v in values for c in (F.col(f"{v}_league"), worth(v).alias(f"{v}_k"))))
+
+
+def strength(df: DataFrame, entity: str, value: str, least: int) -> DataFrame:
+    """`strengths` of one value as (league, k)."""
+    return strengths(df, entity, [value], least).toDF("league", "k")
 
 
 def ratio_strength(own: DataFrame, actual: str, expected: str, trials: str, rate: str = "q", least: int = 100, groups: int = 50, few: float = 260.0) -> DataFrame:
@@ -65,9 +77,7 @@ def ratio_strength(own: DataFrame, actual: str, expected: str, trials: str, rate
 
 def rolling_rates(df: DataFrame, keys: list[str], order: list[str], values: list[str], sizes=(150, 600), least=20, min_trials=20) -> DataFrame:
     """`v_rate_n` and `v_rate_career`: sums over earlier trials, shrunk to the league with the table's own strength."""
-    out = df
-    for v in values:
-        out = out.join(F.broadcast(strength(df, keys[0], v, min_trials).select(F.col("league").alias(f"{v}_league"), F.col("k").alias(f"{v}_k"))))
+    out = df.join(F.broadcast(strengths(df, keys[0], values, min_trials)))  # one row
     cols = {}
     for v in values:
         for n in (*sizes, None):
@@ -88,10 +98,9 @@ def group_rates(df: DataFrame, key: str, values: list[str], split: str, split_va
             aggs[f"x_{v}_{s}"] = F.sum(F.when(F.col(split) == s, F.col(v)).otherwise(0))
     for s in split_values:
         aggs[f"n_{s}"] = F.count_if(F.col(split) == s)
-    out = df.groupBy(key).agg(*(a.alias(c) for c, a in aggs.items()))
+    out = df.groupBy(key).agg(*(a.alias(c) for c, a in aggs.items())).join(F.broadcast(strengths(df, key, values, min_trials)))  # one row
     for v in values:
-        out = out.join(F.broadcast(strength(df, key, v, min_trials).select(F.col("league").alias("_l"), F.col("k").alias("_k"))))
-        out = out.withColumn(f"{v}_rate", shrunk(F.col(f"x_{v}"), F.col("n"), F.col("_l"), F.col("_k"))).drop("_l", "_k")
+        out = out.withColumn(f"{v}_rate", shrunk(F.col(f"x_{v}"), F.col("n"), F.col(f"{v}_league"), F.col(f"{v}_k")))
         for s in split_values:
             out = out.withColumn(f"{v}_rate_{s}", shrunk(F.col(f"x_{v}_{s}"), F.col(f"n_{s}"), F.col(f"{v}_rate"), F.lit(split_strength)))
     return out.select(key, "n", *(f"n_{s}" for s in split_values), *(c for v in values for c in (f"{v}_rate", *(f"{v}_rate_{s}" for s in split_values))))

@@ -1,8 +1,8 @@
 """Queries over the given tables, a function and its SQL for each."""
 
-from . import aggregates, composed, compounded, evaluated, further, joined, landed, modelled, scalars, windowed
+from . import aggregates, assembled, composed, compounded, evaluated, further, joined, landed, modelled, scalars, windowed
 
-MODULES = [aggregates, windowed, joined, scalars, landed, evaluated, compounded, composed, modelled, further]
+MODULES = [aggregates, windowed, joined, scalars, landed, evaluated, compounded, composed, modelled, further, assembled]
 
 
 def queries() -> dict:

@@ -13,7 +13,7 @@ from .bindings import EVENTS, FLAGS, ORDER, ORDER_SQL, TRIALS, UNITS, raw_events
 def s0_top_shrunk(spark, d) -> DataFrame:
     """The flagship: each entity's hit rate shrunk by the table's own strength, best twenty."""
     t = trials(spark, d)
-    own = t.groupBy("entity").agg(F.sum("is_hit").alias("x"), F.count("*").alias("n"))
+    own = t.groupBy("entity").agg(F.sum("is_hit").alias("x"), F.count("is_hit").alias("n"))
     k = rates.strength(t, "entity", "is_hit", 20)
     rate = windows.shrunk(F.col("x"), F.col("n"), F.col("league"), F.col("k"))
     return rounded(own.join(F.broadcast(k)).select("entity", "x", "n", rate.alias("rate"))).orderBy(F.desc("rate"), "entity").limit(20)
@@ -193,12 +193,11 @@ SQL["a6_shares"] = f"WITH {TRIALS} SELECT opponent, CAST(year(day) AS INT) AS se
 
 
 def a9_strength(spark, d):
-    t = trials(spark, d)
-    out = None
-    for v in ("is_hit", "is_hr", "is_k", "is_walk"):
-        one = rates.strength(t, "entity", v, 20).withColumn("flag", F.lit(v))
-        out = one if out is None else out.unionByName(one)
-    return rounded(out, 6)
+    """Four flags' leagues and strengths out of one aggregate."""
+    flags = ("is_hit", "is_hr", "is_k", "is_walk")
+    wide = rates.strengths(trials(spark, d), "entity", list(flags), 20)
+    rows = F.inline(F.array(*(F.struct(F.col(f"{v}_league").alias("league"), F.col(f"{v}_k").alias("k"), F.lit(v).alias("flag")) for v in flags)))
+    return rounded(wide.select(rows), 6)
 
 
 SQL["a9_strength"] = f"WITH {TRIALS}, l AS (UNPIVOT (SELECT entity, is_hit, is_hr, is_k, is_walk FROM t) ON is_hit, is_hr, is_k, is_walk INTO NAME flag VALUE x), own AS (SELECT flag, entity, sum(x) AS x, count(*) AS n FROM l GROUP BY ALL), m AS (SELECT flag, count(*) AS g, sum(x) * 1.0 / sum(n) AS p, var_samp(x * 1.0 / n) - (sum(x) * 1.0 / sum(n)) * (1 - sum(x) * 1.0 / sum(n)) * avg(1.0 / n) AS v FROM own WHERE n >= 20 GROUP BY flag), a AS (SELECT flag, avg(x) AS league FROM l GROUP BY flag) SELECT flag, round(league, 6) AS league, round(CASE WHEN g < 3 THEN 500 WHEN v <= 1e-9 THEN 5000 ELSE least(greatest(p * (1 - p) / v - 1, 10), 5000) END, 6) AS k FROM m JOIN a USING (flag)"

@@ -250,25 +250,28 @@ SQL["c9_batch_lines"] = SQL["c9_batch_lines"].replace("SELECT entity, target, li
 
 
 def c15_slot_monotone(spark, d):
-    """Size distributions retilted so that means do not rise along a team's slots in a lineup; unchanged rows keep theirs."""
+    """Entities' own size distributions (everyone's below eight units), retilted so that means do not rise along a team's slots in a lineup of four or more."""
     unit = ["day", "lineup", "team"]
-    s = slots(spark, d).select(*unit, "slot", (3.6 + F.col("metric")).alias("mean"))
-    few = s.withColumn("size", F.count("*").over(windows.Window.partitionBy(*unit))).where("size >= 2").drop("size")
-    fit = dist.non_increasing(few, unit, "slot", "mean", "fit")
-    base = F.array(*(F.lit(x) for x in (0.02, 0.05, 0.08, 0.2, 0.4, 0.2, 0.05)))
-    j = few.join(fit, [*unit, "slot"])
-    same = F.abs(F.col("fit") - F.col("mean")) < 1e-9
-    keys = j.select("mean", "fit").distinct().withColumn("dist", dist.tilted(base, F.col("mean"), 10.0)).withColumn("new", F.when(same, F.col("dist")).otherwise(dist.tilted(F.col("dist"), F.col("fit"), 10.0)))
-    out = j.join(keys.select("mean", "fit", F.round(dist.mean_of(F.col("new")), 6).alias("new_mean")), ["mean", "fit"])
-    return rounded(out.select(*unit, "slot", "mean", "fit", "new_mean"), 6)
-
-
-SQL["c15_slot_monotone"] = f"""WITH {SLOTS},
-f AS (SELECT day, lineup, team, slot, 3.6 + metric AS mean FROM s QUALIFY count(*) OVER (PARTITION BY day, lineup, team) >= 2),
+    u = units(spark, d)
+    everyone = dist.histogram(u, [], "n", LARGEST).select(F.col("dist").alias("_all"))
+    own = dist.histogram(u, ["entity"], "n", LARGEST).where("n_rows >= 8").select("entity", "dist")
+    rows = slots(spark, d).join(own, "entity", "left").join(F.broadcast(everyone)).withColumn("sizes", F.coalesce("dist", "_all"))  # one row
+    out = dist.monotone_sizes(rows.select("entity", *unit, "slot", "sizes"), unit, "slot", "sizes")
+    return rounded(out.select("entity", *unit, "slot", dist.mean_of(F.col("sizes")).alias("mean"), "fit", dist.mean_of(F.col("new_sizes")).alias("new_mean")), 6)
+
+
+#: A distribution's mean, and those of its furthest tilts.
+_TILTED = "sum(c * v) * 1.0 / sum(c) AS m" + "".join(f", sum(c * exp({x} * v) * v) / sum(c * exp({x} * v)) AS {name}" for name, x in (("lo", -dist.SPAN), ("hi", dist.SPAN)))
+SQL["c15_slot_monotone"] = f"""WITH {UNITS}, {SLOTS},
+h AS (SELECT entity, least(n, {LARGEST}) AS v, count(*) AS c FROM u GROUP BY 1, 2), e AS (SELECT NULL AS entity, v, sum(c) AS c FROM h GROUP BY v),
+k AS (SELECT entity, {_TILTED} FROM h GROUP BY 1 HAVING sum(c) >= 8), a AS (SELECT {_TILTED} FROM e),
+f AS (SELECT s.entity, day, lineup, team, slot, coalesce(k.m, a.m) AS mean, coalesce(k.lo, a.lo) AS lo, coalesce(k.hi, a.hi) AS hi, count(*) OVER (PARTITION BY day, lineup, team) AS c FROM s CROSS JOIN a LEFT JOIN k ON s.entity = k.entity),
 r AS (SELECT a.day, a.lineup, a.team, a.slot AS a, b.slot AS b, avg(m.mean) AS m FROM f a JOIN f b ON a.day = b.day AND a.lineup = b.lineup AND a.team = b.team AND a.slot <= b.slot
-  JOIN f m ON m.day = a.day AND m.lineup = a.lineup AND m.team = a.team AND m.slot BETWEEN a.slot AND b.slot GROUP BY ALL),
-i AS (SELECT f.day, f.lineup, f.team, f.slot, f.mean, r.a, max(r.m) AS m FROM f JOIN r ON r.day = f.day AND r.lineup = f.lineup AND r.team = f.team AND r.a <= f.slot AND r.b >= f.slot GROUP BY ALL)
-SELECT day, lineup, team, slot, round(mean, 6) AS mean, round(min(m), 6) AS fit, round(min(m), 6) AS new_mean FROM i GROUP BY ALL"""
+  JOIN f m ON m.day = a.day AND m.lineup = a.lineup AND m.team = a.team AND m.slot BETWEEN a.slot AND b.slot WHERE a.c >= {dist.SLOTTED} GROUP BY ALL),
+i AS (SELECT f.day, f.lineup, f.team, f.slot, r.a, max(r.m) AS m FROM f JOIN r ON r.day = f.day AND r.lineup = f.lineup AND r.team = f.team AND r.a <= f.slot AND r.b >= f.slot GROUP BY ALL),
+o AS (SELECT day, lineup, team, slot, min(m) AS fit FROM i GROUP BY ALL)
+SELECT entity, f.day, f.lineup, f.team, f.slot, round(mean, 6) AS mean, round(coalesce(fit, mean), 6) AS fit, round(CASE WHEN abs(fit - mean) >= 1e-9 THEN least(greatest(fit, lo), hi) ELSE mean END, 6) AS new_mean
+FROM f LEFT JOIN o ON f.day = o.day AND f.lineup = o.lineup AND f.team = o.team AND f.slot = o.slot"""
 
 
 def e16_many_comparisons(spark, d):

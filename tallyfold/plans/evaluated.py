@@ -116,17 +116,20 @@ i AS (SELECT (SELECT g / v FROM v) AS m, quantile_cont(s, 0.025) AS l, quantile_
 SELECT round(m, 7) AS point, round(l, 7) AS low, round(h, 7) AS high, round(wins, 7) AS wins, {sql_verdict("m", "l", "h")} AS verdict FROM i"""
 
 
+#: The last line is one that no unit passes, so it has no scores.
+SCORED_LINES = (0.5, 1.5, 2.5, 999.5)
+
+
 def e12_line_scores(spark, d):
-    """Wide prediction columns named by line (F12) to long rows, each scored against its own outcome."""
+    """Wide prediction columns named by line (F12) to long rows, each line scored against its own outcome, given 30 rows and outcomes of both kinds."""
     u = units(spark, d)
-    wide = u.select("unit", "certain", *((1 / (1 + F.exp(-(F.col("n") / 2.0 - x)))).alias(f"over_{str(x).replace('.', '_')}") for x in (0.5, 1.5, 2.5)))
+    wide = u.select("unit", "certain", *((1 / (1 + F.exp(-(F.col("n") / 2.0 - x)))).alias(f"over_{str(x).replace('.', '_')}") for x in SCORED_LINES))
     long = wide.unpivot(["unit", "certain"], [c for c in wide.columns if c.startswith("over_")], "name", "p")
     line = F.replace(F.regexp_extract("name", "^over_(.*)$", 1), F.lit("_"), F.lit(".")).cast("double")
-    scored = evaluation.evaluate(long.withColumn("line", line).withColumn("y", (F.col("certain") > F.col("line")).cast("int")), ["line"])
-    return rounded(scored, 8)
+    return rounded(evaluation.enough_scores(long.withColumn("line", line).withColumn("y", (F.col("certain") > F.col("line")).cast("int")), ["line"]), 8)
 
 
-SQL["e12_line_scores"] = f"WITH {UNITS}, x AS (SELECT unit, line, 1 / (1 + exp(-(n / 2.0 - line))) AS p, CAST(certain > line AS INT) AS y FROM u, (SELECT CAST(unnest([0.5, 1.5, 2.5]) AS DOUBLE) AS line)), " + _evaluated("line", "p")
+SQL["e12_line_scores"] = f"WITH {UNITS}, x AS (SELECT unit, line, 1 / (1 + exp(-(n / 2.0 - line))) AS p, CAST(certain > line AS INT) AS y FROM u, (SELECT CAST(unnest({list(SCORED_LINES)}) AS DOUBLE) AS line)), " + _evaluated("line", "p") + " WHERE n >= 30 AND base_rate > 0 AND base_rate < 1"
 
 
 def e14_clean_counts(spark, d):
