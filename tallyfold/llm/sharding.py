@@ -66,12 +66,13 @@ def place(sized: DataFrame, shards: int) -> DataFrame:
     ranges = max(LEAST_RANGES, -(-rows // RANGE_ROWS))
     sample = _draw(sized, SAMPLES * ranges, total, "first")
     splitters = sorted(set(sample[SAMPLES::SAMPLES]))
+    varied = (F.min("key") != F.max("key")) | (F.min("tie") != F.max("tie"))
     for k in itertools.count():  # until no range is overfull, or holds one (key, tie) alone
         # at most one row per range comes back
         full = [
             r["range"]
-            for r in sized.groupBy(_range_of(splitters).alias("range")).agg(F.sum("size").alias("b"), F.countDistinct("key", "tie").alias("n")).collect()
-            if r["b"] * ranges > OVERFULL * total and r["n"] > 1
+            for r in sized.groupBy(_range_of(splitters).alias("range")).agg(F.sum("size").alias("b"), varied.alias("varied")).collect()
+            if r["b"] * ranges > OVERFULL * total and r["varied"]
         ]
         if not full:
             break
