@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_sized, remove, shared_dir, shuffle_width, staged
+from .common import arrow_sized, remove, shared_dir, shuffle_width, staged, text_slices
 
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM  # bytes that a window may hold before its gram
@@ -38,11 +38,13 @@ SPAN = LENGTH + REACH  # bytes that the windows over one gram can touch
 #: Starts that are worked on at once (positions take 24 bits), sampled grams that a task holds before it
 #: writes them, contexts that are resolved together on the way, open ones that a task holds.
 BLOCK, GRAMS, CONTEXTS, OPEN = 1 << 21, 500_000, 30_000, 200_000
+#: Bytes of texts that are taken apart at once, so that many short ones share the calls and the arrays stay in the cache.
+TEXTS = 1 << 17
 LEAST_BUCKETS = 64
 #: Documents from which on a name is crowded, and offsets that a crowded name's contexts meet for together: windows with STEP
 #: neighbouring offsets have all but STEP - 1 of their bytes in common.
 CROWDED, STEP = 20_000, 8
-_FLAG = np.uint64(1 << 63)
+_FLAG, _NAME = np.uint64(1 << 63), np.uint64((1 << 40) - 1)
 
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -55,44 +57,78 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 _POWER = [_powers(b, LENGTH) for b in _BASES]
 
 
-def _gram_hashes(raw: np.ndarray) -> np.ndarray:
-    """40-bit hashes of all grams, by doubling their length."""
-    power, h, width = _POWER[0], raw.astype(np.uint64) + np.uint64(1), 1
-    by_width = {1: h}
-    while 2 * width <= GRAM:
-        h = h[:-width] * power[width] + h[width:]
-        width *= 2
-        by_width[width] = h
-    for w in sorted(by_width, reverse=True)[1:]:
-        if (GRAM - width) & w:
-            tail = by_width[w][width:]
-            h = h[: len(tail)] * power[w] + tail
-            width += w
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all strings or binaries of an array, one after the other, and where each begins (and the last ends)."""
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    _, ends, data = texts.buffers()
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    at = np.frombuffer(ends, "<i8" if wide else "<i4")[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data and at[-1] > at[0] else np.zeros(0, np.uint8)
+    return raw, at - at[0]
+
+
+def _words(raw: np.ndarray, width: int) -> np.ndarray:
+    """The `width` bytes at every place as one number."""
+    return np.lib.stride_tricks.as_strided(raw[:width].view(f"<u{width}"), (len(raw) - width + 1,), (1,)).astype(np.uint64)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(29)
     h *= _BASES[1]
-    return h >> np.uint64(24)
+    return h
 
 
-def sampled(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(name, position, first, last) of sampled grams: windows that start at first..last are the position's."""
-    out = []
+def _gram_hashes(raw: np.ndarray) -> np.ndarray:
+    """Hashes of all grams, whose upper 40 bits are their names."""
+    raw = np.ascontiguousarray(raw)
+    eight, n = _words(raw, 8), len(raw) - GRAM + 1
+    h = eight[:n] * _POWER[0][1]
+    h += eight[8 : 8 + n] * _POWER[0][2]
+    h += _words(raw[GRAM - 4 :], 4) * _POWER[0][3]
+    return _mixed(h)
+
+
+def sampled(raw: np.ndarray, starts: np.ndarray | tuple = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(name, position, first, last) of sampled grams: windows that start at first..last are the position's.
+
+    Further texts begin at `starts`; no window lies in two texts.
+    """
+    out, low = [], np.uint64(0xFFFFFF)
     for at in range(0, max(0, len(raw) - LENGTH + 1), BLOCK):
         block = raw[at : at + BLOCK + LENGTH - 1]
-        h = _gram_hashes(block)
-        key = h << np.uint64(24) | np.arange(len(h), dtype=np.uint64)  # leftmost of equal grams
+        key = _gram_hashes(block)
+        key &= ~low
+        key |= np.arange(len(key), dtype=np.uint64)  # leftmost of equal grams
         width, least = 1, key
         while 2 * width <= REACH + 1:
             least = np.minimum(least[:-width], least[width:])
             width *= 2
         if rest := REACH + 1 - width:
             least = np.minimum(least[:-rest], least[rest:])
+        inside = np.ones(len(least), bool)
+        for start in starts:
+            if start > at:
+                inside[max(0, start - LENGTH + 1 - at) : start - at] = False
+        begin = np.flatnonzero(inside)
+        if not len(begin):
+            continue
+        least = least[begin]
         first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
         last = np.concatenate([first[1:], [len(least)]]) - 1
         mine = least[first]
-        out.append((mine >> np.uint64(24), (mine & np.uint64(0xFFFFFF)).astype(np.int64) + at, first + at, last + at))
+        out.append((mine >> np.uint64(24), (mine & low).astype(np.int64) + at, begin[first] + at, begin[last] + at))
     if not out:
         return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
-    return tuple(np.concatenate(x) for x in zip(*out))
+    return out[0] if len(out) == 1 else tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _sampled_texts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(row, rows, bytes, where texts begin, text of each sample, `sampled`) for every few rows."""
+    for at, n in text_slices(texts, TEXTS):
+        raw, starts = _bytes(texts.slice(at, n))
+        found = sampled(raw, starts[1:-1])
+        yield at, n, raw, starts, np.searchsorted(starts, found[1], "right") - 1, found
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -111,9 +147,9 @@ def _unpack(payload: bytes, *kinds: tuple[str, int]) -> list[np.ndarray]:
 
 
 def _by_bucket(names: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    bucket = (names % np.uint64(buckets)).astype(np.int64)
+    bucket = (names % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)  # 16 bits sort by radix
     order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    edges = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
     for b in range(buckets):
         if edges[b] < edges[b + 1]:
             yield b, order[edges[b] : edges[b + 1]]
@@ -128,6 +164,17 @@ def _batch(**cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(cols)
 
 
+def _binaries(data: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """A binary value for every run of `data`, each from its start to the next one's, the last to the end."""
+    ends = (np.append(starts, len(data)) * data.itemsize).astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _of_text(text: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Text and name in one number."""
+    return text.astype(np.uint64) << np.uint64(40) | name
+
+
 def _write_names(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, ids, held = [], [], 0
@@ -139,13 +186,13 @@ def _write_names(buckets: int):
                 yield _batch(bucket=pa.array([b], pa.int32()), payload=pa.array([_pack(low, high, np.diff(d[rows], prepend=0))], pa.binary()))
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if doc is None or not text.is_valid:
-                    continue
-                g = np.unique(sampled(np.frombuffer(text.as_buffer(), np.uint8))[0])
-                names.append(g)
-                ids.append(np.full(len(g), doc, np.int64))
-                held += len(g)
+            docs = batch.column(0).to_numpy(zero_copy_only=False)
+            for at, _, _, _, text, (name, *_) in _sampled_texts(batch.column(1)):
+                own = np.sort(_of_text(text, name))
+                own = own[np.concatenate([own[:1] == own[:1], own[1:] != own[:-1]])]
+                names.append(own & _NAME)
+                ids.append(docs[at + (own >> np.uint64(40)).astype(np.int64)])
+                held += len(own)
                 if held >= GRAMS:
                     yield from flush()
                     names, ids, held = [], [], 0
@@ -175,10 +222,10 @@ def _shared_names(crowded: int):
         g, d = g[rows], d[rows]
         order = np.argsort(d, kind="stable")
         g, d = g[order], d[order]
-        ids, at = np.unique(d, return_index=True)
-        for k in range(0, len(ids), 4096):
-            ends = [*at[k + 1 : k + 4096], at[k + 4096] if k + 4096 < len(at) else len(g)][: len(ids[k : k + 4096])]
-            yield _batch(doc=pa.array(ids[k : k + 4096], pa.int64()), names=pa.array([g[i:j].astype("<u8").tobytes() for i, j in zip(at[k : k + 4096], ends)], pa.binary()))
+        at = np.flatnonzero(np.concatenate([d[:1] == d[:1], d[1:] != d[:-1]]))
+        for k in range(0, len(at), 4096):
+            some, end = at[k : k + 4096], at[k + 4096] if k + 4096 < len(at) else len(g)
+            yield _batch(doc=pa.array(d[some], pa.int64()), names=_binaries(g[some[0] : end].astype("<u8"), some - some[0]))
 
     return run
 
@@ -190,9 +237,10 @@ _CONTEXT = (("<i8", 1), ("<i8", 1), ("<i4", 1), ("<u4", 1), ("<u1", SPAN))
 
 def _window_hashes(ctx: np.ndarray, row: np.ndarray, start: np.ndarray, base: int) -> np.ndarray:
     power = _POWER[base]
-    prefix = np.zeros((SPAN + 1, len(ctx)), np.uint64)
+    prefix, columns = np.zeros((SPAN + 1, len(ctx)), np.uint64), np.ascontiguousarray(ctx.T)
     for j in range(SPAN):
-        prefix[j + 1] = prefix[j] * power[1] + ctx[:, j] + np.uint64(1)
+        np.multiply(prefix[j], power[1], out=prefix[j + 1])
+        prefix[j + 1] += columns[j]
     return prefix[start + LENGTH, row] - prefix[start, row] * power[LENGTH]
 
 
@@ -207,23 +255,58 @@ def _differ(ctx: np.ndarray, which: np.ndarray, off: np.ndarray, order: np.ndarr
     return np.concatenate(out) if out else np.zeros(0, bool)
 
 
+def _gram_keys(ctx: np.ndarray) -> np.ndarray:
+    """Hashes of the contexts' grams, from their bytes."""
+    words = np.ascontiguousarray(ctx[:, REACH : REACH + GRAM]).view("<u4")
+    h = np.zeros(len(ctx), np.uint64)
+    for j in range(words.shape[1]):
+        h = h * _BASES[0] + words[:, j] + np.uint64(1)
+    return _mixed(h) >> np.uint64(24)
+
+
+def _repeated(keys: np.ndarray) -> np.ndarray:
+    """Whether another row has the row's key."""
+    order = np.argsort(keys)
+    same, out = keys[order[1:]] == keys[order[:-1]], np.zeros(len(keys), bool)
+    out[order[1:][same]] = out[order[:-1][same]] = True
+    return out
+
+
 def resolve(doc: np.ndarray, open_: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bits of covered windows for each context, and bits that stay open (the smallest id's own).
 
     Bit o stands for the window that starts o bytes before the gram; open_ has those of the position that
-    are not yet covered.
+    are not yet covered.  Contexts whose gram no other one has are not looked at, and of contexts that agree in all bytes and
+    bits only the smallest id's.
     """
+    bits, gram = np.zeros(len(doc), np.uint32), _gram_keys(ctx)
+    rows = np.flatnonzero(_repeated(gram))
+    if len(rows):
+        own, whole = ctx[rows], open_[rows].astype(np.uint64)
+        words = own.view("<u8")
+        for j in range(words.shape[1]):
+            whole = whole * _BASES[0] + words[:, j]
+        order = np.argsort(_mixed(whole))
+        rows, own = rows[order], own[order].view(f"V{SPAN}").ravel()
+        new = np.concatenate([[True], (own[1:] != own[:-1]) | (open_[rows[1:]] != open_[rows[:-1]])])
+        start, group = np.flatnonzero(new), np.cumsum(new) - 1
+        one, least = rows[start], np.minimum.reduceat(doc[rows], start)
+        some, found = _repeated(gram[one]), np.zeros(len(one), np.uint32)
+        found[some] = _covered(least[some], open_[one[some]], ctx[one[some]])
+        bits[rows] = np.where(doc[rows] > least[group], open_[rows], found[group])
+    return bits, open_ & ~bits
+
+
+def _covered(doc: np.ndarray, open_: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+    """Bits of windows that a smaller id's context also holds, all windows compared."""
     o = np.arange(REACH + 1)
     which, off = np.nonzero((open_[:, None] >> o.astype(np.uint32)) & np.uint32(1))
-    h1, h2 = np.zeros(len(which), np.uint64), np.zeros(len(which), np.uint64)
-    for k in range(0, len(ctx), 16384):
-        i, j = np.searchsorted(which, [k, k + 16384])
-        for h, base in ((h1, 0), (h2, 1)):
-            h[i:j] = _window_hashes(ctx[k : k + 16384], which[i:j] - k, REACH - off[i:j], base)
-    order = np.argsort(h1)
-    if ((h1[order][1:] == h1[order][:-1]) & (h2[order][1:] != h2[order][:-1])).any():
-        order = np.lexsort((h2, h1))
-    new = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+    h = np.zeros(len(which), np.uint64)
+    for k in range(0, len(ctx), 4096):
+        i, j = np.searchsorted(which, [k, k + 4096])
+        h[i:j] = _window_hashes(ctx[k : k + 4096], which[i:j] - k, REACH - off[i:j], 0)
+    order = np.argsort(h)
+    new = h[order[1:]] != h[order[:-1]]
     if _differ(ctx, which, off, order, ~new).any():  # hashes that agree by chance: sorted by their bytes instead
         whole = ctx[which[:, None], REACH - off[:, None] + np.arange(LENGTH)].view(f"V{LENGTH}").ravel()
         order = np.argsort(whole, kind="stable")
@@ -234,8 +317,7 @@ def resolve(doc: np.ndarray, open_: np.ndarray, ctx: np.ndarray) -> tuple[np.nda
         start = np.flatnonzero(np.concatenate([[True], new]))
         least = np.repeat(np.minimum.reduceat(d, start), np.diff(np.concatenate([start, [len(d)]])))
         covered[order] = d > least
-    bits = np.bincount(which[covered], 2.0 ** off[covered], minlength=len(doc)).astype(np.uint32)
-    return bits, open_ & ~bits
+    return np.bincount(which[covered], 2.0 ** off[covered], minlength=len(doc)).astype(np.uint32)
 
 
 def _covers(doc, row, at, bits) -> Iterator[pa.RecordBatch]:
@@ -246,15 +328,24 @@ def _covers(doc, row, at, bits) -> Iterator[pa.RecordBatch]:
     order = rows[np.lexsort((row[rows], doc[rows]))]
     d, r = doc[order], row[order]
     edges = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (r[1:] != r[:-1])]))
-    ends = [*edges[1:], len(order)]
+    first, second = _halves(edges, len(order))
+    pairs = np.empty(2 * len(order), "<u4")
+    pairs[first], pairs[second] = at[order].astype("<i4").view("<u4"), bits[order]
     for k in range(0, len(edges), 4096):
-        some = range(k, min(len(edges), k + 4096))
+        some, end = edges[k : k + 4096], edges[k + 4096] if k + 4096 < len(edges) else len(order)
         yield _batch(
-            kind=pa.array([0] * len(some), pa.int32()), doc=pa.array([int(d[edges[x]]) for x in some], pa.int64()), row=pa.array([int(r[edges[x]]) for x in some], pa.int64()),
-            payload=pa.array([at[order[edges[x] : ends[x]]].astype("<i4").tobytes() + bits[order[edges[x] : ends[x]]].astype("<u4").tobytes() for x in some], pa.binary()),
+            kind=pa.array(np.zeros(len(some), np.int32)), doc=pa.array(d[some], pa.int64()), row=pa.array(r[some], pa.int64()),
+            payload=_binaries(pairs[2 * some[0] : 2 * end], 2 * (some - some[0])),
         )
 
 
+def _halves(starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the positions and the bits of n pairs lie, whose runs from `starts` on hold all positions before all bits."""
+    size = np.diff(np.append(starts, n))
+    first = np.arange(n) + np.repeat(starts, size)
+    return first, first + np.repeat(size, size)
+
+
 def _segments(ctx: np.ndarray, open_: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, bits, key) for every STEP offsets: the contexts with open windows there, those windows, and a hash of what all of them hold."""
     for low in range(0, REACH + 1, STEP):
@@ -267,6 +358,10 @@ def _segments(ctx: np.ndarray, open_: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield rows, bits[rows], (h ^ h >> np.uint64(29)) * _BASES[1] >> np.uint64(24)
 
 
+#: Bytes of a context that windows from `low` to `high` bytes before the gram hold: 1, others 0.
+_HELD = np.array([[(np.arange(SPAN) >= REACH - high) & (np.arange(SPAN) < REACH - low + LENGTH) for high in range(REACH + 1)] for low in range(REACH + 1)], np.uint8)
+
+
 def _contexts(buckets: int):
     """Documents with their shared names -> covers (kind 0) and packed open contexts (kind 1, doc: the bucket)."""
 
@@ -299,22 +394,27 @@ def _contexts(buckets: int):
                 open_held, open_count = [], 0
 
         for batch in batches:
-            for doc, key, text, names in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
-                raw = np.frombuffer(text.as_buffer(), np.uint8)
-                name, at, first, last = sampled(raw)
-                known = np.frombuffer(b"".join(names), "<u8")
-                rows = np.isin(name, known & ~_FLAG)
-                name, at, first, last = name[rows], at[rows], first[rows], last[rows]
-                full = np.isin(name, known[known >= _FLAG] & ~_FLAG)
-                padded = np.concatenate([np.zeros(REACH, np.uint8), raw, np.zeros(SPAN, np.uint8)])
+            docs, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            for row, n, raw, starts, text, (name, at, first, last) in _sampled_texts(batch.column(2)):
+                lists = batch.column(3).slice(row, n)
+                known, ends = _bytes(lists.flatten())
+                known = np.frombuffer(known, "<u8")
+                held_by = np.repeat(np.arange(n), np.diff(ends[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])]) // 8)
+                of_text = _of_text(held_by, known & ~_FLAG)
+                order = np.argsort(of_text)
+                of_text, own = of_text[order], _of_text(text, name)
+                there = np.searchsorted(of_text, own)
+                there[there == len(of_text)] = 0
+                rows = np.flatnonzero(of_text[there] == own) if len(of_text) else np.zeros(0, np.int64)
+                full = (known >= _FLAG)[order][there[rows]]
+                name, at, first, last, text = name[rows], at[rows], first[rows], last[rows], row + text[rows]
+                windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(REACH, np.uint8), raw, np.zeros(SPAN, np.uint8)]), SPAN)
                 for k in range(0, len(name), CONTEXTS):
-                    g, f, p, a, e = (x[k : k + CONTEXTS] for x in (name, full, at, first, last))
-                    ctx = padded[p[:, None] + np.arange(SPAN)]
-                    low, high = (p - e).astype(np.uint8), (p - a).astype(np.uint8)
-                    j = np.arange(SPAN)
-                    ctx = ctx * ((j >= REACH - high[:, None].astype(int)) & (j < REACH - low[:, None].astype(int) + LENGTH))
+                    g, f, p, a, e, t = (x[k : k + CONTEXTS] for x in (name, full, at, first, last, text))
+                    low, high = p - e, p - a
+                    ctx = windows[p] * _HELD[low, high]
                     open_ = ((np.uint64(2) << high.astype(np.uint64)) - (np.uint64(1) << low.astype(np.uint64))).astype(np.uint32)
-                    held.append((g, f, np.full(len(g), doc, np.int64), np.full(len(g), key, np.int64), p, open_, ctx.astype(np.uint8)))
+                    held.append((g, f, docs[t], keys[t], p - starts[t - row], open_, ctx))
                     count += len(g)
                     if count >= CONTEXTS:
                         yield from flush()
@@ -327,16 +427,6 @@ def _contexts(buckets: int):
     return run
 
 
-def _names_of(ctx: np.ndarray) -> np.ndarray:
-    """The grams' names once more, from their bytes."""
-    h = np.zeros(len(ctx), np.uint64)
-    for j in range(REACH, REACH + GRAM):
-        h = h * _BASES[0] + ctx[:, j] + np.uint64(1)
-    h ^= h >> np.uint64(29)
-    h *= _BASES[1]
-    return h >> np.uint64(24)
-
-
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Passes covers on and resolves the open contexts of the partition, a few whole names, or parts of a crowded one, at a time."""
     parts = []
@@ -349,7 +439,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cols = [np.concatenate([p[k] for p in parts]) for k in range(len(_CONTEXT))]
     del parts
     doc, row, pos, open_, ctx = cols
-    for rows in _runs(_names_of(ctx)):
+    for rows in _runs(_gram_keys(ctx)):
         if len(rows) <= CONTEXTS:
             yield from _covers(doc[rows], row[rows], pos[rows], resolve(doc[rows], open_[rows], ctx[rows])[0])
             continue
@@ -374,29 +464,41 @@ def _runs(keys: np.ndarray) -> Iterator[np.ndarray]:
 # --- step 3: what is left of each document ----------------------------------------------------------
 
 
-def removed_bytes(n: int, own: list[bytes]) -> np.ndarray:
-    """Which of n bytes covered windows remove."""
-    if not own:
-        return np.zeros(n, bool)
-    at = np.concatenate([np.frombuffer(x, "<i4", len(x) // 8) for x in own])
-    bits = np.concatenate([np.frombuffer(x, "<u4", len(x) // 8, len(x) // 2) for x in own])
-    which, off = np.nonzero((bits[:, None] >> np.arange(REACH + 1, dtype=np.uint32)) & np.uint32(1))
-    start = at[which] - off
-    change = np.bincount(start, minlength=n + 1) - np.bincount(start + LENGTH, minlength=n + 1)
-    return np.cumsum(change[:n]) > 0
+def removed_bytes(starts: np.ndarray, text: np.ndarray, at: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which bytes of texts that begin at `starts` covered windows remove.  A context's windows all hold its gram, so they leave no gap."""
+    end = int(starts[-1])
+    first = starts[text] + at - (np.frexp(bits.astype(np.float64))[1] - 1)
+    last = starts[text] + at - (np.frexp((bits & (~bits + np.uint32(1))).astype(np.float64))[1] - 1) + LENGTH
+    return np.cumsum(np.bincount(first, minlength=end + 1) - np.bincount(last, minlength=end + 1))[:end] > 0
+
+
+def _cover_pairs(covers: pa.Array, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, position, bits) of all covered windows; covers of other rows with the same id are left out."""
+    size, each = covers.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), covers.flatten()
+    row = np.repeat(np.arange(len(covers)), size)
+    loads, ends = _bytes(each.field("payload"))
+    loads, starts = np.frombuffer(loads, "<u4"), ends // 8
+    first, second = _halves(starts[:-1], int(starts[-1]))
+    mine = np.repeat(each.field("row").to_numpy(zero_copy_only=False) == keys[row], np.diff(starts))
+    return np.repeat(row, np.diff(starts))[mine], loads[first[mine]].view("<i4").astype(np.int64), loads[second[mine]]
 
 
 def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for doc, key, text, covers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
-            raw = np.frombuffer(text.as_buffer(), np.uint8)
-            gone = removed_bytes(len(raw), [c["payload"] for c in covers or () if c["row"] == key])
-            spans = int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum())
-            out.append((doc, len(raw), int(gone.sum()), spans, hashlib.sha256(raw[~gone].tobytes()).hexdigest()))
-        cols = list(zip(*out)) if out else [()] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        out, keys = [], batch.column(1).to_numpy(zero_copy_only=False)
+        for row, n in text_slices(batch.column(2), TEXTS):
+            raw, starts = _bytes(batch.column(2).slice(row, n))
+            gone = removed_bytes(starts, *_cover_pairs(batch.column(3).slice(row, n), keys[row : row + n]))
+            opens = gone.copy()
+            opens[1:] &= ~gone[:-1]
+            begin = starts[:-1][starts[:-1] < len(raw)]
+            opens[begin] = gone[begin]
+            before, spans = (np.concatenate([[0], np.cumsum(x)])[starts] for x in (gone, opens))
+            kept, at = raw[~gone], starts - before
+            out.append((np.diff(starts), np.diff(before), np.diff(spans), [hashlib.sha256(kept[i:j]).hexdigest() for i, j in zip(at, at[1:])]))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [()] * 4
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
