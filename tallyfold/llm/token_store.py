@@ -28,15 +28,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import ARROW_BYTES, arrow_sized, keeps_tables, shared_dir, shuffle_width, staged, text_slices
+from .common import SLICE_BYTES, arrow_sized, forget_tables, keeps_tables, shared_dir, shuffle_width, staged, text_slices
 
 END_ID = 0
 #: The dictionary is trained on so many documents at most, each with so many bytes of ids at most.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1500, 4096, 64 << 10
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 4096
 LEVEL = 3
-#: Entries of a worker's cache from text chunks to id bytes, in two generations.
-CACHE = 800_000
+#: A worker's room: entries of its cache from text chunks to id bytes, in two generations (some 220 bytes each), and bytes of
+#: text that are encoded at once (the arrays of a call take some ten times as much).  SMALL is for executors whose heap other
+#: stages have grown: less memory, more chunks encoded again.
+ROOM, SMALL = (400_000, SLICE_BYTES), (100_000, 1 << 20)
+#: The longest chunk that the cache keeps.
+LONGEST = 64
 BUCKET_ROWS, LEAST_BUCKETS = 50_000, 256
 
 _BOUNDARY = re.compile(r"(?<=\S)(?= )")
@@ -156,12 +160,12 @@ class Encoder:
             codes = every
         return counts, codes, [*distinct, *place]
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and how many each has."""
+    def encode(self, texts: pa.Array, cache: int = ROOM[0]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each has; `cache` is how many chunks stay known."""
         if not self.cuts:
             ids = [e.ids for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
             return np.concatenate([np.array(x, self.dtype) for x in ids] or [np.zeros(0, self.dtype)]), np.array([len(x) for x in ids], np.int64)
-        if len(self.known) > CACHE // 2:  # what the last generation holds and is used again moves on
+        if len(self.known) > cache // 2:  # what the last generation holds and is used again moves on
             self.before, self.known = self.known, {}
         counts, codes, distinct = self._pieces(texts)
         found = list(map(self.known.get, distinct))
@@ -169,26 +173,28 @@ class Encoder:
         self._learn([x for x in (distinct[k] for k in holes) if not self._again(x)])
         for k in holes:
             found[k] = self.known[distinct[k]]
-        size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
-        start = np.cumsum(size) - size
-        n = size[codes]
-        ends = np.cumsum(n)
-        at = np.repeat(start[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-        ids = np.frombuffer(b"".join(found), self.dtype)[at]
-        return ids, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])])
+        for k in holes:
+            if len(distinct[k]) > LONGEST:
+                self.known.pop(distinct[k], None)
+        # texts' ids one after another: the bytes that lie in an array of all pieces' ids
+        every = pa.array(found, pa.large_binary()).take(pa.array(codes))
+        _, at, raw = every.buffers()
+        ends = np.frombuffer(at, np.int64, len(every) + 1) // self.dtype.itemsize
+        ids = np.frombuffer(raw or b"", self.dtype, int(ends[-1]))
+        return ids, np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
 
 
 def ids_width(path: str) -> int:
     return Encoder.here(path).dtype.itemsize
 
 
-def document_ids(batches: Iterator[pa.RecordBatch], path: str, text_at: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def document_ids(batches: Iterator[pa.RecordBatch], path: str, text_at: int, room: tuple[int, int] = ROOM) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of batches with the ids' bytes of every whole text, the end id included."""
     encoder = Encoder.here(path)
     for batch in batches:
-        for at, n in text_slices(batch.column(text_at), ARROW_BYTES):
+        for at, n in text_slices(batch.column(text_at), room[1]):
             part = batch.slice(at, n)
-            ids, counts = encoder.encode(part.column(text_at).fill_null(""))
+            ids, counts = encoder.encode(part.column(text_at).fill_null(""), room[0])
             ends = np.cumsum(counts)
             raw = np.insert(ids, ends, END_ID).tobytes()
             offsets = (np.concatenate([[0], ends + np.arange(1, n + 1)]) * encoder.dtype.itemsize).tolist()
@@ -196,14 +202,14 @@ def document_ids(batches: Iterator[pa.RecordBatch], path: str, text_at: int) ->
     pa.default_memory_pool().release_unused()  # the worker lives on, for other stages
 
 
-def train_dictionary(docs: DataFrame, path: str) -> bytes:
+def train_dictionary(docs: DataFrame, path: str, room: tuple[int, int] = ROOM) -> bytes:
     """A dictionary from the ids of a bounded sample of documents; empty if there is too little to learn from."""
     drawn = docs.select("id").where("id is not null").orderBy(F.xxhash64(F.lit("dictionary"), "id")).limit(SAMPLE_DOCS).collect()
     if not drawn:
         return b""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids in document_ids(batches, path, 0):
+        for _, ids in document_ids(batches, path, 0, room):
             yield pa.RecordBatch.from_arrays([pa.array([x[:SAMPLE_BYTES] for x in ids], pa.binary())], names=["x"])
 
     sample = arrow_sized(docs).where(F.col("id").isin([r["id"] for r in drawn])).select("text").mapInArrow(run, "x binary")
@@ -214,12 +220,12 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
         return b""
 
 
-def write_store(docs: DataFrame, store: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", order: Column | None = None) -> None:
-    """Encode and write all rows of `docs` in ascending order of a number (default: the id), nulls first."""
+def write_store(docs: DataFrame, store: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", order: Column | None = None, room: tuple[int, int] = ROOM) -> None:
+    """Encode and write all rows of `docs` in ascending order of a number (default: the id), nulls first; the files do not depend on `room`."""
     spark = docs.sparkSession
     width = ids_width(tokenizer)
     rows = docs.select(F.col(id_col).alias("id"), (F.col(id_col) if order is None else order).cast("double").alias("at"), F.col(text_col).alias("text"))
-    trained = train_dictionary(rows, tokenizer)
+    trained = train_dictionary(rows, tokenizer, room)
     digest = hashlib.sha256(trained).hexdigest()
     row = [(trained, digest, tokenizer.rpartition("/")[2], width)]
     spark.createDataFrame(row, "dictionary binary, sha256 string, tokenizer string, id_bytes int").coalesce(1).write.parquet(f"{store}/dictionary")
@@ -233,7 +239,7 @@ def write_store(docs: DataFrame, store: str, tokenizer: str, id_col: str = "doc_
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frames = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
-        for part, ids in document_ids(batches, tokenizer, 2):
+        for part, ids in document_ids(batches, tokenizer, 2, room):
             place = part.column(1).fill_null(-np.inf).to_numpy(zero_copy_only=False)
             bucket = pa.array(np.searchsorted(edges, place, side="left").astype(np.int32))
             counts = pa.array([len(x) // width for x in ids], pa.int64())
@@ -242,6 +248,7 @@ def write_store(docs: DataFrame, store: str, tokenizer: str, id_col: str = "doc_
     frames = arrow_sized(rows).mapInArrow(compress, f"bucket int, id {kind}, at double, n long, frame binary")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_tables()
         seq, held, size, bucket = 0, [], 0, None
 
         def block() -> pd.DataFrame:
@@ -277,6 +284,7 @@ def _documents(spark: SparkSession, store: str, fields: str, values) -> DataFram
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tables()
         frames = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
         for batch in batches:
             for k in range(batch.num_rows):
@@ -330,14 +338,14 @@ def token_index(spark: SparkSession, store: str) -> DataFrame:
     return inside.join(starts, "part").select("id", (F.col("_start") + F.col("_inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", store: str | None = None, order: Column | None = None) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", store: str | None = None, order: Column | None = None, room: tuple[int, int] = ROOM) -> DataFrame:
     """Write the store (by default a new one in the shared folder) and return `token_index` of it.
 
-    Documents are stored by ascending id, or by `order`, a number below 2**53 for each row.
+    Documents are stored by ascending id, or by `order`, a number below 2**53 for each row.  `room` is what a worker may keep (ROOM, SMALL).
 
     Null texts are encoded as empty: the end id alone.  Null ids come first; rows that repeat an id are
     stored one after another; an empty table gives an empty store; other columns are not read.
     """
     store = store or f"{shared_dir(docs.sparkSession)}/tallyfold/tokens-{uuid.uuid4().hex}"
-    write_store(docs, store, tokenizer, id_col, text_col, order)
+    write_store(docs, store, tokenizer, id_col, text_col, order, room)
     return token_index(docs.sparkSession, store)
