@@ -35,14 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def staged(df: DataFrame, name: str, *, partition_by: list[str] | None = None) -> DataFrame:
-    """Cut the lineage: write `df` as Parquet below the shared folder and read it back."""
+def staged(df: DataFrame, name: str, *, partition_by: list[str] | None = None, compression: str | None = None) -> DataFrame:
+    """Cut the lineage: write `df` as Parquet below the shared folder and read it back; `compression`: a codec, by default the session's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyfold/{name}-{uuid.uuid4().hex}"
     for paths in _recording.get():
         paths.append(path)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    writer.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

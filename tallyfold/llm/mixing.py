@@ -182,10 +182,11 @@ def _by_deadline(small: DataFrame, rest: float, block_bytes: int) -> DataFrame:
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, float] | None = None) -> DataFrame:
     """All rows of `docs`, columns kept, sorted in mixture order: written out, the files follow the schedule.
 
-    Ids should be unique; of a repeated id every row takes the id's first slot, and rows with a null id come last.
+    Ids should be unique; of a repeated id every row takes the id's first slot, and rows with a null id come last.  Texts are
+    shuffled to their slots and into the order, and not written between: the sort's sample of its keys reads the first shuffle once more.
     """
     slots = schedule(docs, id_col, text_col, source_col, weights)
     own = fresh_name(docs, "mix")
     first = slots.where("id is not null").groupBy(F.col("id").alias(id_col)).agg(F.min(F.struct("slot", "key")).alias(own))
-    ordered = staged(docs.join(staged(first, "mix-slots"), id_col, "left"), "mix-rows")
-    return ordered.orderBy(F.col(own).asc_nulls_last(), id_col).select(docs.columns)
+    placed = docs.join(staged(first, "mix-slots"), id_col, "left")
+    return placed.orderBy(F.col(own).asc_nulls_last(), id_col).select(docs.columns)

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 
 import corpus_pipeline
-from tallyfold.llm import mixing, quality
+from tallyfold.llm import common, mixing, quality
 
 from .conftest import SF
 from .test_contracts import plain_ids
@@ -85,3 +85,18 @@ def test_stages_on_odd_rows(spark, odd, empty, tmp_path):
                 assert ids(out) == ids(odd)
             if label == "odd" and name != "quality_rules":
                 assert out.where("doc_id is null").count() == 1
+
+
+def test_texts_are_not_written_between_shuffles(spark):
+    """Mixing writes no copy of the texts on its way; the one that the quality rules need is compressed harder than by default."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    with common.recorded() as paths:
+        mixed = [r.doc_id for r in corpus_pipeline.source_mixing(spark, docs, SF).collect()]
+    assert paths and not any("text" in spark.read.parquet(p).columns for p in paths)
+    order = {r.id: (r.slot, r.key) for r in mixing.schedule(docs).collect()}
+    assert mixed == sorted(order, key=lambda i: (*order[i], i))
+
+    with common.recorded() as paths:
+        corpus_pipeline.quality_rules(spark, docs, SF)
+    copies = [p for p in paths if "text" in spark.read.parquet(p).columns]
+    assert len(copies) == 1 and all(f.endswith(".zstd.parquet") for f in spark.read.parquet(*copies).inputFiles())
