@@ -16,8 +16,9 @@ import hashlib
 import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
@@ -50,6 +51,8 @@ _SPACE_RUN = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}] "
 _RUN = "(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]++|[0-9]++|[!-&(-/:-@[-`{-~]++)"
 _PART = re.compile(f" ?{_RUN}|\n")
 _PLAIN = re.compile(f" ?{_RUN}(?:{_RUN}|\n(?=\\S))*+")
+_ID = attrgetter("id")
+ODD, SPACE, LINE_END, LETTER = range(4)
 _workers: dict[str, "Encoder"] = {}
 
 
@@ -60,12 +63,62 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(odd)}
 
 
+def byte_classes() -> np.ndarray:
+    """Classes of UTF-8 bytes: space, line end, Latin letters (of U+00C0 to U+024F both bytes), digits, marks but apostrophes; else ODD."""
+    classes = np.full(256, ODD, np.uint8)
+    classes[32], classes[10] = SPACE, LINE_END
+    for k, kind in enumerate((rb"[A-Za-z\x80-\xbf\xc3-\xc9]", b"[0-9]", b"[!-&(-/:-@[-`{-~]")):
+        classes[[b for b in range(256) if re.match(kind, bytes([b]))]] = LETTER + k
+    return classes
+
+
+_CLASSES = byte_classes()
+
+
+def plain_parts(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Pieces per text and all pieces of texts in which no space follows white space: cut before spaces and where a run of `_RUN` or a line end ends.
+
+    What stands between two spaces stays whole where it holds other characters than `_RUN` and single line ends between them.
+    """
+    kind = np.dtype(np.int64 if pa.types.is_large_string(texts.type) else np.int32)
+    _, at, data = texts.buffers()
+    ends = np.frombuffer(at, kind, len(texts) + 1, texts.offset * kind.itemsize) if len(texts) else np.zeros(1, kind)
+    raw = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    if not len(raw):
+        return np.zeros(len(texts), np.int64), texts.slice(0, 0)
+    some = np.diff(ends) > 0
+    first, last = ends[:-1][some], ends[1:][some] - 1
+    classes = _CLASSES[raw]
+    before, after = np.roll(classes, 1), np.roll(classes, -1)
+    before[first], after[last] = ODD, ODD
+    odd = classes == ODD
+    odd |= (classes <= LINE_END) & (after <= LINE_END)  # white space is cut off alone unless a run follows it
+    for lead, follows in ((0xC3, (0x97, 0x97)), (0xC3, (0xB7, 0xB7)), (0xC9, (0x90, 0xBF))):  # signs for times and divided by, letters beyond U+024F
+        k = np.flatnonzero(raw[:-1] == lead)
+        odd[k[(raw[k + 1] >= follows[0]) & (raw[k + 1] <= follows[1])]] = True
+    cut = (classes != before) & (before != SPACE)
+    chunk = classes == SPACE
+    chunk[first] = True
+    cut |= chunk
+    starts = np.flatnonzero(cut)
+    if odd.any():
+        heads = np.flatnonzero(chunk)
+        whole = np.zeros(len(heads), bool)
+        whole[np.searchsorted(heads, np.flatnonzero(odd), side="right") - 1] = True
+        head = chunk[starts]
+        starts = starts[head | ~whole[np.cumsum(head) - 1]]
+    counts = np.diff(np.searchsorted(starts, ends))
+    offsets = np.append(starts, len(raw)).astype(kind)
+    return counts, pa.Array.from_buffers(texts.type, len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+
+
 class Encoder:
     """Texts to ids, two bytes per id if the vocabulary allows, else four.
 
-    Byte-level BPE never merges across a space that follows a non-space character, nor between letters and
-    a mark after them.  So texts are cut there, the distinct pieces of a batch are found in Arrow, and each
-    that is not known yet goes through the tokenizers library once; other kinds of tokenizers get whole texts.
+    Byte-level BPE never merges across a space that follows a non-space character, nor between letters, digits
+    and marks.  So texts are cut there by their bytes' classes, the distinct pieces of a batch are found in Arrow, and
+    each that is not known yet goes through the tokenizers library once; other kinds of tokenizers get whole texts.
     """
 
     def __init__(self, path: str):
@@ -79,9 +132,12 @@ class Encoder:
         self.mark_text = added[0] if added else None
         self.mark = self.tokenizer.token_to_id(self.mark_text) if added else None
         self.added = re.compile("|".join(map(re.escape, added))) if added else re.compile("(?!)")
+        self.added_texts = added
         self.model = self.tokenizer.model if isinstance(self.tokenizer.model, models.BPE) else None
-        self.words = not any(x.strip().isalpha() for x in added)
-        self.letters = byte_letters()
+        # no added token lies within a part
+        self.single = not any(not x.strip() or _PART.fullmatch(x) for x in added)
+        letters = byte_letters()
+        self.letters = np.array([ord(letters[b]) for b in range(256)], "<u2")
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
@@ -92,30 +148,38 @@ class Encoder:
             keeps_tables(_workers[path].forget)
         return _workers[path]
 
+    def _lettered(self, parts: list[str]) -> list[str]:
+        """Parts in byte-level BPE's letters."""
+        raw = np.frombuffer("\0".join(parts).encode(), np.uint8)
+        return self.letters[raw].tobytes().decode("utf-16-le").split(chr(self.letters[0]))
+
     def forget(self) -> None:
         self.known, self.before = {}, {}
 
     def _learn(self, pieces: Iterable[str]) -> None:
         """Encode pieces and keep them: pre-tokens by the model alone, others many at once with an added token between them."""
-        known, before, dtype, rest = self.known, self.before, self.dtype, pieces
+        known, before, dtype, rest, single = self.known, self.before, self.dtype, pieces, []
         if self.model is not None:
-            plain, parts, added, letters, tokenize, kind = _PLAIN.fullmatch, _PART.findall, self.added.search, self.letters, self.model.tokenize, dtype.char
-            space, rest = letters[32], []
+            part, plain, parts, added, rest = _PART.fullmatch, _PLAIN.fullmatch, _PART.findall, self.added.search, []
+            several: list[tuple[str, list[str]]] = []
             for x in pieces:
-                if self.words and x.isascii() and (x.isalpha() or x[:1] == " " and x[1:].isalpha()):
-                    known[x] = array(kind, [t.id for t in tokenize(x.replace(" ", space))]).tobytes()
-                    continue
-                if not plain(x) or added(x):
+                if self.single and (x.isascii() and x.removeprefix(" ").isalpha() or part(x)):
+                    single.append(x)
+                elif not plain(x) or added(x):
                     rest.append(x)
-                    continue
-                own = []
-                for part in parts(x):
-                    ids = known.get(part) or before.get(part)
-                    if ids is None:
-                        ids = array(kind, [t.id for t in tokenize(part.encode().decode("latin-1").translate(letters))]).tobytes()
-                    known[part] = ids
-                    own.append(ids)
-                known[x] = b"".join(own)
+                else:
+                    several.append((x, parts(x)))
+            new = dict.fromkeys(x for _, own in several for x in own if x not in known)
+            known.update((x, before[x]) for x in new if x in before)
+            single += [x for x in new if x not in known]
+            for k in range(0, len(single), 1024):
+                some = single[k : k + 1024]
+                found = list(map(self.model.tokenize, self._lettered(some)))
+                raw = np.fromiter(map(_ID, chain.from_iterable(found)), dtype).tobytes()
+                ends = (dtype.itemsize * np.cumsum(list(map(len, found)))).tolist()
+                known.update(zip(some, (raw[i:j] for i, j in zip([0, *ends], ends))))
+            for x, own in several:
+                known[x] = b"".join(map(known.__getitem__, own))
         joined = [x for x in rest if self.mark is not None and not self.added.search(x)]
         for x in set(rest).difference(joined):
             known[x] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, dtype).tobytes()
@@ -125,40 +189,24 @@ class Encoder:
             cut, raw = (dtype.itemsize * np.flatnonzero(ids == self.mark)).tolist(), ids.tobytes()
             known.update(zip(some, (raw[i:j] for i, j in zip([0, *(c + dtype.itemsize for c in cut)], [*cut, len(raw)]))))
 
-    def _again(self, piece: str) -> bool:
-        """Bring a piece of the last generation into this one."""
-        ids = self.before.get(piece)
-        if ids is not None:
-            self.known[piece] = ids
-        return ids is not None
-
     def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Pieces per text, each piece's place in the list of distinct ones, and that list."""
-        odd = pa.compute.match_substring_regex(texts, _SPACE_RUN).to_numpy(zero_copy_only=False).astype(bool)
-        # single spaces: cut at each, what follows has its space back below
-        parts = pa.compute.split_pattern(texts.filter(pa.array(~odd)), " ")
-        counts = np.zeros(len(texts), np.int64)
-        counts[~odd] = np.diff(parts.offsets.to_numpy())
-        # a text's first piece has no space before it: it and the pieces of odd texts are told apart here
-        coded = parts.flatten().dictionary_encode()
-        codes = coded.indices.to_numpy().astype(np.int64)
-        distinct = [f" {x}" for x in coded.dictionary.to_pylist()]
-        place: dict[str, int] = {}
-
-        def own(piece: str) -> int:
-            return place.setdefault(piece, len(distinct) + len(place))
-
-        first = parts.offsets.to_numpy()[:-1] - parts.offsets.to_numpy()[0]
-        codes[first] = [own(distinct[k][1:]) for k in codes[first].tolist()]
+        # texts that are only cut at spaces, as a space may follow white space or an added token be in them
+        marked = [pa.compute.match_substring_regex(texts, _SPACE_RUN), *(pa.compute.match_substring(texts, x) for x in self.added_texts)]
+        odd = np.any([x.to_numpy(zero_copy_only=False) for x in marked], axis=0)
+        counts, parts = plain_parts(texts.filter(pa.array(~odd)) if odd.any() else texts)
+        coded = parts.dictionary_encode()
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if odd.any():
-            cut = [[own(x) for x in _BOUNDARY.split(t)] for t in texts.filter(pa.array(odd)).to_pylist()]
-            counts[odd] = [len(x) for x in cut]
-            at = np.concatenate([[0], np.cumsum(counts)])
-            every = np.zeros(int(at[-1]), np.int64)
-            every[np.repeat(~odd, counts)] = codes
-            every[np.repeat(odd, counts)] = [k for x in cut for k in x]
-            codes = every
-        return counts, codes, [*distinct, *place]
+            place: dict[str, int] = {}
+            cut = [[place.setdefault(x, len(distinct) + len(place)) for x in _BOUNDARY.split(t)] for t in texts.filter(pa.array(odd)).to_pylist()]
+            every = np.zeros(len(texts), np.int64)
+            every[~odd], every[odd] = counts, [len(x) for x in cut]
+            from_odd = np.repeat(odd, every)
+            both = np.zeros(len(from_odd), np.int64)
+            both[~from_odd], both[from_odd] = codes, [k for x in cut for k in x]
+            counts, codes, distinct = every, both, [*distinct, *place]
+        return counts, codes, distinct
 
     def encode(self, texts: pa.Array, cache: int = ROOM[0]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each has; `cache` is how many chunks stay known."""
@@ -170,12 +218,15 @@ class Encoder:
         counts, codes, distinct = self._pieces(texts)
         found = list(map(self.known.get, distinct))
         holes = [k for k, x in enumerate(found) if x is None]
-        self._learn([x for x in (distinct[k] for k in holes) if not self._again(x)])
-        for k in holes:
-            found[k] = self.known[distinct[k]]
-        for k in holes:
-            if len(distinct[k]) > LONGEST:
-                self.known.pop(distinct[k], None)
+        missing = [distinct[k] for k in holes]
+        again = list(map(self.before.get, missing))
+        self.known.update((x, ids) for x, ids in zip(missing, again) if ids is not None)
+        self._learn([x for x, ids in zip(missing, again) if ids is None])
+        for k, ids in zip(holes, map(self.known.__getitem__, missing)):
+            found[k] = ids
+        for x in missing:
+            if len(x) > LONGEST:
+                self.known.pop(x, None)
         # texts' ids one after another: the bytes that lie in an array of all pieces' ids
         every = pa.array(found, pa.large_binary()).take(pa.array(codes))
         _, at, raw = every.buffers()
